@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from .decontaminate import op9_decontaminate
+from .ngram_join import op2_ngram_join
+from .packing import op5_packing
 from .toxicity import op10_toxicity
 
 QUERIES = {
+    "op2_ngram_join": op2_ngram_join,
+    "op5_packing": op5_packing,
+    "op9_decontaminate": op9_decontaminate,
     "op10_toxicity": op10_toxicity,
 }
 
