@@ -7,13 +7,16 @@ from .ngram_join import op2_ngram_join
 from .packing import op5_packing
 from .secrets import op6_secrets
 from .toxicity import op10_toxicity
+from .url_filter import SQL as URL_SQL
+from .url_filter import op8_url_filter
 
 QUERIES = {
     "op2_ngram_join": op2_ngram_join,
     "op5_packing": op5_packing,
     "op6_secrets": op6_secrets,
+    "op8_url_filter": op8_url_filter,
     "op9_decontaminate": op9_decontaminate,
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_url_filter": URL_SQL}
