@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import op9_decontaminate
 from .ngram_join import op2_ngram_join
+from .ogg import op7_media
 from .packing import op5_packing
 from .secrets import op6_secrets
 from .toxicity import op10_toxicity
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_ngram_join": op2_ngram_join,
     "op5_packing": op5_packing,
     "op6_secrets": op6_secrets,
+    "op7_media": op7_media,
     "op8_url_filter": op8_url_filter,
     "op9_decontaminate": op9_decontaminate,
     "op10_toxicity": op10_toxicity,
