@@ -10,9 +10,11 @@ from .secrets import op6_secrets
 from .toxicity import op10_toxicity
 from .url_filter import SQL as URL_SQL
 from .url_filter import op8_url_filter
+from .window_dedup import op4_window_dedup
 
 QUERIES = {
     "op2_ngram_join": op2_ngram_join,
+    "op4_window_dedup": op4_window_dedup,
     "op5_packing": op5_packing,
     "op6_secrets": op6_secrets,
     "op7_media": op7_media,
