@@ -7,8 +7,8 @@ windows that agree with an item on one sample are verified by a banded edit dist
 follows from a simulation with the allowed edits on the items themselves, for a target recall.
 
 Before they are embedded, windows pass a test that loses none: with e edits at least n - 2 - 3e of an item's n - 2 word
-trigrams stay, so a window must hold as many trigrams of the benchmark. Trigrams are held as a bitmap of fixed size. The
-benchmark is the stated query set; it is gone through in blocks of bounded size, each broadcast, so documents are
+trigrams stay, so a window must hold as many trigrams of items of its length. A table of fixed size, by trigram hash,
+tells by 64 bits for which lengths (modulo 64) a trigram occurs in the benchmark. The benchmark is the stated query set; it is gone through in blocks of bounded size, each broadcast, so documents are
 scanned once per block and never shuffled.
 
 A match has a similarity (1 - distance / n) of at least the bound, 0.8 unless told otherwise; so that one trigram is
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from ._frames import map_arrow, read_table
 from ._text import Runs, U, Words, mix, take_ranges, text_slices
 
-BITS = 24  # of the trigram bitmap
+BITS = 20  # of the trigram table's index
 BLOCK_ITEMS = 20_000
 BLOCK_CHARS = 20_000_000
 SAMPLE = 3  # coordinates in a sample
@@ -131,7 +131,7 @@ class ItemBlock:
 
     ids: np.ndarray
     by_length: dict[int, tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]]  # rows, words, sorted keys and rows by sample
-    bitmap: np.ndarray
+    lengths: np.ndarray  # by trigram hash, the lengths as bits
     samples: int
     similarity: float
 
@@ -146,9 +146,9 @@ def word_rows(texts: list[str]) -> list[np.ndarray]:
 
 def make_block(ids: list[int], texts: list[str], similarity: float, recall: float) -> ItemBlock:
     items = word_rows(texts)
-    bitmap = np.zeros(1 << BITS, bool)
+    table = np.zeros(1 << BITS, np.uint64)
     for x in items:
-        bitmap[(Runs(x).fixed(3) >> U(64 - BITS)).astype(np.int64)] = True
+        table[(Runs(x).fixed(3) >> U(64 - BITS)).astype(np.int64)] |= U(1) << U(len(x) % 64)
     samples = samples_for(items, similarity, recall)
     lengths = defaultdict(list)
     for k, x in enumerate(items):
@@ -163,24 +163,25 @@ def make_block(ids: list[int], texts: list[str], similarity: float, recall: floa
             order = np.argsort(keys[:, s], kind="stable")
             tables.append((keys[order, s], order))
         by_length[n] = (np.array(rows), words, tables)
-    return ItemBlock(np.array(ids, np.int64), by_length, np.packbits(bitmap), samples, similarity)
-
-
-def candidate_windows(words: Words, hit: np.ndarray, block: ItemBlock):
-    """By item length: the window starts that hold enough of the benchmark's trigrams."""
-    total = np.zeros(len(words) + 1, np.int32)
-    np.cumsum(hit, out=total[1:])
-    least = {n: n - 2 - 3 * allowed(n, block.similarity) for n in block.by_length}
-    end = words.first[1:][words.row] if len(words) else np.zeros(0, np.int64)
-    longest = max(block.by_length)
-    start = np.arange(len(words))
-    base = np.flatnonzero(total[np.minimum(start + longest - 2, len(words))] - total[start] >= min(least.values()))
-    if not len(base):
-        return
-    room = end[base] - base
-    for n, need in least.items():
-        s = base[room >= n]
-        s = s[total[s + n - 2] - total[s] >= need]
+    return ItemBlock(np.array(ids, np.int64), by_length, table, samples, similarity)
+
+
+def candidate_windows(words: Words, grams: np.ndarray, block: ItemBlock):
+    """By item length: the window starts that hold enough trigrams of items of that length."""
+    bits = block.lengths[(grams >> U(64 - BITS)).astype(np.int64)]
+    hit = np.flatnonzero((bits != 0) & (words.row[: len(grams)] == words.row[2:]))
+    bits = bits[hit]
+    for n in block.by_length:
+        need = n - 2 - 3 * allowed(n, block.similarity)
+        h = hit[(bits >> U(n % 64)) & U(1) == 1]
+        if len(h) < need:
+            continue
+        # windows that hold the hits k to k + need - 1
+        last, first = h[need - 1 :], h[: len(h) - need + 1]
+        low = np.maximum(np.maximum(last - (n - 3), words.first[words.row[first]]), 0)
+        high = np.minimum(first, words.first[words.row[first] + 1] - n)
+        low[1:] = np.maximum(low[1:], np.maximum.accumulate(high)[:-1] + 1)
+        s = take_ranges(low, np.maximum(high - low + 1, 0))
         if len(s):
             yield n, s
 
@@ -197,18 +198,12 @@ def shared_trigrams(windows: np.ndarray, items: np.ndarray, pairs: np.ndarray) -
 
 def matches_of(words: Words, block: ItemBlock) -> list[tuple[int, int, int, int, int]]:
     """Row, item row, first word, word after the last, distance."""
-    if not len(words) or not block.by_length:
+    if len(words) < 3 or not block.by_length:
         return []
-    bitmap = np.unpackbits(block.bitmap).view(bool)
     grams = Runs(words.hash).fixed(3)
-    hit = np.zeros(len(words), bool)
-    hit[: len(grams)] = bitmap[(grams >> U(64 - BITS)).astype(np.int64)]
-    inside = np.zeros(len(words), bool)
-    inside[: len(grams)] = words.row[: len(grams)] == words.row[2:][: len(grams)]
-    hit &= inside
     found = []
     item_grams = {n: Runs(items.ravel()).fixed(3)[np.arange(len(items))[:, None] * n + np.arange(n - 2)] for n, (_, items, _) in block.by_length.items()}
-    for n, starts in candidate_windows(words, hit, block):
+    for n, starts in candidate_windows(words, grams, block):
         rows, items, tables = block.by_length[n]
         for k in range(0, len(starts), 20_000):
             s = starts[k : k + 20_000]
