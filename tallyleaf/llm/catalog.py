@@ -7,6 +7,7 @@ from .ngram_join import op2_ngram_join
 from .ogg import op7_media
 from .packing import op5_packing
 from .secrets import op6_secrets
+from .suffix_dedup import op3_suffix_dedup
 from .toxicity import op10_toxicity
 from .url_filter import SQL as URL_SQL
 from .url_filter import op8_url_filter
@@ -14,6 +15,7 @@ from .window_dedup import op4_window_dedup
 
 QUERIES = {
     "op2_ngram_join": op2_ngram_join,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_window_dedup": op4_window_dedup,
     "op5_packing": op5_packing,
     "op6_secrets": op6_secrets,
