@@ -6,6 +6,7 @@ from .decontaminate import op9_decontaminate
 from .ngram_join import op2_ngram_join
 from .ogg import op7_media
 from .packing import op5_packing
+from .pii import op1_personal_data
 from .secrets import op6_secrets
 from .suffix_dedup import op3_suffix_dedup
 from .toxicity import op10_toxicity
@@ -14,6 +15,7 @@ from .url_filter import op8_url_filter
 from .window_dedup import op4_window_dedup
 
 QUERIES = {
+    "op1_personal_data": op1_personal_data,
     "op2_ngram_join": op2_ngram_join,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_window_dedup": op4_window_dedup,

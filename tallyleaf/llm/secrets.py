@@ -219,6 +219,18 @@ def scan_secrets(docs: DataFrame, thresholds: Thresholds, text: str = "text", un
     )
 
 
+def mask_spans(df: DataFrame, spans: str, mark: str, text: str = "text") -> DataFrame:
+    """Replaces the text under the spans (sorted by start, maybe overlapping) by ``mark``."""
+    free = F.aggregate(
+        F.col(spans), F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
+        lambda a, x: F.when(x["end"] <= a["at"], a).when(
+            x["start"] < a["at"], F.struct(x["end"].alias("at"), a["out"].alias("out"))
+        ).otherwise(F.struct(x["end"].alias("at"), F.concat(a["out"], F.array(F.substring(F.col(text), a["at"] + 1, x["start"] - a["at"]), F.lit(mark))).alias("out"))),
+        lambda a: F.concat(F.array_join(a["out"], ""), F.substring(F.col(text), a["at"] + 1, F.length(text))),
+    )
+    return df.withColumn(text, F.when(F.size(spans) > 0, free).otherwise(F.col(text)))
+
+
 def joined_spans(column: str) -> Column:
     return F.array_join(F.transform(column, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
