@@ -1 +1,3 @@
-"""See the modules."""
+"""The registered queries. Importing this package registers them."""
+
+from . import trials  # noqa: F401
