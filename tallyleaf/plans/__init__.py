@@ -1,3 +1,3 @@
 """The registered queries. Importing this package registers them."""
 
-from . import items, trials  # noqa: F401
+from . import functions, items, scales, trials  # noqa: F401
