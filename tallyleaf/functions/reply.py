@@ -1,0 +1,171 @@
+"""Whole-reply decoding: one reply with its slots in, one typed answer per slot out, without guessing. One pass per reply in
+an Arrow batch; slots stay an array of the reply's row, so nothing is shuffled."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+
+from tallyleaf.functions.helpers import _QUOTES, _choice
+from tallyleaf.functions.schema import struct
+
+READABLE = ("parsed", "out_of_range", "text_response", "range_response", "range_out_of_range")
+_NUMBER = re.compile(r"[+-]?\d+(?:\.\d+)?")
+_OPENER = re.compile(r"\s*(\d+)[.)、]\s*(.*)")
+_RANGE = re.compile(r"(?i)(?:between\s+|from\s+|\[)?\s*([+-]?\d+(?:\.\d+)?)\s*%?\s*(?:-|–|~|to\b|and\b|,|到|至)\s*([+-]?\d+(?:\.\d+)?)\s*%?\]?")
+_TAIL = re.compile(r"(?i)\s*(?:[.;!)。]|points?|分)*\s*(?:(?:because|since|due|,? as)\b.*)?$", re.S)
+_SCORE = re.compile(r"(?i)\s*(?:score|answer|rating|评分|答案)\s*[:=：]?\s*")
+
+ANSWER = struct("slot_id string, answer string, score double, lower double, upper double, status string, method string")
+
+
+def read_number(body: str, maximum: float | None = None):
+    """(value, interval, status) of an answer body."""
+    text = body.strip()
+    if not text:
+        return None, None, "missing"
+    word = _SCORE.match(text)
+    at = word.end() if word else 0
+    m = _NUMBER.match(text, at)
+    r = _RANGE.match(text, at)
+    if r and not re.match(r"(?i)\s*(?:or|或|/|,)\s*\d", text[r.end() :]):
+        if "," in r[0] and not r[0].lstrip().startswith("["):
+            return None, None, "multiple_values"
+        return None, (float(r[1]), float(r[2])), "range"
+    if not m:
+        return None, None, "unparsed"
+    rest = text[m.end() :]
+    f = re.match(r"\s*/\s*(\d+(?:\.\d+)?)", rest)
+    if f and maximum is not None and float(f[1]) == maximum and _TAIL.fullmatch(rest[f.end() :]):
+        return float(m[0]), None, "parsed"
+    if re.match(r"(?i)\s*(?:or|或|/)\s*\d", rest):
+        return None, None, "range_unresolved"
+    return (float(m[0]), None, "parsed") if _TAIL.fullmatch(rest) else (None, None, "unparsed")
+
+
+def read_answer(slot: dict, body: str) -> dict:
+    """One typed answer of a slot."""
+    kind, low, high = slot["response_type"], slot["minimum"], slot["maximum"]
+    out = {"slot_id": slot["slot_id"], "answer": body.strip() or None, "score": None, "lower": None, "upper": None, "status": "missing"}
+    if not body.strip():
+        return out
+    if kind == "text":
+        return out | {"status": "text_response"}
+    if kind == "choice" and slot["choices"]:
+        c = _choice(body, list(slot["choices"]))
+        number = float(c) if c is not None and _NUMBER.fullmatch(str(c)) else None
+        return out | {"answer": c if c is not None else out["answer"], "score": number, "status": "parsed" if c is not None else "invalid_choice"}
+    value, span, status = read_number(body, high)
+    if span:
+        a, b = span
+        beyond = (low is not None and a < low) or (high is not None and b > high)
+        return out | {"lower": a, "upper": b, "status": "range_unresolved" if a > b else "range_out_of_range" if beyond else "range_response"}
+    if status != "parsed":
+        return out | {"status": status}
+    if kind == "integer" and value != int(value):
+        return out | {"status": "non_integer"}
+    beyond = (low is not None and value < low) or (high is not None and value > high)
+    return out | {"score": value, "status": "out_of_range" if beyond else "parsed"}
+
+
+def signature(text: str) -> str:
+    return "".join(c for c in re.sub(r"[(\[][^)\]]*[)\]]", "", re.sub(r"^\s*\d+[.)、]\s*", "", text)).casefold() if c.isalnum())
+
+
+def records(text: str) -> list[tuple[int | None, str]]:
+    """Numbered records of a reply: number and body; lines before the first opener have none."""
+    out: list[list] = []
+    for line in text.splitlines():
+        m = _OPENER.match(line)
+        if m:
+            out.append([int(m[1]), m[2]])
+        elif out:
+            out[-1][1] += "\n" + line
+        elif line.strip():
+            out.append([None, line])
+    return [(n, b) for n, b in out]
+
+
+def place(record: tuple[int | None, str], slots: list[dict], signatures: list[str], n_records: int) -> tuple[int | None, str, str]:
+    """The slot of a record by the strongest evidence: question text, its unique beginning, a single slot, its number. More
+    than one candidate on a rung gives none."""
+    number, body = record
+    head, _, tail = body.partition("\n") if "\n" in body else (body.partition(":") if ":" in body else body.partition("："))
+    said = signature(head)
+    if said:
+        whole = [k for k, s in enumerate(signatures) if s and s == said]
+        if not whole:
+            whole = [k for k, s in enumerate(signatures) if s and len(s) >= 8 and said.startswith(s)]
+            if len(whole) > 1:
+                longest = max(len(signatures[k]) for k in whole)
+                whole = [k for k in whole if len(signatures[k]) == longest]
+        if len(whole) == 1:
+            return whole[0], tail, "question"
+        begins = [k for k, s in enumerate(signatures) if len(said) >= 8 and s.startswith(said)]
+        if len(begins) == 1:
+            return begins[0], tail, "prefix"
+    if number is not None and 1 <= number <= len(slots):
+        return number - 1, body, "number"
+    if len(slots) == 1 and n_records == 1:
+        return 0, body, "single"
+    return None, body, "none"
+
+
+def runaway(text: str, slots: int) -> bool:
+    some = [x.strip() for x in text.splitlines() if x.strip()]
+    bare = sum(bool(re.fullmatch(r"[\w.+-]{1,12}", x)) for x in some)
+    return bool(some) and ((len(some) > max(64, 2 * slots) and bare >= 0.95 * len(some)) or (slots > 1 and len(some) > slots and len(set(some)) == 1))
+
+
+def decode_reply(text: str | None, slots: list[dict]) -> tuple[list[dict], str, str | None]:
+    """Answers in slot order, the reply's status, and how it was recovered."""
+    text = (text or "").translate(_QUOTES)
+    blank = [read_answer(s, "") | {"method": "none"} for s in slots]
+    if not text.strip():
+        return blank, "empty_response", None
+    if runaway(text, len(slots)):
+        return [a | {"status": "unparsed"} for a in blank], "unparsed", "runaway"
+    found: dict[int, list[dict]] = {}
+    signatures = [signature(s.get("question") or "") for s in slots]
+    said, recovery = records(text), None
+    if not any(n is not None for n, _ in said) and len(slots) > 1:
+        tokens = re.findall(r"[^\s,;|]+", text)
+        if len(tokens) == len(slots) and not any(s["response_type"] == "text" for s in slots):
+            read = [read_answer(s, x) for s, x in zip(slots, tokens, strict=True)]
+            if all(a["status"] == "parsed" for a in read):
+                found, said, recovery = {k: [a | {"method": "position"}] for k, a in enumerate(read)}, [], "positional"
+        said = said and [(None, line) for line in text.splitlines() if line.strip()]
+    for record in said:
+        k, body, method = place(record, slots, signatures, len(said))
+        if k is not None:
+            found.setdefault(k, []).append(read_answer(slots[k], body) | {"method": method})
+    answers = []
+    for k, b in enumerate(blank):
+        mine = found.get(k, [])
+        read = [a for a in mine if a["status"] in READABLE]
+        if slots[k]["response_type"] == "text" and read:
+            answers.append(read[0] | {"answer": "\n".join(a["answer"] for a in read)})
+        elif len({(a["score"], a["answer"] if a["score"] is None else None, a["lower"], a["upper"]) for a in read}) > 1:
+            answers.append(b | {"status": "conflicting_values", "method": read[0]["method"]})
+        else:
+            answers.append((read or mine or [b])[0])
+    n = sum(a["status"] in READABLE for a in answers)
+    return answers, "ok" if n == len(answers) else "partial" if n else "unparsed", recovery
+
+
+def decode_replies(replies: DataFrame, reply: str = "reply", slots: str = "slots") -> DataFrame:
+    """Adds answers, parse_status and recovery to rows with a reply and its array of slots (slot_id, question,
+    response_type, minimum, maximum, choices)."""
+    kept = [f for f in replies.schema.fields if f.name not in ("answers", "parse_status", "recovery")]
+    schema = T.StructType([*kept, T.StructField("answers", T.ArrayType(ANSWER)), T.StructField("parse_status", T.StringType()), T.StructField("recovery", T.StringType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [decode_reply(t, [dict(s) if not isinstance(s, dict) else s for s in ss]) for t, ss in zip(pdf[reply], pdf[slots], strict=True)]
+            yield pdf.assign(answers=[a for a, _, _ in rows], parse_status=[s for _, s, _ in rows], recovery=[r for _, _, r in rows])
+
+    return replies.select(*[f.name for f in kept]).mapInPandas(run, schema)

@@ -1,3 +1,3 @@
 """The registered queries. Importing this package registers them."""
 
-from . import decode, functions, items, scales, trials  # noqa: F401
+from . import decode, functions, helpers, items, scales, stores, trials  # noqa: F401
