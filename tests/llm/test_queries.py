@@ -1,0 +1,51 @@
+"""Registered queries: SQL comparison where there is SQL, and the pipeline's stages against brute force."""
+
+import collections
+from fractions import Fraction
+
+import compare
+import corpus_pipeline
+import pytest
+from test_operators import linked_components
+
+from tallyleaf.llm import catalog
+
+DATA = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
+def test_sql(spark, name):
+    assert compare.same(spark, catalog.QUERIES[name], catalog.ORACLES[name])
+
+
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
+def test_runs(spark, name):
+    rows = catalog.QUERIES[name](spark, DATA)
+    assert "doc_id" in rows.columns and rows.count() > 0
+
+
+def test_names():
+    assert sorted(int(n[2:].split("_")[0]) for n in catalog.QUERIES) == list(range(1, 11))
+
+
+def test_pipeline(spark, tmp_path):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    columns, ids = docs.columns, []
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        before = docs
+        stage(spark, docs, DATA).write.parquet(str(tmp_path / str(k)))
+        docs = spark.read.parquet(str(tmp_path / str(k)))
+        if k < 4:
+            assert docs.columns == columns, name
+            assert docs.schema == before.schema
+        ids.append({r[0] for r in docs.select("doc_id").collect()})
+        if k == 1:
+            rows = [(r[0], r[1]) for r in before.select("doc_id", "text").collect()]
+            want = linked_components(rows, 5, Fraction("0.8"))
+            assert ids[1] == {i for i, (_, root, _) in want.items() if i == root}
+    assert ids[0] >= ids[1] >= ids[2] == ids[3] == ids[4]
+    ends = collections.defaultdict(int)
+    for r in docs.collect():
+        ends[r.sequence_id] += r.length
+    assert max(ends.values()) <= 1024
+    assert corpus_pipeline.run(spark, DATA).count() == docs.count()
