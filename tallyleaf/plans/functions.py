@@ -90,9 +90,9 @@ def f15(spark, d):
     return rows.select("doc_id", (F.col("p") + 1).alias("part_no"), F.sha2(F.col("part").cast("binary"), 256).alias("digest"))
 
 
-@query("f16_visible_controls", """SELECT doc_id, sha256(replace(replace(substr(text, 1, 80), ' ', chr(7)), chr(7), '\\u0007')) AS digest FROM documents""")
+@query("f16_visible_controls", """SELECT doc_id, sha256(replace(replace(text, ' ', chr(7)), chr(7), '\\u0007')) AS digest FROM documents""")
 def f16(spark, d):
-    belled = F.replace(F.substring("text", 1, 80), F.lit(" "), F.lit("\x07"))
+    belled = F.replace("text", F.lit(" "), F.lit("\x07"))
     return view(spark, d, "documents").select("doc_id", F.sha2(v.visible_controls(belled), 256).alias("digest"))
 
 

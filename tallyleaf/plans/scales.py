@@ -40,10 +40,10 @@ def f40(spark, d):
     return found.select("trial", F.size("i").cast("long").alias("items"), F.array_join("i", "~").alias("joined"))
 
 
-@query("f41_sections", """SELECT conv_id, turn, sha256(trim(concat(role, ' a'))) AS a, sha256(trim(substr(text, 1, 40))) AS b FROM conversations WHERE turn % 3 <> 0""")
+@query("f41_sections", """SELECT conv_id, turn, sha256(trim(concat(role, ' a'))) AS a, sha256(trim(text)) AS b FROM conversations WHERE turn % 3 <> 0""")
 def f41(spark, d):
     conv = view(spark, d, "conversations")
-    scenario = F.when(F.col("turn") % 3 != 0, F.concat(F.lit("Scenario\nA. "), "role", F.lit(" a\nB. "), F.substring("text", 1, 40))).otherwise(F.concat(F.lit("B. first\nA. "), "role"))
+    scenario = F.when(F.col("turn") % 3 != 0, F.concat(F.lit("Scenario\nA. "), "role", F.lit(" a\nB. "), "text")).otherwise(F.concat(F.lit("B. first\nA. "), "role"))
     rows = conv.withColumn("s", scales.sections(scenario, ("A", "B"))).filter("s is not null")
     return rows.select("conv_id", "turn", F.sha2(F.get("s", F.lit(0)), 256).alias("a"), F.sha2(F.get("s", F.lit(1)), 256).alias("b"))
 
@@ -134,11 +134,11 @@ def f43(spark, d):
     return rows.select("scale_name", "x.head", (F.concat("x.head", "x.items") == F.col("prompt")).alias("rejoins"))
 
 
-@query("g1_trial_plan", """SELECT n_name AS scale_name, trial_no, CAST((('0x' || substr(sha256(concat_ws('|', '7', n_name, '', trial_no, 'order')), 1, 16))::UBIGINT) % 2147483647 AS BIGINT) AS seed,
- sha256(concat('{"model":"m', n_regionkey, '","scale_name":"', n_name, '"}')) AS condition_hash, concat(n_name, '/', trial_no) AS pair_key FROM nation, (SELECT CAST(i AS INT) AS trial_no FROM range(1, 41) t(i)) x""")
+@query("g1_trial_plan", """SELECT c_name AS scale_name, trial_no, CAST((('0x' || substr(sha256(concat_ws('|', '7', c_name, '', trial_no, 'order')), 1, 16))::UBIGINT) % 2147483647 AS BIGINT) AS seed,
+ sha256(concat('{"model":"', c_mktsegment, '","scale_name":"', c_name, '"}')) AS condition_hash, concat(c_name, '/', trial_no) AS pair_key FROM customer, (SELECT CAST(i AS INT) AS trial_no FROM range(1, 21) t(i)) x""")
 def g1(spark, d):
-    tasks = view(spark, d, "nation").select(F.col("n_name").alias("scale_name"), F.concat(F.lit("m"), F.col("n_regionkey").cast("string")).alias("model"), F.lit("en").alias("language"))
-    return design.trial_plan(tasks, 40, 7, paired=True).select("scale_name", "trial_no", "seed", "condition_hash", "pair_key")
+    tasks = view(spark, d, "customer").select(F.col("c_name").alias("scale_name"), F.col("c_mktsegment").alias("model"), F.lit("en").alias("language"))
+    return design.trial_plan(tasks, 20, 7, paired=True).select("scale_name", "trial_no", "seed", "condition_hash", "pair_key")
 
 
 CONFIG = ("temperature", "preset", "model")

@@ -54,11 +54,11 @@ VIEWS: dict[str, str] = {
                CASE WHEN turn % 3 = 0 THEN 'ok' WHEN turn % 3 = 1 THEN 'unparsed' ELSE 'partial' END AS parse_status
         FROM conversations""",
     "slots_v": """
-        SELECT concat('scale_', CAST(p_partkey % 24 AS VARCHAR(9))) AS scale_name, CAST(row_number() OVER (PARTITION BY p_partkey % 24 ORDER BY p_partkey) AS INT) AS slot_pos,
+        SELECT concat('scale_', CAST(CAST((p_partkey - p_partkey % 20) / 20 AS BIGINT) AS VARCHAR(20))) AS scale_name, CAST(p_partkey % 20 + 1 AS INT) AS slot_pos,
                concat('slot_', CAST(p_partkey AS VARCHAR(20))) AS slot_id, p_name AS question, p_type AS block_id,
                CASE p_size % 3 WHEN 0 THEN 'fixed' WHEN 1 THEN 'within' ELSE 'block' END AS size_policy,
                CASE p_type WHEN 'ECONOMY' THEN 'fixed' WHEN 'STANDARD' THEN 'within' ELSE 'block' END AS shuffle_policy, p_size AS maximum
-        FROM part WHERE p_partkey < 480""",
+        FROM part""",
     "cells_v": """
         SELECT doc_id, lang, text FROM documents""",
     "snapshots_v": "SELECT user_id AS subject, ts, event_id, event_type, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k, CAST(value * 100 AS BIGINT) AS cents FROM events",
