@@ -10,6 +10,9 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 
+BATCH_ROWS = 1000
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -34,7 +37,11 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def map_arrow(df: DataFrame, make: Callable[[pa.RecordBatch], Iterator[list[pa.Array] | None]], schema: str | T.StructType) -> DataFrame:
-    """mapInArrow with a generator that turns one batch into lists of columns."""
+    """mapInArrow with a generator that turns one batch into lists of columns. Texts are long, so the session's batches are
+    held to BATCH_ROWS rows; memory of a worker follows their size."""
+    most = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(most)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(most, BATCH_ROWS)
     kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _rng = np.random.default_rng(20_240_117)
 BYTE_CODE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)

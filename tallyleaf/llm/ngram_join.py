@@ -2,10 +2,11 @@
 
 1. Every text becomes the set of its distinct n-gram hashes; equal sets form one class, so copies are joined once.
 2. Blocking, without loss: with a Jaccard bound t, sets of sizes s <= l differ in at most (s + l)(1 - t)/(1 + t) members.
-   Members are dealt by hash to a few more parts than that bound, fixed per size class, so two linked sets agree on a
-   whole part (one that is not empty). A class emits one hash for each part; classes that agree on a part are candidates.
-   A common line or passage alone does not fill a part, and one class has as many hashes as parts, so no hash is hot.
-3. Candidates are tied in stars, never in all pairs, and fall into clusters. The rows of a cluster's document by n-gram
+   Members are dealt by hash to more parts than that bound, fixed per size class, so two linked sets agree on more parts
+   than are spare. A document emits one hash for each part, over many different hashes, so none is hot; of copies in one
+   batch only the first emits. Pairs that agree on a part of few documents are counted and must reach the number that
+   linked sets have; documents of a larger part are tied to its first one, never in all pairs.
+3. Candidates fall into clusters. The rows of a cluster's document by n-gram
    matrix go to one task, or to one task for each pair of row blocks if there are many. There overlap counts are added up
    over blocks of columns (rare columns pair by pair, frequent ones as dense products), pairs and rows that can no longer
    reach the bound that follows from their sizes are dropped, and each row gives its least linked row and its number of
@@ -34,11 +35,14 @@ from ._frames import cut, map_arrow, read_table
 from ._graph import components
 from ._text import Runs, U, Words, mix, signed, take_ranges, text_slices, unsigned
 
-SPARE = 1  # parts beyond the bound, so that sets with up to so many empty parts need not emit these
-BLOCK_ROWS = 2048
-BLOCK_MEMBERS = 2_000_000
+SPARE = 0.3  # parts beyond the bound, as a share of it: linked sets agree on more parts than these
+BUCKET = 48  # up to so many documents of a part are counted in pairs
+SURE = 1 << 20
+BLOCK_ROWS = 1024
+BLOCK_MEMBERS = 500_000
 LIGHT = 48  # columns of up to so many rows are added pair by pair
-COLUMNS = 4096
+COLUMNS = 1024
+PAIRS = 400_000  # added at a time
 
 
 def gram_sets(data: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,20 +84,24 @@ def most_differences(size: np.ndarray, bound: Fraction) -> np.ndarray:
     return ((size + top) * (bound.denominator - bound.numerator)) // (bound.denominator + bound.numerator)
 
 
-def part_hashes(h: np.ndarray, bounds: np.ndarray, bound: Fraction) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes that each row emits, joined, and where each row's begin."""
+def part_hashes(h: np.ndarray, bounds: np.ndarray, bound: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hashes that each row emits, joined, where each row's begin, and for each hash the number of agreements that a
+    linked pair has at least.
+
+    Linked sets agree on more parts than are spare. Empty parts are not emitted, so the number is less by the row's empty
+    parts; a row with too many of them emits these as well."""
     size = np.diff(bounds)
     ends = size_classes(bound, max(int(size.max(initial=1)), 1))
+    differ_of = most_differences(ends, bound)
+    agree_of = np.maximum(1, np.ceil(SPARE * differ_of)).astype(np.int64) + 1
     own = np.searchsorted(ends, size)
-    out_row, out = [], []
+    out_row, out, out_need = [], [], []
     mixed = mix(h)
     for back in (0, 1):
-        scheme = own - back
-        top = ends[np.maximum(scheme, 0)]
-        differ = most_differences(top, bound)
+        scheme = np.maximum(own - back, 0)
         # without a difference, linked sets are equal and already one class
-        use = (size > 0) & (scheme >= 0) & (differ > 0) & ((back == 0) | (size * bound.numerator <= top * bound.denominator))
-        parts = np.where(use, differ + 1 + SPARE, 0)
+        use = (size > 0) & (own >= back) & (differ_of[scheme] > 0) & ((back == 0) | (size * bound.numerator <= ends[scheme] * bound.denominator))
+        parts = np.where(use, differ_of[scheme] + agree_of[scheme], 0)
         base = np.cumsum(parts) - parts
         member_row = np.repeat(np.arange(len(size)), size)
         member = np.flatnonzero(use[member_row])
@@ -102,56 +110,112 @@ def part_hashes(h: np.ndarray, bounds: np.ndarray, bound: Fraction) -> tuple[np.
         total = int(parts.sum())
         sums = np.zeros(total, np.uint64)
         np.add.at(sums, cell, mixed[member])
-        filled = np.bincount(cell, minlength=total)
+        filled = np.bincount(cell, minlength=total) > 0
         row = np.repeat(np.arange(len(size)), parts)
         part = np.arange(total) - np.repeat(base, parts)
-        empty = np.bincount(row, filled == 0, len(size)) if total else np.zeros(len(size))
-        emit = (filled > 0) | (empty[row] > SPARE)
+        left = agree_of[scheme] - (np.bincount(row, ~filled, len(size)).astype(np.int64) if total else 0)
+        emit = filled | (left < 1)[row]
         tag = mix((np.repeat(scheme, parts).astype(np.uint64) << U(32)) + part.astype(np.uint64))
         out_row.append(row[emit])
         out.append(mix(sums[emit] + tag[emit]))
-    row, out = np.concatenate(out_row), np.concatenate(out)
+        out_need.append(np.maximum(left, 1)[row[emit]])
+    row = np.concatenate(out_row)
     order = np.argsort(row, kind="stable")
-    return out[order], np.searchsorted(row[order], np.arange(len(size) + 1))
+    return np.concatenate(out)[order], np.searchsorted(row[order], np.arange(len(size) + 1)), np.concatenate(out_need)[order]
 
 
 def _keys(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return row_sums(mix(h ^ U(0x5851F42D4C957F2D)), bounds), row_sums(mix(h ^ U(0x14057B7EF767814F)), bounds)
 
 
-def set_table(docs: DataFrame, n: int, bound: Fraction, parts: bool) -> DataFrame:
-    """doc_id, size, k1, k2 (the identity of the set) and, if asked for, the part hashes."""
+def set_table(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id, size, k1, k2 (the identity of the set)."""
 
     def make(batch: pa.RecordBatch) -> Iterator[list[pa.Array]]:
         for i, j, data, offs in text_slices(batch.column(1)):
             h, bounds = gram_sets(data, offs, n)
             k1, k2 = _keys(h, bounds)
-            out = [batch.column(0)[i:j], pa.array(np.diff(bounds)), pa.array(signed(k1)), pa.array(signed(k2))]
-            if parts:
-                p, at = part_hashes(h, bounds, bound)
-                out.append(pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(signed(p))))
-            yield out
+            yield [batch.column(0)[i:j], pa.array(np.diff(bounds)), pa.array(signed(k1)), pa.array(signed(k2))]
+
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text")), make, "doc_id long, size long, k1 long, k2 long")
+
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text")), make, "doc_id long, size long, k1 long, k2 long" + ", parts array<long>" * parts)
+def part_table(docs: DataFrame, n: int, bound: Fraction) -> DataFrame:
+    """part, doc, need: the part hashes of every document, and how many agreements a linked pair has at least. Of equal sets in one slice of a batch only the first emits its hashes,
+    which thins out large groups of copies before the shuffle; the others have the same class anyway."""
 
+    def make(batch: pa.RecordBatch) -> Iterator[list[pa.Array]]:
+        for i, _, data, offs in text_slices(batch.column(1)):
+            h, bounds = gram_sets(data, offs, n)
+            k1, k2 = _keys(h, bounds)
+            first = np.sort(np.unique(np.stack([k1, k2], 1), axis=0, return_index=True)[1])
+            size = np.diff(bounds)[first]
+            h = h[take_ranges(bounds[:-1][first], size)]
+            p, at, need = part_hashes(h, np.append(0, np.cumsum(size)), bound)
+            yield [pa.array(signed(p)), batch.column(0).take(pa.array(np.repeat(i + first, np.diff(at)))), pa.array(need, pa.int32())]
+
+    return map_arrow(docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text")), make, "part long, doc long, need int")
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by part and document: pairs a, b that agree on a part, with how often (n) and how often a linked pair
+    does (need). A part of many documents ties each to its first one instead, for sure: output stays linear."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("need", pa.int32())])
+    part, doc, need = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+    large = False  # whether the open run has been cut to its first row
+
+    def out(a, b, n, least):
+        a, b, n, least = (np.concatenate(x) for x in (a, b, n, least))
+        keep = a != b
+        a, b, n, least = a[keep], b[keep], n[keep], least[keep]
+        if not len(a):
+            return None
+        order = np.lexsort((b, a))
+        a, b, n, least = a[order], b[order], n[order], least[order]
+        first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+        return pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(np.add.reduceat(n, first)), pa.array(np.minimum.reduceat(least, first), pa.int32())], schema=schema)
+
+    def closed(part, doc, need, large):
+        """Of whole runs; ``large``: the first one goes on a run that was cut."""
+        first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+        size = np.diff(np.append(first, len(part)))
+        a, b, n, least = [], [], [], []
+        star = size > BUCKET
+        star[0] |= large
+        for k in np.unique(size[(size > 1) & ~star]):
+            at = first[(size == k) & ~star]
+            i, j = np.triu_indices(int(k), 1)
+            x, y = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
+            a.append(doc[x])
+            b.append(doc[y])
+            n.append(np.ones(len(x), np.int64))
+            least.append(np.minimum(need[x], need[y]))
+        at = take_ranges(first[star] + 1, size[star] - 1)
+        a.append(doc[np.repeat(first[star], size[star] - 1)])
+        b.append(doc[at])
+        n.append(np.full(len(at), SURE))
+        least.append(np.ones(len(at), np.int32))
+        return out(a, b, n, least)
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by part and node: each node with the first node of its part."""
-    part_before, root_before = None, 0
     for batch in batches:
-        part, node = (batch.column(k).to_numpy() for k in (0, 1))
+        part, doc, need = (np.concatenate([x, batch.column(k).to_numpy()]) for k, x in enumerate((part, doc, need)))
         if not len(part):
             continue
-        new = np.ones(len(part), bool)
-        new[1:] = part[1:] != part[:-1]
-        new[0] = part_before is None or part[0] != part_before
-        place = np.maximum.accumulate(np.where(new, np.arange(len(part)), -1))
-        root = np.where(place >= 0, node[np.maximum(place, 0)], root_before)
-        part_before, root_before = part[-1], root[-1]
-        other = np.flatnonzero(root != node)
-        if len(other):
-            pairs = np.unique(np.stack([node[other], root[other]], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+        last = int(np.searchsorted(part, part[-1], "left"))
+        if last:
+            done = closed(part[:last], doc[:last], need[:last], large)
+            if done is not None:
+                yield done
+            part, doc, need, large = part[last:], doc[last:], need[last:], False
+        if len(part) > BUCKET:
+            done = closed(part, doc, need, True)
+            if done is not None:
+                yield done
+            part, doc, need, large = part[:1], doc[:1], need[:1], True
+    if len(part):
+        done = closed(part, doc, need, large)
+        if done is not None:
+            yield done
 
 
 def overlaps(h: np.ndarray, bounds: np.ndarray, bound: Fraction) -> np.ndarray:
@@ -171,9 +235,10 @@ def overlaps(h: np.ndarray, bounds: np.ndarray, bound: Fraction) -> np.ndarray:
     for d in np.unique(seen[(seen > 1) & (seen <= LIGHT)]):
         cols = first[seen == d]
         a, b = np.triu_indices(int(d), 1)
-        for k in range(0, len(cols), max(1, 4_000_000 // len(a))):
-            block = rs[cols[k : k + max(1, 4_000_000 // len(a)), None] + np.arange(d)]
-            count += np.bincount((block[:, a] * rows + block[:, b]).ravel(), minlength=rows * rows).astype(np.int32)
+        step = max(1, PAIRS // len(a))
+        for k in range(0, len(cols), step):
+            block = rs[cols[k : k + step, None] + np.arange(d)]
+            np.add.at(count, (block[:, a] * rows + block[:, b]).ravel(), 1)
     count = count.reshape(rows, rows)
     count = count + count.T
     heavy = np.flatnonzero(seen > LIGHT)
@@ -250,14 +315,17 @@ def jaccard_classes(docs: DataFrame, n: int = 3, similarity: str = "0.9") -> Dat
     bound = Fraction(similarity)
     if not 0 < bound <= 1:
         raise ValueError("the similarity is over 0 and at most 1")
-    sets = set_table(docs, n, bound, parts=True)
-    classes = cut(
-        sets.filter("size > 0 and doc_id is not null").groupBy("k1", "k2", "size")
-        .agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("parts").alias("parts"))
+    sets = cut(set_table(docs, n))
+    classes = cut(sets.filter("size > 0 and doc_id is not null").groupBy("k1", "k2", "size").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")))
+    node_of = sets.join(classes, ["k1", "k2", "size"]).select("doc_id", "node").distinct()
+    agreeing = part_table(docs, n, bound).repartition("part").sortWithinPartitions("part", "doc").mapInArrow(_candidates, "a long, b long, n long, need int")
+    pairs = agreeing.groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need")).filter("n >= need")
+    edges = (
+        pairs.join(node_of.select(F.col("doc_id").alias("a"), F.col("node").alias("na")), "a")
+        .join(node_of.select(F.col("doc_id").alias("b"), F.col("node").alias("nb")), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
     )
-    parts = classes.filter(F.size("parts") > 0).select(F.explode("parts").alias("part"), "node").repartition("part").sortWithinPartitions("part", "node")
-    near = components(parts.mapInArrow(_stars, "a long, b long").distinct())
-    cluster = cut(classes.select("node", "k1", "k2", "size", "copies").join(near, "node").withColumnRenamed("component", "cluster"))
+    near = components(edges)
+    cluster = cut(classes.join(near, "node").withColumnRenamed("component", "cluster"))
     blocks = cluster.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("size") / BLOCK_MEMBERS)).cast("int").alias("blocks"))
     own = F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("node", "k1"), F.col("blocks")).cast("int")).otherwise(0)
     pair = F.explode(F.when(F.col("blocks") > 1, F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j")))).otherwise(F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))))
@@ -287,7 +355,7 @@ def jaccard_classes(docs: DataFrame, n: int = 3, similarity: str = "0.9") -> Dat
         .select("k1", "k2", "size", F.coalesce("component", "node").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     )
     return (
-        set_table(docs, n, bound, parts=False).join(facts, ["k1", "k2", "size"], "left")
+        sets.join(facts, ["k1", "k2", "size"], "left")
         .select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), F.when(F.col("doc_id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0))).alias("n_links"))
     )
 

@@ -98,7 +98,15 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_token: int) -> D
 
 
 def plan_packing(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns of lengths and how often each is used; every piece is used once, and no pattern exceeds the capacity."""
+    """Patterns of lengths and how often each is used; every piece is used once, and no pattern exceeds the capacity. Short
+    pieces that fill gaps exactly may be missed later, so the plan is made with triples, with pairs at most, with singles
+    and without, and the one of fewest sequences is taken (of equal ones that with more exact fits)."""
+    plans = [_plan(histogram, capacity, most) for most in (3, 2, 1, 0)]
+    return min(plans, key=lambda p: sum(times for _, times in p))
+
+
+def _plan(histogram: dict[int, int], capacity: int, most: int) -> list[tuple[tuple[int, ...], int]]:
+    """A plan that fills gaps exactly by up to ``most`` lengths, then by best fit."""
     left = {n: c for n, c in histogram.items() if c > 0}
     plan: list[tuple[tuple[int, ...], int]] = []
 
@@ -126,14 +134,14 @@ def plan_packing(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[i
         gap = capacity - n
         if n in left and gap == 0:
             take((n,))
-        if n in left and gap in left:
+        if most >= 1 and n in left and gap in left:
             take((n, gap))
-        for a, b in reversed(pair_sums.get(gap, ())):
+        for a, b in reversed(pair_sums.get(gap, ()) if most >= 2 else ()):
             if n not in left:
                 break
             if a in left and b in left:
                 take((n, a, b))
-        for a in reversed(lengths[: bisect_left(lengths, gap)]):
+        for a in reversed(lengths[: bisect_left(lengths, gap)] if most >= 3 else []):
             if n not in left:
                 break
             if a not in left:

@@ -457,3 +457,51 @@ def test_words():
         w = Words(data, offs, lower=True)
         got = [data[a:b].tobytes().decode() for a, b in zip(w.start, w.end)]
         assert got == ["a", "bb", "Cc", "é", "x"] and w.row.tolist() == [0, 0, 0, 3, 3] and w.first.tolist() == [0, 3, 3, 3, 5, 5]
+
+
+def agreeing(rows, batch):
+    """Sums of _candidates over rows (part, doc, need) that come in batches."""
+    rows = sorted(rows)
+    n, need = collections.Counter(), {}
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[i : i + batch]], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32()))], ["part", "doc", "need"]) for i in range(0, len(rows), batch)]
+    for out in ngram_join._candidates(iter(batches)):
+        for a, b, k, least in zip(*(c.to_pylist() for c in out.columns), strict=True):
+            n[a, b] += k
+            need[a, b] = min(need.get((a, b), least), least)
+    return n, need
+
+
+@pytest.mark.parametrize("batch", [1, 7, 50, 1000])
+def test_candidate_pairs_over_batches(batch):
+    r = random.Random(6)
+    rows = [(p, d, r.randrange(1, 4)) for p in range(-20, 20) for d in r.sample(range(100), r.choice([1, 2, 5, 90]))]
+    n, need = agreeing(rows, batch)
+    by_part = collections.defaultdict(list)
+    for p, d, k in sorted(rows):
+        by_part[p].append((d, k))
+    want, least = collections.Counter(), {}
+    for docs in by_part.values():
+        if len(docs) > ngram_join.BUCKET:
+            pairs = [((docs[0][0], d), ngram_join.SURE, 1) for d, _ in docs[1:]]
+        else:
+            pairs = [((a, b), 1, min(x, y)) for (a, x), (b, y) in itertools.combinations(docs, 2)]
+        for pair, k, m in pairs:
+            want[pair] += k
+            least[pair] = min(least.get(pair, m), m)
+    assert n == want and need == least
+
+
+@pytest.mark.parametrize("similarity", ["0.9", "0.8", "0.6"])
+def test_linked_sets_agree_often_enough(similarity):
+    r = np.random.default_rng(12)
+    bound = Fraction(similarity)
+    for _ in range(150):
+        size = int(r.integers(5, 300))
+        x = np.unique(r.integers(0, 1 << 62, size).astype(np.uint64))
+        y = np.unique(np.concatenate([r.choice(x, int(len(x) * r.uniform(float(bound), 1)), replace=False), r.integers(0, 1 << 62, int(r.integers(0, size // 5 + 1))).astype(np.uint64)]))
+        if len(x) == len(y) and (x == y).all() or Fraction(len(np.intersect1d(x, y)), len(np.union1d(x, y))) < bound:
+            continue
+        out, at, need = ngram_join.part_hashes(np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)]), bound)
+        a, b = dict(zip(out[: at[1]], need[: at[1]])), dict(zip(out[at[1] :], need[at[1] :]))
+        both = [min(a[k], b[k]) for k in a if k in b]
+        assert both and len(both) >= min(both)
