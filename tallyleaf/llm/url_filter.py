@@ -11,6 +11,10 @@ figures of templates are joined back.
 Defined results: null urls and those without ``://`` have an empty host and path, no rule, and are judged by the empty
 template; ties of equally long rules go by the rule's text; repeated rows are judged each for itself; without labels
 nothing is rejected; an empty table gives an empty one. Only page_id and url are read.
+
+``judge_urls`` and op8's SQL keep four segments and know no branch between a template and its first segment.
+``judge_by_tree`` is the whole tree, of any depth: every level is widened by the same test (digits alone prove nothing),
+and a page without labels backs off along its own host's branches, then along the same branches on any host.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._frames import read_table
+from ._frames import checkpoint_ready, read_table
 
 #: Verdict and rule, host before the first slash.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -93,6 +97,63 @@ def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) ->
     )
 
 
+def with_tree_template(paths: DataFrame) -> DataFrame:
+    """paths: distinct host and path, with visits. Adds template, of the path's own depth, level by level. A branch of fewer
+    than DISTINCT paths has no wide place below it, so its paths are settled as they are."""
+    checkpoint_ready(paths.sparkSession)
+    segments = F.when(F.col("path") == "", F.array().cast("array<string>")).otherwise(F.split(F.expr("substring(path, 2)"), "/"))
+    left, done, k = paths.withColumns({"__s": segments, "__p": F.lit("")}).checkpoint(), [], 0
+    while not left.isEmpty():
+        done.append(left.filter(F.size("__s") <= k).withColumn("template", F.col("__p")))
+        at = left.filter(F.size("__s") > k).withColumn("__at", F.get("__s", F.lit(k)))
+        branch = at.groupBy("host", "__p", "__at").agg(F.sum("visits").alias("__c"), F.count("*").alias("__n")).groupBy("host", "__p")
+        large = branch.agg(F.count("*").alias("__d"), F.sum("__c").alias("__v"), F.sum("__n").alias("__n")).filter(F.col("__n") >= DISTINCT)
+        large = large.select("host", "__p", ((F.col("__d") >= DISTINCT) & (F.col("__d") * 2 > F.col("__v"))).alias("__w"))
+        at = at.join(large, ["host", "__p"], "left").checkpoint()
+        done.append(at.filter(F.col("__w").isNull()).withColumn("template", F.concat("__p", F.lit("/"), F.array_join(F.slice("__s", k + 1, F.size("__s")), "/"))))
+        left = at.filter(F.col("__w").isNotNull()).withColumn("__p", F.concat("__p", F.lit("/"), F.when(F.col("__w"), "*").otherwise(F.col("__at")))).drop("__w", "__at")
+        k += 1
+    out = paths.withColumn("template", F.lit("")).limit(0)
+    for part in done:
+        out = out.unionByName(part.select(*out.columns))
+    return out
+
+
+def tree_purity(leaf: DataFrame) -> DataFrame:
+    """Of rows host, template, n, bad: the purity of each host's template, from all labels down the branches on any host, and
+    then down the host's own branches. Branches without labels say nothing."""
+    total = leaf.agg(F.sum("n"), F.sum("bad")).first()
+    root = ((total[1] or 0) + 0.5) / ((total[0] or 0) + 1)
+    segments = F.when(F.col("template") == "", F.array().cast("array<string>")).otherwise(F.split(F.expr("substring(template, 2)"), "/"))
+    prefixes = F.transform(F.sequence(F.lit(0), F.size("__s")), lambda i: F.when(i == 0, "").otherwise(F.concat(F.lit("/"), F.array_join(F.slice("__s", F.lit(1), i), "/"))))
+    spread = leaf.withColumn("__s", segments).select("host", "template", "n", "bad", F.posexplode(prefixes).alias("depth", "branch"))
+    own = spread.groupBy("host", "depth", "branch").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    anywhere = own.groupBy("depth", "branch").agg(F.sum("n").alias("__n"), F.sum("bad").alias("__bad"))
+    figures = F.struct("depth", F.col("n").cast("double").alias("n"), F.col("bad").cast("double").alias("bad"), F.col("__n").cast("double").alias("all_n"), F.col("__bad").cast("double").alias("all_bad"))
+    lines = spread.drop("n", "bad").join(own.join(anywhere, ["depth", "branch"]), ["host", "depth", "branch"]).groupBy("host", "template").agg(F.array_sort(F.collect_list(figures)).alias("line"))
+
+    def down(start: Column, n: str, bad: str) -> Column:
+        def step(r: Column, x: Column) -> Column:
+            near = F.abs(x[bad] - x[n] * r) <= 2.0 * F.sqrt(x[n] * r * (1.0 - r))
+            return F.when((x[n] == 0) | near, r).otherwise((x[bad] + PSEUDO * r) / (x[n] + PSEUDO))
+
+        return F.aggregate("line", start, step)
+
+    return lines.withColumn("__any", down(F.lit(float(root)), "all_n", "all_bad")).select("host", "template", down(F.col("__any"), "n", "bad").alias("purity"))
+
+
+def judge_by_tree(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
+    """As judge_urls, by the whole tree."""
+    df = with_host_and_path(pages.select("page_id", "url")).withColumn("__rule", longest_rule(rules)).drop("url")
+    label = F.when(F.col("__rule.verdict") == "block", 1).when(F.col("__rule.verdict") == "allow", 0)
+    paths = with_tree_template(df.groupBy("host", "path").agg(F.count("*").alias("visits"), F.count(label).alias("n"), F.coalesce(F.sum(label), F.lit(0)).alias("bad")))
+    purity = tree_purity(paths.groupBy("host", "template").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")))
+    judged = paths.select("host", "path", "template").join(purity, ["host", "template"])
+    return df.join(judged, ["host", "path"]).select(
+        "page_id", "host", "path", F.col("__rule.rule").alias("rule"), F.coalesce(F.col("__rule.verdict"), F.when(F.col("purity") > 0.5, "block").otherwise("allow")).alias("verdict"), "template", "purity"
+    )
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(read_table(spark, sf_dir, "pages")).drop("purity")
 

@@ -355,6 +355,21 @@ def test_media_columns(spark, docs):
         assert r.media_sha256 == hashlib.sha256(bytes(r.media)).hexdigest() and r.media_bytes == len(r.media)
 
 
+def test_url_tree(spark):
+    """Labels of a deep branch and of pages beside an unlabelled page count, and digits alone are no wildcard."""
+    rules = (("block", "h.org/a/b/c/d/casino/x"), ("allow", "h.org/a/b/c/d/news/x"), ("block", "h.org/shop/item/x"), ("allow", "o.org/shop"))
+    urls = [f"http://h.org/a/b/c/d/{kind}/{name}{chr(97 + i)}" for kind in ("casino", "news") for name in "xy" for i in range(20)]
+    urls += [f"http://h.org/shop/item/{name}{chr(97 + i)}" for name in "xy" for i in range(20)] + [f"http://o.org/shop/help/{i}" for i in range(90)] + ["http://h.org/v1/p", "http://h.org/v2/p", "http://h.org", None]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {urls[r.page_id]: (r.rule, r.verdict, r.template) for r in url_filter.judge_by_tree(pages, rules).collect()}
+    assert len(got) == len(urls)
+    assert got["http://h.org/a/b/c/d/casino/yc"] == (None, "block", "/a/b/c/d/casino/*")
+    assert got["http://h.org/a/b/c/d/news/yc"] == (None, "allow", "/a/b/c/d/news/*")
+    assert got["http://h.org/shop/item/yc"] == (None, "block", "/shop/item/*")
+    assert got["http://h.org/v1/p"][2] == "/v1/p" and got["http://h.org"][2] == ""
+    assert url_filter.judge_by_tree(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
 def test_url_rules(spark):
     urls = ["http://A.example.NET/en/x", "https://example.net/fr/1", "http://sub.org/fr/2?q#f", "http://x.example.com/de/", "example.net/en/", None, "http://net", "ftp://u@Host.org:80/fr/#x", "http://é.example.com/en/1"]
     got = [tuple(r)[:5] for r in url_filter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).orderBy("page_id").collect()]
