@@ -1,11 +1,13 @@
 """Secrets in texts: fixed patterns, and a randomness test battery. DataFrame functions only.
 
 Patterns (assignments, access keys, hex runs) give the base spans. The battery then looks at every other run of token
-characters: its encoding is inferred (hex, base32, base64, letters and digits), and chi-squared uniformity over that
+characters: its encoding is inferred (hex, base32, base64, letters and digits of one case, letters, digits, and base64
+with punctuation for all that is left), and chi-squared uniformity over that
 alphabet, the runs test about the alphabet's middle and the lag-1 serial correlation are computed with array functions.
 Ordinary long words are the reference: mean and deviation of their uniformity, by length class and over the whole
 table, give each token the probability to look so uniform without being random. These values go through the
-Benjamini-Hochberg rule within each length class, on a fixed grid of bins. A token that passes and that the battery does
+Benjamini-Hochberg rule within each length class, on a fixed grid of bins, encodings of letters with digits apart from
+the rest (so that hyphenated words and paths, of which texts hold many, do not raise the bar for keys). A token that passes and that the battery does
 not reject as random is a span of kind ``random``. What the driver holds is the grid: a fixed number of rows.
 
 Offsets are code points, end exclusive. Defined results: null and empty texts have no spans; repeated rows are scanned
@@ -34,7 +36,12 @@ LONG_HEX = r"[0-9a-f]{24,}"
 TOKEN = r"[A-Za-z0-9+/_=-]{14,}"
 #: Alphabets by rank.
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-ALPHABETS = {"hex": "0123456789abcdef", "base32": UPPER + "234567", "lower": DIGITS + LOWER, "base64": UPPER + LOWER + DIGITS + "+/-_="}
+ALPHABETS = {
+    "hex": "0123456789abcdef", "base32": UPPER + "234567", "lower": DIGITS + LOWER, "base64": UPPER + LOWER + DIGITS + "+/-_=",
+    "upper_hex": "0123456789ABCDEF", "upper": DIGITS + UPPER, "letters": UPPER + LOWER, "capitals": UPPER, "digits": DIGITS,
+    "mixed": UPPER + LOWER + DIGITS + "+/-_=",
+}
+REST = ("letters", "capitals", "digits", "mixed")  # the second family of the false-discovery rule
 
 CHUNK = 256
 CLASSES = 12  # length classes: by the power of two, in halves
@@ -86,7 +93,7 @@ def _base(df: DataFrame) -> DataFrame:
 
 
 def _tokens(df: DataFrame) -> DataFrame:
-    """Adds __tokens: runs of token characters with a digit, or of letters alone (the reference)."""
+    """Adds __tokens: all runs of token characters, with their kinds."""
     df = _found(df, "__tokens", TOKEN)
     return df.withColumn("__tokens", F.transform("__tokens", _measured))
 
@@ -97,10 +104,13 @@ def _measured(x: Column) -> Column:
     kind = (
         F.when(token.rlike("^[A-Za-z]?[a-z]+$"), "word")
         .when(token.rlike("^[0-9a-f]+$") & token.rlike("[a-f]"), "hex")
+        .when(token.rlike("^[0-9A-F]+$") & token.rlike("[A-F]") & token.rlike("[0-9]"), "upper_hex")
         .when(token.rlike("^[A-Z2-7]+$") & token.rlike("[2-7]"), "base32")
+        .when(token.rlike("^[0-9A-Z]+$") & token.rlike("[A-Z]") & token.rlike("[0-9]"), "upper")
         .when(token.rlike("^[0-9a-z]+$") & token.rlike("[a-z]") & token.rlike("[0-9]"), "lower")
         .when(token.rlike("[a-z]") & token.rlike("[A-Z]") & token.rlike("[0-9]"), "base64")
-        .otherwise("other")
+        .when(token.rlike("^[A-Z]+$"), "capitals").when(token.rlike("^[A-Za-z]+$"), "letters").when(token.rlike("^[0-9]+$"), "digits")
+        .otherwise("mixed")
     )
     return F.struct(x["start"].alias("start"), x["end"].alias("end"), kind.alias("kind"), token.alias("token"))
 
@@ -141,7 +151,7 @@ def _battery(df: DataFrame, column: str) -> DataFrame:
         length = F.least(F.floor(2 * F.log2(n)) - 7, F.lit(CLASSES - 1)).cast("int")
         return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), length.alias("length"), u.alias("u"), F.abs(z_runs).alias("z_runs"), F.abs(z_serial).alias("z_serial"))
 
-    df = df.withColumn(column, F.transform(F.filter(column, lambda x: x["kind"] != "other"), letters))
+    df = df.withColumn(column, F.transform(column, letters))
     return df.withColumn(column, F.transform(column, sums)).withColumn(column, F.transform(column, moments)).withColumn(column, F.transform(column, tests))
 
 
@@ -153,28 +163,28 @@ def _bin(u: Column, mean: Column, deviation: Column) -> Column:
 
 
 class Thresholds:
-    """By length class: the reference's mean and deviation, and the least bin that is a discovery."""
+    """By length class and whether of REST: the reference's mean and deviation, and the least bin that is a discovery."""
 
-    def __init__(self, rows: dict[int, tuple[float, float, int]]):
+    def __init__(self, rows: dict[tuple[int, bool], tuple[float, float, int]]):
         self.rows = rows
 
     def flagged(self, x: Column, uniform: float) -> Column:
         out = F.lit(False)
-        for length, (mean, deviation, least) in sorted(self.rows.items()):
-            out = F.when(x["length"] == length, _bin(x["u"], F.lit(mean), F.lit(deviation)) >= least).otherwise(out)
+        for (length, rest), (mean, deviation, least) in sorted(self.rows.items()):
+            out = F.when((x["length"] == length) & (x["kind"].isin(*REST) == rest), _bin(x["u"], F.lit(mean), F.lit(deviation)) >= least).otherwise(out)
         return (x["kind"] != "word") & (x["end"] - x["start"] >= SHORTEST) & out & (x["u"] < uniform) & (x["z_runs"] < uniform) & (x["z_serial"] < uniform)
 
 
 def fit_thresholds(docs: DataFrame, text: str = "text", rate: float = 0.01) -> Thresholds:
-    """Over the whole table. Collects at most CLASSES rows, then CLASSES x BINS rows."""
+    """Over the whole table. Collects a table of lengths, families and steps of u: of fixed size."""
     tokens = _battery(_tokens(docs.select(F.coalesce(F.col(text), F.lit("")).alias("__t"))), "__tokens").select(F.explode("__tokens").alias("x")).filter((F.col("x.kind") == "word") | (F.col("x.end") - F.col("x.start") >= SHORTEST)).select("x.kind", "x.length", "x.u")
-    binned = tokens.withColumn("h", F.floor(F.least(F.col("u"), F.lit(500.0)) * 20).cast("int")).groupBy("length", (F.col("kind") == "word").alias("word"), "h").count().collect()
+    binned = tokens.withColumn("h", F.floor(F.least(F.col("u"), F.lit(500.0)) * 20).cast("int")).groupBy("length", (F.col("kind") == "word").alias("word"), F.col("kind").isin(*REST).alias("rest"), "h").count().collect()
     # u in steps of 1/20, at most 500: a table of fixed size from which both the reference and the rule follow
     words, others = defaultdict(list), defaultdict(list)
-    for length, word, h, n in binned:
-        (words if word else others)[length].append(((h + 0.5) / 20, n))
+    for length, word, rest, h, n in binned:
+        (words[length] if word else others[length, rest]).append(((h + 0.5) / 20, n))
     rows = {}
-    for length in others:
+    for length, rest in others:
         enough = [k for k in words if k <= length and sum(c for _, c in words[k]) >= REFERENCE]
         if not enough:
             continue
@@ -184,7 +194,7 @@ def fit_thresholds(docs: DataFrame, text: str = "text", rate: float = 0.01) -> T
         deviation = max(math.sqrt(sum(c * (u - mean) ** 2 for u, c in values) / n), 1e-6) * math.sqrt(ratio)
         mean *= ratio
         grid = [0] * (BINS + 1)
-        for u, c in others[length]:
+        for u, c in others[length, rest]:
             z = (u - mean) / deviation
             p = 1 / (1 + math.exp(min(-(1.5976 * z + 0.070565776 * z**3), 600)))
             grid[min(max(math.floor(-10 * math.log10(max(p, 1e-30))), 0), BINS)] += c
@@ -194,7 +204,7 @@ def fit_thresholds(docs: DataFrame, text: str = "text", rate: float = 0.01) -> T
             if seen and 10 ** (-b / 10) * total / seen <= rate:
                 least = b
         if least is not None:
-            rows[length] = (mean, deviation, least)
+            rows[length, rest] = (mean, deviation, least)
     return Thresholds(rows)
 
 
