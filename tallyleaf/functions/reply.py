@@ -19,6 +19,13 @@ _OPENER = re.compile(r"\s*(\d+)[.)、]\s*(.*)")
 _RANGE = re.compile(r"(?i)(?:between\s+|from\s+|\[)?\s*([+-]?\d+(?:\.\d+)?)\s*%?\s*(?:-|–|~|to\b|and\b|,|到|至)\s*([+-]?\d+(?:\.\d+)?)\s*%?\]?")
 _TAIL = re.compile(r"(?i)\s*(?:[.;!)。]|points?|分)*\s*(?:(?:because|since|due|,? as)\b.*)?$", re.S)
 _SCORE = re.compile(r"(?i)\s*(?:score|answer|rating|评分|答案)\s*[:=：]?\s*")
+_FINAL = re.compile(r"(?i)^\s*(?:so\s+)?(?:(?:my\s+)?final\s+(?:answer|score|rating)(?:\s+is)?|my\s+(?:score|rating|estimate)(?:\s+is)?|I(?:'d| would| will)?\s+(?:rate(?:\s+it)?|give(?:\s+it)?|choose)|最终(?:答案|分数)(?:为|是)?)\s*[:：=]?\s*(?=[+-]?\d)")
+_CODEBOOK = re.compile(r"(?<!\d)\d+(?:\.\d+)?\s*=")
+_LIST = re.compile(r"\s*[+-]?\d+(?:\.\d+)?\s*[,;]\s*[+-]?\d")
+_CIRCLED = re.compile(r"([①②③④⑤⑥⑦⑧⑨⑩])[^\n]*?[:：=]")
+_CHOOSES = re.compile(r"(?i)^(?:\b(?:I\s+)?(?:choose|select|pick|answer|response|choice)(?:\s+is)?\b|我(?:选择|选)|选择|答案|回答|选项)\s*[:：=]?\s*")
+_CHINESE = re.compile(r"[\u4e00-\u9fff]")
+_BREAK = re.compile(r"[:：→]|[—–]")
 
 ANSWER = struct("slot_id string, answer string, score double, lower double, upper double, status string, method string")
 
@@ -47,8 +54,26 @@ def read_number(body: str, maximum: float | None = None):
     return (float(m[0]), None, "parsed") if _TAIL.fullmatch(rest) else (None, None, "unparsed")
 
 
+def source_option(slot: dict, line: str) -> str | None:
+    """The value of an option whose whole label the line says. labels: label to value."""
+    labels = {str(k).casefold(): v for k, v in dict(slot.get("labels") or {}).items()}
+    said = _CHOOSES.sub("", re.split(r"(?i)\bbecause\b|因为|理由[:：]|解释[:：]", line, maxsplit=1)[0].strip())
+    return labels.get(said.strip(" \t.。!！").casefold()) if labels else None
+
+
+def read_line(slot: dict, line: str):
+    """(value, interval, status, whether it is a final pick) of one line of a numeric slot."""
+    option = source_option(slot, line)
+    if option is not None:
+        return float(option), None, "parsed", False
+    final = _FINAL.match(line)
+    value, span, status = read_number(line[final.end() :] if final else line, slot["maximum"])
+    return value, span, status, bool(final) and status == "parsed"
+
+
 def read_answer(slot: dict, body: str) -> dict:
-    """One typed answer of a slot."""
+    """One typed answer of a slot, from all lines of the body. Lines that define options, and lists of several scores, say
+    nothing about one item; different values conflict; only a final pick settles a range."""
     kind, low, high = slot["response_type"], slot["minimum"], slot["maximum"]
     out = {"slot_id": slot["slot_id"], "answer": body.strip() or None, "score": None, "lower": None, "upper": None, "status": "missing"}
     if not body.strip():
@@ -56,16 +81,32 @@ def read_answer(slot: dict, body: str) -> dict:
     if kind == "text":
         return out | {"status": "text_response"}
     if kind == "choice" and slot["choices"]:
-        c = _choice(body, list(slot["choices"]))
+        c = source_option(slot, body)
+        if c is None:
+            said = {x for x in (source_option(slot, line) for line in body.splitlines()) if x is not None}
+            if len(said) > 1:
+                return out | {"status": "conflicting_values"}
+            c = next(iter(said)) if said else _choice(body, list(slot["choices"]))
         number = float(c) if c is not None and _NUMBER.fullmatch(str(c)) else None
         return out | {"answer": c if c is not None else out["answer"], "score": number, "status": "parsed" if c is not None else "invalid_choice"}
-    value, span, status = read_number(body, high)
-    if span:
-        a, b = span
+    if len(set(_CIRCLED.findall(body))) >= 3:
+        return out | {"status": "option_codebook"}
+    lines = [x for x in body.splitlines() if x.strip() and x.strip() != "---" and len(_CODEBOOK.findall(x)) < 3]
+    read = [read_line(slot, x) for x in lines if not _LIST.match(x)]
+    values, final = {v for v, _, st, _ in read if st == "parsed"}, {v for v, _, _, picked in read if picked}
+    spans = [span for _, span, st, _ in read if span or st == "range_unresolved"]
+    if len(values) > 1:
+        return out | {"status": "conflicting_values"}
+    if spans and not (values and final == values):
+        if values or None in spans or len(set(spans)) > 1:
+            return out | {"status": "range_unresolved"}
+        a, b = spans[0]
         beyond = (low is not None and a < low) or (high is not None and b > high)
         return out | {"lower": a, "upper": b, "status": "range_unresolved" if a > b else "range_out_of_range" if beyond else "range_response"}
-    if status != "parsed":
-        return out | {"status": status}
+    if not values:
+        alone = read_number(lines[0], high)[2] if len(lines) == 1 else "unparsed"
+        return out | {"status": alone if alone == "multiple_values" else "unparsed"}
+    value = next(iter(values))
     if kind == "integer" and value != int(value):
         return out | {"status": "non_integer"}
     beyond = (low is not None and value < low) or (high is not None and value > high)
@@ -90,29 +131,79 @@ def records(text: str) -> list[tuple[int | None, str]]:
     return [(n, b) for n, b in out]
 
 
-def place(record: tuple[int | None, str], slots: list[dict], signatures: list[str], n_records: int) -> tuple[int | None, str, str]:
-    """The slot of a record by the strongest evidence: question text, its unique beginning, a single slot, its number. More
-    than one candidate on a rung gives none."""
-    number, body = record
+def by_text(body: str, slots: list[dict], signatures: list[str]) -> tuple[list[int], str, str]:
+    """The slots of a record by its words, the answer's text, and the rung: the question (of nested ones the longest), its
+    unique beginning, a unique short label. Linked slots of one question both count."""
     head, _, tail = body.partition("\n") if "\n" in body else (body.partition(":") if ":" in body else body.partition("："))
     said = signature(head)
-    if said:
-        whole = [k for k, s in enumerate(signatures) if s and s == said]
-        if not whole:
-            whole = [k for k, s in enumerate(signatures) if s and len(s) >= 8 and said.startswith(s)]
-            if len(whole) > 1:
-                longest = max(len(signatures[k]) for k in whole)
-                whole = [k for k in whole if len(signatures[k]) == longest]
-        if len(whole) == 1:
-            return whole[0], tail, "question"
-        begins = [k for k, s in enumerate(signatures) if len(said) >= 8 and s.startswith(said)]
-        if len(begins) == 1:
-            return begins[0], tail, "prefix"
-    if number is not None and 1 <= number <= len(slots):
-        return number - 1, body, "number"
-    if len(slots) == 1 and n_records == 1:
-        return 0, body, "single"
-    return None, body, "none"
+    if not said:
+        return [], body, "none"
+    least = lambda q: 2 if _CHINESE.search(q) else 4
+    whole = [k for k, s in enumerate(signatures) if s and (s == said or (len(s) >= least(s) and s in said))]
+    if whole:
+        longest = max((signatures[k] for k in whole), key=len)
+        if all(signatures[k] in longest for k in whole):
+            whole = [k for k in whole if signatures[k] == longest]
+    begins = [k for k, s in enumerate(signatures) if s and ((len(said) >= 8 and s.startswith(said)) or (len(s) >= 24 and s[: 14 if _CHINESE.search(s) else 32] in said))]
+    first = body.splitlines()[0]
+    label = signature(_BREAK.split(first, maxsplit=1)[0]) if _BREAK.search(first) else ""
+    short = [k for k, s in enumerate(signatures) if s and (2 if _CHINESE.search(label) else 8) <= len(label) <= 30 and label in s]
+    for found, rung in ((whole, "question"), (begins, "prefix"), (short, "label")):
+        if not found:
+            continue
+        said_in = tail if rung != "label" else _BREAK.split(body, maxsplit=1)[1]
+        if len(found) > 1:
+            typed = [k for k in found if read_answer(slots[k], said_in)["status"] in READABLE]
+            if len(typed) == 1:
+                return typed, said_in, rung
+            if len(typed) == 2 and linked(slots, *typed):
+                return typed, said_in, "linked"
+            continue
+        return found, said_in, rung
+    return [], body, "none"
+
+
+def linked(slots: list[dict], a: int, b: int) -> bool:
+    return any(slots[i].get("linked_slot_id") not in (None, "") and slots[i].get("linked_slot_id") == slots[j]["slot_id"] for i, j in ((a, b), (b, a)))
+
+
+def place(said: list[tuple[int | None, str]], slots: list[dict], signatures: list[str]) -> list[tuple[list[int], str, str]]:
+    """Slots, answer text and rung of every record of a reply by the strongest evidence: its words, then its number (as a
+    source number where slots have such, unless words show that display places are printed), then the order of a complete
+    reply without numbers, then a single slot. More than one candidate on a rung gives none."""
+    source: dict[int, list[int]] = {}
+    for k, s in enumerate(slots):
+        if s.get("source_no") is not None and s["source_no"] == s["source_no"]:
+            source.setdefault(int(s["source_no"]), []).append(k)
+    found = [by_text(body, slots, signatures) for _, body in said]
+    votes = set()
+    for (number, _), (ks, _, _) in zip(said, found, strict=True):
+        if number is not None and ks:
+            own, display = ks[0] in source.get(number, []), number == ks[0] + 1
+            if own != display:
+                votes.add("source" if own else "display")
+    ordered = len(said) == len(slots) > 1 and not source and all(n is None for n, _ in said) and all(not ks or ks == [k] for k, (ks, _, _) in enumerate(found)) and all(read_answer(s, text)["status"] in READABLE for s, (_, text, _) in zip(slots, found, strict=True))
+    out = []
+    for at, ((number, body), (ks, text, rung)) in enumerate(zip(said, found, strict=True)):
+        if not ks and number is not None:
+            display = number - 1 if 1 <= number <= len(slots) else None
+            own = source.get(number, [])
+            if own and votes <= {"source"}:
+                typed = own if len(own) == 1 else [k for k in own if read_answer(slots[k], body)["status"] in READABLE]
+                if len(typed) == 1:
+                    ks, rung = typed, "source_number"
+                elif len(typed) == 2 and linked(slots, *typed):
+                    ks, rung = typed, "linked"
+            elif display is not None and own == [display]:
+                ks, rung = [display], "aligned_number"
+            elif display is not None and (not source or votes == {"display"}):
+                ks, rung = [display], "local_number"
+        if not ks and ordered:
+            ks, rung = [at], "section_order"
+        if not ks and number is None and len(slots) == 1 and len(said) == 1:
+            ks, rung = [0], "single"
+        out.append((ks, text, rung))
+    return out
 
 
 def runaway(text: str, slots: int) -> bool:
@@ -139,9 +230,8 @@ def decode_reply(text: str | None, slots: list[dict]) -> tuple[list[dict], str,
             if all(a["status"] == "parsed" for a in read):
                 found, said, recovery = {k: [a | {"method": "position"}] for k, a in enumerate(read)}, [], "positional"
         said = said and [(None, line) for line in text.splitlines() if line.strip()]
-    for record in said:
-        k, body, method = place(record, slots, signatures, len(said))
-        if k is not None:
+    for ks, body, method in place(said, slots, signatures):
+        for k in ks:
             found.setdefault(k, []).append(read_answer(slots[k], body) | {"method": method})
     answers = []
     for k, b in enumerate(blank):
@@ -158,8 +248,8 @@ def decode_reply(text: str | None, slots: list[dict]) -> tuple[list[dict], str,
 
 
 def decode_replies(replies: DataFrame, reply: str = "reply", slots: str = "slots") -> DataFrame:
-    """Adds answers, parse_status and recovery to rows with a reply and its array of slots (slot_id, question,
-    response_type, minimum, maximum, choices)."""
+    """Adds answers, parse_status and recovery to rows with a reply and its array of slots in display order (slot_id,
+    question, response_type, minimum, maximum, choices; and where there are such source_no, linked_slot_id, labels)."""
     kept = [f for f in replies.schema.fields if f.name not in ("answers", "parse_status", "recovery")]
     schema = T.StructType([*kept, T.StructField("answers", T.ArrayType(ANSWER)), T.StructField("parse_status", T.StringType()), T.StructField("recovery", T.StringType())])
 

@@ -63,32 +63,43 @@ def w9(spark, d):
 
 
 def _archive(spark, d):
-    """Replies with their slots, one row per trial."""
+    """Replies with their slots, one row per trial. Items are shown in the trial's saved order; by trial, a reply prints
+    places of display, source numbers, or the question's text after a number that says nothing."""
     rows = view(spark, d, "bodies_v").join(view(spark, d, "items_v").select("trial", "item_no", "response_type"), ["trial", "item_no"])
+    question = F.concat(F.lit("Statement about topic "), F.char(F.col("item_no") + 96), F.lit(" in daily life"))
+    printed = F.pmod("trial", F.lit(3))
     slot = F.struct(
-        F.concat(F.lit("s"), F.col("item_no").cast("string")).alias("slot_id"), F.lit("").alias("question"), F.when(F.col("response_type") == "text", "text").otherwise("number").alias("response_type"),
-        F.lit(1.0).alias("minimum"), F.lit(7.0).alias("maximum"), F.array().cast("array<string>").alias("choices"),
+        F.concat(F.lit("s"), F.col("item_no").cast("string")).alias("slot_id"), question.alias("question"), F.when(F.col("response_type") == "text", "text").otherwise("number").alias("response_type"),
+        F.lit(1.0).alias("minimum"), F.lit(7.0).alias("maximum"), F.array().cast("array<string>").alias("choices"), F.when(printed == 1, F.col("item_no")).alias("source_no"),
     )
-    line = F.concat(F.col("item_no").cast("string"), F.lit(". "), "body")
-    nested = rows.groupBy("trial", "scale_name", "language").agg(F.array_sort(F.collect_list(F.struct("item_no", line.alias("line"), slot.alias("slot")))).alias("l"))
-    return nested.select("trial", "scale_name", "language", F.array_join(F.col("l.line"), "\n").alias("reply"), F.col("l.slot").alias("slots"))
+    nested = rows.groupBy("trial", "scale_name", "language").agg(F.array_sort(F.collect_list(F.struct("item_no", "body", slot.alias("slot")))).alias("l"))
+    nested = nested.withColumn("shuffle_order", h.seeded_permutation(F.col("trial"), F.size("l"))).withColumn("l", F.transform("shuffle_order", lambda k: F.element_at("l", k.cast("int"))))
+    said = lambda x, i: F.when(printed == 0, F.concat((i + 1).cast("string"), F.lit(". "), x["body"])).when(printed == 1, F.concat(x["item_no"].cast("string"), F.lit(". "), x["body"])).otherwise(F.concat(F.lit("1. "), x["slot"]["question"], F.lit("\n"), x["body"]))
+    return nested.select("trial", "scale_name", "language", "shuffle_order", F.array_join(F.transform("l", said), "\n").alias("reply"), F.col("l.slot").alias("slots"))
+
+
+def _decoded(spark, d):
+    """The archive's answers, put back in source order by the saved permutation."""
+    decoded = decode_replies(_archive(spark, d))
+    places = F.sequence(F.lit(1), F.size("shuffle_order"))
+    return decoded.withColumn("answers", F.transform(places, lambda k: F.element_at("answers", F.array_position("shuffle_order", k).cast("int"))))
 
 
 @query("g2_archive_decode", with_views("""SELECT trial, count(*) AS items, count(CASE WHEN response_type = 'text' OR kind IN (0, 1, 2, 6) THEN 1 END) AS read FROM (SELECT trial, item_no, response_type, CASE WHEN (line + partkey) % 7 = 6 THEN 6 ELSE (line + partkey) % 7 END AS kind FROM items_v) x GROUP BY trial"""))
 def g2(spark, d):
-    decoded = decode_replies(_archive(spark, d))
+    decoded = _decoded(spark, d)
     return decoded.select("trial", F.size("answers").cast("long").alias("items"), F.size(F.filter("answers", lambda a: a["status"].isin(*READABLE))).cast("long").alias("read"))
 
 
 @query("f23_evidence_ladder")
 def f23(spark, d):
-    decoded = decode_replies(_archive(spark, d)).select(F.explode("answers").alias("a"))
+    decoded = _decoded(spark, d).select(F.explode("answers").alias("a"))
     return decoded.groupBy("a.method", "a.status").agg(F.count("*").alias("n"))
 
 
 @query("f24_answer_bodies")
 def f24(spark, d):
-    return decode_replies(_archive(spark, d)).select("trial", F.posexplode("answers").alias("p", "a")).select("trial", (F.col("p") + 1).alias("item_no"), "a.score", "a.lower", "a.upper", "a.status")
+    return _decoded(spark, d).select("trial", F.posexplode("answers").alias("p", "a")).select("trial", (F.col("p") + 1).alias("item_no"), "a.score", "a.lower", "a.upper", "a.status")
 
 
 @query("g4_answer_type_matrix", with_views("SELECT slot_id, 5 AS cases, 0 AS failed FROM slots_v"))

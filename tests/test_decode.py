@@ -42,6 +42,47 @@ def test_question_text_beats_the_number():
     assert got("1. I like short walks: 6\n2. I like long walks: 2", slots)[0] == [(2, "parsed"), (6, "parsed")]
 
 
+def methods(text, slots):
+    return [(a["score"], a["method"]) for a in decode_reply(text, slots)[0]]
+
+
+def test_rungs():
+    plain = [slot(1), slot(2)]
+    assert methods("3\n5 because 2", plain) == [(3, "section_order"), (5, "section_order")]
+    shuffled = [slot(2) | {"source_no": 2}, slot(1) | {"source_no": 1}]
+    assert methods("1. 3\n2. 5", shuffled) == [(5, "source_number"), (3, "source_number")]
+    asked = [slot(3, question="I like long walks") | {"source_no": 3}, slot(2, question="I enjoy reading") | {"source_no": 2}, slot(1, question="I sleep late") | {"source_no": 1}]
+    assert methods("1. I like long walks: 6\n2. 4", asked)[:2] == [(6, "question"), (4, "aligned_number")]
+    assert methods("1. 4\n2. 5", [slot(1), slot(2)]) == [(4, "local_number"), (5, "local_number")]
+    topics = [slot(1, question="How warm do you feel towards president Lincoln"), slot(2, question="How warm do you feel towards president Washington")]
+    assert methods("Washington → 6\nLincoln2: 3", topics)[1] == (6, "label")
+    nested = [slot(1, question="Do you pray"), slot(2, question="How often do you pray")]
+    assert methods("1. How often do you pray: 4", nested) == [(None, "none"), (4, "question")]
+    pair = [slot(1, question="All birds fly") | {"linked_slot_id": "s2"}, slot(2, question="All birds fly")]
+    assert methods("1. All birds fly: 4", pair) == [(4, "linked"), (4, "linked")]
+
+
+def test_bodies():
+    options = slot(1) | {"labels": {"strongly agree": "7"}}
+    for body, want in [
+        ("1 = low, 4 = middle, 7 = high\n5", (5, "parsed")), ("2, 3, 4\n6", (6, "parsed")), ("3-5\nFinal answer: 4", (4, "parsed")), ("3-5\n4", (None, "range_unresolved")),
+        ("I choose strongly agree.", (7, "parsed")), ("3\n4", (None, "conflicting_values")), ("① low: a ② mid: b ③ high: c", (None, "option_codebook")),
+    ]:
+        assert got("1. " + body, [options])[0] == [want], body
+
+
+def test_saved_order(spark):
+    from tallyleaf.plans import helpers as plans
+
+    d = "/root/testdata/sf0.001"
+    bodies = {(r.trial, r.item_no): r.body for r in plans.view(spark, d, "bodies_v").collect()}
+    rows = plans._decoded(spark, d).select("trial", "shuffle_order", "answers").collect()
+    assert any(r.shuffle_order != sorted(r.shuffle_order) for r in rows)
+    for r in rows:
+        assert [a.slot_id for a in r.answers] == [f"s{k}" for k in range(1, len(r.answers) + 1)]
+        assert all(a.answer == bodies[r.trial, k] for k, a in enumerate(r.answers, 1)), r
+
+
 def test_choices_and_text():
     slots = [slot(1, "choice", choices=["A", "B"]), slot(2, "text"), slot(3, "choice", choices=["A", "B"])]
     answers, status, _ = decode_reply("1. I choose B\n2. because of\nmany things\n3. A or B", slots)
