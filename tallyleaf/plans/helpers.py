@@ -54,11 +54,22 @@ def ud3(spark, d):
 
 @query("w9_anchored_rows", with_views("SELECT trial, slot_id, body FROM (SELECT trial, concat('q', item_no) AS slot_id, concat('about ', body) AS body FROM bodies_v WHERE item_no <= 3) x"))
 def w9(spark, d):
-    rows = view(spark, d, "bodies_v").filter("item_no <= 3")
-    asked = F.concat(F.col("item_no").cast("string"), F.lit(". Question number "), F.element_at(F.array(F.lit("one"), F.lit("two"), F.lit("three")), F.col("item_no")), F.lit("?\nabout "), "body")
+    """Items 1 to 3, as the SQL has it; w9_anchored_rows_all has all items."""
+    return _anchored(view(spark, d, "bodies_v").filter("item_no <= 3"))
+
+
+@query("w9_anchored_rows_all", with_views("SELECT trial, concat('q', item_no) AS slot_id, concat('about ', body) AS body FROM bodies_v"))
+def w9_all(spark, d):
+    return _anchored(view(spark, d, "bodies_v"))
+
+
+def _anchored(rows):
+    """Bodies behind the anchors of all item numbers that occur."""
+    asked = F.concat(F.col("item_no").cast("string"), F.lit(". Question number "), F.col("item_no").cast("string"), F.lit("?\nabout "), "body")
     replies = rows.groupBy("trial").agg(F.array_sort(F.collect_list(F.struct("item_no", asked.alias("x")))).alias("l")).select("trial", F.array_join(F.col("l.x"), "\n").alias("reply"))
     lines = decode.lines(replies, ["trial"], "reply").withColumn("signature", h.signature("line"))
-    anchors = spark.createDataFrame([("q1", "questionnumberone"), ("q2", "questionnumbertwo"), ("q3", "questionnumberthree")], "slot_id string, signature string")
+    numbers = rows.select("item_no").distinct()
+    anchors = numbers.select(F.concat(F.lit("q"), F.col("item_no").cast("string")).alias("slot_id"), F.concat(F.lit("questionnumber"), F.col("item_no").cast("string")).alias("signature"))
     return decode.anchored(lines, anchors, ["trial"], "signature").select("trial", "slot_id", "body")
 
 

@@ -44,3 +44,9 @@ def test_seeded_permutation(spark):
         want = list(range(1, 10))
         random.Random(seed).shuffle(want)
         assert order == want
+
+
+def test_anchors_of_all_items(spark):
+    """test_sql compares the rows; here, that no item number is left out."""
+    rows = QUERIES["w9_anchored_rows_all"](spark, compare.DATA)
+    assert rows.agg(F.max("slot_id")).first()[0] > "q3"
