@@ -53,7 +53,7 @@ def seeded_permutation(seeds: pd.Series, sizes: pd.Series) -> pd.Series:
 
 
 #: Fields that hold hidden reasoning.
-REASONING = frozenset({"reasoning", "reasoning_content", "reasoning_details", "thinking", "thoughts"})
+REASONING = frozenset({"reasoning_content", "reasoning_summary", "thought", "thoughts", "thinking_content"})
 
 
 @F.pandas_udf(T.StringType())
@@ -62,7 +62,7 @@ def without_reasoning(documents: pd.Series) -> pd.Series:
 
     def clean(x):
         if isinstance(x, dict):
-            return {k: clean(v) for k, v in x.items() if k.lower() not in REASONING}
+            return {k: clean(v) for k, v in x.items() if k.casefold() not in REASONING}
         return [clean(v) for v in x] if isinstance(x, list) else x
 
     def one(text):

@@ -7,11 +7,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 NUMBER = r"[+-]?[0-9]+(?:\.[0-9]+)?"
+LITERAL = r"[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)"
 #: Words, in two languages.
 SCORE_WORDS = r"(?i)^\s*(?:score|answer|rating|评分|答案)\s*[:=：]?\s*"
 AND_SO_ON = r"\s*(?:[.;!)。]|points?|分)*\s*"
 REASON = r"(?i)\s*(?:because|since|due|,? as)\b.*"
-REFUSAL = r"(?i)(i (?:cannot|can't|won't|am unable to)|i'm (?:unable|not able) to|as an ai\b|无法回答|不能回答|拒绝回答)"
+REFUSAL = (
+    r"(?i)\bi\s+(?:cannot|can't|can\s*not|am\s+unable\s+to|won't|will\s+not)\s+(?:provide|give|answer|rate|assign|score|offer|complete|respond|express)\b",
+    r"(?i)\b(?:i\s+)?(?:must\s+decline|prefer\s+not\s+to\s+answer)\b",
+    r"我无法|我不能|我不便|拒绝回答|不予回答|不提供|不作答|无法对[^\n。]*(?:评价|判断|打分|评分|给出)",
+    r"作为(?:一个)?(?:人工智能|AI)[^。\n]{0,90}不对[^。\n]{0,50}(?:主观评分|价值判断|打分)",
+)
 YES_WORDS, NO_WORDS = ("yes", "是", "对"), ("no", "否", "不")
 
 
@@ -20,9 +26,9 @@ def _c(c: str | Column) -> Column:
 
 
 def number(c: str | Column) -> Column:
-    """A whole-string signed decimal, finite, else null."""
+    """A whole-string signed decimal, finite, else null. 5. and .5 are decimals."""
     text = F.trim(_c(c))
-    value = F.when(text.rlike(f"^{NUMBER}$"), text.try_cast("double"))
+    value = F.when(text.rlike(f"^{LITERAL}$"), text.try_cast("double"))
     return F.when(F.abs(value) < float("inf"), value)
 
 
@@ -104,9 +110,12 @@ def logical_decision(c: str | Column) -> Column:
 def reply_class(reply: str | Column, parse_status: str | Column) -> Column:
     """empty_response, then what was parsed, then refusal wording, else unparsed."""
     text, status = _c(reply), _c(parse_status)
+    straight, refused = F.translate(text, "’‘", "''"), F.lit(False)
+    for pattern in REFUSAL:
+        refused = refused | straight.rlike(pattern)
     return (
         F.when(F.coalesce(F.trim(text), F.lit("")) == "", "empty_response").when(status.isin("ok", "partial"), status)
-        .when(F.translate(text, "’‘", "''").rlike(REFUSAL), "refusal").otherwise("unparsed")
+        .when(refused, "refusal").otherwise("unparsed")
     )
 
 
@@ -165,7 +174,7 @@ def proxy_identity(c: str | Column) -> Column:
 
 
 #: Reply headers that may be kept.
-KEPT_HEADERS = ("content-type", "date", "retry-after", "server", "x-request-id", "request-id", "x-ratelimit-limit", "x-ratelimit-remaining")
+KEPT_HEADERS = ("x-request-id", "openai-processing-ms", "openai-version", "openai-organization", "openai-project", "retry-after", "server", "date")
 
 
 def kept_headers(c: str | Column) -> Column:
@@ -173,11 +182,11 @@ def kept_headers(c: str | Column) -> Column:
 
 
 #: Fixed value: shapes of keys.
-KEY_SHAPES = r"(sk-[A-Za-z0-9]{16,}|AKIA[A-Z0-9]{16,}|ghp_[A-Za-z0-9]{20,}|[0-9a-f]{40})"
+KEY_SHAPES = r"\b(?:sk-[A-Za-z0-9_-]{24,}|gh[pousr]_[A-Za-z0-9]{24,}|AIza[A-Za-z0-9_-]{30,})\b"
 
 
 def credential_count(c: str | Column) -> Column:
-    return F.size(F.regexp_extract_all(_c(c), F.lit(KEY_SHAPES), F.lit(1)))
+    return F.size(F.regexp_extract_all(_c(c), F.lit(KEY_SHAPES), F.lit(0)))
 
 
 def canonical_hash(*columns: str) -> Column:

@@ -84,7 +84,7 @@ def numbering_vote(rows: DataFrame, keys: list[str], says_source: Column, says_d
 
 def same_under_both(answers: DataFrame, orders: DataFrame, keys: list[str], number: str, value: str) -> DataFrame:
     """Values that a slot gets whether numbers are source numbers or display places. orders: keys, display_no, source_no."""
-    display = answers.join(orders, [*[k for k in keys], *[]], "inner").filter(F.col(number) == F.col("display_no")).select(*keys, F.col("source_no").alias("slot_no"), F.col(value).alias("__d"))
+    display = answers.join(orders.withColumnRenamed("display_no", number), [*keys, number]).select(*keys, F.col("source_no").alias("slot_no"), F.col(value).alias("__d"))
     source = answers.select(*keys, F.col(number).alias("slot_no"), F.col(value).alias("__s"))
     return source.join(display, [*keys, "slot_no"]).filter(F.col("__s").eqNullSafe(F.col("__d"))).select(*keys, "slot_no", F.col("__s").alias(value))
 

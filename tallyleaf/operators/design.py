@@ -83,10 +83,10 @@ def interpretation(mode: Column, explicit: Column) -> Column:
     )
 
 
-def longest_prefix(names: DataFrame, name: str, prefixes: DataFrame, prefix: str, most: int = 64) -> DataFrame:
+def longest_prefix(names: DataFrame, name: str, prefixes: DataFrame, prefix: str) -> DataFrame:
     """The longest prefix of each name, without regard to case: an equi-join over the name's own prefixes, not a join of
     everything with everything. Only prefixes of a length that occurs are tried."""
-    sizes = [r[0] for r in prefixes.select(F.length(prefix).alias("n")).filter(F.col("n") <= most).distinct().orderBy("n").collect()]
+    sizes = [r[0] for r in prefixes.select(F.length(prefix).alias("n")).distinct().orderBy("n").collect()]
     tried = names.select(name).distinct().withColumn("__n", F.explode(F.array(*[F.lit(n) for n in sizes]))).filter(F.col("__n") <= F.length(name))
     hits = tried.withColumn("__p", F.lower(F.substring(F.col(name), F.lit(1), F.col("__n")))).join(prefixes.withColumn("__p", F.lower(prefix)), "__p")
     best = hits.groupBy(name).agg(F.max_by(F.struct(*prefixes.columns), "__n").alias("__b"))
@@ -95,15 +95,16 @@ def longest_prefix(names: DataFrame, name: str, prefixes: DataFrame, prefix: str
 
 def resolve_parameters(rows: DataFrame) -> DataFrame:
     """rows: one for each trial and setting, with observed, sent, configured, documented, family and disabled. Precedence:
-    observed, sent, disabled, documented exactly, documented for the family, not sent, unknown."""
+    observed, sent, disabled, configured but not sent (its value holds), and only where nothing is configured what is
+    documented exactly or for the family; else the provider's default is not known."""
     source = (
         F.when(F.col("observed").isNotNull(), "observed").when(F.col("sent").isNotNull(), "sent").when(F.col("disabled"), "explicitly_disabled")
-        .when(F.col("documented").isNotNull(), "documented_exact").when(F.col("family").isNotNull(), "documented_family")
-        .when(F.col("configured").isNotNull(), "configured_not_sent").otherwise("provider_default_unknown")
+        .when(F.col("configured").isNotNull(), "configured_not_sent").when(F.col("documented").isNotNull(), "documented_exact")
+        .when(F.col("family").isNotNull(), "documented_family").otherwise("provider_default_unknown")
     )
     value = (
-        F.when(source == "observed", F.col("observed")).when(source == "sent", F.col("sent")).when(source == "documented_exact", F.col("documented"))
-        .when(source == "documented_family", F.col("family"))
+        F.when(source == "observed", F.col("observed")).when(source == "sent", F.col("sent")).when(source == "configured_not_sent", F.col("configured"))
+        .when(source == "documented_exact", F.col("documented")).when(source == "documented_family", F.col("family"))
     )
     return rows.withColumns({"source": source, "effective": value})
 

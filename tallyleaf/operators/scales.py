@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Openings of context cells.
-CONTEXT_MARKERS = ("Instruction:", "Context:", "说明：")
+#: Markers of context cells, which are cut off with the marks behind them, and openings, which stay.
+CONTEXT_MARKERS = ("[context]", "[instruction]", "【情境】", "【说明】", "【任务设定】")
+CONTEXT_OPENINGS = ("任务设定", "任务说明", "作答说明", "task setting", "task setup", "instructions", "instruction")
 
 
 def text_lines(c: str | Column) -> Column:
@@ -17,15 +18,21 @@ def text_lines(c: str | Column) -> Column:
 
 def sheets(cells: DataFrame, keys: list[str], row: str, text: str) -> DataFrame:
     """Title (row 1), instruction (row 2) and the numbered items of each sheet; trailing blanks are dropped, blank cells
-    skipped, and cells that open with a context marker move to the instruction. Fewer than three cells are no sheet."""
+    skipped, and cells that open with a context marker or a context word, in any case, move to the instruction. Fewer than
+    three cells are no sheet."""
     filled = cells.filter(F.trim(text) != "")
     last = filled.groupBy(*keys).agg(F.max(row).alias("__last")).filter("__last >= 3")
-    marked = F.lit(False)
+    said = F.lower(F.trim(text))
+    after, marked = F.trim(text), F.lit(False)
     for m in CONTEXT_MARKERS:
-        marked = marked | F.startswith(text, F.lit(m))
+        hit = F.startswith(said, F.lit(m)) & (F.col(row) > 2)
+        after = F.when(hit, F.regexp_replace(F.substring(F.trim(text), F.lit(len(m) + 1), F.length(text)), r"^[ ：:\-\n]+", "")).otherwise(after)
+        marked = marked | hit
+    for m in CONTEXT_OPENINGS:
+        marked = marked | F.startswith(said, F.lit(m))
     rows = filled.join(last.drop("__last"), keys).withColumn("__kind", F.when(F.col(row) == 1, "title").when((F.col(row) == 2) | marked, "instruction").otherwise("item"))
     number = F.row_number().over(Window.partitionBy(*keys, "__kind").orderBy(row))
-    return rows.select(*keys, row, F.col("__kind").alias("cell_kind"), F.when(F.col("__kind") == "item", number).alias("item_no"), F.trim(text).alias("cell_text"))
+    return rows.select(*keys, row, F.col("__kind").alias("cell_kind"), F.when(F.col("__kind") == "item", number).alias("item_no"), after.alias("cell_text"))
 
 
 def identify(names: DataFrame, name: str, exact: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:

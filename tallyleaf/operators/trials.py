@@ -37,7 +37,9 @@ def is_valid(kind: str) -> Column:
 
 
 def trial_id() -> Column:
-    return F.sha2(F.concat_ws("|", "run_id", "scale_name", "language", "provider", "model", F.col("order_no").cast("string"), F.coalesce("condition_hash", F.lit(""))), 256)
+    """A digest of the key as a JSON list; nulls are kept, so that no value can stand in for its neighbour."""
+    key = F.array("run_id", "scale_name", "language", "provider", "model", F.col("order_no").cast("string"), "condition_hash")
+    return F.sha2(F.to_json(key, {"ignoreNullFields": "false"}), 256)
 
 
 def status(kind: str) -> Column:

@@ -11,15 +11,24 @@ from tallyleaf.sources.fixtures import view, with_views
 N = r"[+-]?[0-9]+(?:\.[0-9]+)?"
 
 
-@query("f3_reply_class", with_views("""SELECT conv_id, turn, CASE WHEN trim(reply) = '' THEN 'empty_response' WHEN parse_status IN ('ok', 'partial') THEN parse_status
- WHEN regexp_matches(translate(reply, '’‘', ''''''), '(?i)(i (?:cannot|can''t|won''t|am unable to)|i''m (?:unable|not able) to|as an ai\\b|无法回答|不能回答|拒绝回答)') THEN 'refusal' ELSE 'unparsed' END AS reply_class FROM refusal_v"""))
+REFUSED = " OR ".join("regexp_matches(said, '{}')".format(x.replace("'", "''")) for x in v.REFUSAL)
+
+
+@query("f3_reply_class", with_views(f"""SELECT conv_id, turn, CASE WHEN trim(reply) = '' THEN 'empty_response' WHEN parse_status IN ('ok', 'partial') THEN parse_status
+ WHEN {REFUSED} THEN 'refusal' ELSE 'unparsed' END AS reply_class FROM (SELECT *, translate(reply, '’‘', '\'\'\'\'') AS said FROM refusal_v) x"""))
 def f3(spark, d):
     return view(spark, d, "refusal_v").select("conv_id", "turn", v.reply_class("reply", "parse_status").alias("reply_class"))
 
 
-@query("f4_numeric_literal", with_views(f"SELECT trial, item_no, CASE WHEN regexp_matches(trim(body), '^{N}$') THEN CAST(trim(body) AS DOUBLE) END AS value FROM bodies_v"))
+LITERALS = ("{}", "{}.", ".{}", "+{}", "-{}.5", " {} ", "{}.25.1", "{},5", "{}e3", "--{}", ".", "+", "{} 2", "0{}", "{}/7", "-.{}", "x{}", "{}%", "+{}.", "NaN")
+
+
+@query("f4_numeric_literal", with_views(f"""SELECT trial, item_no, CASE WHEN regexp_matches(trim(said), '^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)$') THEN CAST(ltrim(trim(said), '+') AS DOUBLE) END AS value
+ FROM (SELECT trial, item_no, replace(([{', '.join(repr(x) for x in LITERALS)}])[CAST((trial + item_no) % {len(LITERALS)} + 1 AS INT)], '{{}}', CAST(partkey AS VARCHAR)) AS said FROM items_v) x"""))
 def f4(spark, d):
-    return view(spark, d, "bodies_v").select("trial", "item_no", v.number("body").alias("value"))
+    shape = F.element_at(F.array(*[F.lit(x) for x in LITERALS]), ((F.col("trial") + F.col("item_no")) % len(LITERALS) + 1).cast("int"))
+    said = F.replace(shape, F.lit("{}"), F.col("partkey").cast("string"))
+    return view(spark, d, "items_v").select("trial", "item_no", v.number(said).alias("value"))
 
 
 TAIL, WHY = r"\s*(?:[.;!)。]|points?|分)*\s*", r"\s*(?:because|since|due|,? as)\b.*"
@@ -141,18 +150,27 @@ def f34(spark, d):
     return view(spark, d, "pages").withColumn("x", v.proxy_identity(url)).select("page_id", "x.host", "x.port", "x.has_credentials", "x.fingerprint")
 
 
-@query("f35_kept_headers", """SELECT event_id, concat('date=', event_type, CASE WHEN event_id % 2 = 0 THEN concat(';x-request-id=', user_id) ELSE '' END) AS headers FROM events""")
+HEADERS = ("X-Request-Id", "OpenAI-Processing-Ms", "openai-version", "Openai-Organization", "openai-project", "Retry-After", "SERVER", "Date", "Set-Cookie", "Content-Type", "Authorization", "x-ratelimit-limit", "request-id", "X-Api-Key")
+
+
+@query("f35_kept_headers", f"""SELECT event_id, CASE WHEN lower(n) IN ('x-request-id', 'openai-processing-ms', 'openai-version', 'openai-organization', 'openai-project', 'retry-after', 'server', 'date') THEN concat(lower(n), '=', event_type) ELSE '' END AS headers
+ FROM (SELECT *, ([{', '.join(repr(x) for x in HEADERS)}])[CAST(event_id % {len(HEADERS)} + 1 AS INT)] AS n FROM events) x""")
 def f35(spark, d):
-    headers = F.map_from_arrays(
-        F.array(F.lit("Date"), F.lit("Set-Cookie"), F.when(F.col("event_id") % 2 == 0, "X-Request-Id").otherwise("X-Other")), F.array(F.col("event_type"), F.lit("secret"), F.col("user_id").cast("string"))
-    )
+    name = F.element_at(F.array(*[F.lit(x) for x in HEADERS]), (F.col("event_id") % len(HEADERS) + 1).cast("int"))
+    headers = F.map_from_arrays(F.array(name, F.lit("X-Other")), F.array(F.col("event_type"), F.col("user_id").cast("string")))
     kept = F.array_sort(F.map_entries(v.kept_headers(headers)))
     return view(spark, d, "events").select("event_id", F.array_join(F.transform(kept, lambda e: F.concat_ws("=", e["key"], e["value"])), ";").alias("headers"))
 
 
-@query("f37_credential_scan", r"""SELECT doc_id, CAST(len(regexp_extract_all(text, '(sk-[A-Za-z0-9]{16,}|AKIA[A-Z0-9]{16,}|ghp_[A-Za-z0-9]{20,}|[0-9a-f]{40})')) AS INT) AS hits FROM documents""")
+#: Openings, letters and counts of planted keys: some are keys, some are too short or stand inside a word.
+KEYS = (("sk-", "aB3_", 6), ("sk-", "aB3-", 5), ("ghp_", "Zz9", 8), ("gho_", "Q1", 12), ("ghu_", "x", 23), ("ghs_", "Ab", 13), ("ghr_", "7", 24), ("ghx_", "7", 30), ("AIza", "k_9", 10), ("AIza", "k", 29), ("xsk-", "a", 40), ("AKIA", "A1", 10))
+
+
+@query("f37_credential_scan", rf"""SELECT doc_id, CAST(len(regexp_extract_all(said, '\b(?:sk-[A-Za-z0-9_-]{{24,}}|gh[pousr]_[A-Za-z0-9]{{24,}}|AIza[A-Za-z0-9_-]{{30,}})\b')) AS INT) AS hits
+ FROM (SELECT doc_id, concat(text, ' ', ([{', '.join(repr(a + b * n) for a, b, n in KEYS)}])[CAST(doc_id % {len(KEYS)} + 1 AS INT)]) AS said FROM documents) x""")
 def f37(spark, d):
-    return view(spark, d, "documents").select("doc_id", v.credential_count("text").alias("hits"))
+    planted = F.element_at(F.array(*[F.concat(F.lit(a), F.repeat(F.lit(b), F.lit(n))) for a, b, n in KEYS]), (F.col("doc_id") % len(KEYS) + 1).cast("int"))
+    return view(spark, d, "documents").select("doc_id", v.credential_count(F.concat("text", F.lit(" "), planted)).alias("hits"))
 
 
 @query("f38_safe_names", r"""SELECT page_id, coalesce(nullif(regexp_replace(translate(trim(n), '<>:"/\|?*', '_________'), '[. ]+$', ''), ''), 'unnamed') AS name FROM (SELECT page_id, CASE WHEN page_id % 9 = 0 THEN ' .. ' ELSE url END AS n FROM pages) x""")

@@ -34,9 +34,15 @@ def f12(spark, d):
     return view(spark, d, "items_v").select("trial", "item_no", h.diagram_label(says).alias("label"))
 
 
-@query("f36_without_reasoning", "SELECT event_id, concat('{\"value\":', event_id, ',\"more\":[{\"type\":\"', event_type, '\"}]}') AS document FROM events")
+#: Field names in documents: the first seven hide reasoning.
+FIELDS = ("reasoning_content", "Reasoning_Summary", "thought", "THOUGHTS", "thinking_content", "Thought", "REASONING_CONTENT", "reasoning", "thinking", "note", "thoughts_2", "my_thought", "reasoning_details", "content", "Thinking", "summary", "a", "text", "score", "answer")
+
+
+@query("f36_without_reasoning", f"""SELECT event_id, concat('{{"value":', event_id, CASE WHEN k > 7 THEN concat(',"', n, '":"x"') ELSE '' END, ',"more":[{{"type":"', event_type, '"', CASE WHEN k > 7 THEN concat(',"', n, '":{{"a":1}}') ELSE '' END, '}}]}}') AS document
+ FROM (SELECT *, ([{', '.join(repr(x) for x in FIELDS)}])[CAST(event_id % {len(FIELDS)} + 1 AS INT)] AS n, event_id % {len(FIELDS)} + 1 AS k FROM events) x""")
 def f36(spark, d):
-    text = F.concat(F.lit('{"value": '), F.col("event_id").cast("string"), F.lit(', "Thinking": "x", "more": [{"type": "'), "event_type", F.lit('", "reasoning": {"a": 1}}]}'))
+    name = F.element_at(F.array(*[F.lit(x) for x in FIELDS]), (F.col("event_id") % len(FIELDS) + 1).cast("int"))
+    text = F.concat(F.lit('{"value": '), F.col("event_id").cast("string"), F.lit(', "'), name, F.lit('": "x", "more": [{"type": "'), "event_type", F.lit('", "'), name, F.lit('": {"a": 1}}]}'))
     return view(spark, d, "events").select("event_id", h.without_reasoning(text).alias("document"))
 
 
@@ -52,15 +58,18 @@ def ud3(spark, d):
     return rows.select("trial", "n", h.seeded_permutation(F.col("trial"), F.col("n")).alias("shuffle_order"))
 
 
-@query("w9_anchored_rows", with_views("SELECT trial, slot_id, body FROM (SELECT trial, concat('q', item_no) AS slot_id, concat('about ', body) AS body FROM bodies_v WHERE item_no <= 3) x"))
+ANCHORED = with_views("SELECT trial, concat('q', item_no) AS slot_id, concat('about ', body) AS body FROM bodies_v")
+
+
+@query("w9_anchored_rows", ANCHORED)
 def w9(spark, d):
-    """Items 1 to 3, as the SQL has it; w9_anchored_rows_all has all items."""
-    return _anchored(view(spark, d, "bodies_v").filter("item_no <= 3"))
+    return _anchored(view(spark, d, "bodies_v"))
 
 
-@query("w9_anchored_rows_all", with_views("SELECT trial, concat('q', item_no) AS slot_id, concat('about ', body) AS body FROM bodies_v"))
+@query("w9_anchored_rows_all", ANCHORED)
 def w9_all(spark, d):
-    return _anchored(view(spark, d, "bodies_v"))
+    """The same; the name stays for those who use it."""
+    return w9(spark, d)
 
 
 def _anchored(rows):

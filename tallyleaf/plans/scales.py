@@ -9,24 +9,28 @@ from tallyleaf.operators import design, scales
 from tallyleaf.registry import query
 from tallyleaf.sources.fixtures import view, with_views
 
-MARKED = "CASE WHEN row_no = 3 AND doc_id % 5 = 0 THEN concat('Instruction: ', line) ELSE line END"
+#: What row 3 of a sheet opens with, by doc_id: markers of context, and words that are none.
+OPENINGS = ("Instruction: ", "[CONTEXT] ", "【情境】：", "Task setup ", "Context: ", "【任务设定】 - ", "作答说明 ", "[instruction]", "Note: ", "任务设定：", "")
+MARKED = f"CASE WHEN row_no = 3 THEN concat(([{', '.join(repr(x) for x in OPENINGS)}])[CAST(doc_id % {len(OPENINGS)} + 1 AS INT)], line) ELSE line END"
+BARE = r"(?i)^(?:\[context\]|\[instruction\]|【情境】|【说明】|【任务设定】)[ ：:\-\n]*"
 CELLS = f"""cell AS (SELECT doc_id, row_no, {MARKED} AS cell FROM (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS row_no, unnest(string_split(text, chr(10))) AS line FROM documents) x),
  kept AS (SELECT c.* FROM cell c JOIN (SELECT doc_id FROM cell WHERE trim(cell) <> '' GROUP BY doc_id HAVING max(row_no) >= 3) k USING (doc_id) WHERE trim(cell) <> ''),
- kind AS (SELECT *, CASE WHEN row_no = 1 THEN 'title' WHEN row_no = 2 OR starts_with(cell, 'Instruction:') THEN 'instruction' ELSE 'item' END AS cell_kind FROM kept)"""
+ kind AS (SELECT *, CASE WHEN row_no = 1 THEN 'title' WHEN row_no = 2 OR regexp_matches(trim(cell), '{BARE}') OR regexp_matches(trim(cell), '(?i)^(?:任务设定|任务说明|作答说明|task setting|task setup|instruction)') THEN 'instruction' ELSE 'item' END AS cell_kind FROM kept),
+ said AS (SELECT *, CASE WHEN row_no > 2 AND cell_kind = 'instruction' THEN regexp_replace(trim(cell), '{BARE}', '') ELSE trim(cell) END AS cell_text FROM kind)"""
 
 
 def _cells(spark, d):
     docs = view(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "line"))
     row = F.col("p") + 1
-    return docs.select("doc_id", row.cast("long").alias("row_no"), F.when((row == 3) & (F.col("doc_id") % 5 == 0), F.concat(F.lit("Instruction: "), "line")).otherwise(F.col("line")).alias("cell"))
+    return docs.select("doc_id", row.cast("long").alias("row_no"), F.when(row == 3, F.concat(F.element_at(F.array(*[F.lit(x) for x in OPENINGS]), (F.col("doc_id") % len(OPENINGS) + 1).cast("int")), "line")).otherwise(F.col("line")).alias("cell"))
 
 
-@query("s4_sheet_cells", f"""WITH {CELLS} SELECT doc_id, row_no, cell_kind, sha256(trim(cell)) AS digest, CASE WHEN cell_kind = 'item' THEN CAST(row_number() OVER (PARTITION BY doc_id, cell_kind ORDER BY row_no) AS INT) END AS item_no FROM kind""")
+@query("s4_sheet_cells", f"""WITH {CELLS} SELECT doc_id, row_no, cell_kind, sha256(cell_text) AS digest, CASE WHEN cell_kind = 'item' THEN CAST(row_number() OVER (PARTITION BY doc_id, cell_kind ORDER BY row_no) AS INT) END AS item_no FROM said""")
 def s4(spark, d):
     return scales.sheets(_cells(spark, d), ["doc_id"], "row_no", "cell").select("doc_id", "row_no", "cell_kind", "item_no", F.sha2("cell_text", 256).alias("digest"))
 
 
-@query("f39_context_cells", f"""WITH {CELLS} SELECT doc_id, sha256(string_agg(trim(cell), chr(10) ORDER BY row_no)) AS instruction_digest, count(*) AS cells FROM kind WHERE cell_kind = 'instruction' GROUP BY doc_id""")
+@query("f39_context_cells", f"""WITH {CELLS} SELECT doc_id, sha256(string_agg(cell_text, chr(10) ORDER BY row_no)) AS instruction_digest, count(*) AS cells FROM said WHERE cell_kind = 'instruction' GROUP BY doc_id""")
 def f39(spark, d):
     rows = scales.sheets(_cells(spark, d), ["doc_id"], "row_no", "cell").filter("cell_kind = 'instruction'")
     joined = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("row_no", "cell_text"))).alias("c"), F.count("*").alias("cells"))
@@ -197,8 +201,8 @@ def _settings(spark, d):
 SETTINGS = """s AS (SELECT order_no, field, CASE WHEN order_no % 7 = 0 AND field = 'seed' THEN t END AS observed, CASE WHEN order_no % 2 = 0 AND field = 'temperature' THEN t END AS sent, order_no % 11 = 0 AND field = 'top_p' AS disabled,
   CASE WHEN order_no % 3 = 0 AND field = 'top_p' THEN '1' END AS documented, CASE WHEN order_no % 5 = 0 AND field <> 'seed' THEN '2' END AS family, CASE WHEN field = 'temperature' THEN t END AS configured
   FROM (SELECT order_no, CAST(temperature10 AS VARCHAR) AS t, unnest(['temperature', 'top_p', 'seed']) AS field FROM plan_v) x),
- q AS (SELECT order_no, field, CASE WHEN observed IS NOT NULL THEN 'observed' WHEN sent IS NOT NULL THEN 'sent' WHEN disabled THEN 'explicitly_disabled' WHEN documented IS NOT NULL THEN 'documented_exact' WHEN family IS NOT NULL THEN 'documented_family'
-  WHEN configured IS NOT NULL THEN 'configured_not_sent' ELSE 'provider_default_unknown' END AS source, CASE WHEN observed IS NOT NULL THEN observed WHEN sent IS NOT NULL THEN sent WHEN disabled THEN NULL WHEN documented IS NOT NULL THEN documented ELSE family END AS effective FROM s)"""
+ q AS (SELECT order_no, field, CASE WHEN observed IS NOT NULL THEN 'observed' WHEN sent IS NOT NULL THEN 'sent' WHEN disabled THEN 'explicitly_disabled' WHEN configured IS NOT NULL THEN 'configured_not_sent' WHEN documented IS NOT NULL THEN 'documented_exact'
+  WHEN family IS NOT NULL THEN 'documented_family' ELSE 'provider_default_unknown' END AS source, CASE WHEN observed IS NOT NULL THEN observed WHEN sent IS NOT NULL THEN sent WHEN disabled THEN NULL WHEN configured IS NOT NULL THEN configured WHEN documented IS NOT NULL THEN documented ELSE family END AS effective FROM s)"""
 
 
 @query("f31_parameter_resolution", with_views(f"WITH {SETTINGS} SELECT * FROM q"))

@@ -9,7 +9,7 @@ from tallyleaf.operators import trials as t
 from tallyleaf.registry import query
 from tallyleaf.sources.fixtures import view, with_views
 
-ID = "sha256(concat_ws('|', run_id, scale_name, language, provider, model, order_id, coalesce(condition_hash, '')))"
+ID = "sha256(CAST(to_json([run_id, scale_name, language, provider, model, order_id, condition_hash]) AS VARCHAR))"
 
 #: All records in common columns, as SQL.
 ROWS = f"""
@@ -162,9 +162,13 @@ def a18(spark, d):
 
 @query("o1_ordered_trials", _sql("""SELECT id, CAST(row_number() OVER (PARTITION BY run_id, scale_name ORDER BY language, provider, model, order_no) AS INT) AS place FROM cur"""))
 def o1(spark, d):
-    rows = current(spark, d)
-    w = Window.partitionBy("run_id", "scale_name").orderBy("language", "provider", "model", "order_no")
-    return rows.orderBy("run_id", "scale_name", "language", "provider", "model", "order_no").withColumn("place", F.row_number().over(w)).select("id", "place")
+    """A place is the rows of all groups before its own, from a small table of counts, and its place in its group."""
+    scale, fine = ["run_id", "scale_name"], ["language", "provider", "model", "slice"]
+    rows = current(spark, d).select("id", *scale, *fine[:3], "order_no").withColumn("slice", F.floor(F.col("order_no") / 4096))
+    before = F.sum("n").over(Window.partitionBy(*scale).orderBy(*fine)) - F.col("n")
+    counts = rows.groupBy(*scale, *fine).agg(F.count("*").alias("n")).withColumn("before", before).drop("n")
+    inside = F.row_number().over(Window.partitionBy(*scale, *fine).orderBy("order_no"))
+    return rows.withColumn("inside", inside).join(counts, [*scale, *fine]).select("id", (F.col("before") + F.col("inside")).cast("int").alias("place"))
 
 
 @query("j4_language_pairs", with_views("""SELECT e.scale_name, e.pair_id, e.order_no AS en_order, c.order_no AS ch_order, e.provider = c.provider AS same_provider

@@ -11,6 +11,13 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 PAIR = "CAST((o_orderkey - o_orderkey % 2) / 2 AS BIGINT)"
 
+#: Endings of replies: refusals, and what only sounds like one.
+SAID = (
+    "I cannot provide a score.", "I can’t answer that.", "I can not rate it", "I am unable to give one.", "I won't respond", "I will not complete this.", "I must decline.", "Prefer not to answer",
+    "我无法回答", "我不能打分", "我不便评价", "不予回答。", "无法对此进行评价", "作为AI，我不对此给出主观评分", "I cannot see it.", "I can't wait", "As an AI I rate it 4", "unable to answer", "无法", "我可以回答",
+    "I do not decline", "Well, I  will  not  score it", "cannot answer", "作为一个人工智能，我来打分",
+)
+
 VIEWS: dict[str, str] = {
     "plan_v": f"""
         SELECT concat('run_', CAST({PAIR} % 5 AS VARCHAR(9))) AS run_id, concat('scale_', CAST({PAIR} % 24 AS VARCHAR(9))) AS scale_name,
@@ -49,8 +56,8 @@ VIEWS: dict[str, str] = {
                WHEN 3 THEN '6 or 7' WHEN 4 THEN 'B' WHEN 5 THEN 'no clear view' ELSE concat(CAST(partkey % 8 AS VARCHAR(9)), '/7') END AS body
         FROM items_v""",
     "lines_v": "SELECT trial, item_no, concat(CAST(item_no AS VARCHAR(9)), '. ', body) AS line_text, body FROM bodies_v",
-    "refusal_v": """
-        SELECT conv_id, turn, CASE WHEN conv_id % 11 = 0 THEN '  ' WHEN conv_id % 7 = 0 THEN concat(text, ' I’m unable to answer this.') ELSE text END AS reply,
+    "refusal_v": f"""
+        SELECT conv_id, turn, CASE WHEN conv_id % 11 = 0 THEN '  ' ELSE concat(text, ' ', split_part('{"~".join(SAID).replace("'", "''")}', '~', CAST((conv_id + turn) % {len(SAID)} + 1 AS INT))) END AS reply,
                CASE WHEN turn % 3 = 0 THEN 'ok' WHEN turn % 3 = 1 THEN 'unparsed' ELSE 'partial' END AS parse_status
         FROM conversations""",
     "slots_v": """

@@ -58,9 +58,12 @@ def read_tasks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder under the shared one that the cluster names; a temporary one where none is named."""
+    """A new folder under the shared one that the cluster names; a temporary one where none is named and Spark runs on one
+    machine."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         import tempfile
 
         base = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
