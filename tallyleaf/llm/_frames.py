@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -18,12 +19,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_ready(spark: SparkSession) -> None:
-    """Uses the shared folder that the cluster names; only where none is named (tests) a temporary one."""
+    """Uses the shared folder that the cluster names; only where none is named, and Spark runs on one machine (tests), a
+    temporary one."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         import tempfile
 
         folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
@@ -31,9 +35,13 @@ def checkpoint_ready(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Writes a frame to the shared checkpoint folder and goes on from there."""
-    checkpoint_ready(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Writes a frame as a table in the shared checkpoint folder and goes on from there. Columns are compressed, and Spark
+    knows the table's size when it plans what follows."""
+    spark = df.sparkSession
+    checkpoint_ready(spark)
+    target = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(target)
+    return spark.read.schema(df.schema).parquet(target)
 
 
 def map_arrow(df: DataFrame, make: Callable[[pa.RecordBatch], Iterator[list[pa.Array] | None]], schema: str | T.StructType) -> DataFrame:

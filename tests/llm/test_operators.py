@@ -95,6 +95,15 @@ def test_jaccard_join_in_many_blocks(docs, monkeypatch):
     assert got == linked_components(rows, 3, Fraction("0.6"))
 
 
+@pytest.mark.parametrize("bucket", [1, 2, 5])
+def test_jaccard_join_with_frequent_parts(docs, monkeypatch, bucket):
+    """Parts of more documents than the bucket make no pairs, yet no link is lost."""
+    rows, df = docs
+    monkeypatch.setattr(ngram_join, "BUCKET", bucket)
+    got = {r[0]: tuple(r)[1:] for r in ngram_join.jaccard_classes(df, 3, "0.6").collect()}
+    assert got == linked_components(rows, 3, Fraction("0.6"))
+
+
 def test_jaccard_join_odd_rows(spark):
     rows = [(1, "a b c d"), (1, "a b c d"), (None, "a b c d"), (2, None), (3, "")]
     got = sorted(map(tuple, ngram_join.jaccard_classes(spark.createDataFrame(rows, DOCS)).collect()), key=str)
@@ -514,7 +523,7 @@ def test_candidate_pairs_over_batches(batch):
     want, least = collections.Counter(), {}
     for docs in by_part.values():
         if len(docs) > ngram_join.BUCKET:
-            pairs = [((docs[0][0], d), ngram_join.SURE, 1) for d, _ in docs[1:]]
+            pairs = [((docs[0][0], d), ngram_join.FREQUENT, k) for d, k in docs]
         else:
             pairs = [((a, b), 1, min(x, y)) for (a, x), (b, y) in itertools.combinations(docs, 2)]
         for pair, k, m in pairs:
