@@ -26,13 +26,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ._frames import map_arrow, read_table
-from ._repeats import OWNED_BITS, anchor_table, covered, first_windows, live_contexts, with_texts
+from ._repeats import OWNED_BITS, again, anchor_table, covered, first_windows, live_contexts, with_texts
 from ._text import U, take_ranges, text_slices
 
 WINDOW, GRAM = 400, 128
@@ -219,19 +219,18 @@ def _sort_blocks(window: int):
 
 def repeat_ranges(docs: DataFrame, window: int, gram: int, largest: int) -> DataFrame:
     """doc_id, starts: the ranges (start, number) of strings that also start elsewhere."""
-    table = anchor_table(docs, "byte", window, gram)
-    live = live_contexts(table)
+    table, live = live_contexts(anchor_table(docs, "byte", window, gram))
     bodies = _contexts(live.filter(f"k > 1 and k <= {largest}"), docs, window)
     sorted_ = bodies.repartition("h").sortWithinPartitions("h", "c").mapInArrow(_sort_blocks(window), "h long, c long, js array<int>")
     hashed = (
-        first_windows(live.filter(f"k > {largest}"), docs, "byte", window).withColumn("again", F.count("*").over(Window.partitionBy("w1", "w2")))
-        .filter("again > 1 and n = 1").groupBy("h", "c").agg(F.array_sort(F.collect_list(F.col("j").cast("int"))).alias("js"))
+        again(first_windows(live.filter(f"k > {largest}"), docs, "byte", window)).filter("n = 1")
+        .groupBy("h", "c").agg(F.array_sort(F.collect_list(F.col("j").cast("int"))).alias("js"))
     )
     whole = live.filter("n > 1").select("h", "c", F.lit(None).cast("array<int>").alias("js"))
     start, count = F.shiftright("pos", OWNED_BITS), F.col("pos").bitwiseAND((1 << OWNED_BITS) - 1)
     single = F.transform("js", lambda j: F.struct((start + j).alias("start"), F.lit(1).cast("long").alias("count")))
     ranges = F.when(F.col("js").isNull(), F.array(F.struct(start.alias("start"), count.alias("count")))).otherwise(single)
-    return table.join(whole.unionByName(sorted_).unionByName(hashed), ["h", "c"]).withColumn("r", ranges).groupBy("doc_id").agg(F.flatten(F.collect_list("r")).alias("starts"))
+    return table.hint("merge").join(whole.unionByName(sorted_).unionByName(hashed), ["h", "c"]).withColumn("r", ranges).groupBy("doc_id").agg(F.flatten(F.collect_list("r")).alias("starts"))
 
 
 def drop_repeated_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, largest: int = LARGEST) -> DataFrame:
@@ -257,7 +256,7 @@ def drop_repeated_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM,
         yield [batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())]
 
     own = docs.select(F.col("doc_id").cast("long"), "text")
-    return map_arrow(own.join(ranges, "doc_id", "left").select("doc_id", "text", "starts"), make, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
+    return map_arrow(own.hint("merge").join(ranges, "doc_id", "left").select("doc_id", "text", "starts"), make, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

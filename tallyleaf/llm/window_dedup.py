@@ -14,30 +14,30 @@ remove nothing; an empty table gives an empty one. Only the id and text columns
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._frames import map_arrow, read_table
-from ._repeats import OWNED_BITS, anchor_table, covered, first_windows, live_contexts
+from ._repeats import OWNED_BITS, again, anchor_table, covered, first_windows, live_contexts
 
 WINDOW, GRAM = 50, 16
 
 
 def removal_ranges(docs: DataFrame, window: int, gram: int) -> DataFrame:
     """doc_id, starts: the ranges (start, number) of windows that also start in a document of a smaller id."""
-    table = anchor_table(docs, "word", window, gram)
-    live = live_contexts(table)
-    least = F.min("doc").over(Window.partitionBy("w1", "w2"))
+    table, live = live_contexts(anchor_table(docs, "word", window, gram))
     mixed = (
-        first_windows(live.filter("k > 1"), docs, "word", window).withColumn("least", least)
+        again(first_windows(live.filter("k > 1"), docs, "word", window).drop("n"))
         .groupBy("h", "c").agg(F.array_sort(F.collect_list(F.struct("j", "least"))).alias("leasts"))
     )
+    # a window of a context that occurs again, but in no other context: the first document has it
+    alone = live.filter("k > 1 and n > 1").select("h", "c", F.array(F.struct(F.lit(-1).cast("long").alias("j"), F.col("doc").alias("least"))).alias("leasts"))
     whole = live.filter("k = 1").select("h", "c", F.array(F.struct(F.lit(-1).cast("long").alias("j"), F.col("doc").alias("least"))).alias("leasts"))
     start, count = F.shiftright("pos", OWNED_BITS), F.col("pos").bitwiseAND((1 << OWNED_BITS) - 1)
     earlier = F.filter("leasts", lambda x: x["least"] < F.col("doc_id"))
     ranges = F.transform(earlier, lambda x: F.struct(F.when(x["j"] < 0, start).otherwise(start + x["j"]).alias("start"), F.when(x["j"] < 0, count).otherwise(F.lit(1)).alias("count")))
     return (
-        table.join(whole.unionByName(mixed), ["h", "c"]).withColumn("r", ranges).filter(F.size("r") > 0)
+        table.hint("merge").join(whole.unionByName(alone).unionByName(mixed), ["h", "c"]).withColumn("r", ranges).filter(F.size("r") > 0)
         .groupBy("doc_id").agg(F.flatten(F.collect_list("r")).alias("starts"))
     )
 
@@ -66,7 +66,7 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
         yield [batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary()).cast(pa.string())]
 
     own = docs.select(F.col("doc_id").cast("long"), "text")
-    return map_arrow(own.join(ranges, "doc_id", "left").select("doc_id", "text", "starts"), make, "doc_id long, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept string")
+    return map_arrow(own.hint("merge").join(ranges, "doc_id", "left").select("doc_id", "text", "starts"), make, "doc_id long, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept string")
 
 
 def op4_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
