@@ -23,15 +23,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that are linked by a Jaccard similarity of five-word shingles of 0.8 or more, the one of the smallest
-    id stays. Documents without an id or without words stay."""
+    id stays. Documents without an id or without words stay. Rows that share an id are one document: they stay or go
+    together."""
     classes = ngram_join.jaccard_classes(docs, 5, "0.8").filter("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(classes, "doc_id", "left_anti").select(*docs.columns)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage go."""
-    found = decontaminate.find_passages(docs, read_table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """Documents that hold a benchmark passage go. Rows without an id are told apart by their text."""
+    said = F.xxhash64("text")
+    keyed = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), F.least(said, F.bitwise_not(said))))
+    found = decontaminate.find_passages(keyed.select(F.col("__key").alias("doc_id"), "text"), read_table(spark, sf_dir, "benchmark"))
+    return keyed.join(found.select(F.col("doc_id").alias("__key")).distinct(), "__key", "left_anti").select(*docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
