@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tallyleaf.llm import decontaminate, ngram_join, ogg, packing, pii, secrets, suffix_dedup, toxicity, url_filter, window_dedup
+from tallyleaf.llm import _repeats, decontaminate, ngram_join, ogg, packing, pii, secrets, suffix_dedup, toxicity, url_filter, window_dedup
 from tallyleaf.llm._text import Words, text_slices
 
 DOCS = "doc_id long, text string"
@@ -161,6 +161,17 @@ def test_suffix_dedup(docs, window, gram, largest):
     assert {r.doc_id: (r.n_bytes, r.n_removed, bytes(r.kept), len(r.spans)) for r in found} == removed_bytes(rows, window)
 
 
+@pytest.mark.parametrize("hot", [0, 2])
+def test_dedup_with_split_grams(docs, monkeypatch, hot):
+    """Windows of hot grams are split by a salt and brought together again."""
+    rows, df = docs
+    monkeypatch.setattr(_repeats, "HOT", hot)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in window_dedup.drop_repeats(df, 8, 3).collect()}
+    assert got == removed_words(rows, 8)
+    found = suffix_dedup.drop_repeated_bytes(df, 100, 40, 1).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, bytes(r.kept), len(r.spans)) for r in found} == removed_bytes(rows, 100)
+
+
 def test_dedup_odd_rows(spark):
     long = " ".join(f"w{k}" for k in range(120))
     df = spark.createDataFrame([(None, long), (1, long), (1, long), (2, "x " + long)], DOCS)

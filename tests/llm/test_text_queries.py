@@ -49,3 +49,12 @@ def test_pipeline(spark, tmp_path):
         ends[r.sequence_id] += r.length
     assert max(ends.values()) <= 1024
     assert corpus_pipeline.run(spark, DATA).count() == docs.count()
+
+
+def test_benchmark_stage_without_ids(spark):
+    item = next(r.text for r in spark.read.parquet(f"{DATA}/benchmark.parquet").orderBy("item_id").collect() if r.text and len(r.text.split()) > 10)
+    rows = [(None, f"before {item} after"), (None, "some other words that are in no benchmark"), (7, f"again {item}"), (8, None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.drop_benchmark(spark, docs, DATA)
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([rows[1], rows[3], rows[4]], key=str)
