@@ -70,9 +70,9 @@ def score_violations(items: DataFrame, score: str) -> Column:
 
 def checksum(rows: DataFrame, path: str, digest: str, bucket: Column) -> DataFrame:
     """One digest over all files, in two levels so that no task orders everything: a digest for each bucket of paths, then
-    one over the buckets in order."""
+    one over the buckets in order. The caller lets the number of buckets grow with the rows."""
     first = rows.groupBy(bucket.alias("bucket")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", path, digest))), "\n"), 256).alias("d"))
-    return first.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", F.lpad(F.col("bucket").cast("string"), 6, "0"), "d"))), "\n"), 256).alias("checksum"), F.count("*").alias("buckets"))
+    return first.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", F.lpad(F.col("bucket").cast("string"), 12, "0"), "d"))), "\n"), 256).alias("checksum"), F.count("*").alias("buckets"))
 
 
 def first_of_content(rows: DataFrame, content: str, anchor: str) -> DataFrame:

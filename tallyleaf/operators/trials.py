@@ -13,7 +13,10 @@ STATUS_LABELS = {
     "ok": "complete", "partial": "partly read", "refusal": "refused", "unparsed": "not read", "empty_response": "empty",
     "transport_error": "failed call", "not_recorded": "not recorded", "legacy_saved": "saved, old format",
 }
-PRESET_NAMES = {"1-URGENT": "urgent preset", "2-HIGH": "high preset", "3-MEDIUM": "medium preset"}
+PRESET_NAMES = {
+    "free_response_v1": "主分析", "free_response_temperature_1_v1": "主分析·温度 1", "free_response_scores_only_v1": "主分析·只答分数提示",
+    "china_identity_v1": "中国身份条件", "usa_identity_v1": "美国身份条件",
+}
 
 
 def text_or_null(c: str | Column) -> Column:
@@ -96,12 +99,16 @@ def latest_attempts(attempts: DataFrame) -> DataFrame:
     return attempts.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
 
 
-def next_free(numbers: DataFrame, keys: list[str], number: str) -> DataFrame:
-    """The smallest positive number that a group has not used."""
-    w = Window.partitionBy(*keys).orderBy(number)
-    ranked = numbers.select(*keys, number).filter(F.col(number) > 0).distinct().withColumn("rn", F.row_number().over(w))
-    gap = F.min(F.when(F.col(number) != F.col("rn"), F.col("rn")))
-    return ranked.groupBy(*keys).agg(F.coalesce(gap, F.max("rn") + 1).alias("next_number"))
+def next_free(numbers: DataFrame, keys: list[str], number: str, span: int = 1024) -> DataFrame:
+    """The smallest positive number that a group has not used. Numbers are gathered by spans, so no list is longer than one;
+    each span offers its first gap, or the next number if it is full and nothing follows."""
+    used = numbers.filter(F.col(number) > 0).groupBy(*keys, F.floor(F.col(number) / span).alias("b")).agg(F.collect_set((F.col(number) % span).cast("int")).alias("s"))
+    every = F.sequence(F.lit(0), F.lit(span - 1))
+    gap = F.array_min(F.array_except(every, F.when(F.col("b") == 0, F.array_union("s", F.array(F.lit(0)))).otherwise(F.col("s"))))
+    spans = used.select(*keys, "b", (F.col("b") * span + gap).alias("n"))
+    after = spans.filter("n is null").select(*keys, (F.col("b") + 1).alias("b")).join(spans.select(*keys, "b"), [*keys, "b"], "left_anti").select(*keys, (F.col("b") * span).alias("n"))
+    first = spans.groupBy(*keys).agg(F.min("b").alias("b")).filter("b > 0").select(*keys, F.lit(1).cast("long").alias("n"))
+    return spans.drop("b").union(after).union(first).groupBy(*keys).agg(F.min("n").cast("int").alias("next_number"))
 
 
 def outcome(plan: DataFrame, attempts: DataFrame, results: DataFrame) -> DataFrame:
@@ -138,6 +145,12 @@ def alias_or_reject(c: str, aliases: dict[str, list[str]]) -> Column:
     return chain
 
 
-def experiment_label(preset: str, identity: str, default: str = "default contract", names: dict[str, str] = PRESET_NAMES) -> Column:
-    """A known preset's name, an unknown preset's id, else the identity, else the default."""
-    return F.coalesce(label(preset, names), text_or_null(identity), F.lit(default))
+def experiment_label(preset: str, identity: str, contract: str, mode: str, names: dict[str, str] = PRESET_NAMES) -> Column:
+    """A preset's name, or its id where it has none; without a preset the identity, the score-only prompt or the source's own
+    instruction. A custom condition says so."""
+    preset_given = ~F.coalesce(preset, F.lit("")).isin("", "custom")
+    name = (
+        F.when(preset_given, label(preset, names)).when(F.col(identity) == "china", "中国身份条件").when(F.col(identity) == "usa", "美国身份条件")
+        .when(F.col(contract) == "free_scores_only", "只答分数提示").otherwise("原指导语")
+    )
+    return F.when(F.col(mode) == "custom", F.concat(F.lit("自定义（"), name, F.lit("）"))).otherwise(name)

@@ -114,12 +114,12 @@ def g3(spark, d):
     return rows.withColumn("violation", t.score_violations(rows, "after_score")).filter("violation is not null").groupBy("violation").agg(F.count("*").alias("n"))
 
 
-@query("a11_collection_checksum", """WITH f AS (SELECT concat('doc/', doc_id, '.txt') AS path, sha256(text) AS digest, doc_id % 64 AS bucket FROM documents),
+@query("a11_collection_checksum", """WITH f AS (SELECT concat('doc/', doc_id, '.txt') AS path, sha256(text) AS digest, doc_id % (SELECT greatest(64, CAST(ceil(count(*) / 4096.0) AS BIGINT)) FROM documents) AS bucket FROM documents),
  b AS (SELECT bucket, sha256(string_agg(concat(path, ':', digest), chr(10) ORDER BY concat(path, ':', digest))) AS d FROM f GROUP BY bucket)
- SELECT sha256(string_agg(concat(lpad(CAST(bucket AS VARCHAR), 6, '0'), ':', d), chr(10) ORDER BY bucket)) AS checksum, count(*) AS buckets FROM b""")
+ SELECT sha256(string_agg(concat(lpad(CAST(bucket AS VARCHAR), 12, '0'), ':', d), chr(10) ORDER BY bucket)) AS checksum, count(*) AS buckets FROM b""")
 def a11(spark, d):
     docs = view(spark, d, "documents").select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.sha2(F.col("text").cast("binary"), 256).alias("digest"), "doc_id")
-    return t.checksum(docs, "path", "digest", F.col("doc_id") % 64)
+    return t.checksum(docs, "path", "digest", F.col("doc_id") % max(64, -(-docs.count() // 4096)))
 
 
 @query("a13_type_mix", with_views("""SELECT scale_name, language, string_agg(concat(response_type, '=', n), ',' ORDER BY response_type) AS types, sum(n)::BIGINT AS items FROM (SELECT scale_name, language, response_type, count(*) AS n FROM items_v GROUP BY ALL) x GROUP BY ALL"""))

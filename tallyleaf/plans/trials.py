@@ -82,11 +82,22 @@ def p2(spark, d):
     return planned.unionByName(t.inherit(t.normalise(results, "result"), planned)).select("id", "kind", "status", "attempt", "n_chars", "preset_id")
 
 
-@query("p3_experiment_label", with_views("""SELECT order_no, coalesce(CASE preset_id WHEN '1-URGENT' THEN 'urgent preset' WHEN '2-HIGH' THEN 'high preset' WHEN '3-MEDIUM' THEN 'medium preset' ELSE preset_id END,
- nullif(trim(identity), ''), 'default contract') AS experiment FROM (SELECT order_no, CASE WHEN order_no % 3 = 0 THEN NULL ELSE preset_id END AS preset_id, CASE WHEN order_no % 2 = 0 THEN ' ' ELSE model END AS identity FROM plan_v) x"""))
+GIVEN = ("free_response_v1", "free_response_temperature_1_v1", "free_response_scores_only_v1", "china_identity_v1", "usa_identity_v1", "my_preset", "custom", "", None)
+
+
+@query("p3_experiment_label", with_views(f"""SELECT order_no, CASE WHEN mode = 'custom' THEN concat('自定义（', name, '）') ELSE name END AS experiment FROM (SELECT order_no, mode, CASE
+ WHEN coalesce(preset, '') NOT IN ('', 'custom') THEN CASE preset WHEN 'free_response_v1' THEN '主分析' WHEN 'free_response_temperature_1_v1' THEN '主分析·温度 1' WHEN 'free_response_scores_only_v1' THEN '主分析·只答分数提示'
+  WHEN 'china_identity_v1' THEN '中国身份条件' WHEN 'usa_identity_v1' THEN '美国身份条件' ELSE preset END
+ WHEN identity = 'china' THEN '中国身份条件' WHEN identity = 'usa' THEN '美国身份条件' WHEN contract = 'free_scores_only' THEN '只答分数提示' ELSE '原指导语' END AS name
+ FROM (SELECT order_no, ([{', '.join('NULL' if x is None else repr(x) for x in GIVEN)}])[CAST(order_no % 9 + 1 AS INT)] AS preset, CASE order_no % 4 WHEN 0 THEN 'china' WHEN 1 THEN 'usa' WHEN 2 THEN 'none' END AS identity,
+  CASE WHEN order_no % 5 = 0 THEN 'free_scores_only' ELSE 'unconstrained' END AS contract, CASE WHEN order_no % 7 = 0 THEN 'custom' ELSE 'natural' END AS mode FROM plan_v) x) y"""))
 def p3(spark, d):
-    plan = view(spark, d, "plan_v").withColumns({"preset_id": F.when(F.col("order_no") % 3 != 0, F.col("preset_id")), "identity": F.when(F.col("order_no") % 2 == 0, " ").otherwise(F.col("model"))})
-    return plan.select("order_no", t.experiment_label("preset_id", "identity").alias("experiment"))
+    n = F.col("order_no")
+    plan = view(spark, d, "plan_v").select(
+        "order_no", F.element_at(F.array(*[F.lit(x).cast("string") for x in GIVEN]), (n % 9 + 1).cast("int")).alias("preset"), F.when(n % 4 == 0, "china").when(n % 4 == 1, "usa").when(n % 4 == 2, "none").alias("identity"),
+        F.when(n % 5 == 0, "free_scores_only").otherwise("unconstrained").alias("contract"), F.when(n % 7 == 0, "custom").otherwise("natural").alias("mode"),
+    )
+    return plan.select("order_no", t.experiment_label("preset", "identity", "contract", "mode").alias("experiment"))
 
 
 @query("p4_status_labels", _sql("""SELECT CASE status WHEN 'ok' THEN 'complete' WHEN 'partial' THEN 'partly read' WHEN 'unparsed' THEN 'not read' WHEN 'transport_error' THEN 'failed call' WHEN 'not_recorded' THEN 'not recorded' ELSE status END AS status_label,
