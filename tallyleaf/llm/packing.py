@@ -1,9 +1,9 @@
 """Best-fit packing of tokenized documents by exact complements.
 
 Texts are tokenized once; pieces of at most the capacity are counted by length. As there are no more lengths than the
-capacity, this histogram has a fixed size whatever the data, and the packing is planned on it: for each length, from the
-longest, single lengths, then pairs, then triples whose sum is exactly the gap are taken in bulk, as often as the counts
-allow. What is left goes into bins by best fit, longest first. The plan is a short table of patterns (lengths and how
+capacity, this histogram has a fixed size whatever the data, and the packing is planned on it: gaps are filled exactly by
+single lengths, then by pairs, then by triples, each time from the longest length and with the most alike lengths first
+(so that few short pieces are spent on gaps that one piece could fill), in bulk, as often as the counts allow. What is left goes into bins by best fit, longest first. The plan is a short table of patterns (lengths and how
 often). Pieces get a rank among those of their length, by buckets of a hash so that no length is one group, and look up
 their place by it.
 
@@ -42,9 +42,21 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
+def _plain(kind: dict) -> bool:
+    """Whether a tokenizer's file says no more than byte-level BPE whose merges are ranked as their results' ids."""
+    split, model = kind.get("pre_tokenizer") or {}, kind["model"]
+    merged = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    return (
+        kind.get("normalizer") is None and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+        and model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+        and merged == sorted(set(merged))
+    )
+
+
 def encoder(path: str):
-    """text -> token ids (uint32). The file's own library sets the ids; where the file is a plain byte-level BPE and the
-    faster library gives the same ids on a probe, that one does the work, but for texts with a special token."""
+    """text -> token ids (uint32). The file's own library sets the ids. Where the file is a plain byte-level BPE (no
+    normalizer, the usual split, merges in the order of their ids, so that both libraries merge alike) and a probe agrees,
+    a faster library does the work, but for texts with a special token."""
     if path not in _encoders:
         from tokenizers import Tokenizer
 
@@ -55,6 +67,8 @@ def encoder(path: str):
         try:
             import tiktoken
 
+            if not _plain(kind):
+                raise ValueError("not a plain byte-level BPE")
             letters = _byte_letters()
             ranks = {bytes(letters[c] for c in token): k for token, k in kind["model"]["vocab"].items() if token not in special}
             pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -130,27 +144,27 @@ def _plan(histogram: dict[int, int], capacity: int, most: int) -> list[tuple[tup
         for b in lengths[: k + 1]:
             if a + b < capacity:
                 pair_sums[a + b].append((a, b))
-    for n in sorted(left, reverse=True):
-        gap = capacity - n
-        if n in left and gap == 0:
-            take((n,))
-        if most >= 1 and n in left and gap in left:
-            take((n, gap))
-        for a, b in reversed(pair_sums.get(gap, ()) if most >= 2 else ()):
-            if n not in left:
-                break
-            if a in left and b in left:
-                take((n, a, b))
-        for a in reversed(lengths[: bisect_left(lengths, gap)] if most >= 3 else []):
-            if n not in left:
-                break
-            if a not in left:
-                continue
-            for b, c in pair_sums.get(gap - a, ()):
-                if b <= a and b in left and c in left:
-                    take((n, a, b, c))
-                    if n not in left or a not in left:
-                        break
+    take((capacity,))
+    for size in range(1, most + 1):
+        for n in sorted(left, reverse=True):
+            gap = capacity - n
+            if size == 1 and n in left:
+                take((n, gap))
+            for a, b in pair_sums.get(gap, ()) if size == 2 else ():
+                if n not in left:
+                    break
+                if a in left and b in left:
+                    take((n, a, b))
+            for a in lengths[: bisect_left(lengths, gap)] if size == 3 else ():
+                if n not in left:
+                    break
+                if a not in left:
+                    continue
+                for b, c in pair_sums.get(gap - a, ()):
+                    if b <= a and b in left and c in left:
+                        take((n, a, b, c))
+                        if n not in left or a not in left:
+                            break
     # best fit, longest first; bins of one pattern are kept together
     gaps: list[int] = []
     bins: dict[int, list[tuple[tuple[int, ...], int]]] = defaultdict(list)
