@@ -3,24 +3,28 @@
 The CGK random walk reads a word sequence with a pointer that advances or stays as a random function of step and word
 says; edit distance between sequences becomes Hamming distance between the walks' records. For every benchmark item all
 windows of its number of words are compared: windows are embedded, some coordinates are sampled a number of times, and
-windows that agree with an item on one sample are verified by a banded edit distance over words. The number of samples
-follows from a simulation with the allowed edits on the items themselves, for a target recall.
-
-Before they are embedded, windows pass a test that loses none: with e edits at least n - 2 - 3e of an item's n - 2 word
-trigrams stay, so a window must hold as many trigrams of items of its length. A table of fixed size, by trigram hash,
-tells by 64 bits for which lengths (modulo 64) a trigram occurs in the benchmark. The benchmark is the stated query set; it is gone through in blocks of bounded size, each broadcast, so documents are
+windows that agree with an item on one sample are verified by a banded edit distance over words. Each eight samples have
+a walk of their own, so that sequences that drift apart in one walk meet in another. The number of samples is set for each
+length of items, by a simulation with the most edits allowed on the items themselves: samples are added until the target
+recall is met, and a target that no bearable number meets is an error.
+
+Before they are embedded, windows pass a test that loses none: with e edits at least n - g + 1 - g e of an item's word
+g-grams stay, so a window must hold as many g-grams of items of its length (g is 3, or less where that would be none: 2
+for items of five words at 0.8). A table of fixed size, by gram hash, tells by 64 bits for which lengths (modulo 64) a gram
+occurs in the benchmark. The benchmark is the stated query set; it is gone through in blocks of bounded size, each broadcast, so documents are
 scanned once per block and never shuffled.
 
-A match has a similarity (1 - distance / n) of at least the bound, 0.8 unless told otherwise; so that one trigram is
-left, at most (n - 3) / 3 edits are allowed, which matters for items of five words only. Words are compared without
+A match has a similarity (1 - distance / n) of at least the bound, 0.8 unless told otherwise, so items of under five words
+must occur exactly. Words are compared without
 regard to the case of A-Z. Defined results: null and empty texts, and texts shorter than an item, have no match; items
-with null text or fewer than three words match nothing; repeated rows and repeated items match each for itself; of
+with null text, without words or with fewer than ``fewest`` match nothing; repeated rows and repeated items match each for itself; of
 overlapping windows of one item the nearest counts, then the first. Only id and text columns are read.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections import defaultdict
 from dataclasses import dataclass
 
@@ -32,58 +36,62 @@ from pyspark.sql import functions as F
 from ._frames import map_arrow, read_table
 from ._text import Runs, U, Words, mix, take_ranges, text_slices
 
-BITS = 20  # of the trigram table's index
+BITS = 20  # of a gram table's index
 BLOCK_ITEMS = 20_000
 BLOCK_CHARS = 20_000_000
 SAMPLE = 3  # coordinates in a sample
-MOST_SAMPLES = 64
+WALK = 8  # samples from one walk
+MOST_SAMPLES = 2_048  # a target recall that needs more is an error
 PAD = U(0x2545F4914F6CDD1D)
 
 
 def allowed(n: int, similarity: float) -> int:
-    return max(0, min(math.floor((1 - similarity) * n + 1e-9), (n - 3) // 3))
+    """The most edits of a match of n words."""
+    return math.floor((1 - similarity) * n + 1e-9)
+
+
+def gram_width(n: int, edits: int) -> int:
+    """Words of the longest gram, at most three, of which some are left after the edits wherever these are."""
+    return next(g for g in (3, 2, 1) if n - g + 1 - g * edits >= 1)
 
 
 def embed(x: np.ndarray, seed: int = 0) -> np.ndarray:
-    """The CGK walk over each row of word hashes, 3 n steps long."""
+    """The CGK walk over each row of word hashes, 2 n steps long, in which it reads n words on average. In later steps
+    most walks only read what fills up, and samples of these would let all windows agree."""
     rows, n = x.shape
     wide = np.concatenate([x, np.full((rows, 1), PAD)], 1)
     at = np.zeros(rows, np.int64)
-    out = np.empty((rows, 3 * n), np.uint64)
+    out = np.empty((rows, 2 * n), np.uint64)
     every = np.arange(rows)
-    for j in range(3 * n):
+    for j in range(2 * n):
         now = wide[every, at]
         out[:, j] = now
         at = np.minimum(at + (mix(now ^ U((j + 1 + 100_003 * seed) * 0x9E3779B97F4A7C15 % (1 << 64))) >> U(63)).astype(np.int64), n)
     return out
 
 
-def coordinates(n: int, samples: int) -> np.ndarray:
-    return np.random.default_rng(n).integers(0, 3 * n, (MOST_SAMPLES, SAMPLE))[:samples]
-
-
-def sample_keys(walks: np.ndarray, n: int, samples: int) -> np.ndarray:
-    """One hash for each row and sample."""
-    out = np.empty((len(walks), samples), np.uint64)
-    for k, columns in enumerate(coordinates(n, samples)):
-        h = np.full(len(walks), U(n * 1_000 + k))
-        for c in columns:
-            h = mix(h * U(0x9E3779B97F4A7C15) + walks[:, c])
+def sample_keys(x: np.ndarray, samples: int, first: int = 0) -> np.ndarray:
+    """One hash for each row of word hashes and sample, from the sample ``first`` on, which begins a walk."""
+    n = x.shape[1]
+    out = np.empty((len(x), samples), np.uint64)
+    for k in range(samples):
+        walk, place = divmod(first + k, WALK)
+        if place == 0:
+            record = embed(x, walk)
+            places = np.random.default_rng((n, walk)).integers(0, 2 * n, (WALK, SAMPLE))
+        h = np.full(len(x), U(first + k))
+        for c in places[place]:
+            h = mix(h * U(0x9E3779B97F4A7C15) + record[:, c])
         out[:, k] = h
     return out
 
 
-def samples_for(items: list[np.ndarray], similarity: float, recall: float, tries: int = 400) -> int:
-    """The least number of samples that finds the wanted share of randomly edited items."""
-    rng = np.random.default_rng(7)
-    usable = [x for x in items if allowed(len(x), similarity)]
-    if not usable:
-        return 1
-    first = []
-    for k in rng.integers(0, len(usable), tries):
-        x = usable[k]
-        y = list(x)
-        for _ in range(allowed(len(x), similarity)):
+def edited(x: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarray:
+    """Each row with that many random edits: half of them other words, a quarter each left out and put in."""
+    out = []
+    for row in x:
+        y = list(row)
+        for _ in range(edits):
             place, what = int(rng.integers(0, len(y))), rng.random()
             new = U(rng.integers(1, 1 << 62))
             if what < 0.5:
@@ -94,11 +102,26 @@ def samples_for(items: list[np.ndarray], similarity: float, recall: float, tries
             else:
                 y.insert(place, new)
                 y.pop()
-        both = embed(np.stack([x, np.array(y, np.uint64)]))
-        keys = sample_keys(both, len(x), MOST_SAMPLES)
-        same = np.flatnonzero(keys[0] == keys[1])
-        first.append(int(same[0]) + 1 if len(same) else MOST_SAMPLES + 1)
-    return int(min(MOST_SAMPLES, max(1, np.quantile(first, recall, method="higher"))))
+        out.append(y)
+    return np.array(out, np.uint64)
+
+
+def samples_for(items: np.ndarray, edits: int, recall: float, tries: int = 400) -> int:
+    """The least number of samples that finds the wanted share of randomly edited items, all of one length."""
+    if not edits:
+        return 1
+    rng = np.random.default_rng(7)
+    x = items[rng.integers(0, len(items), tries)]
+    y = edited(x, edits, rng)
+    missed = np.arange(tries)
+    for first in range(0, MOST_SAMPLES, WALK):
+        same = sample_keys(x[missed], WALK, first) == sample_keys(y[missed], WALK, first)
+        hit = np.where(same.any(1), same.argmax(1), WALK)
+        for k in range(WALK):
+            if (hit > k).sum() <= (1 - recall) * tries:
+                return first + k + 1
+        missed = missed[hit == WALK]
+    raise ValueError(f"a recall of {recall} for {edits} edits in {items.shape[1]} words needs over {MOST_SAMPLES} samples")
 
 
 def edit_distances(x: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
@@ -131,10 +154,15 @@ class ItemBlock:
 
     ids: np.ndarray
     by_length: dict[int, tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]]  # rows, words, sorted keys and rows by sample
-    lengths: np.ndarray  # by trigram hash, the lengths as bits
-    samples: int
+    lengths: dict[int, np.ndarray]  # by words of a gram: by its hash, the lengths as bits
     similarity: float
 
+    def shape(self, n: int) -> tuple[int, int, int]:
+        """For items of n words: the most edits, the words of a gram, and how many grams must stay."""
+        edits = allowed(n, self.similarity)
+        g = gram_width(n, edits)
+        return edits, g, n - g + 1 - g * edits
+
 
 def word_rows(texts: list[str]) -> list[np.ndarray]:
     out = []
@@ -144,41 +172,44 @@ def word_rows(texts: list[str]) -> list[np.ndarray]:
     return out
 
 
-def make_block(ids: list[int], texts: list[str], similarity: float, recall: float) -> ItemBlock:
+def make_block(ids: list[int], texts: list[str], similarity: float, recall: float, fewest: int = 1) -> ItemBlock:
     items = word_rows(texts)
-    table = np.zeros(1 << BITS, np.uint64)
-    for x in items:
-        table[(Runs(x).fixed(3) >> U(64 - BITS)).astype(np.int64)] |= U(1) << U(len(x) % 64)
-    samples = samples_for(items, similarity, recall)
-    lengths = defaultdict(list)
+    rows_of = defaultdict(list)
     for k, x in enumerate(items):
-        if len(x) >= 3:
-            lengths[len(x)].append(k)
-    by_length = {}
-    for n, rows in sorted(lengths.items()):
+        if len(x) >= max(fewest, 1):
+            rows_of[len(x)].append(k)
+    block = ItemBlock(np.array(ids, np.int64), {}, {}, similarity)
+    for n, rows in sorted(rows_of.items()):
         words = np.stack([items[k] for k in rows])
-        keys = sample_keys(embed(words), n, samples)
+        edits, g, _ = block.shape(n)
+        table = block.lengths.setdefault(g, np.zeros(1 << BITS, np.uint64))
+        for x in words:
+            table[(Runs(x).fixed(g) >> U(64 - BITS)).astype(np.int64)] |= U(1) << U(n % 64)
+        keys = sample_keys(words, samples_for(words, edits, recall))
         tables = []
-        for s in range(samples):
-            order = np.argsort(keys[:, s], kind="stable")
-            tables.append((keys[order, s], order))
-        by_length[n] = (np.array(rows), words, tables)
-    return ItemBlock(np.array(ids, np.int64), by_length, table, samples, similarity)
-
-
-def candidate_windows(words: Words, grams: np.ndarray, block: ItemBlock):
-    """By item length: the window starts that hold enough trigrams of items of that length."""
-    bits = block.lengths[(grams >> U(64 - BITS)).astype(np.int64)]
-    hit = np.flatnonzero((bits != 0) & (words.row[: len(grams)] == words.row[2:]))
-    bits = bits[hit]
+        for column in keys.T:
+            order = np.argsort(column, kind="stable")
+            tables.append((column[order], order))
+        block.by_length[n] = (np.array(rows), words, tables)
+    return block
+
+
+def candidate_windows(words: Words, grams: dict[int, np.ndarray], block: ItemBlock):
+    """By item length: the window starts that hold enough grams of items of that length."""
+    hits = {}
+    for g, table in block.lengths.items():
+        bits = table[(grams[g] >> U(64 - BITS)).astype(np.int64)]
+        hit = np.flatnonzero((bits != 0) & (words.row[: len(grams[g])] == words.row[g - 1 :]))
+        hits[g] = hit, bits[hit]
     for n in block.by_length:
-        need = n - 2 - 3 * allowed(n, block.similarity)
+        _, g, need = block.shape(n)
+        hit, bits = hits[g]
         h = hit[(bits >> U(n % 64)) & U(1) == 1]
         if len(h) < need:
             continue
         # windows that hold the hits k to k + need - 1
         last, first = h[need - 1 :], h[: len(h) - need + 1]
-        low = np.maximum(np.maximum(last - (n - 3), words.first[words.row[first]]), 0)
+        low = np.maximum(np.maximum(last - (n - g), words.first[words.row[first]]), 0)
         high = np.minimum(first, words.first[words.row[first] + 1] - n)
         low[1:] = np.maximum(low[1:], np.maximum.accumulate(high)[:-1] + 1)
         s = take_ranges(low, np.maximum(high - low + 1, 0))
@@ -186,8 +217,8 @@ def candidate_windows(words: Words, grams: np.ndarray, block: ItemBlock):
             yield n, s
 
 
-def shared_trigrams(windows: np.ndarray, items: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-    """For each pair, how many of the window's trigrams the item has; an edit changes three at most."""
+def shared_grams(windows: np.ndarray, items: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """For each pair, how many of the window's grams the item has; an edit changes as many at most as a gram has words."""
     out = np.empty(len(pairs), np.int64)
     step = max(1, 2_000_000 // windows.shape[1] ** 2)
     for k in range(0, len(pairs), step):
@@ -198,48 +229,56 @@ def shared_trigrams(windows: np.ndarray, items: np.ndarray, pairs: np.ndarray) -
 
 def matches_of(words: Words, block: ItemBlock) -> list[tuple[int, int, int, int, int]]:
     """Row, item row, first word, word after the last, distance."""
-    if len(words) < 3 or not block.by_length:
+    if not len(words) or not block.by_length:
         return []
-    grams = Runs(words.hash).fixed(3)
+    grams = {g: Runs(words.hash).fixed(g) for g in block.lengths}
     found = []
-    item_grams = {n: Runs(items.ravel()).fixed(3)[np.arange(len(items))[:, None] * n + np.arange(n - 2)] for n, (_, items, _) in block.by_length.items()}
     for n, starts in candidate_windows(words, grams, block):
         rows, items, tables = block.by_length[n]
+        most, g, need = block.shape(n)
+        places = np.arange(n - g + 1)
+        item_grams = Runs(items.ravel()).fixed(g)[np.arange(len(items))[:, None] * n + places]
         for k in range(0, len(starts), 20_000):
             s = starts[k : k + 20_000]
             x = words.hash[s[:, None] + np.arange(n)]
-            keys = sample_keys(embed(x), n, block.samples)
+            keys = sample_keys(x, len(tables))
             pairs = []
             for t, (sorted_keys, order) in enumerate(tables):
                 low, high = np.searchsorted(sorted_keys, keys[:, t], "left"), np.searchsorted(sorted_keys, keys[:, t], "right")
                 pairs.append(np.repeat(np.arange(len(s)), high - low) * len(items) + order[take_ranges(low, high - low)])
             pairs = np.unique(np.concatenate(pairs))
             pairs = np.stack([pairs // len(items), pairs % len(items)], 1)
-            most = allowed(n, block.similarity)
-            pairs = pairs[shared_trigrams(grams[s[:, None] + np.arange(n - 2)], item_grams[n], pairs) >= n - 2 - 3 * most]
+            pairs = pairs[shared_grams(grams[g][s[:, None] + places], item_grams, pairs) >= need]
             if not len(pairs):
                 continue
             a, b = x[pairs[:, 0]], items[pairs[:, 1]]
             distance = np.where((a == b).all(1), 0, most + 1)
             # windows that overlap an equal one need no closer look
-            equal = pairs[distance == 0]
             clear = distance > 0
-            for w, i in equal.tolist():
-                clear &= ~((pairs[:, 1] == i) & (np.abs(s[pairs[:, 0]] - s[w]) < n))
+            for i in np.unique(pairs[distance == 0, 1]) if most else ():
+                own = np.flatnonzero(pairs[:, 1] == i)
+                at, equal = s[pairs[own, 0]], s[pairs[own[distance[own] == 0], 0]]
+                nearest = np.searchsorted(equal, at)
+                clear[own] &= (at - equal[np.maximum(nearest - 1, 0)] >= n) | (nearest == 0)
+                clear[own] &= (equal[np.minimum(nearest, len(equal) - 1)] - at >= n) | (nearest == len(equal))
             if most and clear.any():
                 distance[clear] = edit_distances(a[clear], b[clear], most)
             good = distance <= most
             found += zip(words.row[s[pairs[good, 0]]].tolist(), rows[pairs[good, 1]].tolist(), s[pairs[good, 0]].tolist(), (s[pairs[good, 0]] + n).tolist(), distance[good].tolist(), strict=True)
-    kept: dict[tuple[int, int], list] = defaultdict(list)
+    kept: dict[tuple[int, int], list] = defaultdict(list)  # disjoint, by first word
     for row, item, a, b, d in sorted(found, key=lambda f: (f[0], f[1], f[4], f[2])):
-        if all(b <= x[2] or a >= x[3] for x in kept[row, item]):
-            kept[row, item].append((row, item, a, b, d))
+        own = kept[row, item]
+        k = bisect_left(own, (row, item, a))
+        if (k == 0 or own[k - 1][3] <= a) and (k == len(own) or own[k][2] >= b):
+            own.insert(k, (row, item, a, b, d))
     return [x for v in kept.values() for x in v]
 
 
-def find_passages(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, recall: float = 0.95) -> DataFrame:
+def find_passages(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, recall: float = 0.95, fewest: int = 1) -> DataFrame:
     """Returns doc_id, item_id, start_char, end_char (code points, end exclusive), n_words and distance (in words) of
     every benchmark passage found in the documents."""
+    if not 0 < similarity <= 1 or not 0 < recall < 1:
+        raise ValueError("similarity must be above 0 and at most 1, recall between 0 and 1")
     spark = docs.sparkSession
     usable = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text")
     size = usable.agg(F.count("*"), F.sum(F.length("text"))).first()
@@ -248,7 +287,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8
     out = None
     for b in range(blocks):
         rows = usable.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
-        block = spark.sparkContext.broadcast(make_block([r[0] for r in rows], [r[1] for r in rows], similarity, recall))
+        block = spark.sparkContext.broadcast(make_block([r[0] for r in rows], [r[1] for r in rows], similarity, recall, fewest))
 
         def make(batch: pa.RecordBatch, block=block):
             ids = batch.column(0)

@@ -428,7 +428,8 @@ def levenshtein(a, b):
 def test_decontamination(spark):
     r = random.Random(3)
     names = [f"w{k}" for k in range(12)]
-    items = [" ".join(r.choices(names, k=r.randint(2, 25))) for _ in range(60)]
+    items = [" ".join(r.choices(names, k=r.randint(1, 25))) for _ in range(60)]
+    items += [" ".join(r.choices(names, k=5)) for _ in range(10)]
     texts = []
     for _ in range(300):
         w, item = r.choices(names, k=r.randint(0, 60)), r.choice(items).split()
@@ -441,7 +442,7 @@ def test_decontamination(spark):
         w = t.split()
         for j, item in enumerate(items):
             x = item.split()
-            if len(x) >= 3 and any(levenshtein(w[s : s + len(x)], x) <= decontaminate.allowed(len(x), 0.8) for s in range(len(w) - len(x) + 1)):
+            if any(levenshtein(w[s : s + len(x)], x) <= decontaminate.allowed(len(x), 0.8) for s in range(len(w) - len(x) + 1)):
                 want.add((k, j))
     df = spark.createDataFrame(list(enumerate(texts)) + [(900, None), (901, "")], DOCS)
     bench = spark.createDataFrame(list(enumerate(items)) + [(77, None)], "item_id long, text string")
@@ -450,11 +451,33 @@ def test_decontamination(spark):
     assert got <= want and len(got) >= 0.9 * len(want)
     for x in rows:
         assert levenshtein(texts[x.doc_id][x.start_char : x.end_char].split(), items[x.item_id].split()) == x.distance
-    exact = {(k, j) for k, t in enumerate(texts) for j, i in enumerate(items) if len(i.split()) >= 3 and f" {i} " in f" {t} "}
+    exact = {(k, j) for k, t in enumerate(texts) for j, i in enumerate(items) if f" {i} " in f" {t} "}
     assert exact <= got
+    fives = {(k, j) for k, j in want if len(items[j].split()) == 5}
+    assert len(fives) > 20 and len(got & fives) >= 0.9 * len(fives)
+    assert {(x.doc_id, x.item_id) for x in decontaminate.find_passages(df, bench, fewest=5).collect()} == {(k, j) for k, j in got if len(items[j].split()) >= 5}
+    hot = spark.createDataFrame([(1, " ".join(["w1"] * 30_000))], DOCS)
+    assert decontaminate.find_passages(hot, spark.createDataFrame([(1, "w1 w1")], "item_id long, text string")).count() == 15_000
     assert decontaminate.find_passages(empty(spark), bench).count() == 0 and decontaminate.find_passages(df, bench.filter("item_id < 0")).count() == 0
 
 
+@pytest.mark.parametrize("n", [5, 10, 30, 38, 52, 100])
+def test_recall_by_length(n):
+    """The number of samples of a length finds edited items of that length, of another draw than it was set by."""
+    r = np.random.default_rng(n)
+    items = r.integers(1, 1 << 62, (40, n)).astype(np.uint64)
+    edits = decontaminate.allowed(n, 0.8)
+    samples = decontaminate.samples_for(items, edits, 0.95)
+    x = items[r.integers(0, 40, 600)]
+    y = decontaminate.edited(x, edits, r)
+    assert (decontaminate.sample_keys(x, samples) == decontaminate.sample_keys(y, samples)).any(1).mean() >= 0.92
+
+
+def test_recall_out_of_reach():
+    with pytest.raises(ValueError, match="needs over"):
+        decontaminate.samples_for(np.arange(200, dtype=np.uint64).reshape(2, 100), 99, 0.95)
+
+
 def test_edit_distances_and_embedding():
     r = np.random.default_rng(8)
     x, y = (r.integers(0, 4, (200, 12)).astype(np.uint64) for _ in range(2))
