@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from tallyleaf.llm import decontaminate, ngram_join, packing, secrets, toxicity
 from tallyleaf.llm._frames import checkpoint_ready, read_table
 
+#: Words of a benchmark passage; items of one or two words say nothing of a document that holds them.
+FEWEST = 3
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier calls toxic go. Labels come from the table, word scores from the documents given."""
@@ -30,10 +33,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage go. Rows without an id are told apart by their text."""
+    """Documents that hold a benchmark passage of at least FEWEST words go. Rows without an id are told apart by their text."""
     said = F.xxhash64("text")
     keyed = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), F.least(said, F.bitwise_not(said))))
-    found = decontaminate.find_passages(keyed.select(F.col("__key").alias("doc_id"), "text"), read_table(spark, sf_dir, "benchmark"))
+    found = decontaminate.find_passages(keyed.select(F.col("__key").alias("doc_id"), "text"), read_table(spark, sf_dir, "benchmark"), fewest=FEWEST)
     return keyed.join(found.select(F.col("doc_id").alias("__key")).distinct(), "__key", "left_anti").select(*docs.columns)
 
 
