@@ -1,20 +1,20 @@
 """URL filters: host and path rules, and a path-template tree that judges the rest. DataFrame functions only.
 
-Every path is a branch of its host's tree. Segments with digits are wildcards; so are all segments at a place of one
-host where most are different (at least 16 of them, more than half of the visits), at the first and then the second
-level. Pages that a rule decides are the labels. A template's purity is its smoothed share of blocked labels: a branch
-that does not differ from its parent by more than two standard errors is merged with it, otherwise its share is pulled
-towards the parent's by two pseudo-labels. Parents are, in turn, the template on any host, its first segment on any
-host, and all labels. Templates of purity over a half are rejected. Hot hosts and templates are pre-aggregated; only
-figures of templates are joined back.
+Every path is a branch of its host's tree, of any depth. A place of a branch is a wildcard where most segments there are
+different (at least 16 of them, more than half of the visits); what lies below it is one branch from then on, and the next
+level is counted on that. Digits alone prove nothing. Pages that a rule decides are the labels. A branch's purity is its
+smoothed share of blocked labels: a branch that does not differ from its parent by more than two standard errors is merged
+with it, otherwise its share is pulled towards the parent's by two pseudo-labels; a branch without labels is its parent. A
+page's purity comes from all labels down its template's branches on any host, then down its own host's branches. Templates
+of purity over a half are rejected. Hot hosts and pages are counted before they meet; only figures of branches are joined
+back, and adaptive execution splits what is left.
+
+Only depths at which some host has 16 different segments are looked at, one round each, so long chains of the same
+segments cost no rounds. A template's branches are spelled out once each, so its cost grows with the square of its depth.
 
 Defined results: null urls and those without ``://`` have an empty host and path, no rule, and are judged by the empty
 template; ties of equally long rules go by the rule's text; repeated rows are judged each for itself; without labels
 nothing is rejected; an empty table gives an empty one. Only page_id and url are read.
-
-``judge_urls`` and op8's SQL keep four segments and know no branch between a template and its first segment.
-``judge_by_tree`` is the whole tree, of any depth: every level is widened by the same test (digits alone prove nothing),
-and a page without labels backs off along its own host's branches, then along the same branches on any host.
 """
 
 from __future__ import annotations
@@ -50,76 +50,24 @@ def longest_rule(rules: tuple[tuple[str, str], ...]) -> Column:
     return chain
 
 
-def with_template(df: DataFrame) -> DataFrame:
-    """Adds first and template: up to four segments, variable ones as *, and ** for what is deeper."""
-    df = df.withColumn("__shape", F.regexp_replace("path", "/[^/]*[0-9][^/]*", "/*"))
-    df = df.withColumns({
-        "__s1": F.regexp_extract("__shape", "^(/[^/]*)", 1), "__s2": F.regexp_extract("__shape", "^/[^/]*(/[^/]*)", 1), "__tail": F.regexp_extract("__shape", "^/[^/]*/[^/]*((/[^/]*){0,2})", 1),
-        "__deep": F.when(F.col("__shape").rlike("^(/[^/]*){5}"), "/**").otherwise(""),
-    })
-
-    def widened(df: DataFrame, keys: list[str], level: str) -> DataFrame:
-        seen = df.groupBy(*keys, level).agg(F.count("*").alias("__c")).groupBy(*keys).agg(F.count("*").alias("__d"), F.sum("__c").alias("__n"))
-        wide = seen.filter((F.col("__d") >= DISTINCT) & (F.col("__d") * 2 > F.col("__n"))).select(*keys, F.lit(True).alias("__w"))
-        return df.join(wide, keys, "left").withColumn(level, F.when(F.col("__w") & (F.col(level) != ""), "/*").otherwise(F.col(level))).drop("__w")
-
-    df = widened(df, ["host"], "__s1")
-    df = widened(df, ["host", "__s1"], "__s2")
-    return df.withColumn("template", F.concat("__s1", "__s2", "__tail", "__deep")).withColumnRenamed("__s1", "first").drop("__shape", "__s2", "__tail", "__deep")
-
-
-def purity_tables(judged: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of rows host, first, template, label (1 blocked, 0 allowed, or null): the purity of each host's template that has a
-    label, and of each template on any host."""
-    leaf = judged.groupBy("host", "first", "template").agg(F.count("label").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("bad"))
-    total = judged.agg(F.count("label"), F.sum("label")).first()
-    root = ((total[1] or 0) + 0.5) / (total[0] + 1)
-    first = leaf.groupBy("first").agg(F.sum("n").alias("n1"), F.sum("bad").alias("b1")).select("first", ((F.col("b1") + F.lit(PSEUDO * root)) / (F.col("n1") + PSEUDO)).alias("r1"))
-
-    def smoothed(bad: str, n: str, parent: str) -> Column:
-        near = F.abs(F.col(bad) - F.col(n) * F.col(parent)) <= 2.0 * F.sqrt(F.col(n) * F.col(parent) * (1.0 - F.col(parent)))
-        return F.when(near, F.col(parent)).otherwise((F.col(bad) + PSEUDO * F.col(parent)) / (F.col(n) + PSEUDO))
-
-    anywhere = leaf.groupBy("first", "template").agg(F.sum("n").alias("n2"), F.sum("bad").alias("b2")).join(first, "first").select("template", smoothed("b2", "n2", "r1").alias("r2"))
-    own = leaf.filter("n > 0").join(anywhere, "template").select("host", "template", smoothed("bad", "n", "r2").alias("r3"))
-    return own, anywhere
-
-
-def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
-    """pages: page_id, url. Returns page_id, host, path, rule, verdict, template and purity."""
-    df = with_host_and_path(pages.select("page_id", "url")).withColumn("__rule", longest_rule(rules))
-    df = with_template(df.drop("url")).withColumn("label", F.when(F.col("__rule.verdict") == "block", 1).when(F.col("__rule.verdict") == "allow", 0))
-    own, anywhere = purity_tables(df)
-    return (
-        df.join(own, ["host", "template"], "left").join(anywhere, "template", "left")
-        .withColumn("purity", F.coalesce("r3", "r2"))
-        .select("page_id", "host", "path", F.col("__rule.rule").alias("rule"), F.coalesce(F.col("__rule.verdict"), F.when(F.col("purity") > 0.5, "block").otherwise("allow")).alias("verdict"), "template", "purity")
-    )
-
-
-def with_tree_template(paths: DataFrame) -> DataFrame:
-    """paths: distinct host and path, with visits. Adds template, of the path's own depth, level by level. A branch of fewer
-    than DISTINCT paths has no wide place below it, so its paths are settled as they are."""
+def with_template(paths: DataFrame) -> DataFrame:
+    """paths: distinct host and path, with visits. Adds template, of the path's own depth, one round for each depth that can
+    hold a wildcard."""
     checkpoint_ready(paths.sparkSession)
-    segments = F.when(F.col("path") == "", F.array().cast("array<string>")).otherwise(F.split(F.expr("substring(path, 2)"), "/"))
-    left, done, k = paths.withColumns({"__s": segments, "__p": F.lit("")}).checkpoint(), [], 0
-    while not left.isEmpty():
-        done.append(left.filter(F.size("__s") <= k).withColumn("template", F.col("__p")))
-        at = left.filter(F.size("__s") > k).withColumn("__at", F.get("__s", F.lit(k)))
-        branch = at.groupBy("host", "__p", "__at").agg(F.sum("visits").alias("__c"), F.count("*").alias("__n")).groupBy("host", "__p")
-        large = branch.agg(F.count("*").alias("__d"), F.sum("__c").alias("__v"), F.sum("__n").alias("__n")).filter(F.col("__n") >= DISTINCT)
-        large = large.select("host", "__p", ((F.col("__d") >= DISTINCT) & (F.col("__d") * 2 > F.col("__v"))).alias("__w"))
-        at = at.join(large, ["host", "__p"], "left").checkpoint()
-        done.append(at.filter(F.col("__w").isNull()).withColumn("template", F.concat("__p", F.lit("/"), F.array_join(F.slice("__s", k + 1, F.size("__s")), "/"))))
-        left = at.filter(F.col("__w").isNotNull()).withColumn("__p", F.concat("__p", F.lit("/"), F.when(F.col("__w"), "*").otherwise(F.col("__at")))).drop("__w", "__at")
-        k += 1
-    out = paths.withColumn("template", F.lit("")).limit(0)
-    for part in done:
-        out = out.unionByName(part.select(*out.columns))
-    return out
-
-
-def tree_purity(leaf: DataFrame) -> DataFrame:
+    rows = paths.withColumn("__s", F.when(F.col("path") == "", F.array().cast("array<string>")).otherwise(F.split(F.expr("substring(path, 2)"), "/"))).checkpoint()
+    places = rows.select("host", F.posexplode("__s").alias("__k", "__at")).distinct().groupBy("host", "__k").count()
+    depths = places.filter(F.col("count") >= DISTINCT).select("__k").distinct().collect()
+    for k in sorted(r[0] for r in depths):
+        rows = rows.withColumn("__branch", F.array_join(F.slice("__s", 1, k), "/") if k else F.lit(""))
+        seen = rows.filter(F.size("__s") > k).groupBy("host", "__branch", F.get("__s", F.lit(k)).alias("__at")).agg(F.sum("visits").alias("__c"))
+        wide = seen.groupBy("host", "__branch").agg(F.count("*").alias("__d"), F.sum("__c").alias("__v")).filter((F.col("__d") >= DISTINCT) & (F.col("__d") * 2 > F.col("__v")))
+        widened = F.concat(F.slice("__s", 1, k), F.array(F.lit("*")), F.slice("__s", F.lit(k + 2), F.size("__s")))
+        rows = rows.join(wide.select("host", "__branch", F.lit(True).alias("__w")), ["host", "__branch"], "left")
+        rows = rows.withColumn("__s", F.when(F.col("__w") & (F.size("__s") > k), widened).otherwise(F.col("__s"))).drop("__w", "__branch").checkpoint()
+    return rows.withColumn("template", F.when(F.size("__s") == 0, "").otherwise(F.concat(F.lit("/"), F.array_join("__s", "/")))).drop("__s")
+
+
+def template_purity(leaf: DataFrame) -> DataFrame:
     """Of rows host, template, n, bad: the purity of each host's template, from all labels down the branches on any host, and
     then down the host's own branches. Branches without labels say nothing."""
     total = leaf.agg(F.sum("n"), F.sum("bad")).first()
@@ -142,12 +90,12 @@ def tree_purity(leaf: DataFrame) -> DataFrame:
     return lines.withColumn("__any", down(F.lit(float(root)), "all_n", "all_bad")).select("host", "template", down(F.col("__any"), "n", "bad").alias("purity"))
 
 
-def judge_by_tree(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
-    """As judge_urls, by the whole tree."""
+def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
+    """pages: page_id, url. Returns page_id, host, path, rule, verdict, template and purity."""
     df = with_host_and_path(pages.select("page_id", "url")).withColumn("__rule", longest_rule(rules)).drop("url")
     label = F.when(F.col("__rule.verdict") == "block", 1).when(F.col("__rule.verdict") == "allow", 0)
-    paths = with_tree_template(df.groupBy("host", "path").agg(F.count("*").alias("visits"), F.count(label).alias("n"), F.coalesce(F.sum(label), F.lit(0)).alias("bad")))
-    purity = tree_purity(paths.groupBy("host", "template").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")))
+    paths = with_template(df.groupBy("host", "path").agg(F.count("*").alias("visits"), F.count(label).alias("n"), F.coalesce(F.sum(label), F.lit(0)).alias("bad")))
+    purity = template_purity(paths.groupBy("host", "template").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")))
     judged = paths.select("host", "path", "template").join(purity, ["host", "template"])
     return df.join(judged, ["host", "path"]).select(
         "page_id", "host", "path", F.col("__rule.rule").alias("rule"), F.coalesce(F.col("__rule.verdict"), F.when(F.col("purity") > 0.5, "block").otherwise("allow")).alias("verdict"), "template", "purity"
@@ -159,7 +107,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = """
-WITH p AS (
+WITH RECURSIVE p AS (
   SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages
 ), h AS (
   SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -169,38 +117,45 @@ WITH p AS (
     WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
     WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
     WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
-    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule,
-    regexp_replace(path, '/[^/]*[0-9][^/]*', '/*', 'g') AS shape FROM h
-), s AS (
-  SELECT *, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 1 WHEN rule IS NOT NULL THEN 0 END AS label,
-    regexp_extract(shape, '^(/[^/]*)', 1) AS a1, regexp_extract(shape, '^/[^/]*(/[^/]*)', 1) AS a2,
-    regexp_extract(shape, '^/[^/]*/[^/]*((/[^/]*){0,2})', 1) AS tail,
-    CASE WHEN regexp_matches(shape, '^(/[^/]*){5}') THEN '/**' ELSE '' END AS deep FROM r
-), w1 AS (
-  SELECT host FROM s GROUP BY host HAVING count(DISTINCT a1) >= 16 AND count(DISTINCT a1) * 2 > count(*)
-), s1 AS (
-  SELECT s.*, CASE WHEN w1.host IS NOT NULL AND a1 <> '' THEN '/*' ELSE a1 END AS b1 FROM s LEFT JOIN w1 ON s.host = w1.host
-), w2 AS (
-  SELECT host, b1 FROM s1 GROUP BY host, b1 HAVING count(DISTINCT a2) >= 16 AND count(DISTINCT a2) * 2 > count(*)
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM h
+), l AS (
+  SELECT *, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 1 WHEN rule IS NOT NULL THEN 0 END AS label FROM r
+), walk AS (
+  SELECT host, path, count(*) AS visits, count(label)::DOUBLE AS n, coalesce(sum(label), 0)::DOUBLE AS bad,
+         CASE WHEN path = '' THEN []::VARCHAR[] ELSE string_split(substr(path, 2), '/') END AS s, 0 AS k, '' AS template
+  FROM l GROUP BY host, path
+  UNION ALL
+  SELECT host, path, visits, n, bad, s, k + 1, concat(template, '/', CASE WHEN d >= 16 AND d * 2 > v THEN '*' ELSE s[k + 1] END)
+  FROM (SELECT *, count(DISTINCT s[k + 1]) OVER (PARTITION BY host, template) AS d, sum(visits) OVER (PARTITION BY host, template) AS v
+        FROM walk WHERE len(s) > k) x
 ), t AS (
-  SELECT s1.page_id, s1.host, s1.path, s1.rule, s1.label, s1.b1 AS first,
-    concat(s1.b1, CASE WHEN w2.host IS NOT NULL AND a2 <> '' THEN '/*' ELSE a2 END, tail, deep) AS template
-  FROM s1 LEFT JOIN w2 ON s1.host = w2.host AND s1.b1 = w2.b1
+  SELECT host, path, n, bad, template FROM walk WHERE k = len(s)
 ), leaf AS (
-  SELECT host, first, template, count(label)::DOUBLE AS n, coalesce(sum(label), 0)::DOUBLE AS bad FROM t GROUP BY ALL
-), root AS (
-  SELECT (coalesce(sum(bad), 0) + 0.5::DOUBLE) / (coalesce(sum(n), 0) + 1) AS r0 FROM leaf
-), f AS (
-  SELECT first, (sum(bad) + 2.0::DOUBLE * any_value(r0)) / (sum(n) + 2.0::DOUBLE) AS r1 FROM leaf CROSS JOIN root GROUP BY first
-), a AS (
-  SELECT template, CASE WHEN abs(b - n * r1) <= 2.0::DOUBLE * sqrt(n * r1 * (1.0::DOUBLE - r1)) THEN r1 ELSE (b + 2.0::DOUBLE * r1) / (n + 2.0::DOUBLE) END AS r2
-  FROM (SELECT first, template, sum(n) AS n, sum(bad) AS b FROM leaf GROUP BY ALL) x JOIN f USING (first)
-), o AS (
-  SELECT host, template, CASE WHEN abs(bad - n * r2) <= 2.0::DOUBLE * sqrt(n * r2 * (1.0::DOUBLE - r2)) THEN r2 ELSE (bad + 2.0::DOUBLE * r2) / (n + 2.0::DOUBLE) END AS r3
-  FROM leaf JOIN a USING (template) WHERE n > 0
+  SELECT host, template, sum(n) AS n, sum(bad) AS bad,
+         CASE WHEN template = '' THEN []::VARCHAR[] ELSE string_split(substr(template, 2), '/') END AS b FROM t GROUP BY host, template
+), spread AS (
+  SELECT host, template, n, bad, depth, CASE WHEN depth = 0 THEN '' ELSE concat('/', array_to_string(b[1:depth], '/')) END AS branch
+  FROM (SELECT *, unnest(range(0, len(b) + 1)) AS depth FROM leaf) y
+), own AS (
+  SELECT host, depth, branch, sum(n) AS n, sum(bad) AS bad FROM spread GROUP BY ALL
+), anywhere AS (
+  SELECT depth, branch, sum(n) AS n, sum(bad) AS bad FROM own GROUP BY ALL
+), lines AS (
+  SELECT s.host, s.template, s.depth, o.n, o.bad, a.n AS all_n, a.bad AS all_bad
+  FROM spread s JOIN own o USING (host, depth, branch) JOIN anywhere a USING (depth, branch)
+), down AS (
+  SELECT host, template, 0 AS depth, (coalesce(sum(bad) OVER (), 0) + 0.5::DOUBLE) / (coalesce(sum(n) OVER (), 0) + 1) AS q, len(b) + 1 AS levels FROM leaf
+  UNION ALL
+  SELECT d.host, d.template, d.depth + 1,
+    CASE WHEN m.n = 0 OR abs(m.bad - m.n * q) <= 2.0::DOUBLE * sqrt(m.n * q * (1.0::DOUBLE - q)) THEN q
+         ELSE (m.bad + 2.0::DOUBLE * q) / (m.n + 2.0::DOUBLE) END, levels
+  FROM down d JOIN (
+    SELECT host, template, 0 AS part, depth, all_n AS n, all_bad AS bad FROM lines
+    UNION ALL SELECT host, template, 1, depth, n, bad FROM lines
+  ) m ON m.host = d.host AND m.template = d.template AND m.part * levels + m.depth = d.depth
 )
-SELECT t.page_id, t.host, t.path, t.rule,
-  CASE WHEN t.rule IN ('net/', 'example.com/de/') THEN 'block' WHEN t.rule IS NOT NULL THEN 'allow'
-       WHEN coalesce(o.r3, a.r2) > 0.5 THEN 'block' ELSE 'allow' END AS verdict, t.template
-FROM t LEFT JOIN o ON t.host = o.host AND t.template = o.template LEFT JOIN a ON t.template = a.template
+SELECT l.page_id, l.host, l.path, l.rule,
+  CASE WHEN l.rule IN ('net/', 'example.com/de/') THEN 'block' WHEN l.rule IS NOT NULL THEN 'allow' WHEN q > 0.5 THEN 'block' ELSE 'allow' END AS verdict,
+  t.template
+FROM l JOIN t USING (host, path) JOIN down ON down.host = t.host AND down.template = t.template AND down.depth = 2 * levels
 """

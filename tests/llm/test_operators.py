@@ -398,13 +398,74 @@ def test_url_tree(spark):
     urls = [f"http://h.org/a/b/c/d/{kind}/{name}{chr(97 + i)}" for kind in ("casino", "news") for name in "xy" for i in range(20)]
     urls += [f"http://h.org/shop/item/{name}{chr(97 + i)}" for name in "xy" for i in range(20)] + [f"http://o.org/shop/help/{i}" for i in range(90)] + ["http://h.org/v1/p", "http://h.org/v2/p", "http://h.org", None]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
-    got = {urls[r.page_id]: (r.rule, r.verdict, r.template) for r in url_filter.judge_by_tree(pages, rules).collect()}
+    got = {urls[r.page_id]: (r.rule, r.verdict, r.template) for r in url_filter.judge_urls(pages, rules).collect()}
     assert len(got) == len(urls)
     assert got["http://h.org/a/b/c/d/casino/yc"] == (None, "block", "/a/b/c/d/casino/*")
     assert got["http://h.org/a/b/c/d/news/yc"] == (None, "allow", "/a/b/c/d/news/*")
     assert got["http://h.org/shop/item/yc"] == (None, "block", "/shop/item/*")
     assert got["http://h.org/v1/p"][2] == "/v1/p" and got["http://h.org"][2] == ""
-    assert url_filter.judge_by_tree(spark.createDataFrame([], "page_id long, url string")).count() == 0
+    assert url_filter.judge_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def plain_tree(urls, rules):
+    """The whole tree by plain recursion: template and verdict of each url."""
+    cut, labels = [], []
+    for url in urls:
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        path = re.match(r"[^/?#]*([^?#]*)", rest)[1]
+        host = re.match(r"[^/?#]*", rest)[0].lower()
+        fits = [(v, r) for v, r in rules if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith(r[r.index("/"):])]
+        cut.append((host, path))
+        labels.append(None if not fits else int(max(fits, key=lambda x: len(x[1]))[0] == "block"))
+    template = {}
+
+    def settle(members, k, name):
+        for m in members:
+            if len(m[1]) == k:
+                template[m[0]] = name
+        deeper = [m for m in members if len(m[1]) > k]
+        heads = {m[1][k] for m in deeper}
+        if len(heads) >= 16 and 2 * len(heads) > sum(m[2] for m in deeper):
+            settle(deeper, k + 1, name + "/*")
+        else:
+            for head in heads:
+                settle([m for m in deeper if m[1][k] == head], k + 1, f"{name}/{head}")
+
+    visits = collections.Counter(cut)
+    for host in {h for h, _ in cut}:
+        settle([((h, p), p.split("/")[1:], n) for (h, p), n in visits.items() if h == host], 0, "")
+
+    def line(c):
+        parts = template[c].split("/")
+        return ["/".join(parts[:i]) for i in range(1, len(parts) + 1)]
+
+    seen, known = collections.defaultdict(lambda: [0, 0]), [x for x in labels if x is not None]
+    for c, label in zip(cut, labels):
+        for branch in line(c) if label is not None else []:
+            for key in (branch, (c[0], branch)):
+                seen[key][0] += 1
+                seen[key][1] += label
+    out = []
+    for c, label in zip(cut, labels):
+        q = (sum(known) + 0.5) / (len(known) + 1)
+        for key in [*line(c), *((c[0], b) for b in line(c))]:
+            n, bad = seen[key]
+            if n and abs(bad - n * q) > 2 * (n * q * (1 - q)) ** 0.5:
+                q = (bad + 2 * q) / (n + 2)
+        out.append((template[c], ("allow", "block")[(q > 0.5) if label is None else label]))
+    return out
+
+
+def test_url_tree_brute(spark):
+    """Ties, repeated rows, wildcards below wildcards, chains, a literal star, long urls, nulls, clashing columns."""
+    pick = random.Random(5)
+    urls = [f"http://{pick.choice('abc')}.{pick.choice(('com', 'org'))}/{pick.choice('xyz')}/{pick.randrange(90)}/{pick.choice('pq')}/{pick.randrange(40)}" for _ in range(700)]
+    urls += ["http://t.org" + "/a" * k for k in range(60)] + ["http://L.org" + "/b" * 700] * 2 + ["http://a.com/*/x", "http://a.com/", "http://a.com//", "", None, "none", "http://a.com/x/1?y#z"] * 3
+    rules = (("block", "a.com/x/"), ("allow", "b.org/x/"), ("block", "org/y/"), ("allow", "com/z/"))
+    pages = spark.createDataFrame([(i, u, "other", "own") for i, u in enumerate(urls)], "page_id long, url string, template string, __s string")
+    got = {r.page_id: (r.template, r.verdict) for r in url_filter.judge_urls(pages, rules).collect()}
+    want = plain_tree(urls, rules)
+    assert got == dict(enumerate(want)) and len({v for t, v in want if "*" in t}) == 2
 
 
 def test_url_rules(spark):
