@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 from .decontaminate import op9_decontaminate
+from .filter_audit import SQL as AUDIT_SQL
+from .filter_audit import op11_filter_audit
+from .merkle_manifest import SQL as MANIFEST_SQL
+from .merkle_manifest import op12_merkle_manifest
 from .ngram_join import op2_ngram_join
 from .ogg import op7_media
 from .packing import op5_packing
@@ -25,6 +29,8 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_decontaminate": op9_decontaminate,
     "op10_toxicity": op10_toxicity,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
-ORACLES: dict[str, str] = {"op8_url_filter": URL_SQL}
+ORACLES: dict[str, str] = {"op8_url_filter": URL_SQL, "op11_filter_audit": AUDIT_SQL, "op12_merkle_manifest": MANIFEST_SQL}
