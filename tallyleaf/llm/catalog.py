@@ -10,6 +10,7 @@ from .merkle_manifest import op12_merkle_manifest
 from .ngram_join import op2_ngram_join
 from .ogg import op7_media
 from .packing import op5_packing
+from .perplexity import op13_quality_rules
 from .pii import op1_personal_data
 from .secrets import op6_secrets
 from .suffix_dedup import op3_suffix_dedup
@@ -31,6 +32,7 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
     "op11_filter_audit": op11_filter_audit,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_quality_rules": op13_quality_rules,
 }
 
 ORACLES: dict[str, str] = {"op8_url_filter": URL_SQL, "op11_filter_audit": AUDIT_SQL, "op12_merkle_manifest": MANIFEST_SQL}

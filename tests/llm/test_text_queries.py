@@ -25,7 +25,7 @@ def test_runs(spark, name):
 
 
 def test_names():
-    assert sorted(int(n[2:].split("_")[0]) for n in catalog.QUERIES) == list(range(1, 13))
+    assert sorted(int(n[2:].split("_")[0]) for n in catalog.QUERIES) == list(range(1, 14))
 
 
 def test_pipeline(spark, tmp_path):
