@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NUMBER = r"[+-]?[0-9]+(?:\.[0-9]+)?"
+NUMBER = r"[+-]?(?:[0-9]+(?:\.[0-9]+)?|\.[0-9]+)"
 LITERAL = r"[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)"
 #: Words, in two languages.
 SCORE_WORDS = r"(?i)^\s*(?:score|answer|rating|评分|答案)\s*[:=：]?\s*"

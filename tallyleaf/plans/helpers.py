@@ -1,12 +1,12 @@
-"""Queries on the vectorised helpers. SQL cannot express most of them; tests compare those with plain Python."""
+"""Queries on the vectorised helpers and on whole replies. Where SQL cannot express one, tests compare it with plain Python."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from tallyleaf.functions import helpers as h
-from tallyleaf.functions.reply import READABLE, decode_replies
 from tallyleaf.operators import decode
+from tallyleaf.operators.replies import READABLE, decode_whole
 from tallyleaf.registry import query
 from tallyleaf.sources.fixtures import view, with_views
 
@@ -100,28 +100,71 @@ def _archive(spark, d):
 
 def _decoded(spark, d):
     """The archive's answers, put back in source order by the saved permutation."""
-    decoded = decode_replies(_archive(spark, d))
+    decoded = decode_whole(_archive(spark, d), ["trial", "shuffle_order"])
     places = F.sequence(F.lit(1), F.size("shuffle_order"))
     return decoded.withColumn("answers", F.transform(places, lambda k: F.element_at("answers", F.array_position("shuffle_order", k).cast("int"))))
 
 
-@query("g2_archive_decode", with_views("""SELECT trial, count(*) AS items, count(CASE WHEN response_type = 'text' OR kind IN (0, 1, 2, 6) THEN 1 END) AS read FROM (SELECT trial, item_no, response_type, CASE WHEN (line + partkey) % 7 = 6 THEN 6 ELSE (line + partkey) % 7 END AS kind FROM items_v) x GROUP BY trial"""))
+#: What the bodies of the archive say for slots from 1 to 7, item by item.
+READ = """r AS (SELECT trial, item_no, response_type, kind, said, CASE WHEN response_type = 'text' THEN 'text_response' WHEN kind = 1 THEN 'range_response' WHEN kind = 3 THEN 'range_unresolved' WHEN kind IN (4, 5) THEN 'unparsed'
+  WHEN said BETWEEN 1 AND 7 THEN 'parsed' ELSE 'out_of_range' END AS status FROM (SELECT trial, item_no, response_type, (line + partkey) % 7 AS kind, CASE (line + partkey) % 7 WHEN 0 THEN partkey % 45 WHEN 2 THEN partkey % 9 WHEN 6 THEN partkey % 8 END AS said FROM items_v) x)"""
+SCORED = "CASE WHEN status IN ('parsed', 'out_of_range') THEN CAST(said AS DOUBLE) END"
+
+
+@query("g2_archive_decode", with_views(f"""WITH {READ} SELECT trial, count(*) AS items, count(CASE WHEN status NOT IN ('unparsed', 'range_unresolved') THEN 1 END) AS read,
+ CASE count(CASE WHEN status NOT IN ('unparsed', 'range_unresolved') THEN 1 END) WHEN count(*) THEN 'ok' WHEN 0 THEN 'unparsed' ELSE 'partial' END AS parse_status,
+ string_agg(concat(item_no, '=', coalesce(CAST(CAST({SCORED} AS INT) AS VARCHAR), '-'), ' ', status), ', ' ORDER BY item_no) AS answers FROM r GROUP BY trial"""))
 def g2(spark, d):
-    decoded = _decoded(spark, d)
-    return decoded.select("trial", F.size("answers").cast("long").alias("items"), F.size(F.filter("answers", lambda a: a["status"].isin(*READABLE))).cast("long").alias("read"))
+    """Every trial's reply: how many items there are and could be read, the reply's status, and each answer's score and status in source order."""
+    told = F.transform("answers", lambda a: F.concat(F.substring(a["slot_id"], 2, 9), F.lit("="), F.coalesce(a["score"].cast("int").cast("string"), F.lit("-")), F.lit(" "), a["status"]))
+    read = F.size(F.filter("answers", lambda a: a["status"].isin(*READABLE))).cast("long")
+    return _decoded(spark, d).select("trial", F.size("answers").cast("long").alias("items"), read.alias("read"), "parse_status", F.array_join(told, ", ").alias("answers"))
 
 
-@query("f23_evidence_ladder")
+@query("f23_evidence_ladder", with_views(f"WITH {READ} SELECT CASE trial % 3 WHEN 0 THEN 'local_number' WHEN 1 THEN 'source_number' ELSE 'question' END AS method, status, count(*) AS n FROM r GROUP BY ALL"))
 def f23(spark, d):
     decoded = _decoded(spark, d).select(F.explode("answers").alias("a"))
     return decoded.groupBy("a.method", "a.status").agg(F.count("*").alias("n"))
 
 
-@query("f24_answer_bodies")
+@query("f24_answer_bodies", with_views(f"WITH {READ} SELECT trial, item_no, {SCORED} AS score, CASE WHEN status = 'range_response' THEN 3.0::DOUBLE END AS lower, CASE WHEN status = 'range_response' THEN 5.0::DOUBLE END AS upper, status FROM r"))
 def f24(spark, d):
     return _decoded(spark, d).select("trial", F.posexplode("answers").alias("p", "a")).select("trial", (F.col("p") + 1).alias("item_no"), "a.score", "a.lower", "a.upper", "a.status")
 
 
+FORMS = 9
+
+
+@query("ud1_reply_forms", with_views(f"""WITH x AS (SELECT trial, item_no, partkey % 50 AS said, trial % {FORMS} AS form, count(*) OVER (PARTITION BY trial) AS n FROM items_v),
+ a AS (SELECT *, CASE WHEN form = 7 AND n = 1 THEN 'unparsed' WHEN form = 7 OR (form = 6 AND n > 1) THEN 'missing' WHEN form = 8 AND item_no = 1 THEN 'duplicate_display_index' WHEN said BETWEEN 1 AND 40 THEN 'parsed' ELSE 'out_of_range' END AS status FROM x)
+ SELECT trial, item_no, CASE WHEN status IN ('parsed', 'out_of_range') THEN CAST(said AS DOUBLE) END AS score, status,
+ CASE WHEN form = 7 THEN 'refusal' WHEN form = 6 AND n > 1 OR form = 8 AND n = 1 THEN 'unparsed' WHEN form = 8 THEN 'partial' ELSE 'ok' END AS parse_status, CASE WHEN form IN (0, 1, 2, 8) THEN 'json' WHEN form = 3 THEN 'json_lines' END AS recovery FROM a"""))
+def ud1(spark, d):
+    """Whole replies in all forms: JSON sheets in three envelopes, JSON lines, a table, sections that slots have and that they
+    do not have, a refusal, and a sheet that says an item twice."""
+    rows = view(spark, d, "items_v").select("trial", "item_no", (F.col("partkey") % 50).alias("said"))
+    nested = rows.groupBy("trial").agg(F.array_sort(F.collect_list(F.struct("item_no", "said"))).alias("l")).withColumns({"form": F.pmod("trial", F.lit(FORMS)), "half": F.ceil(F.size("l") / 2).cast("int")})
+    text = lambda c: c.cast("string")
+    join = lambda f, sep: F.array_join(F.transform("l", f), sep)
+    listed = lambda x: F.concat(F.lit('{"display_index": '), text(x["item_no"]), F.lit(', "answer": '), text(x["said"]), F.lit("}"))
+    after = lambda x: F.when(x["item_no"] > F.col("half"), x["item_no"] - F.col("half")).otherwise(x["item_no"])
+    part = lambda x: F.when(x["item_no"] == 1, "Section A\n").when(x["item_no"] == F.col("half") + 1, "Section B\n").otherwise("")
+    sections = join(lambda x: F.concat(part(x), text(after(x)), F.lit(". "), text(x["said"])), "\n")
+    form = F.col("form")
+    reply = (
+        F.when(form == 0, F.concat(F.lit('{"answers": ['), join(listed, ", "), F.lit("]}")))
+        .when(form == 1, F.concat(F.lit("```json\n{"), join(lambda x: F.concat(F.lit('"'), text(x["item_no"]), F.lit('": '), text(x["said"])), ", "), F.lit("}\n```")))
+        .when(form == 2, F.concat(F.lit("["), join(lambda x: text(x["said"]), ","), F.lit("]")))
+        .when(form == 3, join(lambda x: F.concat(F.lit('{"slot_id": "s'), text(x["item_no"]), F.lit('", "answer": "'), text(x["said"]), F.lit('"}')), "\n"))
+        .when(form == 4, F.concat(F.lit("| No | Topic | Answer |\n|---|---|---|\n"), join(lambda x: F.concat(F.lit("| "), text(x["item_no"]), F.lit(" | of the day | "), text(x["said"]), F.lit(" |")), "\n")))
+        .when(form.isin(5, 6), sections).when(form == 7, "I cannot provide scores for this.")
+        .otherwise(F.concat(F.lit('{"answers": [{"display_index": 1, "answer": 3}, '), join(listed, ", "), F.lit("]}")))
+    )
+    slot = lambda x: F.struct(F.concat(F.lit("s"), text(x["item_no"])).alias("slot_id"), F.lit("").alias("question"), F.lit("integer").alias("response_type"), F.lit(1.0).alias("minimum"), F.lit(40.0).alias("maximum"), F.array().cast("array<string>").alias("choices"), F.when(form == 5, F.when(x["item_no"] > F.col("half"), "B").otherwise("A")).alias("section"))
+    decoded = decode_whole(nested.select("trial", reply.alias("reply"), F.transform("l", slot).alias("slots")), ["trial"])
+    return decoded.select("trial", F.posexplode("answers").alias("p", "a"), "parse_status", "recovery").select("trial", (F.col("p") + 1).alias("item_no"), "a.score", "a.status", "parse_status", "recovery")
+
+
 @query("g4_answer_type_matrix", with_views("SELECT slot_id, 5 AS cases, 0 AS failed FROM slots_v"))
 def g4(spark, d):
     """Canonical answers of every slot must decode to themselves."""
@@ -132,7 +175,7 @@ def g4(spark, d):
     cases = F.array(case(F.lit("1"), F.lit(1.0), "parsed"), case(text(top), top, "parsed"), case(text((top + 1) / 2), F.round((top + 1) / 2, 1), "parsed"), case(text(top + 5), top + 5, "out_of_range"), case(F.concat(F.lit("1-"), text(top)), none, "range_response"))
     rows = view(spark, d, "slots_v").select("slot_id", "maximum", F.posexplode(cases).alias("case_no", "c"))
     slot = F.struct(F.col("slot_id").alias("slot_id"), F.lit("").alias("question"), F.lit("number").alias("response_type"), F.lit(1.0).alias("minimum"), top.alias("maximum"), F.array().cast("array<string>").alias("choices"))
-    decoded = decode_replies(rows.select("slot_id", "case_no", F.col("c.expected").alias("expected"), F.col("c.status").alias("wanted"), F.concat(F.lit("1. "), "c.body").alias("reply"), F.array(slot).alias("slots")))
+    decoded = decode_whole(rows.select("slot_id", "case_no", F.col("c.expected").alias("expected"), F.col("c.status").alias("wanted"), F.concat(F.lit("1. "), "c.body").alias("reply"), F.array(slot).alias("slots")), ["slot_id", "case_no", "expected", "wanted"])
     a = F.get("answers", F.lit(0))
     good = a["status"].eqNullSafe(F.col("wanted")) & a["score"].eqNullSafe(F.col("expected"))
     return decoded.groupBy("slot_id").agg(F.count("*").cast("int").alias("cases"), F.count_if(~good).cast("int").alias("failed"))

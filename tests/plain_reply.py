@@ -1,21 +1,15 @@
-"""Whole-reply decoding: one reply with its slots in, one typed answer per slot out, without guessing. One pass per reply in
-an Arrow batch; slots stay an array of the reply's row, so nothing is shuffled."""
+"""Whole-reply decoding of prose and bare tokens in plain Python, to compare the library's job with: one reply with its slots
+in, one typed answer for each slot out."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import types as T
 
 from tallyleaf.functions.helpers import _QUOTES, _choice
-from tallyleaf.functions.schema import struct
 
 READABLE = ("parsed", "out_of_range", "text_response", "range_response", "range_out_of_range")
-_NUMBER = re.compile(r"[+-]?\d+(?:\.\d+)?")
-_OPENER = re.compile(r"\s*(\d+)[.)、]\s*(.*)")
+_NUMBER = re.compile(r"[+-]?(?:\d+(?:\.\d+)?|\.\d+)")
+_OPENER = re.compile(r"\s*(\d+)[.)、](?!\d)\s*(.*)")
 _RANGE = re.compile(r"(?i)(?:between\s+|from\s+|\[)?\s*([+-]?\d+(?:\.\d+)?)\s*%?\s*(?:-|–|~|to\b|and\b|,|到|至)\s*([+-]?\d+(?:\.\d+)?)\s*%?\]?")
 _TAIL = re.compile(r"(?i)\s*(?:[.;!)。]|points?|分)*\s*(?:(?:because|since|due|,? as)\b.*)?$", re.S)
 _SCORE = re.compile(r"(?i)\s*(?:score|answer|rating|评分|答案)\s*[:=：]?\s*")
@@ -27,8 +21,6 @@ _CHOOSES = re.compile(r"(?i)^(?:\b(?:I\s+)?(?:choose|select|pick|answer|response
 _CHINESE = re.compile(r"[\u4e00-\u9fff]")
 _BREAK = re.compile(r"[:：→]|[—–]")
 
-ANSWER = struct("slot_id string, answer string, score double, lower double, upper double, status string, method string")
-
 
 def read_number(body: str, maximum: float | None = None):
     """(value, interval, status) of an answer body."""
@@ -245,17 +237,3 @@ def decode_reply(text: str | None, slots: list[dict]) -> tuple[list[dict], str,
             answers.append((read or mine or [b])[0])
     n = sum(a["status"] in READABLE for a in answers)
     return answers, "ok" if n == len(answers) else "partial" if n else "unparsed", recovery
-
-
-def decode_replies(replies: DataFrame, reply: str = "reply", slots: str = "slots") -> DataFrame:
-    """Adds answers, parse_status and recovery to rows with a reply and its array of slots in display order (slot_id,
-    question, response_type, minimum, maximum, choices; and where there are such source_no, linked_slot_id, labels)."""
-    kept = [f for f in replies.schema.fields if f.name not in ("answers", "parse_status", "recovery")]
-    schema = T.StructType([*kept, T.StructField("answers", T.ArrayType(ANSWER)), T.StructField("parse_status", T.StringType()), T.StructField("recovery", T.StringType())])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [decode_reply(t, [dict(s) if not isinstance(s, dict) else s for s in ss]) for t, ss in zip(pdf[reply], pdf[slots], strict=True)]
-            yield pdf.assign(answers=[a for a, _, _ in rows], parse_status=[s for _, s, _ in rows], recovery=[r for _, _, r in rows])
-
-    return replies.select(*[f.name for f in kept]).mapInPandas(run, schema)

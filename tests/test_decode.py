@@ -1,10 +1,11 @@
-"""Small replies and the answers they give, for each rule of whole-reply decoding and of the value functions."""
+"""Small replies and the answers they give, for each rule of whole-reply decoding (the plain version, with which test_replies
+compares the library's job) and of the value functions."""
 
 import pytest
+from plain_reply import decode_reply
 from pyspark.sql import functions as F
 
 from tallyleaf.functions import values
-from tallyleaf.functions.reply import decode_reply
 
 
 def slot(k, kind="integer", low=1.0, high=7.0, choices=(), question=""):
