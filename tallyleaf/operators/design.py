@@ -114,8 +114,3 @@ def parameter_summary(resolved: DataFrame, keys: list[str]) -> DataFrame:
         F.count_if(F.col("effective").isNotNull() | (F.col("source") == "explicitly_disabled")).alias("resolved"), F.count_if(F.col("source") == "provider_default_unknown").alias("unknown"),
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("source") == "observed", F.col("field")))), ",").alias("observed_fields"),
     )
-
-
-def config_messages(rules: list[tuple[Column, str]]) -> Column:
-    """All messages of the rules that are broken, in order."""
-    return F.array_compact(F.array(*[F.when(F.coalesce(broken, F.lit(False)), F.lit(message)) for broken, message in rules]))

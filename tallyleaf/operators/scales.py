@@ -35,41 +35,6 @@ def sheets(cells: DataFrame, keys: list[str], row: str, text: str) -> DataFrame:
     return rows.select(*keys, row, F.col("__kind").alias("cell_kind"), F.when(F.col("__kind") == "item", number).alias("item_no"), after.alias("cell_text"))
 
 
-def identify(names: DataFrame, name: str, exact: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
-    """Profile of each scale: an exact name first, then the first rule whose text occurs in the name. exact: name, profile,
-    as small as the list of known profiles."""
-    chain = F.lit(None).cast("string")
-    for part, profile in reversed(rules):
-        chain = F.when(F.contains(F.lower(name), F.lit(part)), profile).otherwise(chain)
-    return names.join(exact.withColumnRenamed("profile", "__e"), name, "left").withColumn("profile", F.coalesce("__e", chain)).drop("__e")
-
-
-def typed_slots(items: DataFrame, rules: DataFrame, sheet: list[str]) -> DataFrame:
-    """Items with the type and bounds of their profile's rule at that place; a sheet whose count differs from its profile's
-    is rejected as a whole."""
-    counts = items.groupBy(*sheet, "profile").agg(F.count("*").alias("__n"))
-    expected = rules.groupBy("profile").agg(F.count("*").alias("__want"))
-    good = counts.join(expected, "profile").filter("__n = __want").select(*sheet)
-    return items.join(good, sheet).join(rules, ["profile", "item_no"])
-
-
-def structure_error(slots: DataFrame, sheet: list[str], number: str, expected: Column) -> DataFrame:
-    """Why a sheet's numbering is wrong, or null: how many there are, and whether they are exactly 1..n."""
-    rows = slots.groupBy(*sheet).agg(F.count("*").alias("found"), F.count_distinct(number).alias("__d"), F.min(number).alias("__a"), F.max(number).alias("__b")).withColumn("expected", expected)
-    error = F.when(F.col("found") != F.col("expected"), "wrong count").when((F.col("__d") != F.col("found")) | (F.col("__a") != 1) | (F.col("__b") != F.col("found")), "wrong numbers")
-    return rows.withColumn("profile_error", error).drop("__d", "__a", "__b")
-
-
-def layout(slots: DataFrame, sheet: list[str]) -> DataFrame:
-    """The ordered (place, block, policy, slot) list of each sheet."""
-    return slots.groupBy(*sheet).agg(F.array_sort(F.collect_list(F.struct("slot_pos", "block_id", "shuffle_policy", "slot_id"))).alias("layout"))
-
-
-def compatible(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Whether two languages of a scale can share item orders."""
-    return left.join(right.withColumnRenamed("layout", "other"), key).select(key, (F.col("layout") == F.col("other")).alias("compatible"), F.size("layout").alias("slots"))
-
-
 def one_form(blocks: DataFrame, form: str, value: str, sheet: list[str], blocks_kept: int) -> DataFrame:
     """One form's rows; sheets that do not keep exactly so many blocks are left out."""
     rows = blocks.filter(F.col(form) == value)

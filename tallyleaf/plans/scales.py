@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyleaf.functions import values as v
-from tallyleaf.operators import design, scales
+from tallyleaf.operators import design, profiles, rules, scales
 from tallyleaf.registry import query
 from tallyleaf.sources.fixtures import view, with_views
 
@@ -60,34 +60,51 @@ def f14(spark, d):
     return scales.option_labels(s.withColumn("t", text), "slot_id", "t").select("slot_id", "label", "code")
 
 
-@query("j10_profiles", with_views("""SELECT slot_id, CASE question WHEN 'small ring' THEN 'ring_profile' ELSE CASE WHEN contains(lower(question), 'ring') THEN 'any_ring' WHEN contains(lower(question), 'red') THEN 'red_things' END END AS profile FROM slots_v"""))
+#: Profiles of the sheets below: exact names, then rules (all words, no words), then blocks of each layout.
+NAMED = {"Scale of pairs": "pair"}
+RULES = [("triple", ("circle", "inclusion"), ("dilemma",)), ("five", ("dilemma", "circle"), ())]
+LAYOUTS = [
+    ("pair", True, [("first", 1, "choice", None, None, ["A", "B"], "fixed"), ("rest", 1, "integer", 1.0, 7.0, None, "within")]),
+    ("triple", True, [("first", 2, "integer", 1.0, 5.0, None, "block"), ("rest", 1, "number", 0.0, 100.0, None, "block")]),
+    ("five", False, [("first", 1, "choice", None, None, ["YES", "NO"], "fixed"), ("rest", 4, "integer", -3.0, 3.0, None, "fixed")]),
+]
+SHEETS = """named AS (SELECT *, CASE WHEN sheet_name = 'Scale of pairs' THEN 'pair' WHEN sheet_name = 'Circle study' AND title <> 'no title' THEN 'triple' WHEN sheet_name = 'DILEMMA study of circles' THEN 'five' END AS profile FROM sheets_v),
+ lay (profile, block_no, block_id, slots, response_type, minimum, maximum, choices, policy, shuffled) AS (VALUES ('pair', 1, 'first', 1, 'choice', NULL, NULL, 'A,B', 'fixed', true), ('pair', 2, 'rest', 1, 'integer', 1, 7, NULL, 'within', true), ('triple', 1, 'first', 2, 'integer', 1, 5, NULL, 'block', true),
+  ('triple', 2, 'rest', 1, 'number', 0, 100, NULL, 'block', true), ('five', 1, 'first', 1, 'choice', NULL, NULL, 'YES,NO', 'fixed', false), ('five', 2, 'rest', 4, 'integer', -3, 3, NULL, 'fixed', false)),
+ sheet AS (SELECT DISTINCT trial, pair, language, profile FROM named WHERE profile IS NOT NULL),
+ block AS (SELECT s.trial, l.block_no, l.block_id, l.slots, (SELECT string_agg(number, ' ' ORDER BY number) FROM named n WHERE n.trial = s.trial AND n.block_no = l.block_no) AS numbers, (SELECT string_agg(i, ' ' ORDER BY i) FROM range(1, l.slots + 1) r(i)) AS want FROM sheet s JOIN lay l USING (profile)),
+ error AS (SELECT trial, block_no, concat(block_id, ': expected items 1 to ', slots, ', found ', coalesce(numbers, 'none')) AS m FROM block WHERE numbers IS DISTINCT FROM want UNION ALL SELECT DISTINCT trial, 9, concat('no block ', block_no) FROM named WHERE profile IS NOT NULL AND block_no > 2),
+ checked AS (SELECT s.*, (SELECT count(*) FROM named n WHERE n.trial = s.trial)::INT AS found, (SELECT sum(slots) FROM lay WHERE lay.profile = s.profile)::INT AS expected, coalesce((SELECT string_agg(m, '; ' ORDER BY block_no) FROM error e WHERE e.trial = s.trial), '') AS errors FROM sheet s)"""
+
+
+def _sheets(spark, d):
+    return view(spark, d, "sheets_v").withColumn("profile", profiles.profile_of(F.col("sheet_name"), F.col("title"), NAMED, RULES))
+
+
+def _checked(spark, d):
+    return profiles.check_sheets(_sheets(spark, d).drop("sheet_name", "title", "item_no"), spark.createDataFrame(LAYOUTS, profiles.LAYOUT), ["trial", "pair", "language"])
+
+
+@query("j10_profiles", with_views(f"WITH {SHEETS} SELECT trial, sheet_name, title, max(profile) AS profile FROM named GROUP BY ALL"))
 def j10(spark, d):
-    exact = spark.createDataFrame([("small ring", "ring_profile")], "question string, profile string")
-    return scales.identify(view(spark, d, "slots_v").select("slot_id", "question"), "question", exact, [("ring", "any_ring"), ("red", "red_things")]).select("slot_id", "profile")
+    return _sheets(spark, d).select("trial", "sheet_name", "title", "profile").distinct()
 
 
-@query("j9_typed_slots", with_views("""WITH i AS (SELECT scale_name, slot_pos AS item_no, slot_id, CASE WHEN scale_name IN ('scale_3', 'scale_4') THEN 'short' ELSE 'long' END AS profile FROM slots_v WHERE scale_name <> 'scale_4' OR slot_pos > 2),
- r AS (SELECT 'long' AS profile, CAST(n AS INT) AS item_no, CASE WHEN n % 2 = 0 THEN 'integer' ELSE 'choice' END AS response_type, CAST(n % 7 AS INT) AS maximum FROM range(1, 21) t(n) UNION ALL SELECT 'short', CAST(n AS INT), 'number', 5 FROM range(1, 21) t(n))
- SELECT slot_id, r.response_type, r.maximum FROM i JOIN r USING (profile, item_no) WHERE scale_name IN (SELECT scale_name FROM i GROUP BY scale_name HAVING count(*) = 20)"""))
+@query("j9_typed_slots", with_views(f"""WITH {SHEETS} SELECT trial, CAST(row_number() OVER (PARTITION BY trial ORDER BY n.block_no, number) AS INT) AS slot_pos, concat(block_id, '_', lpad(CAST(number AS VARCHAR), 3, '0')) AS slot_id, response_type,
+ CAST(minimum AS DOUBLE) AS minimum, CAST(maximum AS DOUBLE) AS maximum, choices, policy AS shuffle_policy FROM named n JOIN lay l ON n.profile = l.profile AND n.block_no = l.block_no WHERE trial IN (SELECT trial FROM checked WHERE errors = '')"""))
 def j9(spark, d):
-    n = F.col("item_no")
-    long = spark.range(1, 21).select(F.lit("long").alias("profile"), F.col("id").cast("int").alias("item_no"), F.when(F.col("id") % 2 == 0, "integer").otherwise("choice").alias("response_type"), (F.col("id") % 7).cast("int").alias("maximum"))
-    rules = long.unionByName(long.select(F.lit("short").alias("profile"), n, F.lit("number").alias("response_type"), F.lit(5).alias("maximum")))
-    items = view(spark, d, "slots_v").filter("scale_name <> 'scale_4' or slot_pos > 2").select("scale_name", F.col("slot_pos").alias("item_no"), "slot_id", F.when(F.col("scale_name").isin("scale_3", "scale_4"), "short").otherwise("long").alias("profile"))
-    return scales.typed_slots(items, rules, ["scale_name"]).select("slot_id", "response_type", "maximum")
+    return profiles.typed_slots(_checked(spark, d), ["trial"]).select("trial", "slot_pos", "slot_id", "response_type", "minimum", "maximum", F.when(F.col("choices").isNotNull(), F.array_join("choices", ",")).alias("choices"), "shuffle_policy")
 
 
-@query("a12_structure", with_views("""SELECT trial, count(*) AS found, CASE WHEN trial % 3 = 0 THEN 4 ELSE count(*) END AS expected,
- CASE WHEN count(*) <> CASE WHEN trial % 3 = 0 THEN 4 ELSE count(*) END THEN 'wrong count' WHEN count(DISTINCT line) <> count(*) OR min(line) <> 1 OR max(line) <> count(*) THEN 'wrong numbers' END AS profile_error FROM items_v GROUP BY trial"""))
+@query("a12_structure", with_views(f"WITH {SHEETS} SELECT trial, profile, found, expected, errors AS profile_error FROM checked"))
 def a12(spark, d):
-    return scales.structure_error(view(spark, d, "items_v"), ["trial"], "line", F.when(F.col("trial") % 3 == 0, F.lit(4).cast("long")).otherwise(F.col("found")))
+    return _checked(spark, d).select("trial", "profile", "found", "expected", F.array_join("errors", "; ").alias("profile_error"))
 
 
-@query("j6_layout_compatibility", with_views("""SELECT scale_name, scale_name NOT IN (SELECT scale_name FROM slots_v WHERE maximum > 49) AS compatible, CAST(count(*) AS INT) AS slots FROM slots_v GROUP BY scale_name"""))
+@query("j6_layout_compatibility", with_views(f"""WITH {SHEETS} SELECT a.pair, a.profile, CASE WHEN a.profile <> b.profile THEN 'different profiles' WHEN a.errors <> '' OR b.errors <> '' THEN 'a sheet differs from its profile' WHEN a.profile = 'five' THEN 'not to be shuffled' ELSE 'ok' END AS status
+ FROM checked a JOIN checked b ON a.pair = b.pair AND a.language = 'en' AND b.language = 'ch'"""))
 def j6(spark, d):
-    s = view(spark, d, "slots_v")
-    other = s.withColumn("shuffle_policy", F.when(F.col("maximum") > 49, "other").otherwise(F.col("shuffle_policy")))
-    return scales.compatible(scales.layout(s, ["scale_name"]), scales.layout(other, ["scale_name"]), "scale_name")
+    return profiles.pair_status(_checked(spark, d), "pair", "language", "en", "ch")
 
 
 @query("p9_one_form", with_views("""SELECT slot_id FROM slots_v WHERE size_policy = 'within' AND scale_name IN (SELECT scale_name FROM slots_v WHERE size_policy = 'within' GROUP BY scale_name HAVING count(DISTINCT block_id) = 3)"""))
@@ -216,8 +233,54 @@ def a14(spark, d):
     return design.parameter_summary(design.resolve_parameters(_settings(spark, d)), ["order_no"])
 
 
-@query("g7_config_checks", with_views("""SELECT order_no, concat_ws('; ', CASE WHEN temperature10 > 15 THEN 'temperature over 1.5' END, CASE WHEN condition_hash IS NULL AND temperature10 < 3 THEN 'no condition for a cold run' END, CASE WHEN provider = 'prov_2' AND temperature10 % 2 = 1 THEN 'setting ignored by provider' END) AS messages FROM plan_v"""))
+#: Rules of the query below: provider, prefix of models, field, status, the only modes, note.
+CAPABILITIES = (
+    ("*", "", "temperature", "supported", None, ""), ("*", "", "top_p", "supported", None, ""), ("*", "", "n", "supported", None, ""),
+    ("prov_0", "model_", "thinking_mode", "supported", None, ""), ("prov_0", "model_", "top_p", "unsupported", None, "fixed at 1"), ("prov_0", "MODEL_1", "top_p", "ignored", None, "while thinking"),
+    ("prov_0", "model_10", "seed", "supported", None, ""), ("prov_1", "", "temperature", "unsupported", None, ""), ("prov_1", "model_5", "reasoning_effort", "supported", "none", ""),
+    ("Prov_2", "model_2", "reasoning_effort", "supported", "none,low", ""), ("prov_2", "model_2", "thinking_budget", "conditional", None, ""), ("prov_2", "model_6", "top_k", "supported", None, ""),
+)
+#: provider, field, value, other, allowed values of the other, message.
+EXCLUSIONS = (
+    (None, "thinking_mode", "disabled", "reasoning_effort", None, "thinking_mode=disabled excludes reasoning_effort"), (None, "reasoning_effort", None, "thinking_budget", None, "reasoning_effort excludes thinking_budget"),
+    ("prov_0", "thinking_mode", "disabled", "top_p", "1", "top_p is fixed at 1 while thinking_mode=disabled"), (None, "tools", "on", "tools", None, "tools are not defined"),
+)
+#: Models whose thinking can be turned off.
+TURNS_OFF = (("prov_0", "model_"), ("prov_1", "model_5"), ("prov_2", "model_2"), ("prov_3", "model_11"))
+_text = lambda x: "NULL" if x is None else "'" + x + "'"
+_rows = lambda rows: ", ".join("(" + ", ".join(map(_text, r)) + ")" for r in rows)
+SETTING = {
+    "temperature": "CAST(order_no % 4 AS VARCHAR(9))", "top_p": "CASE WHEN order_no % 5 <> 0 THEN CAST(order_no % 3 AS VARCHAR(9)) END", "top_k": "CASE WHEN order_no % 7 = 0 THEN CAST(order_no % 2 AS VARCHAR(9)) END",
+    "seed": "CASE WHEN order_no % 11 = 0 THEN '-1' WHEN order_no % 11 = 1 THEN '7' END", "n": "CASE WHEN order_no % 13 = 0 THEN '1.5' WHEN order_no % 13 = 1 THEN '2' END",
+    "thinking_mode": "CASE order_no % 6 WHEN 0 THEN 'disabled' WHEN 1 THEN 'provider_default' WHEN 2 THEN 'enabled' END", "reasoning_effort": "CASE order_no % 8 WHEN 0 THEN 'none' WHEN 1 THEN 'high' WHEN 4 THEN 'low' END",
+    "thinking_budget": "CASE order_no % 9 WHEN 0 THEN '512' WHEN 1 THEN 'much' END", "tools": "CASE WHEN order_no % 17 = 0 THEN 'on' END",
+}
+_LOW = "CASE WHEN greatest IS NULL THEN concat('at least ', least) ELSE concat('from ', least, ' to ', greatest) END"
+
+
+@query("g7_config_checks", with_views(f"""WITH c AS (SELECT order_no, provider, model, order_no % 2 = 0 AS strict, {", ".join(f"{e} AS {f}" for f, e in SETTING.items())} FROM plan_v),
+ g AS (SELECT order_no, provider, model, strict, thinking_mode AS tm, field, value FROM (SELECT *, unnest([{", ".join(f"'{f}'" for f in SETTING)}]) AS field, unnest([{", ".join(SETTING)}]) AS value FROM c) x WHERE value IS NOT NULL),
+ cap (p, x, field, status, modes, note) AS (VALUES {_rows(CAPABILITIES)}), ex (p, field, value, other, allowed, message) AS (VALUES {_rows(EXCLUSIONS)}), off (p, x) AS (VALUES {_rows(TURNS_OFF)}),
+ bd (field, least, greatest, whole) AS (VALUES ('temperature', '0', '2', false), ('top_p', '0', '1', false), ('top_k', '1', NULL, true), ('seed', '0', NULL, true), ('n', '1', NULL, true), ('thinking_budget', '1', NULL, true)),
+ best AS (SELECT provider, model, arg_max(x, length(x)) AS x FROM (SELECT DISTINCT provider, model FROM c) m JOIN cap ON lower(p) = lower(provider) AND starts_with(lower(model), lower(x)) GROUP BY ALL),
+ gx AS (SELECT g.*, best.x FROM g LEFT JOIN best USING (provider, model)),
+ said AS (
+  SELECT order_no, 1 AS o, concat(field, ' must be ', CASE WHEN whole THEN 'a whole number ' ELSE 'a number ' END, {_LOW}) AS m FROM g JOIN bd USING (field)
+   WHERE TRY_CAST(value AS DOUBLE) IS NULL OR (whole AND value LIKE '%.%') OR TRY_CAST(value AS DOUBLE) < CAST(least AS DOUBLE) OR TRY_CAST(value AS DOUBLE) > CAST(greatest AS DOUBLE)
+  UNION ALL SELECT order_no, 2, CASE st WHEN 'unsupported' THEN concat(field, ' is not supported by ', provider, '/', model, CASE WHEN note <> '' THEN concat(': ', note) ELSE '' END) WHEN 'ignored' THEN concat(field, ' is ignored by ', provider, '/', model, ': ', note)
+   WHEN 'unknown' THEN concat(field, ' is not verified by ', provider, '/', model) ELSE concat(field, ' takes only ', replace(modes, ',', ', '), ' by ', provider, '/', model) END
+   FROM (SELECT gx.*, coalesce(a.status, b.status, 'unknown') AS st, coalesce(a.note, b.note) AS note, a.modes FROM gx LEFT JOIN cap a ON lower(a.p) = lower(provider) AND a.x = gx.x AND a.field = gx.field LEFT JOIN cap b ON b.p = '*' AND b.field = gx.field WHERE gx.x IS NOT NULL) y
+   WHERE (st = 'unsupported' OR (st IN ('ignored', 'unknown') AND strict) OR (st IN ('supported', 'conditional') AND NOT list_contains(string_split(modes, ','), value))) AND NOT (field = 'thinking_mode' AND value = 'provider_default')
+  UNION ALL SELECT a.order_no, 3, message FROM g a JOIN ex ON a.field = ex.field AND (p IS NULL OR p = a.provider) AND (ex.value IS NULL OR ex.value = a.value) JOIN g b ON a.order_no = b.order_no AND b.field = other WHERE allowed IS NULL OR b.value <> allowed
+  UNION ALL SELECT order_no, 4, concat('thinking_mode can not be disabled for ', provider, '/', model) FROM g WHERE field = 'thinking_mode' AND value = 'disabled' AND NOT EXISTS (SELECT 1 FROM off WHERE p = g.provider AND starts_with(g.model, off.x))
+  UNION ALL SELECT DISTINCT order_no, 5, concat(provider, '/', model, ' is not registered') FROM gx WHERE strict AND x IS NULL)
+ SELECT order_no, coalesce(string_agg(m, '; ' ORDER BY o, m), '') AS messages FROM c LEFT JOIN (SELECT DISTINCT * FROM said) s USING (order_no) GROUP BY order_no"""))
 def g7(spark, d):
-    t = F.col("temperature10")
-    rules = [(t > 15, "temperature over 1.5"), (F.col("condition_hash").isNull() & (t < 3), "no condition for a cold run"), ((F.col("provider") == "prov_2") & (t % 2 == 1), "setting ignored by provider")]
-    return view(spark, d, "plan_v").select("order_no", F.array_join(design.config_messages(rules), "; ").alias("messages"))
+    p = view(spark, d, "plan_v")
+    settings = F.map_from_arrays(F.array(*[F.lit(f) for f in SETTING]), F.array(*[F.expr(e.replace("VARCHAR(9)", "STRING")) for e in SETTING.values()]))
+    configs = p.select("order_no", "provider", "model", settings.alias("settings"), (F.col("order_no") % 2 == 0).alias("strict"))
+    modes = F.split("modes", ",")
+    capabilities = spark.createDataFrame(CAPABILITIES, "provider string, prefix string, field string, status string, modes string, note string").withColumn("modes", modes)
+    exclusions = spark.createDataFrame(EXCLUSIONS, "provider string, field string, value string, other string, allowed string, message_text string").withColumn("allowed", F.when(F.col("allowed").isNotNull(), F.array("allowed")))
+    needs = spark.createDataFrame([("thinking_mode", "disabled", *x) for x in TURNS_OFF], "field string, value string, provider string, prefix string")
+    return rules.check_settings(configs, ["order_no"], capabilities, exclusions, needs).select("order_no", F.array_join("messages", "; ").alias("messages"))

@@ -66,6 +66,11 @@ VIEWS: dict[str, str] = {
                CASE p_size % 3 WHEN 0 THEN 'fixed' WHEN 1 THEN 'within' ELSE 'block' END AS size_policy,
                CASE p_type WHEN 'ECONOMY' THEN 'fixed' WHEN 'STANDARD' THEN 'within' ELSE 'block' END AS shuffle_policy, p_size AS maximum
         FROM part""",
+    "sheets_v": """
+        SELECT trial, pair, CASE WHEN trial % 2 = 0 THEN 'en' ELSE 'ch' END AS language, CASE pair % 4 WHEN 0 THEN 'Scale of pairs' WHEN 1 THEN 'Circle study' WHEN 2 THEN 'DILEMMA study of circles' ELSE 'Plain list' END AS sheet_name,
+               CASE WHEN trial % 7 = 0 THEN 'no title' ELSE 'Inclusion of the Other' END AS title, item_no, CASE WHEN item_no <= 1 + pair % 2 THEN 1 WHEN item_no = 9 THEN 3 ELSE 2 END AS block_no,
+               CAST(item_no - CASE WHEN item_no <= 1 + pair % 2 THEN 0 ELSE 1 + pair % 2 END + CASE WHEN trial % 11 = 0 AND item_no = 2 THEN 1 ELSE 0 END AS INT) AS number
+        FROM (SELECT trial, CAST((trial - trial % 2) / 2 AS BIGINT) AS pair, item_no FROM items_v) x""",
     "cells_v": """
         SELECT doc_id, lang, text FROM documents""",
     "snapshots_v": "SELECT user_id AS subject, ts, event_id, event_type, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k, CAST(value * 100 AS BIGINT) AS cents FROM events",
