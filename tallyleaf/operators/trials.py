@@ -154,3 +154,28 @@ def experiment_label(preset: str, identity: str, contract: str, mode: str, names
         .when(F.col(contract) == "free_scores_only", "只答分数提示").otherwise("原指导语")
     )
     return F.when(F.col(mode) == "custom", F.concat(F.lit("自定义（"), name, F.lit("）"))).otherwise(name)
+
+
+def language_pairs(saved: DataFrame, keys: list[str], left: str, right: str) -> DataFrame:
+    """Trials of the same scale and pair in two languages: whether provider, seed and item order agree, and both statuses and
+    read counts. One grouping by pair instead of a join; a pair without one of the sides is left out, and a side that was
+    saved more than once counts by its smallest order."""
+    one = F.struct("order_no", "provider", "order_seed", "shuffle_order", "status", "read")
+    side = lambda language: F.min_by(F.when(F.col("language") == language, one), F.when(F.col("language") == language, F.col("order_no")))
+    both = saved.groupBy(*keys).agg(side(left).alias("l"), side(right).alias("r")).filter("l IS NOT NULL AND r IS NOT NULL")
+    same = lambda c: F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
+    return both.select(
+        *keys, F.col("l.order_no").alias(f"{left}_order"), F.col("r.order_no").alias(f"{right}_order"), same("provider").alias("same_provider"), same("order_seed").alias("same_seed"), same("shuffle_order").alias("same_order"),
+        F.col("l.status").alias(f"{left}_status"), F.col("r.status").alias(f"{right}_status"), F.col("l.read").alias(f"{left}_read"), F.col("r.read").alias(f"{right}_read"),
+    )
+
+
+def condition_pairs(saved: DataFrame, keys: list[str]) -> DataFrame:
+    """Every two conditions under which a key was saved, each once, with the status and the read count of both. A key's
+    conditions, first reduced to one row each, are one short list; pairs come from it, so no join multiplies trials."""
+    cells = saved.filter(F.col("condition_hash").isNotNull()).groupBy(*keys, "condition_hash").agg(F.max("status").alias("status"), F.max("read").alias("read"))
+    lists = cells.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("condition_hash", "status", "read"))).alias("c")).filter("size(c) > 1")
+    pairs = F.flatten(F.transform("c", lambda a, i: F.transform(F.slice("c", i + 2, F.size("c")), lambda b: F.struct(a.alias("l"), b.alias("r")))))
+    rows = lists.select(*keys, F.explode(pairs).alias("p"))
+    names = {"condition_hash": "condition", "status": "status", "read": "read"}
+    return rows.select(*keys, *[F.col(f"p.{a}.{c}").alias(f"{side}_{name}") for a, side in (("l", "left"), ("r", "right")) for c, name in names.items()])

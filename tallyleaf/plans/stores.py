@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyleaf.functions import values as v
+from tallyleaf.operators import trial_records
 from tallyleaf.registry import query
 from tallyleaf.sources import records
 from tallyleaf.sources.fixtures import view, with_views
@@ -50,13 +50,28 @@ def s5(spark, d):
     return records.read_tasks(spark, folder)
 
 
-@query("s6_item_sheets", with_views("SELECT scale_name, language, count(*) AS n, count(CASE WHEN item_no = 1 THEN 1 END) AS with_reply, CAST(sum(after_score) AS BIGINT) AS total FROM scored_v GROUP BY ALL"))
+S6 = "CASE WHEN item_no % 5 = 0 THEN 'range_response' ELSE after_status END"
+
+
+@query("s6_item_sheets", with_views(f"""SELECT trial, scale_name, language, CAST(item_no AS VARCHAR) AS index, concat('slot_', item_no) AS slot_id, '' AS block_id, '' AS context_id, CASE WHEN item_no % 2 = 0 THEN 'even' ELSE '' END AS section_id, response_type, '1' AS minimum, '40' AS maximum, '' AS linked_slot_id,
+ concat('Is it "', item_no, '", or not?') AS question, CASE WHEN after_score IS NULL THEN '' ELSE concat('about', chr(10), after_score) END AS answer, coalesce(CAST(after_score AS VARCHAR), '') AS score, CASE WHEN item_no % 5 = 0 THEN '3-5' ELSE '' END AS range_text,
+ CASE WHEN item_no % 5 = 0 THEN '3' ELSE '' END AS range_lower, CASE WHEN item_no % 5 = 0 THEN '5' ELSE '' END AS range_upper, '' AS range_unit, {S6} AS parse_status, '' AS parse_error, '' AS mapping_method, CASE WHEN after_score IS NULL THEN 'false' ELSE 'true' END AS answer_present, '' AS score_present,
+ CASE WHEN trial % 3 = 0 THEN '' ELSE 'partial' END AS trial_status, CASE WHEN trial % 4 = 0 THEN 'usa' ELSE 'none' END AS cultural_identity, CASE WHEN item_no = 1 THEN concat('reply, ', trial, chr(10), 'more') ELSE '' END AS trial_raw_response FROM scored_v"""))
 def s6(spark, d):
+    """Item sheets of all 24 columns, written as CSV and read back by their header."""
     folder = records.scratch(spark, "items")
-    rows = view(spark, d, "scored_v").select("trial", "item_no", "scale_name", "language", "response_type", "after_status", "after_score", F.concat(F.lit("reply, "), F.col("trial").cast("string")).alias("raw_response"))
-    records.write_items(records.item_table(rows, "trial", "item_no", "raw_response"), folder)
-    back = spark.read.schema("trial long, item_no int, response_type string, after_status string, after_score int, raw_response string, scale_name string, language string").option("header", True).csv(folder)
-    return back.groupBy("scale_name", "language").agg(F.count("*").alias("n"), F.count("raw_response").alias("with_reply"), F.sum("after_score").alias("total"))
+    n, text = F.col("item_no"), lambda c: c.cast("string")
+    item = F.struct(
+        n.alias("index"), F.concat(F.lit("slot_"), text(n)).alias("slot_id"), F.when(n % 2 == 0, "even").alias("section_id"), F.col("response_type"), F.col("minimum"), F.col("maximum"), F.concat(F.lit('Is it "'), text(n), F.lit('", or not?')).alias("question"),
+        F.concat(F.lit("about\n"), text(F.col("after_score"))).alias("answer"), F.col("after_score").alias("score"), *[F.when(n % 5 == 0, x).alias(c) for c, x in (("range_text", "3-5"), ("range_lower", "3"), ("range_upper", "5"))],
+        F.when(n % 5 == 0, "range_response").otherwise(F.col("after_status")).alias("parse_status"), F.col("after_score").isNotNull().alias("answer_present"),
+    )
+    trial = F.col("trial")
+    payload = view(spark, d, "scored_v").groupBy("trial", "scale_name", "language").agg(F.array_sort(F.collect_list(item)).alias("items")).withColumns({
+        "response_status": F.when(trial % 3 != 0, "partial"), "cultural_identity": F.when(trial % 4 == 0, "usa"), "raw_response": F.concat(F.lit("reply, "), text(trial), F.lit("\nmore")),
+    })
+    records.write_items(trial_records.item_rows(payload), folder)
+    return records.read_items(spark, folder)
 
 
 @query("s7_trial_store", with_views("SELECT run_id, scale_name, count(*) AS n, count(DISTINCT model) AS models FROM results_v WHERE language = 'en' GROUP BY ALL"))
@@ -87,7 +102,7 @@ def s9(spark, d):
     return count("changes").unionByName(count("statuses"))
 
 
-STREAM = """r AS (SELECT user_id AS id, concat('task_', CAST(user_id % 6 AS VARCHAR(9))) AS task, CASE WHEN event_type = 'error' THEN 1 ELSE 2 END AS kind_rank, event_id AS attempt, concat('event/', CAST(event_id AS VARCHAR(20))) AS source,
+STREAM = """r AS (SELECT user_id AS id, concat('run_', CAST(user_id % 2 AS VARCHAR(9))) AS run, concat('task_', CAST(user_id % 6 AS VARCHAR(9))) AS task, CASE WHEN event_type = 'error' THEN 1 ELSE 2 END AS kind_rank, event_id AS attempt, concat('event/', CAST(event_id AS VARCHAR(20))) AS source,
   CASE WHEN event_type = 'error' THEN 'transport_error' ELSE event_type END AS status FROM events)"""
 
 
@@ -97,8 +112,8 @@ def _stream(spark, d):
     e = view(spark, d, "events")
     failed = F.col("event_type") == "error"
     rows = e.select(
-        F.col("user_id").alias("id"), F.concat(F.lit("task_"), (F.col("user_id") % 6).cast("string")).alias("task"), F.when(failed, 1).otherwise(2).alias("kind_rank"), F.col("event_id").alias("attempt"),
-        F.concat(F.lit("event/"), F.col("event_id").cast("string")).alias("source"), F.when(failed, "transport_error").otherwise(F.col("event_type")).alias("status"),
+        F.col("user_id").alias("id"), F.concat(F.lit("run_"), (F.col("user_id") % 2).cast("string")).alias("run"), F.concat(F.lit("task_"), (F.col("user_id") % 6).cast("string")).alias("task"), F.when(failed, 1).otherwise(2).alias("kind_rank"), F.col("event_id").alias("attempt"),
+        F.concat(F.lit("event/"), F.col("event_id").cast("string")).alias("source"), F.when(failed, "transport_error").otherwise(F.col("event_type")).alias("status"), F.col("ts").alias("seen_at"),
     )
     text = rows.select(F.to_json(F.struct(*rows.columns)).alias("value"), "source")
     broken = text.filter("source like '%7'").select(F.substring("value", 1, 20).alias("value"), "source")
@@ -115,13 +130,22 @@ def t1(spark, d):
 @query("t2_live_current_trials", f"WITH {STREAM} SELECT id, kind_rank, attempt, source, status FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY kind_rank DESC, attempt DESC, source DESC) AS rn FROM r) x WHERE rn = 1")
 def t2(spark, d):
     rows, folder = _stream(spark, d)
-    changes = live.run_once(live.current_trials(rows), "current", "update", folder)
-    last = Window.partitionBy("id").orderBy(F.desc("batch"))
-    return changes.withColumn("__n", F.row_number().over(last)).filter("__n = 1").select("id", "kind_rank", "attempt", "source", "status")
+    changes = live.run_once(live.current_trials(rows, LONGEST_RUN), "current", "update", folder)
+    return changes.groupBy("id").agg(F.max_by(F.struct("kind_rank", "attempt", "source", "status"), "batch").alias("r")).select("id", "r.*")
+
+
+#: How long a run may last: state of trials older than that is dropped.
+LONGEST_RUN = "400 days"
 
 
-@query("t3_live_progress", f"WITH {STREAM} SELECT task, count(DISTINCT id) AS done FROM r GROUP BY task")
+@query("t3_live_progress", f"""WITH {STREAM}, p AS (SELECT concat('run_', CAST(user_id % 2 AS VARCHAR)) AS run, concat('task_', CAST(user_id % 6 AS VARCHAR)) AS task, count(DISTINCT user_id) - CASE WHEN user_id % 6 = 4 THEN 1 ELSE 0 END + CASE WHEN user_id % 6 = 5 THEN 2 ELSE 0 END AS planned FROM events GROUP BY 1, 2, user_id % 6),
+ q AS (SELECT run, task, planned FROM p UNION ALL SELECT run, '__all__', sum(planned) FROM p GROUP BY run), s AS (SELECT run, task, count(DISTINCT id) AS done FROM r GROUP BY ALL UNION ALL SELECT run, '__all__', count(DISTINCT id) FROM r GROUP BY ALL)
+ SELECT run, task, CAST(least(done, planned) AS BIGINT) AS done, CAST(planned AS BIGINT) AS planned, CASE WHEN done >= planned THEN 'completed' ELSE 'partial' END AS state FROM s JOIN q USING (run, task)""")
 def t3(spark, d):
+    """Done against planned for each task of a run and for the whole run; plans are static, and some tasks save more or fewer trials than planned."""
     rows, folder = _stream(spark, d)
-    changes = live.run_once(live.progress(rows), "progress", "update", folder)
-    return changes.groupBy("task").agg(F.max_by("done", "batch").alias("done"))
+    m = F.col("user_id") % 6
+    plan = view(spark, d, "events").groupBy(F.concat(F.lit("run_"), (F.col("user_id") % 2).cast("string")).alias("run"), F.concat(F.lit("task_"), m.cast("string")).alias("task"), m.alias("m")).agg(F.count_distinct("user_id").alias("n"))
+    plan = plan.select("run", "task", (F.col("n") - F.when(F.col("m") == 4, 1).otherwise(0) + F.when(F.col("m") == 5, 2).otherwise(0)).alias("planned"))
+    changes = live.run_once(live.progress(rows, plan, LONGEST_RUN), "progress", "update", folder)
+    return changes.groupBy("run", "task").agg(F.max_by(F.struct("done", "planned", "state"), F.struct("batch", "done")).alias("r")).select("run", "task", "r.*")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyleaf.operators import trial_records as r
 from tallyleaf.operators import trials as t
 from tallyleaf.registry import query
 from tallyleaf.sources.fixtures import view, with_views
@@ -45,11 +46,6 @@ def j2(spark, d):
     return current(spark, d).select("id", "run_id", "scale_name", "language", "provider", "model", "order_no", "preset_id", "temperature10", "kind", "attempt", "status", "source", "n_chars")
 
 
-@query("j1_plan_inheritance", _sql("SELECT kind, preset_id, temperature10, count(*) AS n FROM rows_q WHERE kind <> 'plan' GROUP BY ALL"))
-def j1(spark, d):
-    plan, attempts, results = _three(spark, d)
-    rest = t.normalise(attempts, "attempt").unionByName(t.normalise(results, "result"))
-    return t.inherit(rest, t.normalise(plan, "plan")).groupBy("kind", "preset_id", "temperature10").agg(F.count("*").alias("n"))
 
 
 @query("u1_union_of_records", _sql("SELECT kind, status, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM rows_q GROUP BY ALL"))
@@ -59,32 +55,89 @@ def u1(spark, d):
     return rows.groupBy("kind", "status").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
 
 
-BROKEN = """SELECT order_no, CASE order_no % 6 WHEN 0 THEN '1.5' WHEN 1 THEN 'inf' WHEN 2 THEN concat('000', order_id) WHEN 3 THEN NULL ELSE order_id END AS order_id,
- CASE WHEN order_no % 5 = 0 THEN ' ' ELSE scale_name END AS scale_name, CASE WHEN order_no % 7 = 0 THEN 'de' ELSE language END AS language, raw_response FROM results_v"""
+BROKEN = """SELECT kind, order_no, CASE order_no % 6 WHEN 0 THEN '1.5' WHEN 1 THEN 'inf' WHEN 2 THEN concat('000', order_id) WHEN 3 THEN NULL ELSE order_id END AS order_id,
+ CASE WHEN order_no % 5 = 0 THEN ' ' ELSE scale_name END AS scale_name, CASE WHEN order_no % 7 = 0 THEN 'de' ELSE language END AS language, order_no % 8 <> 0 AS has_text, order_no % 10 <> 1 AS has_more
+ FROM (SELECT 'result' AS kind, order_no, order_id, scale_name, language FROM results_v UNION ALL SELECT 'attempt', order_no, order_id, scale_name, language FROM attempts_v UNION ALL SELECT 'plan', order_no, order_id, scale_name, language FROM plan_v) x"""
 
 
-@query("p1_valid_records", with_views(f"""WITH b AS ({BROKEN}) SELECT order_no, coalesce(trim(scale_name) <> '' AND language IN ('ch', 'en') AND regexp_matches(order_id, '^[0-9]+$'), false) AS valid,
- CASE WHEN regexp_matches(order_id, '^[0-9]+$') THEN CAST(order_id AS BIGINT) END AS order_id FROM b"""))
+@query("p1_valid_records", with_views(f"""WITH b AS ({BROKEN}), v AS (SELECT kind, order_no, coalesce(trim(scale_name) <> '' AND language IN ('ch', 'en') AND regexp_matches(order_id, '^[0-9]+$'), false) AND (kind = 'plan' OR (has_text AND has_more)) AS valid,
+ CASE WHEN regexp_matches(order_id, '^[0-9]+$') THEN CAST(order_id AS BIGINT) END AS order_id FROM b) SELECT kind, order_no, valid, order_id, count(*) AS n FROM v GROUP BY ALL"""))
 def p1(spark, d):
-    r = view(spark, d, "results_v")
+    """Plans, attempts and results of which some have no order, scale, language, text, items or schema version."""
     m = F.col("order_no")
-    broken = r.withColumns({
-        "order_id": F.when(m % 6 == 0, "1.5").when(m % 6 == 1, "inf").when(m % 6 == 2, F.concat(F.lit("000"), "order_id")).when(m % 6 == 3, None).otherwise(F.col("order_id")),
-        "scale_name": F.when(m % 5 == 0, " ").otherwise(F.col("scale_name")), "language": F.when(m % 7 == 0, "de").otherwise(F.col("language")),
-    })
-    return broken.select("order_no", t.is_valid("result").alias("valid"), t.whole_number("order_id").alias("order_id"))
+    out = None
+    for kind, name, (body, more) in (("plan", "plan_v", ("x", "y")), ("attempt", "attempts_v", ("response_text", "attempt_schema_version")), ("result", "results_v", ("raw_response", "items"))):
+        rows = view(spark, d, name).select(
+            "order_no", F.when(m % 6 == 0, "1.5").when(m % 6 == 1, "inf").when(m % 6 == 2, F.concat(F.lit("000"), "order_id")).when(m % 6 == 3, None).otherwise(F.col("order_id")).alias("order_id"),
+            F.when(m % 5 == 0, " ").otherwise(F.col("scale_name")).alias("scale_name"), F.when(m % 7 == 0, "de").otherwise(F.col("language")).alias("language"),
+            F.when(m % 8 != 0, "said").alias(body), F.when(m % 10 != 1, F.array(F.lit("1")) if kind == "result" else F.lit("v2")).alias(more),
+        )
+        part = rows.select(F.lit(kind).alias("kind"), "order_no", r.is_trial(rows, kind).alias("valid"), t.whole_number("order_id").alias("order_id"))
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy("kind", "order_no", "valid", "order_id").agg(F.count("*").alias("n"))
+
 
+PRESETS = ("free_response_v1", "custom", None, "my_preset", "", "china_identity_v1")
 
-@query("p2_normalised_trials", _sql("SELECT id, kind, status, attempt, n_chars, preset_id FROM rows_q WHERE kind <> 'attempt'"))
+
+def _whole(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Plans, attempts and results with nested settings, of which each part is absent in some."""
+    n = F.col("order_no")
+    key = ["run_id", "scale_name", "language", "provider", "order_id", F.coalesce("condition_hash", F.lit("none")).alias("condition_hash")]
+    settings = lambda a, b: F.struct(a.cast("double").alias("temperature"), b.cast("double").alias("top_p"))
+    plan = view(spark, d, "plan_v").select(
+        *key, F.col("model").alias("requested_model"), F.when(n % 3 != 0, F.col("model")).alias("model"), F.element_at(F.array(*[F.lit(x).cast("string") for x in PRESETS]), (n % 6 + 1).cast("int")).alias("preset_id"),
+        F.when(n % 7 != 0, settings(F.col("temperature10"), n % 2)).alias("generation_config"), F.when(n % 2 == 0, 9).alias("temperature"),
+        F.when(n % 5 != 0, F.struct(F.when(n % 5 == 1, "usa").alias("cultural_identity"), F.when(n % 5 == 2, "free_scores_only").alias("prompt_contract"))).alias("condition_descriptor"),
+        F.when(n % 11 == 0, "china").alias("cultural_identity"), F.when(n % 13 == 0, "custom").alias("condition_mode"), (n % 40).alias("n_items"),
+    )
+    k = F.col("attempt").cast("int")
+    attempts = view(spark, d, "attempts_v").select(
+        *key, "model", "attempt", "status", "source", "response_text", F.when(n % 17 != 0, "v1").alias("attempt_schema_version"), F.when(k % 2 != 0, settings(F.lit(5), F.lit(None))).alias("generation_config"),
+        F.concat(F.lit("r"), "attempt").alias("recorded_at_utc"), F.when(k == 1, F.struct(F.lit("local 1").alias("request_completed_at_local"))).alias("model_metadata"),
+    )
+    results = view(spark, d, "results_v").select(
+        *key, "model", "source", "raw_response", F.when(n % 23 != 0, F.col("response_status")).alias("response_status"), F.when(n % 19 != 0, F.array(F.lit(1))).alias("items"), F.when(n % 2 == 0, settings(F.lit(3), F.lit(1))).alias("generation_config"),
+        F.concat(F.lit("p"), n.cast("string")).alias("prompt"), (n % 9).alias("answered_item_count"), (n % 8).cast("string").alias("read_item_count"), F.when(n % 2 == 1, n % 30).alias("item_count"), (n % 40).alias("n_items"),
+        F.lit("done").alias("recorded_at_utc"), F.when(n % 10 == 0, "usa").alias("cultural_identity"),
+    )
+    return plan, attempts, results
+
+
+WHOLE = f"""
+ ident AS (SELECT *, sha256(CAST(to_json([run_id, scale_name, language, provider, model, order_id, coalesce(condition_hash, 'none')]) AS VARCHAR)) AS id, ([{', '.join('NULL' if x is None else repr(x) for x in PRESETS)}])[CAST(order_no % 6 + 1 AS INT)] AS preset,
+  CAST(CASE WHEN order_no % 7 <> 0 THEN temperature10 WHEN order_no % 2 = 0 THEN 9 END AS DOUBLE) AS pt, CAST(CASE WHEN order_no % 7 <> 0 THEN order_no % 2 END AS DOUBLE) AS pp FROM plan_v),
+ every AS (
+  SELECT id, order_no, 0 AS kr, 0 AS k, '' AS source, 'plan' AS source_kind, nullif(preset, '') AS preset_id, CASE WHEN order_no % 11 = 0 THEN 'china' WHEN order_no % 5 = 1 THEN 'usa' ELSE 'none' END AS ci, CASE WHEN order_no % 5 = 2 THEN 'free_scores_only' ELSE 'unconstrained' END AS pc,
+   order_no % 13 = 0 AS custom, pt AS temperature, pp AS top_p, 'not_recorded' AS status, '' AS raw, '' AS prompt, NULL::BIGINT AS answered, NULL::BIGINT AS readn, order_no % 40 AS items, '' AS seen FROM ident
+  UNION ALL SELECT id, p.order_no, 1, CAST(attempt AS INT), source, 'attempt', nullif(preset, ''), 'none', 'unconstrained', false, CASE WHEN CAST(attempt AS INT) % 2 = 1 THEN 5.0 ELSE pt END, CASE WHEN CAST(attempt AS INT) % 2 = 0 THEN pp END,
+   CASE status WHEN 'error' THEN 'transport_error' ELSE status END, response_text, '', NULL, NULL, NULL, CASE attempt WHEN '1' THEN 'local 1' ELSE concat('r', attempt) END FROM attempts_v a JOIN ident p ON a.order_no = p.order_no WHERE p.order_no % 17 <> 0
+  UNION ALL SELECT id, p.order_no, 2, 0, source, 'result', nullif(preset, ''), CASE WHEN p.order_no % 10 = 0 THEN 'usa' ELSE 'none' END, 'unconstrained', false, CASE WHEN p.order_no % 2 = 0 THEN 3.0 END, CASE WHEN p.order_no % 2 = 0 THEN 1.0 END,
+   CASE WHEN p.order_no % 23 = 0 THEN 'legacy_saved' ELSE response_status END, raw_response, concat('p', p.order_no), p.order_no % 9, p.order_no % 8, CASE WHEN p.order_no % 2 = 1 THEN p.order_no % 30 ELSE p.order_no % 40 END, 'done' FROM results_v r JOIN ident p ON r.order_no = p.order_no WHERE p.order_no % 19 <> 0),
+ top1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY kr DESC, k DESC, source DESC) AS rn FROM every) x WHERE rn = 1)"""
+
+
+@query("p2_normalised_trials", with_views(f"""WITH {WHOLE.strip()} SELECT t.id, p.run_id, p.scale_name, p.language, p.provider, p.model, CASE WHEN t.custom THEN concat('自定义（', name, '）') ELSE name END AS experiment, coalesce(t.preset_id, '') AS preset_id, ci AS cultural_identity, pc AS prompt_contract,
+ t.temperature, t.top_p, t.order_no AS order_id, t.status, CASE t.status WHEN 'ok' THEN 'complete' WHEN 'partial' THEN 'partly read' WHEN 'unparsed' THEN 'not read' WHEN 'transport_error' THEN 'failed call' WHEN 'not_recorded' THEN 'not recorded' ELSE 'saved, old format' END AS status_label,
+ raw AS raw_response, length(raw) AS answer_length, prompt, answered AS answered_item_count, readn AS read_item_count, items AS item_count, seen AS recorded_at, t.source, t.source_kind
+ FROM (SELECT *, CASE WHEN coalesce(preset_id, 'custom') <> 'custom' THEN CASE preset_id WHEN 'free_response_v1' THEN '主分析' WHEN 'china_identity_v1' THEN '中国身份条件' ELSE preset_id END WHEN ci = 'china' THEN '中国身份条件' WHEN ci = 'usa' THEN '美国身份条件'
+  WHEN pc = 'free_scores_only' THEN '只答分数提示' ELSE '原指导语' END AS name FROM top1) t JOIN ident p USING (id)"""))
 def p2(spark, d):
-    plan, _, results = _three(spark, d)
-    planned = t.normalise(plan, "plan")
-    return planned.unionByName(t.inherit(t.normalise(results, "result"), planned)).select("id", "kind", "status", "attempt", "n_chars", "preset_id")
+    """The whole current record of every trial."""
+    return r.collect_records(*_whole(spark, d))
 
 
 GIVEN = ("free_response_v1", "free_response_temperature_1_v1", "free_response_scores_only_v1", "china_identity_v1", "usa_identity_v1", "my_preset", "custom", "", None)
 
 
+@query("j1_plan_inheritance", with_views(f"WITH {WHOLE.strip()} SELECT source_kind, preset_id, temperature, top_p, count(*) AS n FROM every WHERE kr > 0 GROUP BY ALL"))
+def j1(spark, d):
+    """What attempts and results have of their plan: the preset, and attempts without settings of their own temperature and top_p."""
+    plan, attempts, results = _whole(spark, d)
+    rest = r.full_records(attempts, "attempt").unionByName(r.full_records(results, "result"))
+    return r.inherit_plan(rest, r.full_records(plan, "plan")).groupBy("source_kind", "preset_id", "temperature", "top_p").agg(F.count("*").alias("n"))
+
+
 @query("p3_experiment_label", with_views(f"""SELECT order_no, CASE WHEN mode = 'custom' THEN concat('自定义（', name, '）') ELSE name END AS experiment FROM (SELECT order_no, mode, CASE
  WHEN coalesce(preset, '') NOT IN ('', 'custom') THEN CASE preset WHEN 'free_response_v1' THEN '主分析' WHEN 'free_response_temperature_1_v1' THEN '主分析·温度 1' WHEN 'free_response_scores_only_v1' THEN '主分析·只答分数提示'
   WHEN 'china_identity_v1' THEN '中国身份条件' WHEN 'usa_identity_v1' THEN '美国身份条件' ELSE preset END
@@ -182,24 +235,29 @@ def o1(spark, d):
     return rows.withColumn("inside", inside).join(counts, [*scale, *fine]).select("id", (F.col("before") + F.col("inside")).cast("int").alias("place"))
 
 
-@query("j4_language_pairs", with_views("""SELECT e.scale_name, e.pair_id, e.order_no AS en_order, c.order_no AS ch_order, e.provider = c.provider AS same_provider
- FROM results_v e JOIN results_v c ON e.scale_name = c.scale_name AND e.pair_id = c.pair_id WHERE e.language = 'en' AND c.language = 'ch'"""))
+SIDES = """SELECT scale_name, pair_id, language, order_no, provider, CAST(pair_id * 7 + CASE WHEN order_no % 10 = 3 THEN 1 ELSE 0 END AS BIGINT) AS order_seed, CASE WHEN order_no % 14 = 1 THEN '2,1,3' ELSE '1,2,3' END AS shown, response_status, CAST(order_no % 9 AS INT) AS read_items FROM results_v"""
+
+
+@query("j4_language_pairs", with_views(f"""WITH s AS ({SIDES}) SELECT e.scale_name, e.pair_id, e.order_no AS en_order, c.order_no AS ch_order, e.provider = c.provider AS same_provider, e.order_seed = c.order_seed AS same_seed, e.shown = c.shown AS same_order,
+ e.response_status AS en_status, c.response_status AS ch_status, e.read_items AS en_read, c.read_items AS ch_read FROM s e JOIN s c ON e.scale_name = c.scale_name AND e.pair_id = c.pair_id WHERE e.language = 'en' AND c.language = 'ch'"""))
 def j4(spark, d):
-    r = view(spark, d, "results_v")
-    side = lambda language, p: r.filter(F.col("language") == language).select("scale_name", "pair_id", F.col("order_no").alias(f"{p}_order"), F.col("provider").alias(f"__{p}"))
-    return side("en", "en").join(side("ch", "ch"), ["scale_name", "pair_id"]).withColumn("same_provider", F.col("__en") == F.col("__ch")).drop("__en", "__ch")
+    n = F.col("order_no")
+    saved = view(spark, d, "results_v").select(
+        "scale_name", "pair_id", "language", "order_no", "provider", (F.col("pair_id") * 7 + F.when(n % 10 == 3, 1).otherwise(0)).alias("order_seed"),
+        F.when(n % 14 == 1, F.array(F.lit(2), F.lit(1), F.lit(3))).otherwise(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("shuffle_order"), F.col("response_status").alias("status"), (n % 9).cast("int").alias("read"),
+    )
+    return t.language_pairs(saved, ["scale_name", "pair_id"], "en", "ch")
+
 
+CELLS = "SELECT scale_name, language, provider, model, order_no % 40 AS trial_key, condition_hash, max(response_status) AS status, max(CAST(order_no % 9 AS INT)) AS read_items FROM results_v WHERE condition_hash IS NOT NULL GROUP BY ALL"
 
-@query("j5_condition_pairs", with_views("""SELECT a.scale_name, a.language, a.trial_key, a.condition_hash AS left_condition, b.condition_hash AS right_condition, a.best AS left_status, b.best AS right_status
- FROM (SELECT scale_name, language, order_no % 40 AS trial_key, condition_hash, max(response_status) AS best FROM results_v WHERE condition_hash IS NOT NULL GROUP BY ALL) a
- JOIN (SELECT scale_name, language, order_no % 40 AS trial_key, condition_hash, max(response_status) AS best FROM results_v WHERE condition_hash IS NOT NULL GROUP BY ALL) b
- ON a.scale_name = b.scale_name AND a.language = b.language AND a.trial_key = b.trial_key AND b.condition_hash > a.condition_hash WHERE a.condition_hash = '2-high'"""))
+
+@query("j5_condition_pairs", with_views(f"""WITH c AS ({CELLS}) SELECT a.scale_name, a.language, a.provider, a.model, a.trial_key, a.condition_hash AS left_condition, b.condition_hash AS right_condition, a.status AS left_status, b.status AS right_status, a.read_items AS left_read, b.read_items AS right_read
+ FROM c a JOIN c b ON a.scale_name = b.scale_name AND a.language = b.language AND a.provider = b.provider AND a.model = b.model AND a.trial_key = b.trial_key AND a.condition_hash < b.condition_hash"""))
 def j5(spark, d):
-    keys = ["scale_name", "language", "trial_key"]
-    best = view(spark, d, "results_v").filter("condition_hash is not null").withColumn("trial_key", F.col("order_no") % 40).groupBy(*keys, "condition_hash").agg(F.max("response_status").alias("best"))
-    base = best.filter("condition_hash = '2-high'").select(*keys, F.col("condition_hash").alias("left_condition"), F.col("best").alias("left_status"))
-    other = best.select(*keys, F.col("condition_hash").alias("right_condition"), F.col("best").alias("right_status"))
-    return base.join(other, keys).filter("right_condition > left_condition")
+    n = F.col("order_no")
+    rows = view(spark, d, "results_v").select("scale_name", "language", "provider", "model", (n % 40).alias("trial_key"), "condition_hash", F.col("response_status").alias("status"), (n % 9).cast("int").alias("read"))
+    return t.condition_pairs(rows, ["scale_name", "language", "provider", "model", "trial_key"])
 
 
 @query("a16_condition_overlap", with_views("""SELECT coalesce(condition_hash, '-') AS condition_hash, count(DISTINCT language) AS modes, string_agg(DISTINCT language, ',' ORDER BY language) AS mode_list FROM plan_v GROUP BY 1 HAVING count(DISTINCT language) > 1"""))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyleaf.functions.schema import struct
+from tallyleaf.operators.trial_records import ITEM_COLUMNS
 
 TRIAL = "run_id string, scale_name string, language string, provider string, model string, order_id string, condition_hash string, preset_id string, temperature10 int"
 PLAN = struct(f"{TRIAL}, pair_id long, planned_at timestamp, order_no long")
@@ -70,13 +71,18 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
-def item_table(items: DataFrame, trial: str, order: str, raw: str) -> DataFrame:
-    """Items for a sheet: identity and status on each row, the raw reply only on a trial's first item."""
-    return items.withColumn(raw, F.when(F.col(order) == 1, F.col(raw)))
+def write_items(items: DataFrame, folder: str) -> None:
+    """Item sheets below folders by scale and language; rows of a trial stay together and in order."""
+    order = F.col("index").cast("int")
+    sheet = {"header": True, "quoteAll": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "emptyValue": ""}
+    items.repartition("scale_name", "language").sortWithinPartitions("trial", order).write.partitionBy("scale_name", "language").options(**sheet).csv(folder)
 
 
-def write_items(items: DataFrame, folder: str) -> None:
-    items.repartition("scale_name", "language").sortWithinPartitions("trial", "item_no").write.partitionBy("scale_name", "language").option("header", True).csv(folder)
+def read_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Item sheets by their header; the header must name the columns in their fixed order."""
+    names = ["trial", *ITEM_COLUMNS, "scale_name", "language"]
+    schema = ", ".join(f"{n} {'long' if n == 'trial' else 'string'}" for n in names)
+    return spark.read.schema(schema).options(header=True, enforceSchema=False, multiLine=True, escape='"', emptyValue="", nullValue="\0", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(folder)
 
 
 def write_trials(trials: DataFrame, folder: str) -> None:

@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tallyleaf.functions.schema import struct
 
-RECORD = struct("id long, task string, kind_rank int, attempt long, source string, status string")
+RECORD = struct("id long, run string, task string, kind_rank int, attempt long, source string, status string, seen_at timestamp")
 
 
 def ingest(spark: SparkSession, folder: str, schema: T.StructType = RECORD, files_per_batch: int = 4) -> DataFrame:
@@ -22,29 +18,25 @@ def ingest(spark: SparkSession, folder: str, schema: T.StructType = RECORD, file
     return rows.filter(F.col("_corrupt").isNull()).drop("_corrupt")
 
 
-def _newest(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Keeps the greatest (rank, attempt, source) of a trial; says so only when it changes, so a late lower attempt, which
-    is late by version and not by time, changes nothing."""
-    best = before = tuple(state.get) if state.exists else None
-    for pdf in batches:
-        for rank, attempt, source, status, task in zip(pdf.kind_rank, pdf.attempt, pdf.source, pdf.status, pdf.task, strict=True):
-            now = (int(rank), int(attempt), source, status, task)
-            if best is None or now[:3] > best[:3]:
-                best = now
-    if best is not None and best != before:
-        state.update(best)
-        yield pd.DataFrame({"id": [key[0]], "kind_rank": [best[0]], "attempt": [best[1]], "source": [best[2]], "status": [best[3]], "task": [best[4]]})
-
-
-def current_trials(records: DataFrame) -> DataFrame:
-    """A stream of changed current rows, one state per trial."""
-    out = "id long, kind_rank int, attempt long, source string, status string, task string"
-    return records.groupBy("id").applyInPandasWithState(_newest, out, "kind_rank int, attempt long, source string, status string, task string", "update", GroupStateTimeout.NoTimeout)
-
-
-def progress(records: DataFrame) -> DataFrame:
-    """Trials seen per task, each counted once."""
-    return records.dropDuplicates(["id"]).groupBy("task").agg(F.count("*").alias("done"))
+def current_trials(records: DataFrame, longest_run: str) -> DataFrame:
+    """A stream of changed current rows: the greatest (rank, attempt, source) of each trial, as an aggregate in the JVM. A
+    late lower attempt, which is late by version and not by time, changes nothing. State is one row for each trial and ends
+    when the trial's run must have ended: records are grouped by the span of time that holds their run's start, and a span
+    is dropped once records are newer than its end by ``longest_run``."""
+    rank = F.struct("kind_rank", "attempt", "source")
+    rows = records.withWatermark("seen_at", longest_run)
+    best = rows.groupBy(F.window("seen_at", longest_run), "id").agg(F.max_by(F.struct("kind_rank", "attempt", "source", "status", "task"), rank).alias("r"))
+    return best.select("id", F.col("window.start").alias("span"), "r.*")
+
+
+def progress(records: DataFrame, plan: DataFrame, longest_run: str) -> DataFrame:
+    """Trials saved in each task of a run and in the whole run (task __all__), each counted once, against a static plan (run,
+    task, planned); done stops at planned. Ids are kept for ``longest_run`` after their record, then forgotten."""
+    once = records.withWatermark("seen_at", longest_run).dropDuplicatesWithinWatermark(["run", "id"])
+    counted = once.withColumn("task", F.explode(F.array("task", F.lit("__all__")))).groupBy("run", "task").agg(F.count("*").alias("said"))
+    whole = plan.groupBy("run").agg(F.sum("planned").alias("planned")).select("run", F.lit("__all__").alias("task"), "planned")
+    rows = counted.join(plan.select("run", "task", "planned").unionByName(whole), ["run", "task"])
+    return rows.select("run", "task", F.least("said", "planned").alias("done"), "planned", F.when(F.col("said") >= F.col("planned"), "completed").otherwise("partial").alias("state"))
 
 
 def run_once(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
