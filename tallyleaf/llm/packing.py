@@ -1,10 +1,10 @@
 """Best-fit packing of tokenized documents by exact complements.
 
 Texts are tokenized once; pieces of at most the capacity are counted by length. As there are no more lengths than the
-capacity, this histogram has a fixed size whatever the data, and the packing is planned on it: gaps are filled exactly by
-single lengths, then by pairs, then by triples, each time from the longest length and with the most alike lengths first
-(so that few short pieces are spent on gaps that one piece could fill), in bulk, as often as the counts allow. What is left goes into bins by best fit, longest first. The plan is a short table of patterns (lengths and how
-often). Pieces get a rank among those of their length, by buckets of a hash so that no length is one group, and look up
+capacity, this histogram has a fixed size whatever the data, and the packing is planned on it: from the longest length on,
+gaps are filled exactly by a single length, else by the pair, else by the triple of the longest lengths that do, in bulk, as
+often as the counts allow; short pieces are spared in pairs and triples, as what is left then goes into bins by best fit,
+longest first. The plan is a short table of patterns (lengths and how often). Pieces get a rank among those of their length, by buckets of a hash so that no length is one group, and look up
 their place by it.
 
 Defined results: null and empty texts are the end token alone; a text is never shortened; repeated rows are packed each
@@ -113,58 +113,49 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_token: int) -> D
 
 def plan_packing(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Patterns of lengths and how often each is used; every piece is used once, and no pattern exceeds the capacity. Short
-    pieces that fill gaps exactly may be missed later, so the plan is made with triples, with pairs at most, with singles
-    and without, and the one of fewest sequences is taken (of equal ones that with more exact fits)."""
-    plans = [_plan(histogram, capacity, most) for most in (3, 2, 1, 0)]
-    return min(plans, key=lambda p: sum(times for _, times in p))
+    pieces that pairs and triples use up may be missed when the rest is packed, so plans are made that spare the pieces
+    under a sixteenth, an eighth or none of the capacity in pairs and triples, and some without these; the one of fewest
+    sequences is taken, of equal ones the first."""
+    tried = [(3, capacity // 16), (3, capacity // 8), (3, 0), (2, capacity // 16), (1, 0), (0, 0)]
+    return min((_plan(histogram, capacity, most, spare) for most, spare in tried), key=lambda p: sum(times for _, times in p))
 
 
-def _plan(histogram: dict[int, int], capacity: int, most: int) -> list[tuple[tuple[int, ...], int]]:
-    """A plan that fills gaps exactly by up to ``most`` lengths, then by best fit."""
+def _plan(histogram: dict[int, int], capacity: int, most: int, spare: int = 0) -> list[tuple[tuple[int, ...], int]]:
+    """A plan that fills the gap of each length, longest first, exactly by one, two or up to ``most`` others, the longest
+    that do, as often as the counts allow; then by best fit. Pairs and triples leave pieces under ``spare`` alone."""
     left = {n: c for n, c in histogram.items() if c > 0}
     plan: list[tuple[tuple[int, ...], int]] = []
 
-    def take(lengths: tuple[int, ...]) -> bool:
-        need: dict[int, int] = defaultdict(int)
-        for n in lengths:
-            need[n] += 1
-        times = min(left.get(n, 0) // k for n, k in need.items())
-        if not times:
-            return False
-        for n, k in need.items():
-            left[n] -= k * times
-            if not left[n]:
-                del left[n]
-        plan.append((lengths, times))
-        return True
-
-    pair_sums: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    lengths = sorted(left)
-    for k, a in enumerate(lengths):
-        for b in lengths[: k + 1]:
-            if a + b < capacity:
-                pair_sums[a + b].append((a, b))
-    take((capacity,))
-    for size in range(1, most + 1):
-        for n in sorted(left, reverse=True):
-            gap = capacity - n
-            if size == 1 and n in left:
-                take((n, gap))
-            for a, b in pair_sums.get(gap, ()) if size == 2 else ():
-                if n not in left:
-                    break
-                if a in left and b in left:
-                    take((n, a, b))
-            for a in lengths[: bisect_left(lengths, gap)] if size == 3 else ():
-                if n not in left:
-                    break
-                if a not in left:
-                    continue
-                for b, c in pair_sums.get(gap - a, ()):
-                    if b <= a and b in left and c in left:
-                        take((n, a, b, c))
-                        if n not in left or a not in left:
-                            break
+    def times(lengths: tuple[int, ...]) -> int:
+        return min(left.get(n, 0) // lengths.count(n) for n in set(lengths))
+
+    def pair(before: tuple[int, ...], total: int, longest: int) -> tuple[int, ...]:
+        """Two lengths of a sum, the first as long as it can be, that are there beside those before."""
+        for a in range(min(longest, total - max(spare, 1)), (total - 1) // 2, -1):
+            if a >= max(spare, 1) and a in left and total - a in left and times((*before, a, total - a)):
+                return a, total - a
+        return ()
+
+    def exact(n: int) -> tuple[int, ...]:
+        gap = capacity - n
+        if not gap or (most >= 1 and times((n, gap))):
+            return (n, gap) if gap else (n,)
+        found = pair((n,), gap, gap) if most >= 2 else ()
+        if found or most < 3:
+            return (n, *found) if found else ()
+        for a in range(gap - 2 * max(spare, 1), (gap - 1) // 3, -1):
+            if a in left and (found := pair((n, a), gap - a, a)):
+                return n, a, *found
+        return ()
+
+    for n in sorted(left, reverse=True):
+        while n in left and (lengths := exact(n)):
+            count = times(lengths)
+            for m in lengths:
+                left[m] -= count
+                if not left[m]:
+                    del left[m]
+            plan.append((lengths, count))
     # best fit, longest first; bins of one pattern are kept together
     gaps: list[int] = []
     bins: dict[int, list[tuple[tuple[int, ...], int]]] = defaultdict(list)
