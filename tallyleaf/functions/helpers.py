@@ -1,11 +1,9 @@
-"""The few vectorised helpers, where Spark has no built-in: NFKC, open JSON trees, Python's own permutation, choices in
-prose. All work on Arrow batches; texts that need no work are left as they are."""
+"""The few vectorised helpers, where Spark has no built-in: NFKC, open JSON trees, Python's own permutation. All work on Arrow batches; texts that need no work are left as they are."""
 
 from __future__ import annotations
 
 import json
 import random
-import re
 import unicodedata
 from hashlib import sha256
 
@@ -14,9 +12,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_QUOTES = str.maketrans({"’": "'", "‘": "'", "“": '"', "”": '"', "−": "-"})
-
-
 @F.pandas_udf(T.StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     """NFKC of each text."""
@@ -85,44 +80,3 @@ def canonical_digest(documents: pd.Series) -> pd.Series:
             return None
 
     return documents.map(one)
-
-
-_SELECT = re.compile(r"(?i)\b(?:choose|select|pick|answer(?: is)?|option)\b[:\s]*")
-_NEGATED = re.compile(r"(?i)\b(?:not|never|don't|do not|wouldn't)\b[^.;]*$")
-
-
-def _choice(text: str, choices: list[str]) -> str | None:
-    by_name = {str(c).casefold(): c for c in choices}
-    names = "|".join(sorted(map(re.escape, by_name), key=len, reverse=True))
-    token = re.compile(rf"(?<!\w)({names})(?!\w)", re.I)
-    bare = text.strip().strip(".。!()").casefold()
-    if bare in by_name:
-        return by_name[bare]
-    picked = {by_name[m[1].casefold()] for s in _SELECT.finditer(text) if (m := token.match(text, s.end())) and not _NEGATED.search(text[: s.start()])}
-    if picked:
-        return picked.pop() if len(picked) == 1 else None
-    lead = token.match(text.lstrip())
-    if lead and len({m[1].casefold() for m in token.finditer(text)}) == 1 and not re.match(r"(?i)\s*(?:or|或|/)", text.lstrip()[lead.end() :]):
-        return by_name[lead[1].casefold()]
-    return None
-
-
-@F.pandas_udf(T.StringType())
-def prose_choice(texts: pd.Series, choices: pd.Series) -> pd.Series:
-    """The one listed choice that an answer selects: bare, after a selection word that is not negated, or leading without
-    another behind it; two different selections give null."""
-    return pd.Series([None if t is None or c is None else _choice(t, list(c)) for t, c in zip(texts, choices, strict=True)])
-
-
-@F.pandas_udf(T.StringType())
-def diagram_label(texts: pd.Series) -> pd.Series:
-    """One label 1 to 7 of an answer; several or negated ones give null, note lines are left out."""
-
-    def one(text):
-        if text is None:
-            return None
-        lines = [x for x in text.splitlines() if not re.match(r"(?i)\s*(?:note|reason|because)\b", x)]
-        found = {m[1] for x in lines for m in re.finditer(r"(?<![\w.])([1-7])(?![\w.])", x)}
-        return found.pop() if len(found) == 1 and not any(re.search(r"(?i)\bnot\b", x) for x in lines) else None
-
-    return texts.map(one)

@@ -12,13 +12,14 @@ LITERAL = r"[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)"
 SCORE_WORDS = r"(?i)^\s*(?:score|answer|rating|评分|答案)\s*[:=：]?\s*"
 AND_SO_ON = r"\s*(?:[.;!)。]|points?|分)*\s*"
 REASON = r"(?i)\s*(?:because|since|due|,? as)\b.*"
+#: Wording of refusals.
 REFUSAL = (
     r"(?i)\bi\s+(?:cannot|can't|can\s*not|am\s+unable\s+to|won't|will\s+not)\s+(?:provide|give|answer|rate|assign|score|offer|complete|respond|express)\b",
     r"(?i)\b(?:i\s+)?(?:must\s+decline|prefer\s+not\s+to\s+answer)\b",
     r"我无法|我不能|我不便|拒绝回答|不予回答|不提供|不作答|无法对[^\n。]*(?:评价|判断|打分|评分|给出)",
     r"作为(?:一个)?(?:人工智能|AI)[^。\n]{0,90}不对[^。\n]{0,50}(?:主观评分|价值判断|打分)",
 )
-YES_WORDS, NO_WORDS = ("yes", "是", "对"), ("no", "否", "不")
+YES_WORDS, NO_WORDS = ("yes", "y", "是", "对", "正确"), ("no", "n", "否", "不", "错误")
 
 
 def _c(c: str | Column) -> Column:
@@ -83,11 +84,14 @@ def typed_number(value: Column, kind: Column, minimum: Column, maximum: Column)
 
 
 def choice(c: str | Column, choices: Column) -> Column:
-    """The listed choice that an answer names: without regard to case, 3.0 as 3, yes and no in two languages; else null."""
+    """The listed choice that an answer names: without regard to case, 3.0 as 3; where yes and no are the only choices, also
+    by their other words in two languages; else null."""
     text = F.lower(F.trim(_c(c)))
     plain = F.regexp_replace(F.regexp_replace(text, r"[.。!]+$", ""), r"^([0-9]+)\.0+$", "$1")
-    alias = F.when(plain.isin(*YES_WORDS), "yes").when(plain.isin(*NO_WORDS), "no").otherwise(plain)
-    return F.get(F.filter(choices, lambda x: F.lower(x).isin(plain, alias)), 0)
+    alias = F.when(plain.isin(*YES_WORDS), "yes").when(plain.isin(*NO_WORDS), "no")
+    decision = F.array_sort(F.transform(choices, lambda x: F.lower(x))) == F.array(F.lit("no"), F.lit("yes"))
+    said = F.coalesce(F.when(decision, alias), plain)
+    return F.get(F.filter(choices, lambda x: F.lower(x).isin(plain, said)), 0)
 
 
 def pair_code(c: str | Column, choices: Column) -> Column:
@@ -98,15 +102,6 @@ def pair_code(c: str | Column, choices: Column) -> Column:
     return F.when(F.array_contains(choices, code), code)
 
 
-def logical_decision(c: str | Column) -> Column:
-    """YES or NO from explicit wording on validity; double negation, conditions and both answers at once give null."""
-    text = F.lower(_c(c))
-    vague = text.rlike(r"\bif\b|\bwould\b|\bmight\b|yes or no|not (?:in|un)valid|是或否")
-    yes = text.rlike(r"^\s*yes\b|\bis valid\b|\bfollows logically\b|^\s*是")
-    no = text.rlike(r"^\s*no\b|\binvalid\b|\bis not valid\b|does not follow|^\s*否")
-    return F.when(vague | (yes & no), None).when(yes, "YES").when(no, "NO")
-
-
 def reply_class(reply: str | Column, parse_status: str | Column) -> Column:
     """empty_response, then what was parsed, then refusal wording, else unparsed."""
     text, status = _c(reply), _c(parse_status)

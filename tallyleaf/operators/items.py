@@ -54,17 +54,45 @@ def unresolved_reasons(items: DataFrame, status: str, keys: tuple[str, ...] = ("
     return open_.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", status, F.col("n").cast("string")))), ",").alias("reasons"))
 
 
-def nest(items: DataFrame, keys: tuple[str, ...], order: str, columns: tuple[str, ...]) -> DataFrame:
-    """Item rows back to one row per trial with an array in item order; a trial is bounded by its scale's size."""
-    return items.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, *columns))).alias("items"))
+def nest(items: DataFrame, keys: tuple[str, ...], order: str, columns: tuple[str, ...], block: str | None = None) -> DataFrame:
+    """Item rows back to one row per trial with an array in item order; a trial is bounded by its scale's size. With a block
+    column also ``blocks``: each block, in the order of its first item, with its own items, made from the same array."""
+    every = (order, *([block] if block else []), *columns)
+    rows = items.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*every))).alias("items"))
+    if not block:
+        return rows
+    own = lambda b: F.filter("items", lambda x: x[block].eqNullSafe(b))
+    return rows.withColumn("blocks", F.transform(F.array_distinct(F.transform("items", lambda x: x[block])), lambda b: F.struct(b.alias(block), own(b).alias("slots"))))
+
+
+def changed_items(rows: DataFrame, before: str, after: str, fields: tuple[str, ...]) -> DataFrame:
+    """Of rows with both decodes of an item as structs those of which any field differs (nulls are values): a projection, as
+    both are in one row. Adds both values of each field and the names of those that differ."""
+    differs = F.array_compact(F.array(*[F.when(~F.col(f"{before}.{c}").eqNullSafe(F.col(f"{after}.{c}")), F.lit(c)) for c in fields]))
+    both = [F.col(f"{side}.{c}").alias(f"{name}_{c}") for c in fields for side, name in ((before, "before"), (after, "after"))]
+    kept = [c for c in rows.columns if c not in (before, after)]
+    return rows.select(*kept, *both, differs.alias("differs")).filter(F.size("differs") > 0)
+
+
+def trial_audit(rows: DataFrame, keys: tuple[str, ...], before: str, after: str, score: str, kind: str) -> DataFrame:
+    """One row for each trial: items, both statuses and read counts, scored items, answer types, and what is still open.
+    Statuses of items are counted in the one grouping by trial."""
+    opened = F.when(~is_readable(after) | F.col(after).isin(*OPEN), F.col(after))
+    said = rows.groupBy(*keys).agg(
+        F.count("*").alias("item_count"), F.count_if(is_readable(before)).alias("before_read"), F.count_if(is_readable(after)).alias("after_read"), F.count(score).alias("scored"),
+        F.array_join(F.array_sort(F.collect_set(kind)), ",").alias("answer_types"), F.array_sort(F.collect_list(opened)).alias("__open"),
+    )
+    reasons = F.transform(F.array_distinct("__open"), lambda r: F.concat_ws("=", r, F.size(F.filter("__open", lambda x: x == r)).cast("string")))
+    return said.withColumns({"before_status": parse_status("before_read", "item_count"), "after_status": parse_status("after_read", "item_count"), "reasons": F.array_join(reasons, ",")}).drop("__open")
 
 
-def score_violations(items: DataFrame, score: str) -> Column:
-    """Why a typed score is not allowed, or null: on text, not whole on an integer slot, not finite."""
+def score_violations(items: DataFrame, score: str, choices: Column) -> Column:
+    """Why a typed score is not allowed, or null: on text, not whole on an integer slot, not finite, not a listed choice."""
     s = F.col(score).cast("double")
+    written = F.when(s == F.floor(s), s.cast("long").cast("string")).otherwise(s.cast("string"))
     return (
         F.when(s.isNull(), None).when(F.isnan(s) | (F.abs(s) == float("inf")), "not finite").when(F.col("response_type") == "text", "score on text")
-        .when((F.col("response_type") == "integer") & (s != F.floor(s)), "not whole").when((F.col("response_type") == "choice") & ~s.between(1, 7), "no such choice")
+        .when((F.col("response_type") == "integer") & (s != F.floor(s)), "not whole").when((F.col("response_type") == "choice") & ~F.coalesce(F.array_contains(choices, written), F.lit(False)), "no such choice")
     )
 
 

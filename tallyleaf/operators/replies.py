@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyleaf.functions import values as v
+from tallyleaf.functions.clauses import selected_choice
 
 READABLE = ("parsed", "out_of_range", "text_response", "range_response", "range_out_of_range")
 NEWLINE = r"\r\n|[\n\r\x0B\x0C\x{85}\x{2028}\x{2029}]"
@@ -32,8 +33,9 @@ ANSWER_HEAD = r"(?i)^\W*(?:(?:my|final|your)\s+)?(?:answer|score|rating|response
 FINAL = r"(?i)^\s*(?:so\s+)?(?:(?:my\s+)?final\s+(?:answer|score|rating)(?:\s+is)?|my\s+(?:score|rating|estimate)(?:\s+is)?|I(?:'d| would| will)?\s+(?:rate(?:\s+it)?|give(?:\s+it)?|choose)|最终(?:答案|分数)(?:为|是)?)\s*[:：=]?\s*(?=[+-]?\.?[0-9])"
 CHOOSES = r"(?i)^\s*(?:\b(?:I\s+(?:would\s+|will\s+)?)?(?:choose|select|pick|answer|response|choice|option)(?:\s+is)?\b|我(?:选择|选)|选择|答案|回答|选项)\s*[:：=]?\s*"
 BECAUSE = r"(?i)\s*(?:\b(?:because|since)\b|因为|理由[:：]|解释[:：]).*$"
-PICKS = r"(?i)(?:choose|select|pick|answer(?:\s+is)?|option|选择|我选|答案(?:是|为)?)[:：\s]*"
-NEGATED = r"(?i)\b(?:not|never|don't|do not|wouldn't)\b[^.;\n]*"
+
+#: Digits in circles.
+CIRCLED = "①②③④⑤⑥⑦⑧⑨⑩"
 
 _SLOT = {
     "slot_id": "string", "question": "string", "response_type": "string", "minimum": "double", "maximum": "double", "choices": "array<string>", "labels": "map<string,string>",
@@ -297,18 +299,6 @@ def interview_claims(lines: DataFrame, keys: list[str]) -> DataFrame:
     return told.select(*keys, "form", "n_slots", F.coalesce("__pos", F.lit(0)).alias("rec"), "slots", F.lit("").alias("scope"), F.lit(0).cast("long").alias("segment"), "method", F.when(F.col("__pos").isNotNull(), meant).alias("meant"), body.alias("told"), F.lit(None).cast("string").alias("defect"))
 
 
-def prose_choice(text: Column, choices: Column) -> Column:
-    """The one listed choice that an answer selects: bare, after words of choosing that are not negated, or leading with no
-    other behind it."""
-    bare = F.lower(F.regexp_replace(F.trim(text), r"^[(\s]+|[).。!\s]+$", ""))
-    known = F.coalesce(F.get(F.filter(choices, lambda x: F.lower(x) == bare), F.lit(0)), v.choice(bare, choices))
-    quote = lambda x: F.concat(F.lit(r"\Q"), x, F.lit(r"\E(?![\w])"))
-    picks = F.filter(choices, lambda x: F.regexp_like(text, F.concat(F.lit(PICKS), quote(x))) & ~F.regexp_like(text, F.concat(F.lit(NEGATED + PICKS[4:]), quote(x))))
-    there = F.filter(choices, lambda x: F.regexp_like(text, F.concat(F.lit(r"(?i)(?<![\w])"), quote(x))))
-    leads = F.filter(choices, lambda x: F.regexp_like(text, F.concat(F.lit(r"(?i)^[\s(]*"), quote(x))) & ~F.regexp_like(text, F.concat(F.lit(r"(?i)^[\s(]*"), quote(x), F.lit(r"\W*(?:or|或|/)\b"))))
-    return F.coalesce(known, F.when(F.size(picks) >= 1, F.when(F.size(picks) == 1, F.get(picks, F.lit(0)))).when((F.size(there) == 1) & (F.size(leads) == 1), F.get(leads, F.lit(0))))
-
-
 def read_claims(claims: DataFrame, keys: list[str]) -> DataFrame:
     """Reads each claim for its slot, line by line: numbers, intervals and final picks; lines that define options and lists of
     scores say nothing. Rows without a claim stay, for the reply's sake."""
@@ -322,6 +312,9 @@ def read_claims(claims: DataFrame, keys: list[str]) -> DataFrame:
     option = F.get(F.map_values(F.map_filter("slot.labels", lambda k, x: F.lower(k) == said)), F.lit(0))
     final = line.rlike(FINAL)
     rest = F.regexp_replace(F.regexp_replace(line, FINAL, ""), r"(?i)^\s*(?:score|answer|rating|评分|答案)\s*[:=：]\s*", "")
+    circled = F.regexp_extract(line, rf"(?:^|[:：→—–]\s*)([{CIRCLED}])", 1)
+    alone = (circled != "") & (F.size(F.array_distinct(F.regexp_extract_all("__line", F.lit(f"([{CIRCLED}])"), F.lit(1)))) == 1)
+    rest = F.when(alone, F.instr(F.lit(CIRCLED), circled).cast("string")).otherwise(rest)
     rows = rows.withColumns({"__option": option, "__said": said, "__final": final, "__rest": rest})
     nothing = ~F.col("__numeric") | (line == "") | (line == "---") | (F.regexp_count("__line", F.lit(r"(?<![0-9])[0-9]+(?:\.[0-9]+)?\s*=")) >= 3)
     listing = F.col("__rest").rlike(r"^\s*[+-]?[0-9]+(?:\.[0-9]+)?\s*[,;]\s*[+-]?[0-9]")
@@ -342,7 +335,7 @@ def read_claims(claims: DataFrame, keys: list[str]) -> DataFrame:
     value, span = F.get("__values", F.lit(0)), F.get("__spans", F.lit(0))
     spans = (F.size("__spans") > 0) | F.col("__open")
     settled = F.size("__finals").between(1, 1) & (F.size("__values") == 1)
-    circled = F.size(F.array_distinct(F.regexp_extract_all("told", F.lit(r"([①②③④⑤⑥⑦⑧⑨⑩])[^\n]*?[:：=]"), F.lit(1)))) >= 3
+    circled = F.size(F.array_distinct(F.regexp_extract_all("told", F.lit(rf"([{CIRCLED}])[^\n]*?[:：=]"), F.lit(1)))) >= 3
     beyond = lambda n: F.coalesce(n < low, F.lit(False)) | F.coalesce(n > high, F.lit(False))
     number_status = (
         F.when(circled, "option_codebook").when(F.size("__values") > 1, "conflicting_values")
@@ -350,7 +343,7 @@ def read_claims(claims: DataFrame, keys: list[str]) -> DataFrame:
         .when(F.size("__values") == 0, F.when(F.col("__list") & (F.col("__said") == 1), "multiple_values").otherwise("unparsed"))
         .when((F.col("slot.response_type") == "integer") & (value != F.floor(value)), "non_integer").when(beyond(value), "out_of_range").otherwise("parsed")
     )
-    chosen = F.coalesce(F.when(F.size("__labels") == 1, F.get("__labels", F.lit(0))), F.when(~F.coalesce(F.size("__labels") > 1, F.lit(False)), prose_choice(told, F.col("slot.choices"))))
+    chosen = F.coalesce(F.when(F.size("__labels") == 1, F.get("__labels", F.lit(0))), F.when(~F.coalesce(F.size("__labels") > 1, F.lit(False)), selected_choice(told, F.col("slot.choices"))))
     choice_status = F.when(F.size("__labels") > 1, "conflicting_values").when(chosen.isNotNull(), "parsed").otherwise("invalid_choice")
     is_text, is_choice = F.col("slot.response_type") == "text", (F.col("slot.response_type") == "choice") & (F.size("slot.choices") > 0)
     status = F.when(F.col("slot").isNull(), None).when(F.col("defect").isNotNull(), F.col("defect")).when(F.coalesce(told, F.lit("")) == "", "missing").when(is_text, "text_response").when(is_choice, choice_status).otherwise(number_status)

@@ -13,6 +13,7 @@ STATUS_LABELS = {
     "ok": "complete", "partial": "partly read", "refusal": "refused", "unparsed": "not read", "empty_response": "empty",
     "transport_error": "failed call", "not_recorded": "not recorded", "legacy_saved": "saved, old format",
 }
+#: Names of presets.
 PRESET_NAMES = {
     "free_response_v1": "主分析", "free_response_temperature_1_v1": "主分析·温度 1", "free_response_scores_only_v1": "主分析·只答分数提示",
     "china_identity_v1": "中国身份条件", "usa_identity_v1": "美国身份条件",

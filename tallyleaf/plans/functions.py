@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyleaf.functions import clauses
 from tallyleaf.functions import values as v
 from tallyleaf.registry import query
 from tallyleaf.sources.fixtures import view, with_views
@@ -70,12 +71,17 @@ def f8(spark, d):
     return rows.withColumn("t", v.typed_number(F.col("x.value") / 2, F.col("response_type"), F.lit(1.0), F.lit(20.0))).select("trial", "item_no", "t.score", "t.status")
 
 
-@query("f9_choices", with_views("""SELECT trial, item_no, CASE WHEN lower(trim(a)) IN ('b', 'b.') THEN 'B' WHEN lower(trim(a)) IN ('是', 'yes', 'yes!') THEN 'Yes' WHEN regexp_matches(a, '^3(\\.0+)?$') THEN '3' END AS choice
- FROM (SELECT trial, item_no, CASE item_no % 4 WHEN 0 THEN '是' WHEN 1 THEN 'b.' WHEN 2 THEN '3.0' ELSE body END AS a FROM bodies_v) x"""))
+NAMES = ("是", "正确", "Y", "n", "NO.", "错误", "不", "b.", "3.0", "yes!", "对。", "maybe", "3.5", " B ")
+
+
+@query("f9_choices", with_views(f"""SELECT trial, item_no, CASE WHEN trial % 2 = 0 THEN CASE WHEN s IN ('是', '正确', 'y', 'yes', '对') THEN 'YES' WHEN s IN ('n', 'no', '错误', '不') THEN 'NO' END WHEN s = 'yes' THEN 'Yes' WHEN s = 'b' THEN 'B' WHEN regexp_matches(s, '^3([.]0+)?$') THEN '3' END AS choice
+ FROM (SELECT trial, item_no, regexp_replace(lower(trim(CASE WHEN partkey % 3 = 0 THEN body ELSE ([{', '.join(repr(x) for x in NAMES)}])[CAST(partkey % {len(NAMES)} + 1 AS INT)] END)), '[.。!]+$', '') AS s FROM bodies_v JOIN items_v USING (trial, item_no)) x"""))
 def f9(spark, d):
-    m = F.col("item_no") % 4
-    rows = view(spark, d, "bodies_v").withColumn("a", F.when(m == 0, "是").when(m == 1, "b.").when(m == 2, "3.0").otherwise(F.col("body")))
-    return rows.select("trial", "item_no", v.choice("a", F.array(F.lit("B"), F.lit("Yes"), F.lit("3"))).alias("choice"))
+    k = F.col("partkey")
+    rows = view(spark, d, "bodies_v").join(view(spark, d, "items_v").select("trial", "item_no", "partkey"), ["trial", "item_no"])
+    said = F.when(k % 3 == 0, F.col("body")).otherwise(F.element_at(F.array(*[F.lit(x) for x in NAMES]), (k % len(NAMES) + 1).cast("int")))
+    listed = F.when(F.col("trial") % 2 == 0, F.array(F.lit("YES"), F.lit("NO"))).otherwise(F.array(F.lit("B"), F.lit("Yes"), F.lit("3")))
+    return rows.select("trial", "item_no", v.choice(said, listed).alias("choice"))
 
 
 @query("f11_pair_codes", with_views("""SELECT trial, item_no, CASE WHEN a <> b AND concat(least(a, b), '-', greatest(a, b)) <> '1-7' THEN concat(least(a, b), '-', greatest(a, b)) END AS pair
@@ -86,10 +92,19 @@ def f11(spark, d):
     return view(spark, d, "items_v").select("trial", "item_no", v.pair_code(said, listed).alias("pair"))
 
 
-@query("f13_logical_decision", with_views("""SELECT trial, item_no, CASE item_no % 6 WHEN 0 THEN 'YES' WHEN 1 THEN 'NO' WHEN 2 THEN 'NO' WHEN 3 THEN NULL WHEN 4 THEN NULL ELSE 'YES' END AS decision FROM items_v"""))
+#: Wording of logical decisions: what is decided. {x} is any name.
+DECIDING = (
+    ("Yes, it holds", "YES"), ("No.", "NO"), ("The argument is invalid", "NO"), ("YES or NO depends", ""), ("it would be valid if {x}", ""), ("The argument is valid", "YES"), ("This does not follow", "NO"), ("The conclusion follows logically from the premises, {x}", "YES"),
+    ("It is not invalid", ""), ("not logically valid", "NO"), ("If {x} holds it is logically valid", ""), ("logically valid, says {x}", "YES"), ("是。", "YES"), ("否", "NO"), ("结论不成立", "NO"), ("推理有效", "YES"), ("是或否", ""), ("答案：能推出", "YES"), ("所以不能推出。", "NO"), ("No {x} is a bird", ""),
+    ("definitely true", ""), ("Answer: YES (by {x})", "YES"), ("Yes. But no.", ""), ("", ""),
+)
+
+
+@query("f13_logical_decision", with_views(f"""SELECT trial, item_no, nullif(([{', '.join(repr(w) for _, w in DECIDING)}])[CAST((trial * 5 + item_no) % {len(DECIDING)} + 1 AS INT)], '') AS decision FROM items_v"""))
 def f13(spark, d):
-    says = F.element_at(F.array(*[F.lit(s) for s in ("Yes, it holds", "No.", "The argument is invalid", "YES or NO depends", "it would be valid if B", "The argument is valid")]), (F.col("item_no") % 6 + 1).cast("int"))
-    return view(spark, d, "items_v").select("trial", "item_no", v.logical_decision(says).alias("decision"))
+    says = F.element_at(F.array(*[F.lit(t) for t, _ in DECIDING]), ((F.col("trial") * 5 + F.col("item_no")) % len(DECIDING) + 1).cast("int"))
+    named = F.replace(says, F.lit("{x}"), F.concat(F.lit("case "), F.col("partkey").cast("string")))
+    return view(spark, d, "items_v").select("trial", "item_no", clauses.logical_decision(named).alias("decision"))
 
 
 @query("f15_text_parts", """SELECT doc_id, CAST(n AS INT) AS part_no, sha256(substr(text, CAST((n - 1) * 700 + 1 AS BIGINT), 700)) AS digest FROM

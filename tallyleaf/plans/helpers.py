@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyleaf.functions import clauses
 from tallyleaf.functions import helpers as h
 from tallyleaf.operators import decode
 from tallyleaf.operators.replies import READABLE, decode_whole
@@ -21,17 +22,43 @@ def f2(spark, d):
     return view(spark, d, "slots_v").select("slot_id", h.signature(F.concat(F.lit("12. "), "question", F.lit(" (choose one)"))).alias("signature"))
 
 
-@query("f10_choice_from_prose", with_views("SELECT trial, item_no, CASE item_no % 4 WHEN 0 THEN 'B' WHEN 1 THEN NULL WHEN 2 THEN 'C' ELSE 'A' END AS choice FROM bodies_v"))
+#: Shapes of answers that choose {c} of four letters, {o} being the next: what is chosen, c, o or none.
+CHOOSING = (
+    ("I would pick {c} here", "c"), ("{c} or {o}, hard to say", ""), ("{c}.", "c"), ("{c} because it fits", "c"), ("({c})", "c"), ("**{c}**", "c"), ("option {c}", "c"), ("My answer: {c}. Not {o}.", "c"), ("I would not choose {c}; I choose {o}", "o"),
+    ("I do not choose {c}", ""), ("I choose {c} or {o}", ""), ("choose {c}. Then again I select {o}", ""), ("I choose {c}. I choose {c} again", "c"), ("Colleague: {c}", "c"), ("{c} and {o} both hold", ""), ("Neither, as {c} is wrong", ""),
+    ("我选择{c}", "c"), ("答案是：{c}。因为{o}不对", "c"), ("并非选{c}", ""), ("the choice is ({c}), as {o} is too long", "c"), ("{c}{o}", ""), ("I never pick {c}, but I pick {o}", "o"), ("", ""), ("selected option {o}\nreason: {c} was close", "o"),
+)
+#: Answers that name a diagram from 1 to 7: {k} is one, {m} another.
+NAMING = (
+    ("Circle {k}", "k"), ("{k} and {m}", ""), ("{k}\nnote: {m} was close", "k"), ("Pair {k}", "k"), ("diagram number ({k})", "k"), ("图{k}", "k"), ("Not pair {k}", ""), ("I would not choose {k}\nI choose {m}", "m"), ("pair {k} or {m}", ""), ("Friends: {k}", "k"),
+    ("Friends — {k}", "k"), ("{k}/{m}", ""), ("{k}.5", ""), ("note: {m}\n{k}", "k"), ("choose {k}, not pair {m}", "k"), ("pair {k}, then pair {m}", ""), ("{k}8", ""), ("我选第{k}", "k"), ("none of them", ""), ("Reason: pair {m}\nanswer: {k}", "k"),
+)
+
+
+def _shaped(n, shapes, marks):
+    """The shape of a row's number with its marks filled in."""
+    text = F.element_at(F.array(*[F.lit(t) for t, _ in shapes]), (n % len(shapes) + 1).cast("int"))
+    for mark, value in marks.items():
+        text = F.replace(text, F.lit("{" + mark + "}"), value)
+    return text
+
+
+def _wanted(n, shapes):
+    return f"([{', '.join(repr(w) for _, w in shapes)}])[CAST({n} % {len(shapes)} + 1 AS INT)]"
+
+
+@query("f10_choice_from_prose", with_views(f"""SELECT trial, item_no, CASE {_wanted('(trial * 5 + item_no)', CHOOSING)} WHEN 'c' THEN chr(CAST(65 + partkey % 4 AS INT)) WHEN 'o' THEN chr(CAST(65 + (partkey + 1) % 4 AS INT)) END AS choice FROM items_v"""))
 def f10(spark, d):
-    says = F.element_at(F.array(*[F.lit(s) for s in ("I would pick B here", "A or B, hard to say", "C.", "A because it fits")]), (F.col("item_no") % 4 + 1).cast("int"))
-    return view(spark, d, "bodies_v").select("trial", "item_no", h.prose_choice(says, F.array(F.lit("A"), F.lit("B"), F.lit("C"))).alias("choice"))
+    k = F.col("partkey")
+    says = _shaped(F.col("trial") * 5 + F.col("item_no"), CHOOSING, {"c": F.char(k % 4 + 65), "o": F.char((k + 1) % 4 + 65)})
+    return view(spark, d, "items_v").select("trial", "item_no", clauses.selected_choice(says, F.array(*[F.lit(x) for x in "ABCD"])).alias("choice"))
 
 
-@query("f12_diagram_label", with_views("SELECT trial, item_no, CASE item_no % 3 WHEN 0 THEN CAST(line AS VARCHAR) WHEN 1 THEN NULL ELSE '4' END AS label FROM items_v"))
+@query("f12_diagram_label", with_views(f"""SELECT trial, item_no, CASE {_wanted('(trial * 3 + item_no)', NAMING)} WHEN 'k' THEN CAST(1 + partkey % 7 AS VARCHAR) WHEN 'm' THEN CAST(1 + (partkey + 3) % 7 AS VARCHAR) END AS label FROM items_v"""))
 def f12(spark, d):
-    m = F.col("item_no") % 3
-    says = F.when(m == 0, F.concat(F.lit("Circle "), F.col("line").cast("string"))).when(m == 1, "2 and 5").otherwise("4\nnote: 1 was close")
-    return view(spark, d, "items_v").select("trial", "item_no", h.diagram_label(says).alias("label"))
+    k = F.col("partkey")
+    says = _shaped(F.col("trial") * 3 + F.col("item_no"), NAMING, {"k": (k % 7 + 1).cast("string"), "m": ((k + 3) % 7 + 1).cast("string")})
+    return view(spark, d, "items_v").select("trial", "item_no", clauses.diagram_label(says).alias("label"))
 
 
 #: Field names in documents: the first seven hide reasoning.

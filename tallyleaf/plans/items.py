@@ -91,27 +91,35 @@ def p7(spark, d):
     return rows.filter("parse_status <> 'ok' or reasons is not null").select("trial", "parse_status", "reasons")
 
 
+def _state(read, n):
+    return f"CASE WHEN {read} = {n} THEN 'ok' WHEN {read} > 0 THEN 'partial' ELSE 'unparsed' END"
+
+
 @query("g5_trial_audit", with_views(f"""WITH {COUNTED}, {REASONS}, b AS (SELECT trial, sum(CASE WHEN before_status IN {READ} THEN 1 ELSE 0 END)::BIGINT AS before_read, string_agg(DISTINCT response_type, ',' ORDER BY response_type) AS answer_types FROM scored_v GROUP BY trial)
- SELECT c.trial, item_count, before_read, read AS after_read, scored, answer_types, coalesce(reasons, '') AS reasons FROM c JOIN b USING (trial) LEFT JOIN u USING (trial)"""))
+ SELECT c.trial, item_count, before_read, read AS after_read, {_state('before_read', 'item_count')} AS before_status, {_state('read', 'item_count')} AS after_status, scored, answer_types, coalesce(reasons, '') AS reasons FROM c JOIN b USING (trial) LEFT JOIN u USING (trial)"""))
 def g5(spark, d):
-    rows = view(spark, d, "scored_v")
-    # one pass over the items: the trial is the only shuffle key
-    both = rows.groupBy("trial").agg(
-        F.count("*").alias("item_count"), F.count_if(t.is_readable("before_status")).alias("before_read"), F.count_if(t.is_readable("after_status")).alias("after_read"),
-        F.count("after_score").alias("scored"), F.array_join(F.array_sort(F.collect_set("response_type")), ",").alias("answer_types"),
-    )
-    return both.join(t.unresolved_reasons(rows, "after_status"), "trial", "left").na.fill("", ["reasons"])
+    return t.trial_audit(view(spark, d, "scored_v"), ("trial",), "before_status", "after_status", "after_score", "response_type")
 
 
-@query("g6_item_changes", with_views("SELECT trial, item_no, before_score AS old_score, after_score AS new_score FROM scored_v WHERE before_score IS DISTINCT FROM after_score OR before_status IS DISTINCT FROM after_status"))
+#: Both decodes of an item with the bounds and unit of ranges; by item and trial the upper end, the unit or nothing of it changes.
+RANGES = ("CASE WHEN item_no % 5 = 0 THEN 3 END", "CASE WHEN item_no % 5 = 0 THEN 5 END", "CASE WHEN item_no % 5 = 0 THEN '' END", "CASE WHEN item_no % 5 = 0 THEN 5 + trial % 2 END", "CASE WHEN item_no % 5 = 0 THEN CASE WHEN trial % 3 = 0 THEN '%' ELSE '' END END")
+
+
+@query("g6_item_changes", with_views(f"""WITH x AS (SELECT trial, item_no, before_score, after_score, before_status, after_status, {RANGES[0]} AS before_lower, {RANGES[0]} AS after_lower, {RANGES[1]} AS before_upper, {RANGES[3]} AS after_upper, {RANGES[2]} AS before_unit, {RANGES[4]} AS after_unit FROM scored_v),
+ y AS (SELECT *, concat_ws(',', CASE WHEN before_score IS DISTINCT FROM after_score THEN 'score' END, CASE WHEN before_status IS DISTINCT FROM after_status THEN 'status' END, CASE WHEN before_upper IS DISTINCT FROM after_upper THEN 'upper' END, CASE WHEN before_unit IS DISTINCT FROM after_unit THEN 'unit' END) AS differs FROM x)
+ SELECT trial, item_no, before_score, after_score, before_status, after_status, before_lower, after_lower, CAST(before_upper AS BIGINT) AS before_upper, CAST(after_upper AS BIGINT) AS after_upper, before_unit, after_unit, differs FROM y WHERE differs <> ''"""))
 def g6(spark, d):
-    return _compared(spark, d).filter("changed").select("trial", "item_no", "old_score", "new_score")
+    side = lambda name, upper, unit: F.struct(F.col(f"{name}_score").alias("score"), F.col(f"{name}_status").alias("status"), F.expr(RANGES[0]).alias("lower"), F.expr(upper).cast("long").alias("upper"), F.expr(unit).alias("unit"))
+    rows = view(spark, d, "scored_v").select("trial", "item_no", side("before", RANGES[1], RANGES[2]).alias("b"), side("after", RANGES[3], RANGES[4]).alias("a"))
+    return t.changed_items(rows, "b", "a", ("score", "status", "lower", "upper", "unit")).withColumn("differs", F.array_join("differs", ","))
 
 
-@query("g3_score_audit", with_views("""SELECT violation, count(*) AS n FROM (SELECT CASE WHEN after_score IS NULL THEN NULL WHEN response_type = 'text' THEN 'score on text' WHEN response_type = 'choice' AND NOT after_score BETWEEN 1 AND 7 THEN 'no such choice' END AS violation FROM scored_v) x WHERE violation IS NOT NULL GROUP BY 1"""))
+@query("g3_score_audit", with_views("""SELECT violation, count(*) AS n FROM (SELECT CASE WHEN after_score IS NULL THEN NULL WHEN response_type = 'text' THEN 'score on text'
+ WHEN response_type = 'choice' AND NOT list_contains(CASE WHEN trial % 2 = 0 THEN ['1', '2', '3', '4', '5', '6', '7'] ELSE ['2', '4', '8', '16', '32'] END, CAST(after_score AS VARCHAR)) THEN 'no such choice' END AS violation FROM scored_v) x WHERE violation IS NOT NULL GROUP BY 1"""))
 def g3(spark, d):
-    rows = view(spark, d, "scored_v")
-    return rows.withColumn("violation", t.score_violations(rows, "after_score")).filter("violation is not null").groupBy("violation").agg(F.count("*").alias("n"))
+    listed = lambda xs: F.array(*[F.lit(x) for x in xs])
+    rows = view(spark, d, "scored_v").withColumn("choices", F.when(F.col("trial") % 2 == 0, listed("1234567")).otherwise(listed(("2", "4", "8", "16", "32"))))
+    return rows.withColumn("violation", t.score_violations(rows, "after_score", F.col("choices"))).filter("violation is not null").groupBy("violation").agg(F.count("*").alias("n"))
 
 
 @query("a11_collection_checksum", """WITH f AS (SELECT concat('doc/', doc_id, '.txt') AS path, sha256(text) AS digest, doc_id % (SELECT greatest(64, CAST(ceil(count(*) / 4096.0) AS BIGINT)) FROM documents) AS bucket FROM documents),
@@ -128,10 +136,15 @@ def a13(spark, d):
     return mix.groupBy("scale_name", "language").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "response_type", F.col("n").cast("string")))), ",").alias("types"), F.sum("n").alias("items"))
 
 
-@query("a15_nested_items", with_views("SELECT trial, string_agg(coalesce(CAST(after_score AS VARCHAR), '-'), ',' ORDER BY item_no) AS scores, count(*) AS n FROM scored_v GROUP BY trial"))
+@query("a15_nested_items", with_views("""WITH b AS (SELECT trial, response_type, min(item_no) AS f, string_agg(coalesce(CAST(after_score AS VARCHAR), '-'), ',' ORDER BY item_no) AS s FROM scored_v GROUP BY ALL),
+ l AS (SELECT trial, string_agg(concat(response_type, ':', s), '|' ORDER BY f) AS blocks FROM b GROUP BY trial)
+ SELECT trial, string_agg(coalesce(CAST(after_score AS VARCHAR), '-'), ',' ORDER BY item_no) AS scores, count(*) AS n, any_value(blocks) AS blocks FROM scored_v JOIN l USING (trial) GROUP BY trial"""))
 def a15(spark, d):
-    rows = t.nest(view(spark, d, "scored_v"), ("trial",), "item_no", ("after_score",))
-    return rows.select("trial", F.array_join(F.transform("items", lambda x: x["after_score"].cast("string")), ",", "-").alias("scores"), F.size("items").cast("long").alias("n"))
+    """Items nested in their trial, and again in its blocks (here those of one response type)."""
+    rows = t.nest(view(spark, d, "scored_v"), ("trial",), "item_no", ("after_score",), "response_type")
+    scores = lambda xs: F.array_join(F.transform(xs, lambda x: x["after_score"].cast("string")), ",", "-")
+    blocks = F.array_join(F.transform("blocks", lambda b: F.concat(b["response_type"], F.lit(":"), scores(b["slots"]))), "|")
+    return rows.select("trial", scores(F.col("items")).alias("scores"), F.size("items").cast("long").alias("n"), blocks.alias("blocks"))
 
 
 @query("a17_first_of_content", "SELECT sha256(text) AS digest, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1")

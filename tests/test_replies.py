@@ -4,8 +4,10 @@ import random
 
 import pytest
 from plain_reply import decode_reply
+from pyspark.sql import functions as F
 from test_decode import CASES
 
+from tallyleaf.functions import clauses
 from tallyleaf.operators.replies import decode_whole
 
 FIELDS = "slot_id:string,question:string,response_type:string,minimum:double,maximum:double,choices:array<string>,labels:map<string,string>,context:string,section:string,source_no:int,linked_slot_id:string"
@@ -82,6 +84,7 @@ WANTED = [
     ("I cannot provide scores.", S3, [(None, M)] * 3, "refusal", None, []),
     ("I cannot rate the first.\n2. 4", S3, [(None, M), (4, P), (None, M)], "partial", None, []),
     ("1. 3.5\n2. 5.\n3. .5", [slot(k, "number", low=0.0) for k in (1, 2, 3)], [(3.5, P), (5, P), (0.5, P)], "ok", None, []),
+    ("1. ②\n2. Answer: ③\n3. ① or ②", S3, [(2, P), (3, P), ("① or ②", U)], "partial", None, []),
     (None, S3, [(None, M)] * 3, "empty_response", None, []),
     ("", [], [], "empty_response", None, []),
     ("1. 3", [], [], U, None, []),
@@ -154,3 +157,14 @@ def test_empty_table(spark):
 @pytest.mark.parametrize("text", ["x" * 200_000, "1. " + "word " * 50_000, "\n" * 100_000, "1. 3\n" * 5_000])
 def test_long_replies(spark, text):
     assert len(decode(spark, [(text, S3)])[0].answers) == 3
+
+
+CHOSEN = [
+    ("I would not choose A; I choose B", "B"), ("Not A.", None), ("I can't pick A, but I pick B", "B"), ("choose A. choose B", None), ("A, since B is too long", None), ("Friend: B", "B"), ("A and B", None), ("answer is (A)", "A"), ("不选A，选B", "B"), ("", None), (None, None), ("AB", None), ("pick A/B", None),
+]
+
+
+def test_choices_by_clause(spark):
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(CHOSEN)], "k int, t string")
+    got = [r.c for r in df.select("k", clauses.selected_choice("t", F.array(F.lit("A"), F.lit("B"))).alias("c")).orderBy("k").collect()]
+    assert got == [w for _, w in CHOSEN]
