@@ -44,12 +44,16 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(target)
 
 
-def map_arrow(df: DataFrame, make: Callable[[pa.RecordBatch], Iterator[list[pa.Array] | None]], schema: str | T.StructType) -> DataFrame:
-    """mapInArrow with a generator that turns one batch into lists of columns. Texts are long, so the session's batches are
-    held to BATCH_ROWS rows; memory of a worker follows their size."""
+def hold_batches(spark: SparkSession) -> None:
+    """Holds the session's Arrow batches to BATCH_ROWS rows; memory of a worker follows their size, and texts are long."""
     most = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(df.sparkSession.conf.get(most)) <= BATCH_ROWS:
-        df.sparkSession.conf.set(most, BATCH_ROWS)
+    if not 0 < int(spark.conf.get(most)) <= BATCH_ROWS:
+        spark.conf.set(most, BATCH_ROWS)
+
+
+def map_arrow(df: DataFrame, make: Callable[[pa.RecordBatch], Iterator[list[pa.Array] | None]], schema: str | T.StructType) -> DataFrame:
+    """mapInArrow with a generator that turns one batch of at most BATCH_ROWS rows into lists of columns."""
+    hold_batches(df.sparkSession)
     kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
