@@ -45,20 +45,61 @@ def hash_order(rows: DataFrame, keys: list[str], block: str, position: str, poli
     return rows.join(places, [*keys, block]).withColumn("display_no", F.row_number().over(w))
 
 
-def prompts(rows: DataFrame, keys: list[str], order: str, section: str, question: str, head: Column) -> DataFrame:
-    """One prompt per trial: a head, a section heading only where it changes, then questions in display order."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    before = F.lag(section).over(w)
-    heading = F.when(before.isNull() | (before != F.col(section)), F.concat(F.lit("## "), F.col(section), F.lit("\n"))).otherwise("")
-    line = F.concat(heading, F.col(order).cast("string"), F.lit(". "), F.col(question))
-    lines = rows.withColumn("__line", line).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, "__line"))).alias("__l"))
-    return lines.select(*keys, F.concat(head, F.lit("\n\n"), F.array_join(F.col("__l.__line"), "\n")).alias("prompt"))
+#: The lines that ask for scores only, by language.
+SCORES_ONLY = {"en": "Please give only the requested scores, without explanations.", "ch": "请仅给出题目要求的分数，不需要解释。"}
+
+
+#: The lines that give an identity, by language and identity.
+IDENTITIES = {
+    ("en", "china"): "You are an average person born and living in China responding to the following questions.", ("en", "usa"): "You are an average person born and living in the United States responding to the following questions.",
+    ("ch", "china"): "你是一位在中国出生并生活的普通人，正在回答以下问题。", ("ch", "usa"): "你是一位在美国出生并生活的普通人，正在回答以下问题。",
+}
+
+
+def identity_line(identity: Column, language: Column) -> Column:
+    """The line of an identity; none and unknown ones have none."""
+    said = F.when(F.lower(language).startswith("ch"), "ch").otherwise("en")
+    table = F.create_map(*[x for (lang, who), line in IDENTITIES.items() for x in (F.lit(f"{lang}/{who}"), F.lit(line))])
+    return F.coalesce(F.element_at(table, F.concat_ws("/", said, F.lower(F.trim(identity)))), F.lit(""))
 
 
-def prompt_parts(prompt: Column) -> Column:
-    """struct(head, items): pieces that join to the prompt again."""
-    cut = F.instr(prompt, "\n\n")
-    return F.struct(F.substring(prompt, F.lit(1), cut + 1).alias("head"), F.substring(prompt, cut + 2, F.length(prompt)).alias("items"))
+def scores_only_line(language: Column) -> Column:
+    return F.when(F.lower(language).startswith("ch"), SCORES_ONLY["ch"]).otherwise(SCORES_ONLY["en"])
+
+
+def prompts(rows: DataFrame, keys: list[str], order: str, context: str, section: str, question: str, heads: list[Column]) -> DataFrame:
+    """One prompt per trial: the heads that are not blank (identity, instruction, a line that asks for scores only), then
+    the questions in display order. A context is said where it differs from the last one said, after a blank line unless it
+    comes first; a section where it differs from the last one said under its context; blank ones change nothing. heads are
+    equal for all rows of a trial."""
+    given = lambda c: F.nullif(F.trim(F.coalesce(F.col(c), F.lit(""))), F.lit(""))
+    w = Window.partitionBy(*keys).orderBy(order)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({"__c": given(context), "__s": given(section), "__q": F.trim(question)})
+    said = F.last("__c", True).over(before)
+    rows = rows.withColumn("__says", F.coalesce(F.col("__c").isNotNull() & ~F.col("__c").eqNullSafe(said), F.lit(False))).withColumn("__run", F.count_if("__says").over(w))
+    under = Window.partitionBy(*keys, "__run").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    names = F.col("__s").isNotNull() & ~F.col("__s").eqNullSafe(F.last("__s", True).over(under))
+    first = F.row_number().over(w) == 1
+    line = F.concat(
+        F.when(F.col("__says"), F.concat(F.when(first, "").otherwise("\n"), "__c", F.lit("\n"))).otherwise(""), F.when(F.coalesce(names, F.lit(False)), F.concat("__s", F.lit("\n"))).otherwise(""), "__q"
+    )
+    lines = rows.select(*keys, order, line.alias("__line"), *[F.nullif(F.trim(h), F.lit("")).alias(f"__h{k}") for k, h in enumerate(heads)])
+    told = lines.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, "__line"))).alias("__l"), *[F.max(f"__h{k}").alias(f"__h{k}") for k in range(len(heads))])
+    return told.select(*keys, F.concat_ws("\n\n", *[f"__h{k}" for k in range(len(heads))], F.array_join(F.col("__l.__line"), "\n")).alias("prompt"))
+
+
+def prompt_parts(prompt: Column, identity: Column, instruction: Column, addendum: Column) -> Column:
+    """struct(identity, instruction, addendum, items): the pieces of a prompt, each null where the prompt does not begin with
+    it there. Pieces that are not null join with blank lines to the prompt again."""
+    rest, found = prompt, []
+    for piece in (identity, instruction, addendum):
+        text = F.nullif(F.trim(F.coalesce(piece, F.lit(""))), F.lit(""))
+        here = F.coalesce(F.startswith(rest, text), F.lit(False))
+        found.append(F.when(here, text))
+        behind = F.substring(rest, F.length(text) + 1, F.length(rest))
+        rest = F.when(here, F.when(behind.startswith("\n\n"), F.substring(behind, F.lit(3), F.length(behind))).otherwise(behind)).otherwise(rest)
+    return F.struct(*[c.alias(n) for c, n in zip(found, ("identity", "instruction", "addendum"))], F.nullif(rest, F.lit("")).alias("items"))
 
 
 def config_difference(left: Column, right: Column) -> Column:

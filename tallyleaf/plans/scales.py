@@ -136,23 +136,41 @@ def w3(spark, d):
     return view(spark, d, "slots_v").select("slot_id", F.row_number().over(w.orderBy("block_id", "slot_pos")).alias("display_index"), F.dense_rank().over(w.orderBy("block_id")).alias("block_index"), F.col("slot_pos").alias("original_index"))
 
 
-PROMPT = f"""{BLOCKS}, h AS (SELECT scale_name, display_no, concat(CASE WHEN lag(block_id) OVER (PARTITION BY scale_name ORDER BY display_no) IS DISTINCT FROM block_id THEN concat('## ', block_id, chr(10)) ELSE '' END, display_no, '. ', question) AS l FROM o),
- p AS (SELECT scale_name, concat('Scale ', scale_name, chr(10), chr(10), string_agg(l, chr(10) ORDER BY display_no)) AS prompt FROM h GROUP BY scale_name)"""
+#: What stands before the questions, by the scale's number; and where contexts and sections change.
+HEADS = {
+    "identity": "CASE CAST(split_part(scale_name, '_', 2) AS INT) % 12 WHEN 7 THEN '你是一位在中国出生并生活的普通人，正在回答以下问题。' WHEN 11 THEN '你是一位在美国出生并生活的普通人，正在回答以下问题。' WHEN 3 THEN '' ELSE CASE CAST(split_part(scale_name, '_', 2) AS INT) % 3 WHEN 1 THEN 'You are an average person born and living in China responding to the following questions.' WHEN 2 THEN 'You are an average person born and living in the United States responding to the following questions.' ELSE '' END END",
+    "instruction": "CASE WHEN CAST(split_part(scale_name, '_', 2) AS INT) % 5 = 0 THEN ' ' ELSE concat('Please read ', scale_name, '.') END",
+    "addendum": "CASE CAST(split_part(scale_name, '_', 2) AS INT) % 4 WHEN 1 THEN 'Please give only the requested scores, without explanations.' WHEN 3 THEN '请仅给出题目要求的分数，不需要解释。' ELSE '' END",
+}
+PLACES = {"context": "CASE WHEN slot_pos % 7 = 3 THEN '' ELSE concat('About ', lower(block_id)) END", "section": "CASE WHEN slot_pos % 5 = 2 THEN NULL ELSE concat('Part ', maximum % 3) END"}
+PROMPT = f"""{BLOCKS}, c AS (SELECT *, {", ".join(f"{e} AS {n}" for n, e in PLACES.items())} FROM o),
+ d AS (SELECT *, coalesce(context <> '' AND context IS DISTINCT FROM last_value(nullif(context, '') IGNORE NULLS) OVER (PARTITION BY scale_name ORDER BY display_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS says FROM c),
+ e AS (SELECT *, sum(says::INT) OVER (PARTITION BY scale_name ORDER BY display_no) AS run FROM d),
+ l AS (SELECT scale_name, display_no, concat(CASE WHEN says THEN concat(CASE WHEN display_no > 1 THEN chr(10) ELSE '' END, context, chr(10)) ELSE '' END,
+  CASE WHEN section IS NOT NULL AND section IS DISTINCT FROM last_value(section IGNORE NULLS) OVER (PARTITION BY scale_name, run ORDER BY display_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN concat(section, chr(10)) ELSE '' END, question) AS line FROM e),
+ p AS (SELECT scale_name, {", ".join(f"nullif(trim({e}), '') AS {n}" for n, e in HEADS.items())}, string_agg(line, chr(10) ORDER BY display_no) AS items FROM l GROUP BY scale_name),
+ q AS (SELECT *, concat_ws(chr(10) || chr(10), identity, instruction, addendum, items) AS prompt FROM p)"""
 
 
 def _prompts(spark, d):
-    return design.prompts(_ordered(spark, d), ["scale_name"], "display_no", "block_id", "question", F.concat(F.lit("Scale "), "scale_name"))
+    rows = _ordered(spark, d).withColumns({n: F.expr(e) for n, e in PLACES.items()})
+    number = F.substring_index("scale_name", "_", -1).cast("int")
+    language = F.when(number % 4 == 3, "ch").otherwise("en")
+    identity = design.identity_line(F.when(number % 3 == 1, "china").when(number % 3 == 2, "usa").otherwise("none"), language)
+    addendum = F.when(number % 2 == 1, design.scores_only_line(language)).otherwise("")
+    return design.prompts(rows, ["scale_name"], "display_no", "context", "section", "question", [identity, F.expr(HEADS["instruction"]), addendum])
 
 
-@query("f42_prompts", with_views(f"WITH {PROMPT} SELECT scale_name, sha256(prompt) AS digest, length(prompt) AS chars FROM p"))
+@query("f42_prompts", with_views(f"WITH {PROMPT} SELECT scale_name, sha256(prompt) AS digest, length(prompt) AS chars FROM q"))
 def f42(spark, d):
     return _prompts(spark, d).select("scale_name", F.sha2("prompt", 256).alias("digest"), F.length("prompt").alias("chars"))
 
 
-@query("f43_prompt_sections", with_views(f"WITH {PROMPT} SELECT scale_name, concat('Scale ', scale_name, chr(10), chr(10)) AS head, true AS rejoins FROM p"))
+@query("f43_prompt_sections", with_views(f"WITH {PROMPT} SELECT scale_name, identity, instruction, addendum, sha256(items) AS items, true AS rejoins FROM q"))
 def f43(spark, d):
-    rows = _prompts(spark, d).withColumn("x", design.prompt_parts(F.col("prompt")))
-    return rows.select("scale_name", "x.head", (F.concat("x.head", "x.items") == F.col("prompt")).alias("rejoins"))
+    rows = _prompts(spark, d).withColumn("x", design.prompt_parts(F.col("prompt"), *[F.expr(e) for e in HEADS.values()]))
+    pieces = [f"x.{c}" for c in ("identity", "instruction", "addendum", "items")]
+    return rows.select("scale_name", *pieces[:3], F.sha2("x.items", 256).alias("items"), (F.concat_ws("\n\n", *pieces) == F.col("prompt")).alias("rejoins"))
 
 
 @query("g1_trial_plan", """SELECT c_name AS scale_name, trial_no, CAST((('0x' || substr(sha256(concat_ws('|', '7', c_name, '', trial_no, 'order')), 1, 16))::UBIGINT) % 2147483647 AS BIGINT) AS seed,
