@@ -1,14 +1,16 @@
 """Registered queries: SQL comparison where there is SQL, and the pipeline's stages against brute force."""
 
 import collections
+import re
 from fractions import Fraction
 
 import compare
 import corpus_pipeline
 import pytest
+from test_contracts import SECRETS, WORD
 from test_operators import linked_components
 
-from tallyleaf.llm import catalog
+from tallyleaf.llm import catalog, toxicity
 
 DATA = "/root/testdata/sf0.001"
 
@@ -39,6 +41,26 @@ def test_pipeline(spark, tmp_path):
             assert docs.columns == columns, name
             assert docs.schema == before.schema
         ids.append({r[0] for r in docs.select("doc_id").collect()})
+        if k == 0:  # the classifier's own verdicts on the documents decide
+            verdicts = toxicity.score_toxicity(before, toxicity.fit_toxicity(before, spark.read.parquet(f"{DATA}/labels.parquet"))).collect()
+            assert ids[0] == {r.doc_id for r in verdicts if r.predicted == 0}
+        if k == 2:  # no document that holds an item word for word stays
+            items = [" ".join(WORD.findall(r.text)) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect() if r.text and len(WORD.findall(r.text)) >= 6]
+            held = {r.doc_id for r in before.collect() if any(f" {i} " in f" {' '.join(WORD.findall(r.text or ''))} " for i in items)}
+            assert held and not held & ids[2]
+        if k == 3:  # what the patterns find is masked, the rest stays as it was
+            was, now = ({r.doc_id: r for r in x.collect()} for x in (before, docs))
+            for d, r in was.items():
+                text, masked = r.text or "", now[d].text or ""
+                spans = [m for kind, (pattern, ok) in SECRETS.items() for m in re.finditer(pattern, text) if ok(m)]
+                assert "<secret>" in masked if spans else True
+                assert not any(m[0] in masked for m in spans)
+                pieces = masked.split("<secret>")
+                at = 0
+                for x in pieces:
+                    at = text.index(x, at) + len(x)
+                assert "<secret>" in masked or masked == text
+                assert now[d].n_chars == (len(masked) if masked != text else r.n_chars)
         if k == 1:
             rows = [(r[0], r[1]) for r in before.select("doc_id", "text").collect()]
             want = linked_components(rows, 5, Fraction("0.8"))
