@@ -108,6 +108,14 @@ def config_difference(left: Column, right: Column) -> Column:
     return F.filter(names, lambda k: ~F.element_at(left, k).eqNullSafe(F.element_at(right, k)))
 
 
+def compare_conditions(left: Column, right: Column, left_prompt: Column, right_prompt: Column) -> Column:
+    """struct(differs, requested_equivalent, effective_equivalence) of two conditions: settings that differ, then settings of
+    the prompt with their prefix. Equal requests say nothing of what a provider made of them, so that stays unknown."""
+    prompt = F.transform(config_difference(left_prompt, right_prompt), lambda k: F.concat(F.lit("prompt_config."), k))
+    differs = F.concat(config_difference(left, right), prompt)
+    return F.struct(differs.alias("differs"), (F.size(differs) == 0).alias("requested_equivalent"), F.lit("unknown").alias("effective_equivalence"))
+
+
 def explicit_fields(config: Column, fields: list[str]) -> Column:
     """struct(explicit, default): the settings that are given, and the others."""
     every = F.array(*[F.lit(f) for f in fields])
@@ -115,13 +123,15 @@ def explicit_fields(config: Column, fields: list[str]) -> Column:
     return F.struct(given.alias("explicit"), F.array_except(every, given).alias("default"))
 
 
-def interpretation(mode: Column, explicit: Column) -> Column:
-    """What a condition's settings mean, from its mode and the settings given."""
+def condition_meaning(mode: Column, explicit: Column) -> Column:
+    """struct(interpretation, effective_status): what a condition means, from its mode and the settings given, and what can be
+    said of the values that took effect."""
     some = F.size(explicit) > 0
-    return (
-        F.when(mode == "natural", F.when(some, "natural_with_explicit_overrides").otherwise("natural"))
+    meaning = (
+        F.when(mode == "natural", F.when(some, "natural_with_explicit_overrides").otherwise("provider_default_requested"))
         .when(mode == "controlled", F.when(some, "controlled_explicit").otherwise("controlled_without_explicit_settings")).otherwise("custom")
     )
+    return F.struct(meaning.alias("interpretation"), F.when(mode == "natural", "provider_default_or_unknown").otherwise("explicit_or_provider_rejected").alias("effective_status"))
 
 
 def longest_prefix(names: DataFrame, name: str, prefixes: DataFrame, prefix: str) -> DataFrame:

@@ -119,14 +119,19 @@ def outcome(plan: DataFrame, attempts: DataFrame, results: DataFrame) -> DataFra
     return plan.join(saved, "id", "left").join(tried, "id", "left").withColumn("outcome", F.when(F.col("__s"), "saved").when(F.col("__a"), "failed").otherwise("pending")).drop("__s", "__a")
 
 
-def attempt_budget(attempts: DataFrame, tasks: DataFrame, keys: list[str], retries: int) -> DataFrame:
-    """Attempts and retries of each group against max(trials, trials x retries)."""
+def attempt_budget(attempts: DataFrame, tasks: DataFrame, keys: list[str], retries: int, limits: DataFrame | None = None) -> DataFrame:
+    """Attempts and retries of each group against its budget: the limit that is set for it, where one above 0 is, else trials
+    x retries, and never less than the trials. The last error is that of the last attempt that has one. limits: keys, limit."""
+    failed = F.col("error").isNotNull()
     used = attempts.groupBy(*keys).agg(
-        F.count("*").alias("attempts"), F.sum(F.when(F.col("attempt") > 1, 1).otherwise(0)).alias("retries"), F.max_by("status", F.struct("recorded_at", "source")).alias("last_status")
-    )
+        F.count("*").alias("attempts"), F.count_if(F.col("attempt") > 1).alias("retries"), F.max_by("status", F.struct("recorded_at", "source")).alias("last_status"),
+        F.max_by(F.when(failed, F.col("error")), F.when(failed, F.struct("recorded_at", "source"))).alias("last_error"),
+    )
     counts = tasks.groupBy(*keys).agg(F.count("*").alias("trials"))
-    budget = F.greatest(F.col("trials"), F.col("trials") * retries)
-    return counts.join(used, keys, "left").na.fill(0, ["attempts", "retries"]).withColumn("budget", budget).withColumn("over_budget", F.col("attempts") > F.col("budget"))
+    rows = counts.join(used, keys, "left").na.fill(0, ["attempts", "retries"])
+    rows = rows.join(limits, keys, "left") if limits is not None else rows.withColumn("limit", F.lit(None).cast("long"))
+    budget = F.greatest(F.col("trials"), F.when(F.col("limit") > 0, F.col("limit")).otherwise(F.col("trials") * max(1, retries)))
+    return rows.withColumn("budget", budget).withColumn("over_budget", F.col("attempts") > F.col("budget")).drop("limit")
 
 
 def completion(plan: DataFrame, results: DataFrame, keys: list[str]) -> DataFrame:

@@ -192,9 +192,14 @@ def _configs(spark, d):
     return p.withColumns({"left": left, "right": right})
 
 
-@query("u2_config_difference", with_views("""SELECT order_no, concat_ws(',', CASE WHEN order_no % 3 <> 0 THEN 'model' END, CASE WHEN temperature10 <= 4 THEN 'temperature' END) AS differs FROM plan_v"""))
+@query("u2_config_difference", with_views("""SELECT order_no, d AS differs, d = '' AS requested_equivalent, 'unknown' AS effective_equivalence FROM (SELECT order_no, concat_ws(',', CASE WHEN order_no % 3 <> 0 THEN 'model' END, CASE WHEN temperature10 <= 4 THEN 'temperature' END,
+ CASE WHEN order_no % 5 = 0 THEN 'prompt_config.contract' END, CASE WHEN order_no % 7 IN (1, 2) THEN 'prompt_config.identity' END) AS d FROM plan_v) x"""))
 def u2(spark, d):
-    return _configs(spark, d).select("order_no", F.array_join(design.config_difference(F.col("left"), F.col("right")), ",").alias("differs"))
+    n = F.col("order_no")
+    prompt = lambda contract, identity: F.map_from_arrays(F.array(F.lit("contract"), F.lit("identity")), F.array(contract, identity))
+    left, right = prompt(F.lit("free"), F.when(n % 7 == 1, "china").when(n % 7 == 3, "usa")), prompt(F.when(n % 5 == 0, "scores").otherwise("free"), F.when(n % 7 == 2, "usa").when(n % 7 == 3, "usa"))
+    rows = _configs(spark, d).withColumn("x", design.compare_conditions(F.col("left"), F.col("right"), left, right))
+    return rows.select("order_no", F.array_join("x.differs", ",").alias("differs"), "x.requested_equivalent", "x.effective_equivalence")
 
 
 @query("u5_explicit_fields", with_views("""SELECT order_no, concat_ws(',', CASE WHEN temperature10 > 4 THEN 'temperature' END, CASE WHEN condition_hash IS NOT NULL THEN 'preset' END, 'model') AS explicit,
@@ -204,13 +209,14 @@ def u5(spark, d):
     return rows.select("order_no", F.array_join("x.explicit", ",").alias("explicit"), F.array_join("x.default", ",").alias("by_default"))
 
 
-@query("f30_condition_descriptor", with_views("""SELECT interpretation, count(*) AS n FROM (SELECT CASE WHEN order_no % 3 = 0 THEN CASE WHEN temperature10 > 4 OR condition_hash IS NOT NULL THEN 'natural_with_explicit_overrides' ELSE 'natural' END
- WHEN order_no % 3 = 1 THEN CASE WHEN temperature10 > 4 OR condition_hash IS NOT NULL THEN 'controlled_explicit' ELSE 'controlled_without_explicit_settings' END ELSE 'custom' END AS interpretation FROM plan_v) x GROUP BY 1"""))
+@query("f30_condition_descriptor", with_views("""SELECT interpretation, effective_status, count(*) AS n FROM (SELECT CASE WHEN order_no % 3 = 0 THEN CASE WHEN temperature10 > 4 OR condition_hash IS NOT NULL THEN 'natural_with_explicit_overrides' ELSE 'provider_default_requested' END
+ WHEN order_no % 3 = 1 THEN CASE WHEN temperature10 > 4 OR condition_hash IS NOT NULL THEN 'controlled_explicit' ELSE 'controlled_without_explicit_settings' END ELSE 'custom' END AS interpretation,
+ CASE WHEN order_no % 3 = 0 THEN 'provider_default_or_unknown' ELSE 'explicit_or_provider_rejected' END AS effective_status FROM plan_v) x GROUP BY ALL"""))
 def f30(spark, d):
     m = F.col("order_no") % 3
     mode = F.when(m == 0, "natural").when(m == 1, "controlled").otherwise("custom")
-    explicit = design.explicit_fields(F.col("left"), ["temperature", "preset"])["explicit"]
-    return _configs(spark, d).groupBy(design.interpretation(mode, explicit).alias("interpretation")).agg(F.count("*").alias("n"))
+    meaning = design.condition_meaning(mode, design.explicit_fields(F.col("left"), ["temperature", "preset"])["explicit"])
+    return _configs(spark, d).withColumn("m", meaning).groupBy("m.interpretation", "m.effective_status").agg(F.count("*").alias("n"))
 
 
 @query("j8_longest_prefix", with_views("""WITH f AS (SELECT 'MODEL_' AS family, 1 AS top UNION ALL SELECT 'model_1', 2 UNION ALL SELECT 'Model_10', 3)

@@ -203,13 +203,18 @@ def w2(spark, d):
     return t.next_free(view(spark, d, "results_v").withColumn("number", F.col("order_no") % 97), ["scale_name", "language"], "number")
 
 
-@query("a9_attempt_budget", _sql("""SELECT c.scale_name, c.language, trials, coalesce(attempts, 0) AS attempts, CAST(coalesce(retries, 0) AS BIGINT) AS retries, last_status, greatest(trials, trials * 3) AS budget, coalesce(attempts, 0) > greatest(trials, trials * 3) AS over_budget
- FROM (SELECT scale_name, language, count(*) AS trials FROM plan_v GROUP BY ALL) c LEFT JOIN
- (SELECT scale_name, language, count(*) AS attempts, sum(CASE WHEN CAST(attempt AS INT) > 1 THEN 1 ELSE 0 END) AS retries,
-  arg_max(CASE status WHEN 'error' THEN 'transport_error' ELSE status END, (recorded_at, source)) AS last_status FROM attempts_v GROUP BY ALL) a USING (scale_name, language)"""))
+LIMIT = "CASE WHEN scale_name IN ('scale_1', 'scale_7') THEN 5 WHEN scale_name = 'scale_2' THEN 0 WHEN scale_name = 'scale_3' THEN 100000 END"
+
+
+@query("a9_attempt_budget", _sql(f"""SELECT c.scale_name, c.language, trials, coalesce(attempts, 0) AS attempts, CAST(coalesce(retries, 0) AS BIGINT) AS retries, last_status, last_error, greatest(trials, CASE WHEN lim > 0 THEN lim ELSE trials * 3 END) AS budget,
+ coalesce(attempts, 0) > greatest(trials, CASE WHEN lim > 0 THEN lim ELSE trials * 3 END) AS over_budget FROM (SELECT scale_name, language, count(*) AS trials, CAST({LIMIT} AS BIGINT) AS lim FROM plan_v GROUP BY ALL) c LEFT JOIN
+ (SELECT scale_name, language, count(*) AS attempts, sum(CASE WHEN CAST(attempt AS INT) > 1 THEN 1 ELSE 0 END) AS retries, arg_max(CASE status WHEN 'error' THEN 'transport_error' ELSE status END, (recorded_at, source)) AS last_status,
+  arg_max(concat('no reply to ', source), (recorded_at, source)) FILTER (status = 'error') AS last_error FROM attempts_v GROUP BY ALL) a USING (scale_name, language)"""))
 def a9(spark, d):
     plan, attempts, _ = _three(spark, d)
-    return t.attempt_budget(t.normalise(attempts, "attempt"), t.normalise(plan, "plan"), ["scale_name", "language"], 3)
+    tried = t.normalise(attempts, "attempt").withColumn("error", F.when(F.col("status") == "transport_error", F.concat(F.lit("no reply to "), "source")))
+    limits = plan.select("scale_name", "language", F.expr(LIMIT).cast("long").alias("limit")).filter("limit is not null").distinct()
+    return t.attempt_budget(tried, t.normalise(plan, "plan"), ["scale_name", "language"], 3, limits)
 
 
 @query("a10_completion", with_views("""SELECT scale_name, language, planned, coalesce(saved, 0) AS saved, CASE WHEN coalesce(saved, 0) >= planned THEN 'completed' ELSE 'partial' END AS state
