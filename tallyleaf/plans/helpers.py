@@ -192,17 +192,22 @@ def ud1(spark, d):
     return decoded.select("trial", F.posexplode("answers").alias("p", "a"), "parse_status", "recovery").select("trial", (F.col("p") + 1).alias("item_no"), "a.score", "a.status", "parse_status", "recovery")
 
 
-@query("g4_answer_type_matrix", with_views("SELECT slot_id, 5 AS cases, 0 AS failed FROM slots_v"))
+@query("g4_answer_type_matrix", with_views("""WITH s AS (SELECT slot_id, slot_pos % 4 AS k, CAST(maximum + 1 AS BIGINT) AS top FROM slots_v)
+ SELECT slot_id, 1 AS case_no, '1' AS answer, 1.0::DOUBLE AS score, NULL::DOUBLE AS upper, 'parsed' AS status FROM s WHERE k < 2 UNION ALL SELECT slot_id, 2, CAST(top AS VARCHAR), CAST(top AS DOUBLE), NULL, 'parsed' FROM s WHERE k < 2
+ UNION ALL SELECT slot_id, 3, '1.5', CASE k WHEN 0 THEN 1.5 END, NULL, CASE k WHEN 0 THEN 'parsed' ELSE 'non_integer' END FROM s WHERE k < 2 UNION ALL SELECT slot_id, 4, CAST(top + 5 AS VARCHAR), CAST(top + 5 AS DOUBLE), NULL, 'out_of_range' FROM s WHERE k < 2
+ UNION ALL SELECT slot_id, 5, concat('1-', top), NULL, CAST(top AS DOUBLE), 'range_response' FROM s WHERE k < 2 UNION ALL SELECT slot_id, 6, concat('1-', top + 1), NULL, CAST(top + 1 AS DOUBLE), 'range_out_of_range' FROM s WHERE k < 2
+ UNION ALL SELECT slot_id, 1, 'YES', NULL, NULL, 'parsed' FROM s WHERE k = 2 UNION ALL SELECT slot_id, 2, 'NO', NULL, NULL, 'parsed' FROM s WHERE k = 2 UNION ALL SELECT slot_id, 3, 'perhaps', NULL, NULL, 'invalid_choice' FROM s WHERE k = 2
+ UNION ALL SELECT slot_id, 1, '4', NULL, NULL, 'text_response' FROM s WHERE k = 3 UNION ALL SELECT slot_id, 2, 'it depends, 3 or 4', NULL, NULL, 'text_response' FROM s WHERE k = 3"""))
 def g4(spark, d):
-    """Canonical answers of every slot must decode to themselves."""
-    top = F.col("maximum").cast("double") + 1
-    case = lambda body, score, status: F.struct(body.alias("body"), score.alias("expected"), F.lit(status).alias("status"))
-    text = lambda c: F.format_string("%.1f", c)
-    none = F.lit(None).cast("double")
-    cases = F.array(case(F.lit("1"), F.lit(1.0), "parsed"), case(text(top), top, "parsed"), case(text((top + 1) / 2), F.round((top + 1) / 2, 1), "parsed"), case(text(top + 5), top + 5, "out_of_range"), case(F.concat(F.lit("1-"), text(top)), none, "range_response"))
-    rows = view(spark, d, "slots_v").select("slot_id", "maximum", F.posexplode(cases).alias("case_no", "c"))
-    slot = F.struct(F.col("slot_id").alias("slot_id"), F.lit("").alias("question"), F.lit("number").alias("response_type"), F.lit(1.0).alias("minimum"), top.alias("maximum"), F.array().cast("array<string>").alias("choices"))
-    decoded = decode_whole(rows.select("slot_id", "case_no", F.col("c.expected").alias("expected"), F.col("c.status").alias("wanted"), F.concat(F.lit("1. "), "c.body").alias("reply"), F.array(slot).alias("slots")), ["slot_id", "case_no", "expected", "wanted"])
+    """Canonical answers of slots of every type must decode to themselves, and wrong ones to their defect."""
+    k, top = F.col("slot_pos") % 4, (F.col("maximum") + 1).cast("long")
+    text = lambda c: c.cast("string")
+    numbers = F.array(F.lit("1"), text(top), F.lit("1.5"), text(top + 5), F.concat(F.lit("1-"), text(top)), F.concat(F.lit("1-"), text(top + 1)))
+    said = F.when(k < 2, numbers).when(k == 2, F.array(F.lit("YES"), F.lit("no."), F.lit("perhaps"))).otherwise(F.array(F.lit("4"), F.lit("it depends, 3 or 4")))
+    kind = F.when(k == 0, "number").when(k == 1, "integer").when(k == 2, "choice").otherwise("text")
+    listed = F.when(k == 2, F.array(F.lit("YES"), F.lit("NO"))).otherwise(F.array().cast("array<string>"))
+    slot = F.struct(F.col("slot_id").alias("slot_id"), F.lit("").alias("question"), kind.alias("response_type"), F.when(k < 2, 1.0).alias("minimum"), F.when(k < 2, top.cast("double")).alias("maximum"), listed.alias("choices"))
+    rows = view(spark, d, "slots_v").select("slot_id", F.array(slot).alias("slots"), F.posexplode(said).alias("p", "body"))
+    decoded = decode_whole(rows.select("slot_id", (F.col("p") + 1).alias("case_no"), F.concat(F.lit("1. "), "body").alias("reply"), "slots"), ["slot_id", "case_no"])
     a = F.get("answers", F.lit(0))
-    good = a["status"].eqNullSafe(F.col("wanted")) & a["score"].eqNullSafe(F.col("expected"))
-    return decoded.groupBy("slot_id").agg(F.count("*").cast("int").alias("cases"), F.count_if(~good).cast("int").alias("failed"))
+    return decoded.select("slot_id", "case_no", a["answer"].alias("answer"), a["score"].alias("score"), a["upper"].alias("upper"), a["status"].alias("status"))
