@@ -3,6 +3,8 @@ not negate it or offer another, and different selections give none."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,29 +43,52 @@ def _quote(x: Column) -> Column:
     return F.concat(F.lit(r"\Q"), x, F.lit(r"\E(?![\w]|\.[0-9])"))
 
 
-def _leads(text: Column, choices: Column) -> Column:
+def _that(choices: Column | Sequence[str], holds: Callable[[Column], Column]) -> Column:
+    """The choices for which something holds. Where they are known beforehand, patterns with them are literals, which Spark
+    compiles once and not for each row."""
+    if isinstance(choices, Column):
+        return F.filter(choices, holds)
+    return F.filter(F.array(*[F.when(holds(F.lit(x)), F.lit(x)) for x in choices]).cast("array<string>"), lambda x: x.isNotNull())
+
+
+def _says(text: Column, before: str, x: Column, after: str = "") -> Column:
+    """Whether a text has a choice between two patterns."""
+    return F.regexp_like(text, F.concat(F.lit(f"(?i){before}"), _quote(x), F.lit(after)))
+
+
+def _leads(c: Column, choices: Column | Sequence[str]) -> Column:
     """The listed choice that a text begins with, if no alternative and no other choice follows."""
-    here = F.filter(choices, lambda x: F.regexp_like(text, F.concat(F.lit(r"(?i)^\s*" + WRAPPED), _quote(x))))
-    said = F.filter(choices, lambda x: F.regexp_like(text, F.concat(F.lit(r"(?i)(?<![\w])"), _quote(x))))
-    more = text.rlike(r"(?i)\bor\b|\band\b|或|还是|和")
-    return F.when((F.size(here) == 1) & (F.size(said) == 1) & ~more, F.get(here, F.lit(0)))
+
+    def leads(text: Column) -> Column:
+        only = lambda here: F.when((F.size(here) == 1) & (F.size(_that(choices, lambda x: _says(text, r"(?<![\w])", x))) == 1), F.get(here, F.lit(0)))
+        return F.when(~text.rlike(r"(?i)\bor\b|\band\b|或|还是|和"), v.once(_that(choices, lambda x: _says(text, r"^\s*" + WRAPPED, x)), only))
+
+    return v.once(c, leads)
 
 
-def selected_choice(c: str | Column, choices: Column) -> Column:
+def selected_choice(c: str | Column, choices: Column | Sequence[str]) -> Column:
     """The one listed choice that an answer selects: alone, behind a word of choosing in a clause that neither negates it nor
-    offers another, at its beginning, or behind a label and a colon."""
-    text = F.regexp_replace(F.coalesce(_c(c), F.lit("")), r"[*_`~]", "")
-    bare = F.regexp_replace(F.regexp_replace(F.trim(text), rf"(?i)^{WRAPPED}", ""), r"[)\]）】\"'.。!！\s]+$", "")
-    alone = v.choice(bare, choices)
-    parts = clauses(text)
-    marked = lambda p, x: F.regexp_like(p, F.concat(F.lit(f"(?i){MARK}{WRAPPED}"), _quote(x))) & ~F.regexp_like(p, F.concat(F.lit(f"(?i){MARK}{WRAPPED}"), _quote(x), F.lit(OTHERS)))
-    denied = lambda p, x: F.regexp_like(p, F.concat(F.lit(f"(?i){NEGATION}{MARK}{WRAPPED}"), _quote(x)))
-    picked = F.filter(choices, lambda x: F.exists(parts, lambda p: marked(p, x) & ~denied(p, x)))
-    refused = F.exists(choices, lambda x: F.exists(parts, lambda p: denied(p, x)))
-    first = F.get(F.filter(F.split(text, "\n"), lambda x: F.trim(x) != ""), F.lit(0))
-    behind = F.when(first.rlike("[:：=]"), F.regexp_replace(first, r"^[^:：=]*[:：=]\s*", ""))
-    free = F.when(~refused, F.coalesce(_leads(text, choices), _leads(behind, choices)))
-    return F.coalesce(alone, F.when(F.size(picked) > 0, F.when(F.size(picked) == 1, F.get(picked, F.lit(0)))).otherwise(free))
+    offers another, at its beginning, or behind a label and a colon. Choices that are the same for all rows come as a list."""
+    listed = choices if isinstance(choices, Column) else F.array(*[F.lit(x) for x in choices]).cast("array<string>")
+    marked = lambda p, x: _says(p, MARK + WRAPPED, x) & ~_says(p, MARK + WRAPPED, x, OTHERS)
+    denied = lambda p, x: _says(p, NEGATION + MARK + WRAPPED, x)
+
+    def selected(text: Column) -> Column:
+        bare = F.regexp_replace(F.regexp_replace(F.trim(text), rf"(?i)^{WRAPPED}", ""), r"[)\]）】\"'.。!！\s]+$", "")
+        first = F.get(F.filter(F.split(text, "\n"), lambda x: F.trim(x) != ""), F.lit(0))
+        behind = v.once(first, lambda x: F.when(x.rlike("[:：=]"), F.regexp_replace(x, r"^[^:：=]*[:：=]\s*", "")))
+
+        def by_clause(parts: Column) -> Column:
+            denies = F.filter(parts, lambda p: p.rlike(f"(?i){NEGATION}{MARK}"))
+            refused = v.once(denies, lambda some: F.when(F.size(some) > 0, F.size(_that(choices, lambda x: F.exists(some, lambda p: denied(p, x)))) > 0).otherwise(False))
+            free = F.when(~refused, F.coalesce(_leads(text, choices), _leads(behind, choices)))
+            picked = F.when(F.size(parts) > 0, _that(choices, lambda x: F.exists(parts, lambda p: marked(p, x) & ~denied(p, x)))).otherwise(F.array().cast("array<string>"))
+            return v.once(picked, lambda found: F.when(F.size(found) > 0, F.when(F.size(found) == 1, F.get(found, F.lit(0)))).otherwise(free))
+
+        said = F.filter(clauses(text), lambda p: p.rlike(f"(?i){MARK}"))  # no other clause picks or refuses
+        return F.coalesce(v.choice(bare, listed), v.once(said, by_clause))
+
+    return v.once(F.regexp_replace(F.coalesce(_c(c), F.lit("")), r"[*_`~]", ""), selected)
 
 
 def diagram_label(c: str | Column) -> Column:

@@ -3,6 +3,8 @@ expressions, so they stay inside generated code."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,6 +28,11 @@ def _c(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def once(c: str | Column, f: Callable[[Column], Column]) -> Column:
+    """f of a column that is evaluated once in each row: where f names the column itself often, Spark evaluates it as often."""
+    return F.get(F.transform(F.array(_c(c)), f), F.lit(0))
+
+
 def number(c: str | Column) -> Column:
     """A whole-string signed decimal, finite, else null. 5. and .5 are decimals."""
     text = F.trim(_c(c))
@@ -88,10 +95,14 @@ def choice(c: str | Column, choices: Column) -> Column:
     by their other words in two languages; else null."""
     text = F.lower(F.trim(_c(c)))
     plain = F.regexp_replace(F.regexp_replace(text, r"[.。!]+$", ""), r"^([0-9]+)\.0+$", "$1")
-    alias = F.when(plain.isin(*YES_WORDS), "yes").when(plain.isin(*NO_WORDS), "no")
-    decision = F.array_sort(F.transform(choices, lambda x: F.lower(x))) == F.array(F.lit("no"), F.lit("yes"))
-    said = F.coalesce(F.when(decision, alias), plain)
-    return F.get(F.filter(choices, lambda x: F.lower(x).isin(plain, said)), 0)
+
+    def listed(plain: Column) -> Column:
+        alias = F.when(plain.isin(*YES_WORDS), "yes").when(plain.isin(*NO_WORDS), "no")
+        decision = F.array_sort(F.transform(choices, lambda x: F.lower(x))) == F.array(F.lit("no"), F.lit("yes"))
+        said = F.when(alias.isNull(), plain).otherwise(F.coalesce(F.when(decision, alias), plain))
+        return once(said, lambda said: F.get(F.filter(choices, lambda x: F.lower(x).isin(plain, said)), 0))
+
+    return once(plain, listed)
 
 
 def pair_code(c: str | Column, choices: Column) -> Column:

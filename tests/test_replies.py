@@ -168,3 +168,12 @@ def test_choices_by_clause(spark):
     df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(CHOSEN)], "k int, t string")
     got = [r.c for r in df.select("k", clauses.selected_choice("t", F.array(F.lit("A"), F.lit("B"))).alias("c")).orderBy("k").collect()]
     assert got == [w for _, w in CHOSEN]
+
+
+def test_known_choices_need_no_pattern_for_each_row(spark):
+    """Choices given as a list say the same as choices in a column, and the answer is taken apart once."""
+    df = spark.createDataFrame([(k, t, ["A", "B"]) for k, (t, _) in enumerate(CHOSEN)], "k int, t string, c array<string>")
+    both = df.select("k", clauses.selected_choice("t", ["A", "B"]).alias("a"), clauses.selected_choice("t", F.col("c")).alias("b"))
+    assert [(r.a, r.b) for r in both.orderBy("k").collect()] == [(w, w) for _, w in CHOSEN]
+    plan = df.select(clauses.selected_choice("t", ["A", "B"]).alias("a"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[*_`~]") == 1
