@@ -67,18 +67,21 @@ def interval_status(span: Column, minimum: Column, maximum: Column) -> Column:
 def scalar(c: str | Column, maximum: Column | None = None) -> Column:
     """struct(value, status): the score that an answer states. A leading number counts with a harmless tail or a reason, or
     after a score word; n/max reads n; alternatives, ranges and lists are not resolved; numbers inside prose never count."""
-    text = F.trim(_c(c))
     lead, after = rf"^({NUMBER}){AND_SO_ON}(?:$|{REASON[4:]}$)", rf"{SCORE_WORDS}({NUMBER}){AND_SO_ON}(?:$|{REASON[4:]}$)"
     fraction = rf"^({NUMBER})\s*/\s*({NUMBER}){AND_SO_ON}$"
-    number_of = lambda p, k=1: F.regexp_extract(text, p, k).try_cast("double")
-    is_fraction = text.rlike(fraction) & (number_of(fraction, 2) == maximum) if maximum is not None else F.lit(False)
-    value = F.when(is_fraction, number_of(fraction)).when(text.rlike(f"(?i){lead}"), number_of(f"(?i){lead}")).when(text.rlike(after), number_of(after))
-    status = (
-        F.when(F.coalesce(text, F.lit("")) == "", "missing").when(F.coalesce(is_fraction, F.lit(False)), "parsed")
-        .when(interval(text).isNotNull() | text.rlike(rf"(?i)^{NUMBER}\s*(?:or|或|/)\s*{NUMBER}"), "range_unresolved")
-        .when(text.rlike(rf"^{NUMBER}\s*,\s*{NUMBER}"), "multiple_values").when(value.isNotNull(), "parsed").otherwise("unparsed")
-    )
-    return F.struct(F.when(status == "parsed", value).alias("value"), status.alias("status"))
+
+    def stated(text: Column) -> Column:
+        number_of = lambda p, k=1: F.regexp_extract(text, p, k).try_cast("double")
+        is_fraction = text.rlike(fraction) & (number_of(fraction, 2) == maximum) if maximum is not None else F.lit(False)
+        out = lambda status, value=None: F.struct((F.lit(None) if value is None else value).cast("double").alias("value"), F.lit(status).alias("status"))
+        number = F.when(text.rlike(f"(?i){lead}"), number_of(f"(?i){lead}")).when(text.rlike(after), number_of(after))
+        return (
+            F.when(F.coalesce(text, F.lit("")) == "", out("missing")).when(F.coalesce(is_fraction, F.lit(False)), out("parsed", number_of(fraction)))
+            .when(interval(text).isNotNull() | text.rlike(rf"(?i)^{NUMBER}\s*(?:or|或|/)\s*{NUMBER}"), out("range_unresolved"))
+            .when(text.rlike(rf"^{NUMBER}\s*,\s*{NUMBER}"), out("multiple_values")).otherwise(once(number, lambda n: F.when(n.isNotNull(), out("parsed", n)).otherwise(out("unparsed"))))
+        )
+
+    return once(F.trim(_c(c)), stated)
 
 
 def typed_number(value: Column, kind: Column, minimum: Column, maximum: Column) -> Column:

@@ -120,7 +120,7 @@ def take_apart(replies: DataFrame, keys: list[str], reply: str, slots: str) -> D
     )
     spread = rows.select(*keys, F.col("__form").alias("form"), F.col("__n").alias("n_slots"), "__slots", F.posexplode_outer(units).alias("unit_no", "u"))
     first = F.coalesce(F.col("unit_no"), F.lit(0)) == 0
-    return spread.select(*keys, "form", "n_slots", F.coalesce("unit_no", F.lit(0)).alias("unit_no"), F.col("u.key").alias("key"), F.col("u.said").alias("said"), F.when(first, F.col("__slots")).alias("slots"))
+    return spread.select(*keys, "form", "n_slots", F.coalesce("unit_no", F.lit(0)).alias("unit_no"), F.col("u.key").alias("key"), F.col("u.said").alias("said"), F.when(first, F.col("__slots")).alias("slots")).repartition(*keys)
 
 
 def mark_lines(units: DataFrame, keys: list[str]) -> DataFrame:
@@ -268,10 +268,12 @@ def claim_slots(records: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, "form", "n_slots", "rec", "slots", "scope", "segment", "method", "meant", "told", "defect")
 
 
-def interview_claims(lines: DataFrame, keys: list[str]) -> DataFrame:
+def interview_claims(units: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of an interview: under headings that count every slot once, or under lines that each say one slot's question
-    alone, or as many blank-line blocks as there are slots; else none."""
-    rows = lines.filter("form = 'interview'").withColumn("slots", F.first("slots", True).over(Window.partitionBy(*keys)))
+    alone, or as many blank-line blocks as there are slots; else none. The filter stays above the shuffle and all columns are
+    used, so that replies are not taken apart a second time for interviews: Spark reads the one shuffle twice."""
+    here = F.when(F.spark_partition_id() >= 0, F.col("form") == "interview")  # known only in a task, so not pushed down
+    rows = units.filter(here).withColumn("slots", F.first("slots", True).over(Window.partitionBy(*keys)))
     w = Window.partitionBy(*keys).orderBy("unit_no").rowsBetween(Window.unboundedPreceding, 0)
     story = F.when(F.col("said").rlike(CONTEXT), F.regexp_extract("said", CONTEXT, 2).try_cast("int"))
     blank = F.trim("said") == ""
@@ -293,7 +295,7 @@ def interview_claims(lines: DataFrame, keys: list[str]) -> DataFrame:
     )
     method = F.when(by_story, "story").when(F.col("__asked") > 0, "interview_question").otherwise("blocks")
     rows = rows.withColumns({"__pos": F.when(~(by_story & F.col("__story").isNotNull()), pos), "method": method})
-    told = rows.groupBy(*keys, "form", "n_slots", "__pos", "method").agg(F.array_sort(F.collect_list(F.struct("unit_no", "said"))).alias("__l"), F.first("slots", True).alias("slots"))
+    told = rows.groupBy(*keys, "form", "n_slots", "key", "__pos", "method").agg(F.array_sort(F.collect_list(F.struct("unit_no", "said"))).alias("__l"), F.first("slots", True).alias("slots"))
     body = F.trim(F.regexp_replace(F.array_join(F.col("__l.said"), "\n"), r"^\s+|\s+$", ""))
     meant = F.filter("slots", lambda s: s["pos"] == F.col("__pos"))
     return told.select(*keys, "form", "n_slots", F.coalesce("__pos", F.lit(0)).alias("rec"), "slots", F.lit("").alias("scope"), F.lit(0).cast("long").alias("segment"), "method", F.when(F.col("__pos").isNotNull(), meant).alias("meant"), body.alias("told"), F.lit(None).cast("string").alias("defect"))
@@ -304,33 +306,52 @@ def read_claims(claims: DataFrame, keys: list[str]) -> DataFrame:
     scores say nothing. Rows without a claim stay, for the reply's sake."""
     first = F.row_number().over(Window.partitionBy(*keys).orderBy("rec")) == 1
     rows = claims.withColumn("slots", F.when(first, F.col("slots")))
-    rows = rows.select(*[c for c in rows.columns if c != "meant"], F.size(F.coalesce("meant", F.array())).alias("candidates"), F.posexplode_outer("meant").alias("__k", "slot"))
+    rows = rows.select(*[c for c in rows.columns if c != "meant"], F.size(F.coalesce("meant", F.array())).alias("candidates"), F.explode_outer("meant").alias("slot"))
     numeric = ~F.coalesce(F.col("slot.response_type").isin("text", "choice"), F.lit(False)) | ((F.col("slot.response_type") == "choice") & (F.coalesce(F.size("slot.choices"), F.lit(0)) <= 0))
-    rows = rows.withColumn("__numeric", numeric).withColumn("__line", F.explode_outer(F.when(F.col("__numeric") & F.col("slot").isNotNull(), F.split("told", NEWLINE)).otherwise(F.array("told"))))
-    line = F.trim(F.regexp_replace("__line", r"\*{1,3}|_{2,3}|`", ""))
-    said = F.lower(F.regexp_replace(F.regexp_replace(F.regexp_replace(line, BECAUSE, ""), CHOOSES, ""), r"[\s.。!]+$", ""))
-    option = F.get(F.map_values(F.map_filter("slot.labels", lambda k, x: F.lower(k) == said)), F.lit(0))
-    final = line.rlike(FINAL)
-    rest = F.regexp_replace(F.regexp_replace(line, FINAL, ""), r"(?i)^\s*(?:score|answer|rating|评分|答案)\s*[:=：]\s*", "")
-    circled = F.regexp_extract(line, rf"(?:^|[:：→—–]\s*)([{CIRCLED}])", 1)
-    alone = (circled != "") & (F.size(F.array_distinct(F.regexp_extract_all("__line", F.lit(f"([{CIRCLED}])"), F.lit(1)))) == 1)
-    rest = F.when(alone, F.instr(F.lit(CIRCLED), circled).cast("string")).otherwise(rest)
-    rows = rows.withColumns({"__option": option, "__said": said, "__final": final, "__rest": rest})
-    nothing = ~F.col("__numeric") | (line == "") | (line == "---") | (F.regexp_count("__line", F.lit(r"(?<![0-9])[0-9]+(?:\.[0-9]+)?\s*=")) >= 3)
-    listing = F.col("__rest").rlike(r"^\s*[+-]?[0-9]+(?:\.[0-9]+)?\s*[,;]\s*[+-]?[0-9]")
-    x, span = v.scalar("__rest", F.col("slot.maximum")), v.interval("__rest")
-    rows = rows.withColumns({"__x": F.when(~nothing, x), "__span": F.when(~nothing & ~listing, span), "__list": listing & ~nothing, "__none": nothing})
-    status = F.when(F.col("__option").isNotNull(), "parsed").otherwise(F.col("__x.status"))
-    value = F.when(F.col("__option").isNotNull(), v.number("__option")).otherwise(F.col("__x.value"))
-    read = F.when(~F.col("__list") & (status == "parsed"), value)
-    by_label = F.when(~F.col("__numeric") & (F.col("slot.response_type") == "choice"), F.transform(F.split("told", NEWLINE), lambda t: F.lower(F.regexp_replace(F.regexp_replace(F.regexp_replace(t, BECAUSE, ""), CHOOSES, ""), r"^\s+|[\s.。!]+$", ""))))
-    rows = rows.withColumns({"__read": read, "__open": ~F.col("__list") & (status == "range_unresolved") & F.col("__span").isNull(), "__labels": F.array_distinct(F.map_values(F.map_filter("slot.labels", lambda k, y: F.array_contains(by_label, F.lower(k)))))})
-    got = rows.groupBy(*keys, "form", "n_slots", "rec", "__k").agg(
-        F.first("slot").alias("slot"), F.first("told").alias("told"), F.first("method").alias("method"), F.first("defect").alias("defect"), F.first("scope").alias("scope"), F.first("segment").alias("segment"), F.max("candidates").alias("candidates"),
-        F.first("slots", True).alias("slots"), F.collect_set("__read").alias("__values"), F.collect_set(F.when(F.col("__final"), F.col("__read"))).alias("__finals"),
-        F.collect_set("__span").alias("__spans"), F.max(F.coalesce("__open", F.lit(False))).alias("__open"), F.max(F.coalesce("__list", F.lit(False))).alias("__list"),
-        F.count_if(~F.coalesce("__none", F.lit(True))).alias("__said"), F.first("__labels").alias("__labels"),
-    )
+    rows = rows.withColumn("__numeric", numeric)
+    small = lambda x: F.lower(F.regexp_replace(F.regexp_replace(F.regexp_replace(x, BECAUSE, ""), CHOOSES, ""), r"[\s.。!]+$", ""))
+
+    def line_says(full: Column) -> Column:
+        """What a line says: a number read, whether it is a final pick, an interval, whether it is left open, a list, or nothing."""
+
+        def says(line: Column, rest: Column) -> Column:
+            option = F.when(F.col("slot.labels").isNotNull(), v.once(small(line), lambda said: F.get(F.map_values(F.map_filter("slot.labels", lambda k, x: F.lower(k) == said)), F.lit(0))))
+            nothing = ~F.col("__numeric") | (line == "") | (line == "---") | (F.regexp_count(full, F.lit(r"(?<![0-9])[0-9]+(?:\.[0-9]+)?\s*=")) >= 3)
+            listing = rest.rlike(r"^\s*[+-]?[0-9]+(?:\.[0-9]+)?\s*[,;]\s*[+-]?[0-9]")
+            parts = F.struct(option.alias("option"), line.rlike(FINAL).alias("final"), rest.alias("rest"), nothing.alias("none"), listing.alias("listing"))
+
+            def read(x: Column) -> Column:
+                some = F.when(~x["none"], v.scalar(x["rest"], F.col("slot.maximum")))
+                span = F.when(~x["none"] & ~x["listing"], v.interval(x["rest"]))
+                return F.struct(*[x[c].alias(c) for c in ("option", "final", "none")], (x["listing"] & ~x["none"]).alias("list"), some.alias("x"), span.alias("span"))
+
+            def told(x: Column) -> Column:
+                status = F.when(x["option"].isNotNull(), "parsed").otherwise(x["x"]["status"])
+                value = F.when(x["option"].isNotNull(), v.number(x["option"])).otherwise(x["x"]["value"])
+                opened = ~x["list"] & (status == "range_unresolved") & x["span"].isNull()
+                return F.struct(F.when(~x["list"] & (status == "parsed"), value).alias("read"), x["final"].alias("final"), x["span"].alias("span"), opened.alias("open"), x["list"].alias("list"), x["none"].alias("none"))
+
+            return v.once(v.once(parts, read), told)
+
+        def without_opening(line: Column) -> Column:
+            rest = F.regexp_replace(F.regexp_replace(line, FINAL, ""), r"(?i)^\s*(?:score|answer|rating|评分|答案)\s*[:=：]\s*", "")
+            circled = F.when(line.rlike(f"[{CIRCLED}]"), F.regexp_extract(line, rf"(?:^|[:：→—–]\s*)([{CIRCLED}])", 1)).otherwise("")
+            alone = (circled != "") & (F.size(F.array_distinct(F.regexp_extract_all(full, F.lit(f"([{CIRCLED}])"), F.lit(1)))) == 1)
+            return v.once(F.when(alone, F.instr(F.lit(CIRCLED), circled).cast("string")).otherwise(rest), lambda rest: says(line, rest))
+
+        return v.once(F.trim(F.regexp_replace(full, r"\*{1,3}|_{2,3}|`", "")), without_opening)
+
+    rows = rows.withColumn("__told", F.transform(F.when(F.col("__numeric") & F.col("slot").isNotNull(), F.split("told", NEWLINE)).otherwise(F.array("told")), line_says))
+    every = lambda holds, c: F.array_distinct(F.transform(F.filter("__told", holds), lambda x: x[c]))
+    by_label = F.when(~F.col("__numeric") & (F.col("slot.response_type") == "choice") & F.col("slot.labels").isNotNull(), F.transform(F.split("told", NEWLINE), lambda t: F.lower(F.regexp_replace(F.regexp_replace(F.regexp_replace(t, BECAUSE, ""), CHOOSES, ""), r"^\s+|[\s.。!]+$", ""))))
+    got = rows.withColumns({
+        "__values": every(lambda x: x["read"].isNotNull(), "read"), "__finals": every(lambda x: x["final"] & x["read"].isNotNull(), "read"), "__spans": every(lambda x: x["span"].isNotNull(), "span"),
+        "__open": F.exists("__told", lambda x: F.coalesce(x["open"], F.lit(False))), "__list": F.exists("__told", lambda x: F.coalesce(x["list"], F.lit(False))),
+        "__said": F.size(F.filter("__told", lambda x: ~F.coalesce(x["none"], F.lit(True)))).cast("long"), "__labels": v.once(by_label, lambda said: F.array_distinct(F.map_values(F.map_filter("slot.labels", lambda k, y: F.array_contains(said, F.lower(k)))))),
+    })
+    for c in ("__values", "__finals"):
+        got = got.withColumn(c, F.coalesce(c, F.array().cast("array<double>")))
+    got = got.withColumns({"__spans": F.coalesce("__spans", F.array().cast("array<struct<lower:double,upper:double,unit:string>>")), "__open": F.coalesce("__open", F.lit(False)), "__list": F.coalesce("__list", F.lit(False)), "__said": F.greatest("__said", F.lit(0))})
     told, low, high = F.trim("told"), F.col("slot.minimum"), F.col("slot.maximum")
     value, span = F.get("__values", F.lit(0)), F.get("__spans", F.lit(0))
     spans = (F.size("__spans") > 0) | F.col("__open")
@@ -416,9 +437,9 @@ def decode_whole(replies: DataFrame, keys: list[str], reply: str = "reply", slot
     choice, text), minimum, maximum, choices and, where there are such, labels, context, section, source_no, linked_slot_id."""
     own = [*keys, "__refused"]
     refused = F.coalesce(v.reply_class(reply, F.lit("unparsed")) == "refusal", F.lit(False))
-    lines = mark_lines(take_apart(replies.withColumn("__refused", refused), own, reply, slots), own)
-    claims = claim_slots(gather_records(lines.filter("form <> 'interview'"), own), own)
-    claims = claims.unionByName(interview_claims(lines, own))
+    units = take_apart(replies.withColumn("__refused", refused), own, reply, slots)
+    claims = claim_slots(gather_records(mark_lines(units, own).filter("form <> 'interview'"), own), own)
+    claims = claims.unionByName(interview_claims(units, own))
     done = settle(read_claims(claims, own), own)
     state = F.when((F.col("parse_status") == "unparsed") & F.col("__refused"), "refusal").otherwise(F.col("parse_status"))
     return done.withColumn("parse_status", state).drop("__refused")

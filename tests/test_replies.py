@@ -177,3 +177,14 @@ def test_known_choices_need_no_pattern_for_each_row(spark):
     assert [(r.a, r.b) for r in both.orderBy("k").collect()] == [(w, w) for _, w in CHOSEN]
     plan = df.select(clauses.selected_choice("t", ["A", "B"]).alias("a"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("[*_`~]") == 1
+
+
+def test_replies_are_taken_apart_once(spark):
+    """Interviews and other replies read the same shuffle of lines."""
+    df = spark.createDataFrame([(1, "1. 3", S3), (2, "Story 1\nhe was right\nStory 2\nshe was not", TALK)], f"k int, reply string, slots array<struct<{FIELDS}>>")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = decode_whole(df, ["k"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert "ReusedExchange" in plan
