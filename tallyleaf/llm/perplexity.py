@@ -11,9 +11,9 @@ So neither the counts nor the model are ever held whole anywhere, and both grow
 
 A text has two perplexities, in bits for each byte and for each word. Each language's centre and spread of both (median
 and quartile distance over its distinct texts; of all languages together where it has under FEW_TEXTS) make a scale, wider
-for short texts; a document is kept between a lower and an upper edge on both scales. Edges are fitted on a bounded sample
-of labelled rows (MOST_LABELLED, by hash of the id), clean rows counting twice; without 50 rows of each label they are
-EDGES.
+for short texts; a document is kept between a lower and an upper edge on both scales. Edges are fitted on all labelled rows,
+clean rows counting twice: as an edge can only be one of STEPS, Spark counts the rows by the steps that they lie between, and
+what is fitted on is that table, of bounded size whatever the rows. Without 50 rows of each label edges are EDGES.
 
 Defined results: null texts are empty; texts of under 20 words fail the base rule and need no band. A null language is a
 language of its own. Repeated rows and ids are judged row by row, equal texts of a language alike. Labels given more than
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._frames import cut, hold_batches, map_arrow, read_table
@@ -39,8 +39,9 @@ HELD_BYTES = 16 << 20  # of texts that a task packs at a time
 PART_BYTES = 1 << 19
 FEW_TEXTS = 100
 SHORT_WORDS = 100
-MOST_LABELLED = 20_000
 EDGES = (-3.0, 3.0, -3.0, 3.0)  # lower and upper for bytes, then for words
+STEPS = tuple(float(x) for x in np.arange(0.5, 8.05, 0.1))
+CUTS = tuple(sorted({*EDGES, *STEPS, *(-x for x in STEPS)}))
 
 _SYMBOL = np.zeros(256, np.int64)
 _SYMBOL[list(b"#*$%&|<>")] = 1
@@ -295,22 +296,35 @@ def place(scores: DataFrame) -> DataFrame:
     return measured.join(scales, "lang", "left").select(*measured.columns, *z)
 
 
-def fit_edges(rows: list[tuple[float, float, int]]) -> tuple[float, ...]:
-    """Edges of both scales that lose fewest clean rows (twice their share) and keep fewest bad ones, one edge at a time."""
-    good = np.array([r[2] == 1 for r in rows], bool)
-    if min(good.sum(), (~good).sum()) < 50:
+def cell_rows(rows: DataFrame) -> DataFrame:
+    """z_byte, z_word, quality and n: how many rows lie between the same CUTS, or on one, with a value that lies there too."""
+
+    def between(c: str) -> Column:
+        below = F.size(F.filter(F.array(*[F.lit(x) for x in CUTS]), lambda x: x < F.col(c)))
+        inner = [(a + b) / 2 for a, b in zip(CUTS, CUTS[1:])]
+        inside = F.element_at(F.array(*[F.lit(x) for x in (CUTS[0] - 1, *inner, CUTS[-1] + 1)]), below + 1)
+        return F.when(F.col(c).isNull() | F.isnan(c), None).when(F.col(c).isin(*CUTS), F.col(c)).otherwise(inside).alias(c)
+
+    return rows.select(between("z_byte"), between("z_word"), "quality").groupBy("z_byte", "z_word", "quality").agg(F.count("*").alias("n"))
+
+
+def fit_edges(rows: list[tuple]) -> tuple[float, ...]:
+    """Edges of both scales that lose fewest clean rows (twice their share) and keep fewest bad ones, one edge at a time. A
+    row may say after its label how many rows it stands for."""
+    good, n = np.array([r[2] == 1 for r in rows], bool), np.array([r[3] if len(r) > 3 else 1 for r in rows], np.int64)
+    if min(n[good].sum(), n[~good].sum()) < 50:
         return EDGES
     z = np.array([r[:2] for r in rows], float)
-    edges, steps = list(EDGES), np.arange(0.5, 8.05, 0.1)
+    edges = list(EDGES)
 
     def cost(e: list[float]) -> float:
         out = (z[:, 0] < e[0]) | (z[:, 0] > e[1]) | (z[:, 1] < e[2]) | (z[:, 1] > e[3])
-        return 2 * out[good].mean() + (~out[~good]).mean()
+        return 2 * (n[good & out].sum() / n[good].sum()) + n[~good & ~out].sum() / n[~good].sum()
 
     for _ in range(5):
         for k in range(4):
-            tried = [cost([*edges[:k], s if k % 2 else -s, *edges[k + 1 :]]) for s in steps]
-            best = float(steps[int(np.argmin(tried))])
+            tried = [cost([*edges[:k], s if k % 2 else -s, *edges[k + 1 :]]) for s in STEPS]
+            best = STEPS[int(np.argmin(tried))]
             edges[k] = best if k % 2 else -best
     return tuple(edges)
 
@@ -321,10 +335,10 @@ def judge(docs: DataFrame, labels: DataFrame | None = None, order: int = ORDER,
     rows = keyed(docs).select("doc_id", "d1", "d2").join(placed.drop("lang"), ["d1", "d2"])
     edges = EDGES
     if labels is not None:
-        marked = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED)
-        known = rows.filter("NOT base_failed").join(F.broadcast(marked), "doc_id")  # at most MOST_LABELLED rows
+        marked = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+        known = rows.filter("NOT base_failed").join(marked.hint("shuffle_hash"), "doc_id")
         known = known.groupBy("doc_id").agg(F.min_by(F.struct("z_byte", "z_word", "quality"), F.col("d1")).alias("r")).select("r.*")
-        edges = fit_edges([tuple(r) for r in known.collect()])
+        edges = fit_edges([tuple(r) for r in cell_rows(known).collect()])  # few rows: by pairs of CUTS
     inside = F.col("z_byte").between(edges[0], edges[1]) & F.col("z_word").between(edges[2], edges[3])
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return rows.select("doc_id", *counts, "base_failed", (~F.col("base_failed") & F.coalesce(inside, F.lit(False))).alias("kept"), "bits_per_byte", "bits_per_word")

@@ -119,6 +119,16 @@ def test_edges():
     assert perplexity.fit_edges(good) == perplexity.fit_edges([]) == perplexity.EDGES
 
 
+def test_edges_of_all_rows(spark):
+    """Counted by cells, all rows are in the fit, and it is the fit on the rows themselves; values on a cut stay on it."""
+    r = random.Random(5)
+    data = [(r.gauss(0, 1.5), r.gauss(0, 2), 1) for _ in range(24_000)] + [(r.gauss(3, 3), r.gauss(-3, 3), 0) for _ in range(6_000)]
+    data += [(c, -c, k % 2) for k, c in enumerate(perplexity.CUTS)] + [(None, 1.0, 1), (float("nan"), 1.0, 0), (99.0, -99.0, 0)]
+    cells = [tuple(x) for x in perplexity.cell_rows(spark.createDataFrame(data, "z_byte double, z_word double, quality int")).collect()]
+    assert sum(c[3] for c in cells) == len(data) > len(cells)
+    assert perplexity.fit_edges(cells) == perplexity.fit_edges([tuple(float("nan") if x is None else x for x in d[:2]) + d[2:] for d in data]) != perplexity.EDGES
+
+
 def test_held_out_labels(spark):
     """Edges fitted on even ids reject bad documents of odd ids that pass the base rule, and keep clean ones."""
     docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
