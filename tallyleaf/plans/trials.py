@@ -37,13 +37,14 @@ def _three(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame
     return view(spark, d, "plan_v"), view(spark, d, "attempts_v"), view(spark, d, "results_v")
 
 
-def current(spark: SparkSession, d: str) -> DataFrame:
-    return t.collect_trials(*_three(spark, d))
+def current(spark: SparkSession, d: str, *says: str) -> DataFrame:
+    """The current rows, with the columns that are asked for beside id and trial."""
+    return t.collect_trials(*_three(spark, d), says)
 
 
 @query("j2_current_trials", _sql("SELECT id, run_id, scale_name, language, provider, model, order_no, preset_id, temperature10, kind, attempt, status, source, n_chars FROM cur"))
 def j2(spark, d):
-    return current(spark, d).select("id", "run_id", "scale_name", "language", "provider", "model", "order_no", "preset_id", "temperature10", "kind", "attempt", "status", "source", "n_chars")
+    return current(spark, d, "preset_id", "temperature10", "kind", "attempt", "status", "source", "n_chars").select("id", "run_id", "scale_name", "language", "provider", "model", "order_no", "preset_id", "temperature10", "kind", "attempt", "status", "source", "n_chars")
 
 
 
@@ -156,12 +157,12 @@ def p3(spark, d):
 @query("p4_status_labels", _sql("""SELECT CASE status WHEN 'ok' THEN 'complete' WHEN 'partial' THEN 'partly read' WHEN 'unparsed' THEN 'not read' WHEN 'transport_error' THEN 'failed call' WHEN 'not_recorded' THEN 'not recorded' ELSE status END AS status_label,
  count(*) AS n FROM cur GROUP BY 1"""))
 def p4(spark, d):
-    return current(spark, d).groupBy(t.label("status", t.STATUS_LABELS).alias("status_label")).agg(F.count("*").alias("n"))
+    return current(spark, d, "status").groupBy(t.label("status", t.STATUS_LABELS).alias("status_label")).agg(F.count("*").alias("n"))
 
 
 @query("p5_trial_listing", _sql("SELECT id, scale_name, language, order_no, status, CAST(n_chars AS BIGINT) AS n_chars FROM cur WHERE kind = 'result'"))
 def p5(spark, d):
-    return current(spark, d).filter("kind = 'result'").select("id", "scale_name", "language", "order_no", "status", F.col("n_chars").cast("long").alias("n_chars"))
+    return current(spark, d, "kind", "status", "n_chars").filter("kind = 'result'").select("id", "scale_name", "language", "order_no", "status", F.col("n_chars").cast("long").alias("n_chars"))
 
 
 @query("p6_facets", _sql("SELECT scale_name, language, count(*) AS trials FROM cur GROUP BY ALL"))
