@@ -8,7 +8,7 @@ from tallyleaf.functions import values as v
 from tallyleaf.operators import trial_records
 from tallyleaf.registry import query
 from tallyleaf.sources import records
-from tallyleaf.sources.fixtures import view, with_views
+from tallyleaf.sources.fixtures import tasks, view, with_views
 from tallyleaf.streaming import live
 
 
@@ -21,7 +21,9 @@ def s1(spark, d):
     part = F.floor(F.col("order_no") / 200).cast("string")
     files = rows.groupBy(F.concat(F.lit("order_"), part).alias("name")).agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list(text), ",\n"), F.lit("\n]")).alias("value"))
     files = files.unionByName(spark.createDataFrame([("order_x1", "{"), ("order_x2", "[1, 2")], "name string, value string"))
-    files.repartition(4, "name").write.partitionBy("name").text(folder)
+    # one file for each document, in one folder, by tasks of at most 64 documents that move their files themselves
+    spread = tasks(spark, d, "orders", 64 * 200)
+    files.select("value").repartition(spread).write.option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", 2).text(folder)
     found = records.read_documents(spark, folder, "part-*.txt", records.RESULT)
     return found.groupBy("run_id", "response_status").agg(F.count("*").alias("n"), F.sum(F.length("raw_response")).alias("chars"))
 
@@ -29,7 +31,7 @@ def s1(spark, d):
 @query("s2_saved_attempts", with_views("SELECT status, attempt, count(*) AS n FROM attempts_v GROUP BY ALL"))
 def s2(spark, d):
     folder = records.scratch(spark, "attempts")
-    view(spark, d, "attempts_v").drop("source", "order_no").write.json(folder)
+    view(spark, d, "attempts_v").drop("source", "order_no").write.option("compression", "gzip").json(folder)
     return records.read_lines(spark, folder, records.ATTEMPT).groupBy("status", "attempt").agg(F.count("*").alias("n"))
 
 
@@ -70,7 +72,7 @@ def s6(spark, d):
     payload = view(spark, d, "scored_v").groupBy("trial", "scale_name", "language").agg(F.array_sort(F.collect_list(item)).alias("items")).withColumns({
         "response_status": F.when(trial % 3 != 0, "partial"), "cultural_identity": F.when(trial % 4 == 0, "usa"), "raw_response": F.concat(F.lit("reply, "), text(trial), F.lit("\nmore")),
     })
-    records.write_items(trial_records.item_rows(payload), folder)
+    records.write_items(trial_records.item_rows(payload), folder, tasks(spark, d, "lineitem", 50_000))
     return records.read_items(spark, folder)
 
 

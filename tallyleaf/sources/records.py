@@ -71,11 +71,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
-def write_items(items: DataFrame, folder: str) -> None:
-    """Item sheets below folders by scale and language; rows of a trial stay together and in order."""
+def write_items(items: DataFrame, folder: str, tasks: int | None = None) -> None:
+    """Item sheets below folders by scale and language; rows of a trial stay together and in order. A folder has one sheet,
+    or, where the number of tasks is given, more the more tasks there are, as a large folder is too much for one."""
+    keys, usual = ["scale_name", "language"], 48  # folders
+    dealt = items.repartition(*keys) if tasks is None else items.repartition(tasks, *keys, F.pmod(F.xxhash64("trial"), F.lit(-(-tasks // usual))))
     order = F.col("index").cast("int")
     sheet = {"header": True, "quoteAll": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "emptyValue": ""}
-    items.repartition("scale_name", "language").sortWithinPartitions("trial", order).write.partitionBy("scale_name", "language").options(**sheet).csv(folder)
+    dealt.sortWithinPartitions(*keys, "trial", order).write.partitionBy(*keys).options(**sheet).csv(folder)
 
 
 def read_items(spark: SparkSession, folder: str) -> DataFrame:
