@@ -9,17 +9,21 @@ from pyspark.sql import functions as F
 SUMMARY = r"(?i)^\s*(?:final )?summary\b|^\s*总结"
 SCENARIO, SECTION = r"(?i)^\s*scenario\s+([0-9]+)", r"^\s*([A-C]|I{1,3})[.)]\s*$"
 OPENER = r"^\s*([0-9]+)[.)]\s+(.*)$"
+#: Any of them; the flag holds for what follows it.
+MARKS = f"{OPENER}|{SECTION}|{SCENARIO}|{SUMMARY}"
 
 
 def lines(replies: DataFrame, keys: list[str], reply: str) -> DataFrame:
     return replies.select(*keys, F.posexplode(F.split(reply, r"\r\n|\n|\r")).alias("line_no", "line"))
 
 
-def segment(rows: DataFrame, keys: list[str]) -> DataFrame:
+def segment(rows: DataFrame, keys: list[str], marks_only: bool = False) -> DataFrame:
     """A numbered line opens an item, later lines belong to it until the next one; summary headings count segments, and
-    scenario headings set a context and clear the section. Windows are by trial, so keys are even."""
+    scenario headings set a context and clear the section. Windows are by trial, so keys are even. marks_only: lines that open
+    nothing and are no heading, which change nothing for others, are left out before the windows."""
     w = Window.partitionBy(*keys).orderBy("line_no")
     carried = w.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.filter(F.col("line").rlike(MARKS)) if marks_only else rows
     number = F.regexp_extract("line", OPENER, 1).try_cast("int")
     context = F.nullif(F.regexp_extract("line", SCENARIO, 1), F.lit(""))
     rows = rows.withColumns({"opens": number, "__c": context, "__s": F.nullif(F.regexp_extract("line", SECTION, 1), F.lit("")), "__h": F.col("line").rlike(SUMMARY)})

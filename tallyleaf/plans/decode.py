@@ -38,7 +38,7 @@ def w6(spark, d):
 @query("w7_segments", with_views("SELECT trial, item_no, CAST(s AS BIGINT) AS segment, s = 1 AS in_summary FROM (SELECT trial, item_no, unnest([0, 1]) AS s FROM lines_v) x"))
 def w7(spark, d):
     twice = _replies(spark, d).withColumn("reply", F.concat("reply", F.lit("\nFinal summary:\n"), "reply"))
-    return t.segment(t.lines(twice, T, "reply"), T).filter("opens is not null").select("trial", "item_no", "segment", "in_summary")
+    return t.segment(t.lines(twice, T, "reply"), T, marks_only=True).filter("opens is not null").select("trial", "item_no", "segment", "in_summary")
 
 
 @query("w8_stories", with_views("""SELECT trial, CAST(ceil(item_no / 3.0) AS INT) AS story, string_agg(concat(CASE WHEN item_no % 3 = 2 THEN concat('A.', chr(10)) ELSE '' END, line_text), chr(10) ORDER BY item_no) AS body
