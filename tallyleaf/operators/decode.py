@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyleaf.functions import helpers as h
+
 #: Openings of headings.
 SUMMARY = r"(?i)^\s*(?:final )?summary\b|^\s*总结"
 SCENARIO, SECTION = r"(?i)^\s*scenario\s+([0-9]+)", r"^\s*([A-C]|I{1,3})[.)]\s*$"
@@ -54,14 +56,22 @@ def stories(segmented: DataFrame, keys: list[str], wanted: int) -> DataFrame:
     return body.join(good, keys).select(*keys, F.col("context").cast("int").alias("story"), F.array_join(F.col("__l.line"), "\n").alias("body"))
 
 
-def anchored(rows: DataFrame, anchors: DataFrame, keys: list[str], signature: str) -> DataFrame:
-    """Bodies from each slot's anchor line to the next anchor. anchors: the signature of each slot, which must occur once."""
-    hits = rows.join(anchors, signature, "left")
-    once = F.count("slot_id").over(Window.partitionBy(*keys, "slot_id")) == 1
-    hits = hits.withColumn("slot_id", F.when(once, F.col("slot_id")))
-    w = Window.partitionBy(*keys).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    rows = hits.withColumns({"__anchor": F.col("slot_id").isNotNull(), "slot_id": F.last("slot_id", True).over(w)}).filter(F.col("slot_id").isNotNull() & ~F.col("__anchor"))
-    return rows.groupBy(*keys, "slot_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("__l")).withColumn("body", F.array_join(F.col("__l.line"), "\n")).drop("__l")
+def anchored(replies: DataFrame, keys: list[str], reply: str, slots: str) -> DataFrame:
+    """Bodies from each slot's anchor line to the next anchor. slots: array of (slot_id, signature) of the reply's slots. A line is
+    the anchor of a slot if it has the slot's signature, and no other line or slot of the reply has it. All of it is inside
+    the reply's row: lines (numbered from 0) and slots (from -1 down) are sorted by signature, so that an anchor stands right
+    behind its slot."""
+    rows = replies.select(*keys, F.col(slots).alias("__s"), h.one_newline(reply).alias("__t"))
+    said = F.transform(h.signatures("__t"), lambda s, i: F.struct(s.alias("s"), i.alias("no")))
+    asked = F.transform("__s", lambda x, i: F.struct(x["signature"].alias("s"), (-1 - i).alias("no")))
+    rows = rows.select(*keys, "__s", F.split("__t", "\n").alias("__l"), F.sort_array(F.concat(asked, said)).alias("__a"))
+    near = lambda i, k: F.get("__a", i + k)
+    alone = lambda x, i: (x["no"] >= 0) & (near(i, -1)["no"] < 0) & (near(i, -1)["s"] == x["s"]) & ~near(i, -2)["s"].eqNullSafe(x["s"]) & ~near(i, 1)["s"].eqNullSafe(x["s"])
+    hits = F.array_compact(F.transform("__a", lambda x, i: F.when(alone(x, i), F.struct(x["no"].alias("no"), near(i, -1)["no"].alias("slot")))))
+    rows = rows.select(*keys, "__s", "__l", F.sort_array(hits).alias("__h"))
+    end = lambda k: F.coalesce(F.get("__h", k + 1)["no"], F.size("__l"))
+    bodies = F.transform("__h", lambda x, k: F.struct(F.get("__s", -1 - x["slot"])["slot_id"].alias("slot_id"), F.slice("__l", x["no"] + 2, end(k) - x["no"] - 1).alias("l")))
+    return rows.select(*keys, F.inline(F.filter(bodies, lambda x: F.size(x["l"]) > 0))).withColumn("body", F.array_join("l", "\n")).drop("l")
 
 
 def resolve_repeats(answers: DataFrame, keys: list[str], value: str, status: str, order: str, summary: str) -> DataFrame:
