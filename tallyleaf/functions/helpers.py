@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import random
 import unicodedata
-from collections.abc import Callable
 from hashlib import sha256
 
 import pandas as pd
@@ -30,21 +29,10 @@ def plain(c: str | Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(text, r"(?m)^\s*(?:#{1,6}|[-*•])\s+", ""), r"\*{1,3}|_{2,3}|`", ""))
 
 
-def _folded(c: str | Column, letters: Callable[[Column], Column]) -> Column:
-    """What letters takes from a text in NFKC, case folded. An ASCII text does not go to Python: NFKC leaves it as it is."""
-    c = F.col(c) if isinstance(c, str) else c
-    ascii_only = F.octet_length(c) == F.char_length(c)
-    return F.when(ascii_only, F.lower(letters(c))).otherwise(casefold(letters(nfkc(F.when(~ascii_only, c)))))
-
-
 def signature(c: str | Column) -> Column:
     """Letters and digits of a question, without brackets and its leading number, case folded."""
-
-    def letters(text):
-        text = F.regexp_replace(F.regexp_replace(text, r"[(（\[][^)）\]]*[)）\]]", ""), r"^\s*[0-9]+[.)、]\s*", "")
-        return F.regexp_replace(text, r"[^\p{L}\p{N}]+", "")
-
-    return _folded(c, letters)
+    text = F.regexp_replace(F.regexp_replace(nfkc(c), r"[(（\[][^)）\]]*[)）\]]", ""), r"^\s*[0-9]+[.)、]\s*", "")
+    return casefold(F.regexp_replace(text, r"[^\p{L}\p{N}]", ""))
 
 
 def one_newline(c: str | Column) -> Column:
@@ -54,14 +42,17 @@ def one_newline(c: str | Column) -> Column:
 
 def signatures(c: str | Column) -> Column:
     """The signature of each line of a text with one kind of newline. The text is taken whole, not line by line: NFKC and case
-    folding make no newline and join nothing across one, and no pattern here crosses one."""
+    folding make no newline and join nothing across one, and no pattern here crosses one. An ASCII text does not go to Python."""
+    c = F.col(c) if isinstance(c, str) else c
+    ascii_only = F.octet_length(c) == F.char_length(c)
 
     def letters(text):
         text = F.regexp_replace(text, r"[(（\[][^)）\]\n]*[)）\]]", "")
         text = F.regexp_replace(text, r"(?md)^[\s&&[^\n]]*[0-9]+[.)、]", "")
         return F.regexp_replace(text, r"[^\p{L}\p{N}\n]+", "")
 
-    return F.split(_folded(c, letters), "\n")
+    folded = F.when(ascii_only, F.lower(letters(c))).otherwise(casefold(letters(nfkc(F.when(~ascii_only, c)))))
+    return F.split(folded, "\n")
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
