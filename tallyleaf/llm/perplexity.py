@@ -22,20 +22,22 @@ once count by the least. An empty table gives an empty one. Further columns are
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._frames import cut, hold_batches, map_arrow, read_table
+from ._frames import cut, give_back, hold_batches, map_arrow, read_table
 from ._text import U, Runs, Words, mix, take_ranges
 
 ORDER = 5
 BUCKETS = 251
 SLICE_BYTES = 32 << 20
 HELD_BYTES = 16 << 20  # of texts that a task packs at a time
+BATCH_BYTES = 8 << 20  # of lists of n-grams that go to a task at a time
+ROW_BUCKETS = 16  # that come from a task at a time
 PART_BYTES = 1 << 19
 FEW_TEXTS = 100
 SHORT_WORDS = 100
@@ -89,27 +91,30 @@ def deal_out(docs: DataFrame, slices: int) -> DataFrame:
                 held, size = [], 0
         if size:
             yield from flush(held)
+        held.clear()
+        give_back()
 
     return rows.mapInArrow(pack, _CHUNK)
 
 
-def _texts(chunks: pa.Table) -> Iterator[tuple[str, np.ndarray, np.ndarray, list[bytes]]]:
+def _texts(chunks: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray, np.ndarray, list[bytes]]]:
     """The distinct texts of a slice by language, in parts of about PART_BYTES: language, digests and texts."""
     import zstandard
 
     press = zstandard.ZstdDecompressor()
     seen: set[tuple[int, int]] = set()
     found: dict[str, list] = {}
-    for d1, d2, langs, sizes, body in zip(*(chunks.column(c).to_pylist() for c in ("d1", "d2", "lang", "size", "body"))):
-        raw, at = press.decompress(body, max_output_size=sum(sizes)) if any(sizes) else b"", 0
-        for a, b, lang, n in zip(d1, d2, langs, sizes):
-            if (a, b) not in seen:
-                seen.add((a, b))
-                found.setdefault(lang, []).append((a, b, raw[at : at + n]))
-            at += n
+    for batch in chunks:
+        for d1, d2, langs, sizes, body in zip(*(batch.column(c).to_pylist() for c in ("d1", "d2", "lang", "size", "body"))):
+            raw, at = press.decompress(body, max_output_size=sum(sizes)) if any(sizes) else b"", 0
+            for a, b, lang, n in zip(d1, d2, langs, sizes):
+                if (a, b) not in seen:
+                    seen.add((a, b))
+                    found.setdefault(lang, []).append((a, b, raw[at : at + n]))
+                at += n
     for lang in sorted(found):
         part, size = [], 0
-        for row in found[lang]:
+        for row in found.pop(lang):
             part.append(row)
             size += len(row[2])
             if size >= PART_BYTES:
@@ -138,30 +143,42 @@ def grams_of(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _by_bucket(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The order of sorted n-grams by bucket, and where each bucket begins in it."""
-    bucket = grams % BUCKETS
+    bucket = (grams % BUCKETS).astype(np.uint8)
     order = np.argsort(bucket, kind="stable")
     return order, np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
 
 
+def add_grams(have: tuple[np.ndarray, ...], more: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """Sorted n-grams, with or without their counts, and the sorted n-grams of a smaller part put among them."""
+    g, at = more[0], np.searchsorted(have[0], more[0])
+    new = np.ones(len(g), bool)
+    inside = at < len(have[0])
+    new[inside] = have[0][at[inside]] != g[inside]
+    for n, c in zip(have[1:], more[1:]):
+        n[at[~new]] += c[~new]
+    return tuple(np.insert(x, at[new], y[new]) for x, y in zip(have, more))
+
+
 def list_grams(chunks: DataFrame, order: int = ORDER) -> DataFrame:
     """For each slice, language and bucket the sorted n-grams of its distinct texts with their counts."""
 
-    def listed(key: tuple, rows: pa.Table) -> pa.Table:
-        sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+    def listed(key: tuple[pa.Scalar, ...], rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, tuple[np.ndarray, ...]] = {}
         for lang, _, _, texts in _texts(rows):
-            g, n = np.unique(grams_of(texts, order)[0], return_counts=True)
-            if lang in sums:
-                g, back = np.unique(np.concatenate([sums[lang][0], g]), return_inverse=True)
-                n = np.bincount(back, np.concatenate([sums[lang][1], n])).astype(np.int64)
-            sums[lang] = g, n
-        out: list[list] = [[], [], [], []]
-        for lang, (g, n) in sums.items():
+            part = np.unique(grams_of(texts, order)[0], return_counts=True)
+            sums[lang] = add_grams(sums[lang], part) if lang in sums else part
+        for lang in list(sums):
+            g, n = sums.pop(lang)
             by, at = _by_bucket(g)
-            for k in np.flatnonzero(np.diff(at)):
-                take = by[at[k] : at[k + 1]]
-                for cell, x in zip(out, (lang, int(k), g[take], n[take])):
-                    cell.append(x)
-        return pa.table({"slice": pa.array([key[0].as_py()] * len(out[0]), pa.int32()), "lang": pa.array(out[0], pa.string()), "bucket": pa.array(out[1], pa.int32()), "grams": pa.array(out[2], pa.list_(pa.int64())), "counts": pa.array(out[3], pa.list_(pa.int64()))})
+            full = np.flatnonzero(np.diff(at))
+            for k in range(0, len(full), ROW_BUCKETS):
+                own = full[k : k + ROW_BUCKETS]
+                a, b = at[own[0]], at[own[-1] + 1]
+                offs = pa.array(np.append(at[own], b) - a, pa.int32())
+                lists = [pa.ListArray.from_arrays(offs, pa.array(x[by[a:b]], pa.int64())) for x in (g, n)]
+                yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()] * len(own), pa.int32()), pa.array([lang] * len(own), pa.string()), pa.array(own, pa.int32()), *lists], names=["slice", "lang", "bucket", "grams", "counts"])
+            del g, n, by
+        give_back()
 
     return chunks.groupBy("slice").applyInArrow(listed, "slice int, lang string, bucket int, grams array<long>, counts array<long>")
 
@@ -209,6 +226,7 @@ def look_up(listed: DataFrame, model: DataFrame) -> DataFrame:
                 raise ValueError("an n-gram of the texts is not in the model")
             out.append(b[at])
         yield [slices, lang, bucket, pa.array(out, pa.list_(pa.float32()))]
+        give_back()
 
     both = listed.select("slice", "lang", "bucket", "grams").join(model, ["lang", "bucket"])
     return map_arrow(both.select("slice", "lang", "bucket", "grams", "hashes", "bits"), found, "slice int, lang string, bucket int, bits array<float>")
@@ -242,36 +260,44 @@ def base_counts(texts: list[bytes]) -> list[np.ndarray]:
 def score_texts(chunks: DataFrame, answers: DataFrame, order: int = ORDER) -> DataFrame:
     """For each distinct text of a language its counts and its bits under the model."""
 
-    def scored(key: tuple, rows: pa.Table, bits: pa.Table) -> pa.Table:
-        given: dict[str, list] = {}
-        for lang, bucket, b in zip(bits.column("lang").to_pylist(), bits.column("bucket").to_pylist(), bits.column("bits").combine_chunks()):
-            given.setdefault(lang, []).append((bucket, b.values.to_numpy(zero_copy_only=False)))
-        parts = list(_texts(rows))
-        known: dict[str, np.ndarray] = {}
+    def made(rows: pa.Table, bits: pa.Table) -> pa.Table:
+        parts = list(_texts(rows.to_batches()))
+        known: dict[str, tuple[np.ndarray, ...]] = {}
         for lang, _, _, texts in parts:
-            g = np.unique(grams_of(texts, order)[0])
-            known[lang] = np.union1d(known[lang], g) if lang in known else g
+            g = (np.unique(grams_of(texts, order)[0]),)
+            known[lang] = add_grams(known[lang], g) if lang in known else g
         table = {}
-        for lang, g in known.items():
-            by, _ = _by_bucket(g)
-            value = np.empty(len(g), np.float64)
-            value[by] = np.concatenate([b for _, b in sorted(given[lang], key=lambda x: x[0])])
-            table[lang] = value
+        for lang, (g,) in known.items():
+            by, at = _by_bucket(g)
+            table[lang] = at, by, np.full(len(g), np.nan, np.float32)
+        for batch in bits.to_batches():
+            for lang, bucket, b in zip(batch.column("lang").to_pylist(), batch.column("bucket").to_pylist(), batch.column("bits")):
+                at, by, value = table[lang]
+                value[by[at[bucket] : at[bucket + 1]]] = b.values.to_numpy(zero_copy_only=False)
+        table = {lang: value for lang, (_, _, value) in table.items()}
+        if any(np.isnan(value).any() for value in table.values()):
+            raise ValueError("an n-gram of the texts has no bits")
         out: list[list] = [[] for _ in range(10)]
         for lang, d1, d2, texts in parts:
             g, n = grams_of(texts, order)
-            sums = np.concatenate([[0], np.cumsum(table[lang][np.searchsorted(known[lang], g)])])
+            sums = np.concatenate([[0], np.cumsum(table[lang][np.searchsorted(known[lang][0], g)], dtype=np.float64)])
             ends = np.cumsum(n)
             for cell, x in zip(out, (d1, d2, [lang] * len(texts), *base_counts(texts), sums[ends] - sums[ends - n], n)):
                 cell.extend(x)
         kinds = [pa.int64(), pa.int64(), pa.string(), *[pa.int64()] * 5, pa.float64(), pa.int64()]
         return pa.table([pa.array(c, k) for c, k in zip(out, kinds)], names=[x.split()[0] for x in _SCORES.split(", ")])
 
+    def scored(key: tuple, rows: pa.Table, bits: pa.Table) -> pa.Table:
+        found = made(rows, bits)
+        give_back()
+        return found
+
     return chunks.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(scored, _SCORES)
 
 
 def score(docs: DataFrame, order: int = ORDER, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """Counts and bits of each distinct text of each language, under the model of all of them."""
+    hold_batches(docs.sparkSession, BATCH_BYTES)
     slices = count_slices(docs, slice_bytes)
     chunks = deal_out(docs, slices)
     listed = cut(list_grams(chunks, order))

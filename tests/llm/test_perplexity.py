@@ -4,8 +4,12 @@ import collections
 import math
 import random
 import re
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from tallyleaf.llm import perplexity
@@ -136,3 +140,42 @@ def test_held_out_labels(spark):
     odd = got.filter("NOT base_failed").join(labels.filter("doc_id % 2 = 1"), "doc_id")
     n = {r[0]: (r[1], r[2]) for r in odd.groupBy("quality").agg(F.count("*"), F.count_if("kept")).collect()}
     assert n[1][1] >= 0.97 * n[1][0] and n[0][1] <= 0.15 * n[0][0], n
+
+
+class Caught:
+    """Stands for a frame of groups and keeps the function that a group would go through."""
+
+    def groupBy(self, *_):
+        return self
+
+    cogroup = groupBy
+
+    def applyInArrow(self, run, _):
+        return run
+
+
+def test_memory_of_a_slice():
+    """A slice's lists leave in batches of a bounded size, and to list them takes less than twice what they were once held in; each has its bits."""
+    r = np.random.default_rng(7)
+    texts = [r.integers(32, 127, 100_000, np.uint8).tobytes() for _ in range(40)]
+    n, ids = sum(map(len, texts)), list(range(len(texts)))
+    cells = [[[0], pa.int32()], [[ids], pa.list_(pa.int64())], [[ids], pa.list_(pa.int64())], [[["=en"] * len(ids)], pa.list_(pa.string())], [[[len(t) for t in texts]], pa.list_(pa.int32())], [[zstandard.compress(b"".join(texts))], pa.binary()]]
+    rows = pa.table([pa.array(*c) for c in cells], names=["slice", "d1", "d2", "lang", "size", "body"])
+
+    def peak(run):
+        tracemalloc.start()
+        try:
+            return run(), tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    listed = perplexity.list_grams(Caught())
+    out, most = peak(lambda: list(listed((pa.scalar(0),), iter(rows.to_batches()))))
+    assert most < 60 * n  # once 83
+    grams = np.sort(np.concatenate([x.column("grams").values.to_numpy() for x in out]))
+    want, counts = np.unique(perplexity.grams_of(texts, perplexity.ORDER)[0], return_counts=True)
+    assert np.array_equal(grams, want) and sum(sum(x.column("counts").values.to_pylist()) for x in out) == counts.sum() == n + len(texts)
+    assert max(x.nbytes for x in out) < 0.1 * sum(x.nbytes for x in out)
+    bits = pa.Table.from_batches(out).drop_columns(["grams", "counts"]).append_column("bits", pa.chunked_array([pa.ListArray.from_arrays(x.column("grams").offsets, pa.array(np.ones(len(x.column("grams").values)), pa.float32())) for x in out]))
+    found = perplexity.score_texts(Caught(), Caught())((pa.scalar(0),), rows, bits)
+    assert found.column("bits").to_pylist() == [len(t) + 1 for t in texts]
