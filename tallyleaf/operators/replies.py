@@ -1,4 +1,4 @@
-"""Whole replies to typed answers, as one job over lines: one shuffle by the reply's keys, then windows and groups within it.
+"""Whole replies to typed answers, as one job over replies: each is read with its slots inside its row.
 
 A reply is first taken for what it is: a JSON sheet (nothing but JSON, bare or fenced), JSON lines that name every slot, an
 interview (all slots are open texts), a bare sequence of as many valid tokens as slots, or prose with numbered lines,
@@ -6,440 +6,126 @@ headings and tables. Its entries or lines become records; a record claims a slot
 its slot id, the question's words, its number, the order of a complete unnumbered reply, or that there is one slot only.
 Headings narrow the slots that a record can claim, and numbers count within them; where numbers begin again under headings
 that name no slots, they claim nothing. Claims are read line by line, and answers that differ conflict. Nothing is guessed:
-more than one candidate gives none, and what a sheet does wrong is listed with the reply.
+more than one candidate gives none, and what a sheet does wrong is listed with the reply. JSON is read by column functions,
+all else in Arrow batches (``reply_rows``); what is shuffled does not grow with the lines, and nothing is sorted.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tallyleaf.functions import values as v
-from tallyleaf.functions.clauses import selected_choice
-
-READABLE = ("parsed", "out_of_range", "text_response", "range_response", "range_out_of_range")
-NEWLINE = r"\r\n|[\n\r\x0B\x0C\x{85}\x{2028}\x{2029}]"
-CHINESE = r"[\x{4E00}-\x{9FFF}]"
-
-#: Openings of items, headings and answers.
-OPENER = r"^\s*\**([0-9]{1,6})\s*(?:\.(?![0-9])|[)、])\**\s*(.*)$"
-SUMMARY = r"(?i)^\s*(?:[#*]+\s*)?(?:final\s+)?(?:summary|answers|scores)\s*[:：*]*\s*$|^\s*(?:[#*]+\s*)?(?:final\s+)?summary\b|^\s*(?:最终)?(?:总结|汇总)"
-TOKEN = r"([0-9]{1,3}|[A-Za-z]|[IVXivx]{1,4}|[一二三四五六七八九十]{1,2})"
-CONTEXT = rf"(?i)^\W{{0,4}}(scenario|episode|context|story|情境|情景|故事)\s*{TOKEN}\b?\W*?(?:[:：.、–—-].*)?\W*$"
-SECTION = rf"(?i)^\W{{0,4}}(section|part|task|部分|任务)\s*{TOKEN}\b?\W*?(?:[:：.、–—-].*)?\W*$"
-LETTER = r"^\s*([A-C]|I{1,3})[.)]\s*$"
-TITLE = r"^\s*(?:#{1,6}\s+\S.*|\*\*[^*]+\*\*\s*[:：]?)\s*$"
-ANSWER_HEAD = r"(?i)^\W*(?:(?:my|final|your)\s+)?(?:answer|score|rating|response|value|答案|评分|分数|得分|回答)s?\b?\W*(?:\(.*\))?\W*$"
-FINAL = r"(?i)^\s*(?:so\s+)?(?:(?:my\s+)?final\s+(?:answer|score|rating)(?:\s+is)?|my\s+(?:score|rating|estimate)(?:\s+is)?|I(?:'d| would| will)?\s+(?:rate(?:\s+it)?|give(?:\s+it)?|choose)|最终(?:答案|分数)(?:为|是)?)\s*[:：=]?\s*(?=[+-]?\.?[0-9])"
-CHOOSES = r"(?i)^\s*(?:\b(?:I\s+(?:would\s+|will\s+)?)?(?:choose|select|pick|answer|response|choice|option)(?:\s+is)?\b|我(?:选择|选)|选择|答案|回答|选项)\s*[:：=]?\s*"
-BECAUSE = r"(?i)\s*(?:\b(?:because|since)\b|因为|理由[:：]|解释[:：]).*$"
+from tallyleaf.operators.reply_rows import NEWLINE, PLAIN, READABLE, WIDE, read_rows
 
-#: Digits in circles.
-CIRCLED = "①②③④⑤⑥⑦⑧⑨⑩"
+__all__ = ["READABLE", "decode_whole"]
 
+#: Properties of a slot; those that are not given are null.
 _SLOT = {
     "slot_id": "string", "question": "string", "response_type": "string", "minimum": "double", "maximum": "double", "choices": "array<string>", "labels": "map<string,string>",
     "context": "string", "section": "string", "source_no": "int", "linked_slot_id": "string",
 }
 
-
-def _c(c: str | Column) -> Column:
-    return F.col(c) if isinstance(c, str) else c
-
-
-def plain_marks(c: str | Column) -> Column:
-    """A text with straight quotes, one minus, and full-width digits and signs as ASCII."""
-    wide = "".join(chr(k + 0xFEE0) for k in range(0x21, 0x7F) if chr(k) not in "：")
-    return F.translate(_c(c), "’‘“”−" + wide, "''\"\"-" + "".join(chr(ord(x) - 0xFEE0) for x in wide))
-
-
-def words_of(c: str | Column) -> Column:
-    """Letters and digits, lower case: without brackets and without a leading number."""
-    text = F.regexp_replace(F.regexp_replace(_c(c), r"[(\[][^)\]]*[)\]]", ""), r"^\s*[0-9]+\s*[.)、]\s*", "")
-    return F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}]", ""))
-
-
-def slot_array(slots: Column, fields: set[str]) -> Column:
-    """Slots in display order with all fields that evidence can use; those that are not given are null."""
-
-    def one(s: Column, i: Column) -> Column:
-        has = {k: (s[k].cast(kind) if k in fields else F.lit(None).cast(kind)) for k, kind in _SLOT.items()}
-        asked = words_of(F.get(F.split(F.coalesce(has["question"], F.lit("")), r"\n"), F.lit(0)))
-        scope = lambda c: F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}]", ""))
-        return F.struct((i + 1).alias("pos"), *[x.alias(k) for k, x in has.items() if k != "question"], asked.alias("asked"), scope(has["context"]).alias("context_words"), scope(has["section"]).alias("section_words"))
-
-    return F.transform(slots, one)
-
-
-def _valid_token(token: Column, slot: Column) -> Column:
-    n = v.number(token)
-    inside = F.coalesce(n >= slot["minimum"], F.lit(True)) & F.coalesce(n <= slot["maximum"], F.lit(True))
-    whole = (slot["response_type"] != "integer") | (n == F.floor(n))
-    named = F.exists(slot["choices"], lambda x: F.lower(x) == F.lower(token))
-    listed = (slot["response_type"] == "choice") & (F.size(slot["choices"]) > 0)
-    return F.coalesce(F.when(slot["response_type"] == "text", False).when(listed, named).otherwise(~token.rlike(r"\.$") & n.isNotNull() & inside & whole), F.lit(False))
-
-
-def take_apart(replies: DataFrame, keys: list[str], reply: str, slots: str) -> DataFrame:
-    """A row for each unit of a reply: lines, tokens or entries of a sheet, after the form of the reply. Slots stay with the
-    first unit, so that they are shuffled once."""
-    fields = {f.name for f in replies.schema[slots].dataType.elementType.fields}
-    text = plain_marks(F.coalesce(reply, F.lit("")))
-    rows = replies.select(*keys, text.alias("__text"), slot_array(F.col(slots), fields).alias("__slots"))
-    some = F.filter(F.split("__text", NEWLINE), lambda x: F.trim(x) != "")
-    sheet = F.regexp_replace(F.trim("__text"), r"(?is)^```(?:json)?\s*([\[{].*[\]}])\s*```$", "$1")
-    tokens = F.filter(F.split("__text", r"[\s,;|]+"), lambda x: x != "")
-    rows = rows.withColumns({"__lines": F.split("__text", NEWLINE), "__some": some, "__sheet": sheet, "__tokens": tokens, "__n": F.size("__slots")})
-    n = F.col("__n")
-    bare = F.filter("__some", lambda x: F.trim(x).rlike(r"^[\w.+-]{1,12}$"))
-    stream = ((F.size("__some") > F.greatest(F.lit(64), 2 * n)) & (F.size(bare) >= 0.95 * F.size("__some"))) | ((n > 1) & (F.size("__some") > n) & (F.size(F.array_distinct(F.transform("__some", lambda x: F.trim(x)))) == 1))
-    alone = F.try_parse_json(F.concat(F.lit("["), "__sheet", F.lit("]")))  # in brackets, as what follows a value is not looked at
-    is_json = F.col("__sheet").rlike(r"^[\[{]") & alone.isNotNull() & F.variant_get(alone, "$[1]", "variant").isNull()
-    ids = F.array_sort(F.transform("__slots", lambda s: s["slot_id"]))
-    said_ids = F.array_sort(F.transform("__some", lambda x: F.get_json_object(x, "$.slot_id")))
-    json_lines = F.forall("__some", lambda x: x.rlike(r"^\s*\{.*\}\s*$") & F.try_parse_json(x).isNotNull()) & (said_ids == ids)
-    all_text = F.forall("__slots", lambda s: F.coalesce(s["response_type"] == "text", F.lit(False)))
-    positional = (n > 1) & (F.size("__tokens") == n) & ~F.exists("__some", lambda x: x.rlike(OPENER)) & F.forall(F.arrays_zip("__tokens", "__slots"), lambda z: _valid_token(z["__tokens"], z["__slots"]))
-    numbered, told = F.exists("__some", lambda x: x.rlike(OPENER)), F.exists("__some", lambda x: x.rlike(CONTEXT))
-    form = (
-        F.when(F.trim("__text") == "", "empty").when(stream, "runaway").when(json_lines, "json_lines").when(is_json, "json").when((n == 1) & all_text & ~numbered, "whole")
-        .when(all_text & (n > 1) & (told | ~numbered), "interview").when(positional, "positional").otherwise("prose")
-    )
-    rows = rows.withColumn("__form", form)
-    unit = lambda key, value: F.struct(key.cast("string").alias("key"), value.alias("said"))
-    listed = F.coalesce(F.from_json("__sheet", "answers array<string>")["answers"], F.when(F.col("__sheet").startswith("["), F.from_json("__sheet", "array<string>")))
-    mapped = F.map_entries(F.from_json("__sheet", "map<string,string>"))
-    scalars = ~F.exists(listed, lambda e: F.coalesce(e.rlike(r"^\s*[\[{]"), F.lit(False)))
-    of_list = F.transform(listed, lambda e, i: unit(F.when(scalars & (F.size(listed) == F.col("__n")), F.concat(F.lit("#"), (i + 1).cast("string"))), e))
-    units = (
-        F.when(F.col("__form") == "json", F.coalesce(of_list, F.transform(mapped, lambda e: unit(e["key"], e["value"]))))
-        .when(F.col("__form") == "json_lines", F.transform("__some", lambda x: unit(F.lit(None), x)))
-        .when(F.col("__form") == "positional", F.transform("__tokens", lambda x, i: unit(F.concat(F.lit("#"), (i + 1).cast("string")), x)))
-        .when(F.col("__form") == "whole", F.array(unit(F.lit("#1"), F.trim("__text"))))
-        .when(F.col("__form").isin("prose", "interview"), F.transform("__lines", lambda x: unit(F.lit(None), x)))
-    )
-    spread = rows.select(*keys, F.col("__form").alias("form"), F.col("__n").alias("n_slots"), "__slots", F.posexplode_outer(units).alias("unit_no", "u"))
-    first = F.coalesce(F.col("unit_no"), F.lit(0)) == 0
-    return spread.select(*keys, "form", "n_slots", F.coalesce("unit_no", F.lit(0)).alias("unit_no"), F.col("u.key").alias("key"), F.col("u.said").alias("said"), F.when(first, F.col("__slots")).alias("slots")).repartition(*keys)
-
-
-def mark_lines(units: DataFrame, keys: list[str]) -> DataFrame:
-    """What each line is: a heading of a context or a section, a summary, a table's header or row, the opening of an item, or
-    more of what is open; and the record that it belongs to. Entries of sheets are records of their own."""
-    line, row = F.col("said"), F.trim("said").startswith("|")
-    is_line = F.col("form").isin("prose", "interview")
-    cells = F.transform(F.split(F.regexp_replace(F.trim(line), r"^\||\|$", ""), r"\|"), lambda x: F.trim(x))
-    hit = lambda p: is_line & ~row & line.rlike(p)
-    part = lambda p, k: F.when(hit(p), F.lower(F.regexp_extract(line, p, k)))
-    rows = units.withColumns({
-        "__row": is_line & row, "__rule": is_line & row & line.rlike(r"^[\s|:+-]+$"), "__cells": F.when(is_line & row, cells), "__summary": F.coalesce(hit(SUMMARY), F.lit(False)),
-        "__c": part(CONTEXT, 2), "__cw": part(CONTEXT, 1), "__s": F.coalesce(part(SECTION, 2), part(LETTER, 1)), "__sw": part(SECTION, 1), "__t": F.when(hit(TITLE) & ~line.rlike(OPENER), words_of(line)),
-        "number": F.when(hit(OPENER), F.regexp_extract(line, OPENER, 1).try_cast("int")),
-    })
-    rows = rows.withColumn("__head", F.coalesce(F.col("__row") & ~F.get("__cells", F.lit(0)).rlike("[0-9]") & F.exists("__cells", lambda x: x.rlike(ANSWER_HEAD)), F.lit(False)))
-    rows = rows.withColumn("__s", F.coalesce("__s", F.when(F.col("__c").isNull() & ~F.col("__summary"), F.col("__t"))))
-    rows = rows.withColumn("__heading", F.coalesce(F.col("__summary") | F.col("__c").isNotNull() | F.col("__s").isNotNull(), F.lit(False)))
-    w = Window.partitionBy(*keys).orderBy("unit_no").rowsBetween(Window.unboundedPreceding, 0)
-    opens = F.col("__c").isNotNull() | F.col("__summary")
-    rows = rows.withColumns({
-        "__run": F.count_if(opens).over(w), "block": F.count_if("__heading").over(w), "segment": F.count_if("__summary").over(w),
-        "__column": F.last(F.when(F.col("__head"), F.array_position(F.transform("__cells", lambda x: x.rlike(ANSWER_HEAD)), True)), True).over(w).cast("int"),
-        "any_number": F.max(F.col("number").isNotNull()).over(Window.partitionBy(*keys)),
-    })
-    in_run = Window.partitionBy(*keys, "__run").orderBy("unit_no").rowsBetween(Window.unboundedPreceding, 0)
-    in_block = Window.partitionBy(*keys, "block").orderBy("unit_no").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumns({
-        "context": F.last("__c", True).over(in_run), "context_full": F.last(F.concat("__cw", "__c"), True).over(in_run), "section": F.last("__s", True).over(in_run),
-        "section_full": F.last(F.concat(F.coalesce("__sw", F.lit("")), "__s"), True).over(in_run),
-        "__opened": F.count("number").over(in_block) > 0, "__told": F.count_if(~F.col("__heading") & ~F.col("__row") & (F.trim(line) != "")).over(in_block),
-    })
-    answered = F.when(F.col("__row") & ~F.col("__rule") & ~F.col("__head"), F.when(F.col("__column").isNotNull(), F.get("__cells", F.col("__column") - 1)).when(F.size("__cells") == 2, F.get("__cells", F.lit(1))))
-    loose = is_line & ~F.col("__heading") & ~F.col("__row") & (F.trim(line) != "") & ~F.col("__opened") & (((F.col("n_slots") > 1) & ~F.col("any_number") & (F.col("form") == "prose")) | (F.col("__told") == 1))
-    rows = rows.withColumn("value", answered)
-    starts = F.coalesce(~is_line | F.col("number").isNotNull() | F.col("value").isNotNull() | loose, F.lit(False))
-    skip = F.coalesce(F.col("__heading") | F.col("__rule") | F.col("__head") | (F.col("__row") & F.col("value").isNull()) | F.col("form").isin("empty", "runaway"), F.lit(False))
-    row_number = F.when(F.col("value").isNotNull(), F.regexp_extract(F.get("__cells", F.lit(0)), r"^\W*([0-9]{1,6})[.)]?\W*$", 1).try_cast("int"))
-    row_words = F.when(F.col("value").isNotNull(), F.array_join(F.filter("__cells", lambda x, i: (i != F.coalesce(F.col("__column"), F.lit(2)) - 1)), " "))
-    body = F.when(F.col("number").isNotNull(), F.regexp_extract(line, OPENER, 2)).otherwise(line)
-    return rows.withColumns({"rec": F.when(skip, 0).otherwise(F.count_if(starts & ~skip).over(w)), "number": F.coalesce("number", row_number), "row_words": row_words, "body": body, "scope": F.concat_ws("/", "context", "section")})
-
-
-def gather_records(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """One row for each record of a reply, with the reply's slots; record 0 holds what belongs to none."""
-    rows = lines.groupBy(*keys, "form", "n_slots", "rec").agg(
-        F.max("number").alias("number"), F.max("key").alias("key"), F.max("value").alias("value"), F.max("row_words").alias("row_words"),
-        *[F.min_by(c, "unit_no").alias(c) for c in ("context", "context_full", "section", "section_full", "scope", "segment")],
-        F.array_sort(F.collect_list(F.struct("unit_no", "body"))).alias("__l"), F.first("slots", True).alias("slots"), F.count("said").alias("told_units"),
-    )
-    body = F.regexp_replace(F.array_join(F.col("__l.body"), "\n"), r"\s+$", "")
-    body = F.when(F.col("told_units") > 0, body)
-    return rows.withColumns({"body": body, "slots": F.first("slots", True).over(Window.partitionBy(*keys))}).drop("__l", "told_units")
+_ANSWERS = "answers array<struct<slot_id: string, answer: string, score: double, lower: double, upper: double, status: string, method: string>>, parse_status string, recovery string, defects array<string>"
+_SHEET = "struct<kind: string, entries: array<struct<pos: int, answer: string, defect: string>>, braced: string>"
 
 
-def sheet_claims(r: dict[str, Column]) -> tuple[Column, Column, Column]:
-    """(position, answer, defect) of an entry of a JSON sheet or a token."""
-    body, key, slots, n = r["body"], r["key"], r["slots"], r["n_slots"]
+def sheet_claim(body: Column, key: Column, x: Column) -> Column:
+    """struct(pos, answer, defect) of an entry of a JSON sheet. x: the slots' ids and the sheet's kind."""
+    n = F.size(x["ids"])
     is_object = F.coalesce(body.rlike(r"^\s*\{"), F.lit(False))
-    entry = F.try_parse_json(body)
-    given = F.variant_get(entry, "$.answer", "variant")
-    kind = F.schema_of_variant(given)
     keyed = key.isNotNull() & ~key.startswith("#")
     index = F.coalesce(F.when(is_object, F.coalesce(F.get_json_object(body, "$.display_index"), F.get_json_object(body, "$.index"))), F.regexp_extract(key, r"^#?([0-9]{1,6})$", 1)).try_cast("int")
     named = F.coalesce(F.when(is_object, F.get_json_object(body, "$.slot_id")), F.when(keyed & ~key.rlike("^[0-9]+$"), key))
-    by_name = F.array_position(F.transform(slots, lambda s: s["slot_id"]), named)
-    pos = F.when(named.isNotNull(), F.nullif(by_name, F.lit(0)).cast("int")).when(index.between(1, n), index)
-    answer = F.when(is_object, F.get_json_object(body, "$.answer")).otherwise(body)
-    defect = (
-        F.when(~is_object & key.isNull(), "entry_not_object").when(pos.isNull() & named.isNotNull(), "unknown_slot_id").when(pos.isNull(), "invalid_display_index")
-        .when(is_object & given.isNull(), "missing_answer").when(answer.isNull(), "null_answer").when(F.trim(answer) == "", "empty_answer")
-        .when(F.when(is_object, kind.rlike("^(?:BOOLEAN|OBJECT|ARRAY)")).otherwise(body.rlike(r"^\s*(?:true|false|\[.*\])\s*$") & (r["form"] == "json")), "invalid_answer_type")
-    )
-    return pos, answer, defect
+    given = F.when(is_object, F.schema_of_variant(F.variant_get(F.try_parse_json(body), "$.answer", "variant")))
+    found = F.struct(is_object.alias("is_object"), index.alias("index"), named.alias("named"), given.alias("given"), F.when(is_object, F.get_json_object(body, "$.answer")).otherwise(body).alias("answer"))
 
+    def placed(e: Column) -> Column:
+        place = F.when(e["named"].isNotNull(), F.nullif(F.array_position(x["ids"], e["named"]), F.lit(0)).cast("int")).when(e["index"].between(1, n), e["index"])
+        return F.struct(e["is_object"].alias("is_object"), e["named"].alias("named"), e["given"].alias("given"), e["answer"].alias("answer"), place.alias("pos"))
 
-def claim_slots(records: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds to each record ``claims``: the slots that it may answer, with the text to read and the evidence; ``open`` says
-    that only one of them can be meant, or two that are linked."""
-    c = {x: F.col(x) for x in records.columns}
-    slots, sheet = c["slots"], F.col("form").isin("json", "json_lines", "positional", "whole")
-    named = lambda own, token, full: c[token].isNull() | own.eqNullSafe(c[token]) | own.eqNullSafe(c[full])
-    narrowed = F.filter(slots, lambda s: named(s["context_words"], "context", "context_full") & named(s["section_words"], "section", "section_full"))
-    rows = records.withColumn("__narrow", narrowed)
-    headed = F.col("context").isNotNull() | F.col("section").isNotNull()
-    rows = rows.withColumns({"__scoped": headed & (F.size("__narrow") > 0), "pool": F.when(F.size("__narrow") > 0, F.col("__narrow")).otherwise(slots)})
-    by_number = F.size(F.collect_set(F.when(F.col("rec") > 0, F.col("scope"))).over(Window.partitionBy(*keys, "number")))
-    rows = rows.withColumn("__again", F.col("number").isNotNull() & (by_number > 1))
-    rows = rows.withColumn("__restarts", F.max("__again").over(Window.partitionBy(*keys)))
-    # words
-    first = F.get(F.split("body", "\n"), F.lit(0))
-    more = F.regexp_replace("body", r"^[^\n]*\n?", "")
-    broken = first.rlike(r"[:：→]|[—–]")
-    before, after = F.regexp_extract(first, r"^(.*?)(?:[:：→]|[—–])", 1), F.regexp_replace(first, r"^.*?(?:[:：→]|[—–])", "")
-    said = F.coalesce(F.col("row_words"), first)
-    behind = F.when(F.col("value").isNotNull(), F.col("value")).when(broken & (F.trim(after) != ""), F.concat_ws("\n", after, F.nullif(more, F.lit("")))).otherwise(more)
-    rows = rows.withColumns({"__said": words_of(said), "__label": F.when(F.col("row_words").isNotNull(), words_of("row_words")).when(broken, words_of(before)), "__behind": behind})
-    pool, words, label = F.col("pool"), F.col("__said"), F.col("__label")
-    least = lambda s: F.when(s["asked"].rlike(CHINESE), 2).otherwise(4)
-    whole = F.filter(pool, lambda s: (F.length(s["asked"]) >= least(s)) & (F.instr(words, s["asked"]) > 0))
-    begins = F.filter(pool, lambda s: (F.length(s["asked"]) > 0) & (((F.length(words) >= 8) & s["asked"].startswith(words)) | ((F.length(s["asked"]) >= 24) & (F.instr(words, F.substring(s["asked"], F.lit(1), F.when(s["asked"].rlike(CHINESE), 14).otherwise(32))) > 0))))
-    short = F.filter(pool, lambda s: F.length(label).between(F.when(label.rlike(CHINESE), 2).otherwise(8), 30) & (F.instr(s["asked"], label) > 0))
-    rows = rows.withColumns({"__whole": whole, "__begins": F.when(~sheet, begins), "__short": F.when(~sheet, short)})
-    longest = F.array_max(F.transform("__whole", lambda s: F.struct(F.length(s["asked"]).alias("l"), s["asked"].alias("a"))))["a"]
-    nested = F.forall("__whole", lambda s: F.instr(longest, s["asked"]) > 0)
-    rows = rows.withColumn("__whole", F.when(~sheet, F.when(nested, F.filter("__whole", lambda s: s["asked"] == longest)).otherwise(F.col("__whole"))))
-    ok = lambda x: F.size(x).between(1, 2)
-    rung = F.when(ok("__whole"), "question").when(F.size("__begins") == 1, "prefix").when(F.size("__short") == 1, "label")
-    found = F.when(rung == "question", F.col("__whole")).when(rung == "prefix", F.col("__begins")).when(rung == "label", F.col("__short"))
-    rows = rows.withColumns({"__rung": rung, "__found": F.when(F.col("rec") > 0, found)})
-    # numbers
-    rows = rows.withColumns({"__own": F.filter(pool, lambda s: s["source_no"] == F.col("number")), "__shown": F.get(pool, F.col("number") - 1)})
-    hit = F.get("__found", F.lit(0))
-    own, shown = F.coalesce(hit["source_no"] == F.col("number"), F.lit(False)), F.coalesce(F.col("__shown")["pos"] == hit["pos"], F.lit(False))
-    by_reply, in_scope = Window.partitionBy(*keys), Window.partitionBy(*keys, "scope", "segment")
-    votes = F.col("number").isNotNull() & hit.isNotNull()
-    rows = rows.withColumns({
-        "__source": F.coalesce(F.max(votes & own & ~shown).over(by_reply), F.lit(False)), "__display": F.coalesce(F.max(votes & shown & ~own).over(by_reply), F.lit(False)),
-        "__size": F.count_if(F.col("rec") > 0).over(in_scope), "__nth": F.row_number().over(Window.partitionBy(*keys, "scope", "segment").orderBy(F.col("rec") == 0, "rec")),
-        "__numbers": F.count(F.when(F.col("rec") > 0, F.col("number"))).over(in_scope),
-    })
-    sourced = F.exists(pool, lambda s: s["source_no"].isNotNull())
-    counts = F.col("number").isNotNull() & (~F.col("__restarts") | F.col("__scoped"))
-    alone = F.col("__shown").isNotNull()
-    number_rung = (
-        F.when(~counts, None).when((F.size("__own") > 0) & ~F.col("__display") & F.size("__own").between(1, 2), "source_number")
-        .when(alone & (F.size("__own") == 1) & (F.get("__own", F.lit(0))["pos"] == F.col("__shown")["pos"]), "aligned_number")
-        .when(alone & (~sourced | (F.col("__display") & ~F.col("__source"))), "local_number")
-    )
-    ordered = F.col("number").isNull() & (F.col("__numbers") == 0) & (F.col("__size") == F.size(pool)) & (F.size(pool) > 1) & ~sourced & (F.col("form") == "prose") & (~headed | F.col("__scoped"))
-    only = F.col("number").isNull() & (F.size(pool) == 1) & (F.col("__size") == 1) & (~headed | F.col("__scoped"))
-    method = F.coalesce("__rung", number_rung, F.when(ordered, "section_order"), F.when(only, "single"))
-    told = F.coalesce(F.col("value"), F.col("body"))
-    meant = (
-        F.when(F.col("__rung").isNotNull(), F.col("__found")).when(number_rung == "source_number", F.col("__own")).when(number_rung.isNotNull(), F.array("__shown"))
-        .when(ordered, F.filter(F.array(F.get(pool, F.col("__nth") - 1)), lambda s: s.isNotNull())).when(only, pool)
-    )
-    pos, answer, defect = sheet_claims(c)
-    by_sheet = F.filter(slots, lambda s: s["pos"] == pos)
-    rows = rows.withColumns({
-        "method": F.when(sheet, F.when(F.col("form") == "positional", "position").otherwise(F.when(F.col("form") == "whole", "single").otherwise("sheet"))).otherwise(method),
-        "meant": F.when(F.col("rec") > 0, F.when(sheet, by_sheet).otherwise(meant)), "told": F.when(sheet, answer).when(F.col("__rung").isNotNull(), F.col("__behind")).otherwise(told),
-        "defect": F.when(F.col("form").isin("json", "json_lines") & (F.col("rec") > 0), defect),
-    })
-    return rows.select(*keys, "form", "n_slots", "rec", "slots", "scope", "segment", "method", "meant", "told", "defect")
+    def told(e: Column) -> Column:
+        wrong = F.when(e["is_object"], e["given"].rlike("^(?:BOOLEAN|OBJECT|ARRAY)")).otherwise(body.rlike(r"^\s*(?:true|false|\[.*\])\s*$") & (x["kind"] == "json"))
+        defect = (
+            F.when(~e["is_object"] & key.isNull(), "entry_not_object").when(e["pos"].isNull() & e["named"].isNotNull(), "unknown_slot_id").when(e["pos"].isNull(), "invalid_display_index")
+            .when(e["is_object"] & e["given"].isNull(), "missing_answer").when(e["answer"].isNull(), "null_answer").when(F.trim(e["answer"]) == "", "empty_answer").when(wrong, "invalid_answer_type")
+        )
+        return F.struct(e["pos"].alias("pos"), e["answer"].alias("answer"), defect.alias("defect"))
 
+    return v.once(v.once(found, placed), told)
 
-def interview_claims(units: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of an interview: under headings that count every slot once, or under lines that each say one slot's question
-    alone, or as many blank-line blocks as there are slots; else none. The filter stays above the shuffle and all columns are
-    used, so that replies are not taken apart a second time for interviews: Spark reads the one shuffle twice."""
-    here = F.when(F.spark_partition_id() >= 0, F.col("form") == "interview")  # known only in a task, so not pushed down
-    rows = units.filter(here).withColumn("slots", F.first("slots", True).over(Window.partitionBy(*keys)))
-    w = Window.partitionBy(*keys).orderBy("unit_no").rowsBetween(Window.unboundedPreceding, 0)
-    story = F.when(F.col("said").rlike(CONTEXT), F.regexp_extract("said", CONTEXT, 2).try_cast("int"))
-    blank = F.trim("said") == ""
-    rows = rows.withColumns({"__story": story, "__words": words_of("said"), "__blank": blank, "__was": F.coalesce(F.lag(blank).over(Window.partitionBy(*keys).orderBy("unit_no")), F.lit(True))})
-    asked = F.filter("slots", lambda s: (F.length(s["asked"]) >= 8) & (F.instr(F.col("__words"), s["asked"]) > 0))
-    rows = rows.withColumn("__asks", F.when(F.size(asked) == 1, F.get(asked, F.lit(0))["pos"]))
-    rows = rows.withColumn("__once", F.count("__asks").over(Window.partitionBy(*keys, "__asks")) == 1)
-    rows = rows.withColumns({"__asks": F.when(F.col("__once"), F.col("__asks")), "__block": F.count_if(~F.col("__blank") & F.col("__was")).over(w)})
-    whole = Window.partitionBy(*keys)
-    rows = rows.withColumns({
-        "__stories": F.array_sort(F.collect_list("__story").over(whole)), "__blocks": F.max("__block").over(whole), "__asked": F.count("__asks").over(whole),
-        "__in_story": F.last("__story", True).over(w), "__in_question": F.last("__asks", True).over(w),
-    })
-    by_story = F.col("__stories") == F.sequence(F.lit(1), F.col("n_slots"))
-    headed = F.size("__stories") > 0
-    pos = (
-        F.when(by_story, F.col("__in_story")).when(F.col("__asked") > 0, F.when(F.col("__story").isNull(), F.col("__in_question")))
-        .when(~headed & (F.col("__blocks") == F.col("n_slots")), F.col("__block").cast("int"))
-    )
-    method = F.when(by_story, "story").when(F.col("__asked") > 0, "interview_question").otherwise("blocks")
-    rows = rows.withColumns({"__pos": F.when(~(by_story & F.col("__story").isNotNull()), pos), "method": method})
-    told = rows.groupBy(*keys, "form", "n_slots", "key", "__pos", "method").agg(F.array_sort(F.collect_list(F.struct("unit_no", "said"))).alias("__l"), F.first("slots", True).alias("slots"))
-    body = F.trim(F.regexp_replace(F.array_join(F.col("__l.said"), "\n"), r"^\s+|\s+$", ""))
-    meant = F.filter("slots", lambda s: s["pos"] == F.col("__pos"))
-    return told.select(*keys, "form", "n_slots", F.coalesce("__pos", F.lit(0)).alias("rec"), "slots", F.lit("").alias("scope"), F.lit(0).cast("long").alias("segment"), "method", F.when(F.col("__pos").isNotNull(), meant).alias("meant"), body.alias("told"), F.lit(None).cast("string").alias("defect"))
 
+def sheet(reply: Column, slots: Column) -> Column:
+    """What a reply says as JSON: struct(kind, entries, braced). kind is json, json_lines or null; braced is for texts that only
+    begin as an object does."""
+    unit = lambda key, value: F.struct(key.cast("string").alias("key"), F.regexp_replace(value, r"\s+$", "").alias("said"))
 
-def read_claims(claims: DataFrame, keys: list[str]) -> DataFrame:
-    """Reads each claim for its slot, line by line: numbers, intervals and final picks; lines that define options and lists of
-    scores say nothing. Rows without a claim stay, for the reply's sake."""
-    first = F.row_number().over(Window.partitionBy(*keys).orderBy("rec")) == 1
-    rows = claims.withColumn("slots", F.when(first, F.col("slots")))
-    rows = rows.select(*[c for c in rows.columns if c != "meant"], F.size(F.coalesce("meant", F.array())).alias("candidates"), F.explode_outer("meant").alias("slot"))
-    numeric = ~F.coalesce(F.col("slot.response_type").isin("text", "choice"), F.lit(False)) | ((F.col("slot.response_type") == "choice") & (F.coalesce(F.size("slot.choices"), F.lit(0)) <= 0))
-    rows = rows.withColumn("__numeric", numeric)
-    small = lambda x: F.lower(F.regexp_replace(F.regexp_replace(F.regexp_replace(x, BECAUSE, ""), CHOOSES, ""), r"[\s.。!]+$", ""))
+    def of(text: Column) -> Column:
+        some = F.filter(F.split(text, NEWLINE), lambda x: F.trim(x) != "")
+        bare = F.regexp_replace(F.trim(text), r"(?is)^```(?:json)?\s*([\[{].*[\]}])\s*```$", "$1")
+        return F.struct(text.alias("text"), some.alias("some"), bare.alias("bare"), F.transform(slots, lambda s: s["slot_id"]).alias("ids"))
 
-    def line_says(full: Column) -> Column:
-        """What a line says: a number read, whether it is a final pick, an interval, whether it is left open, a list, or nothing."""
+    def kind(x: Column) -> Column:
+        alone = F.try_parse_json(F.concat(F.lit("["), x["bare"], F.lit("]")))  # in brackets, as what follows a value is not looked at
+        is_json = x["bare"].rlike(r"^[\[{]") & v.once(alone, lambda a: a.isNotNull() & F.variant_get(a, "$[1]", "variant").isNull())
+        said = F.array_sort(F.transform(x["some"], lambda y: F.get_json_object(y, "$.slot_id")))
+        lines = F.forall(x["some"], lambda y: y.rlike(r"^\s*\{.*\}\s*$") & F.try_parse_json(y).isNotNull()) & (said == F.array_sort(x["ids"]))
+        return F.struct(*[x[c].alias(c) for c in ("text", "some", "bare", "ids")], F.when(lines, "json_lines").when(is_json, "json").alias("kind"))
 
-        def says(line: Column, rest: Column) -> Column:
-            option = F.when(F.col("slot.labels").isNotNull(), v.once(small(line), lambda said: F.get(F.map_values(F.map_filter("slot.labels", lambda k, x: F.lower(k) == said)), F.lit(0))))
-            nothing = ~F.col("__numeric") | (line == "") | (line == "---") | (F.regexp_count(full, F.lit(r"(?<![0-9])[0-9]+(?:\.[0-9]+)?\s*=")) >= 3)
-            listing = rest.rlike(r"^\s*[+-]?[0-9]+(?:\.[0-9]+)?\s*[,;]\s*[+-]?[0-9]")
-            parts = F.struct(option.alias("option"), line.rlike(FINAL).alias("final"), rest.alias("rest"), nothing.alias("none"), listing.alias("listing"))
+    def listed(x: Column) -> Column:
+        some = F.coalesce(F.from_json(x["bare"], "answers array<string>")["answers"], F.when(x["bare"].startswith("["), F.from_json(x["bare"], "array<string>")))
 
-            def read(x: Column) -> Column:
-                some = F.when(~x["none"], v.scalar(x["rest"], F.col("slot.maximum")))
-                span = F.when(~x["none"] & ~x["listing"], v.interval(x["rest"]))
-                return F.struct(*[x[c].alias(c) for c in ("option", "final", "none")], (x["listing"] & ~x["none"]).alias("list"), some.alias("x"), span.alias("span"))
+        def numbered(some: Column) -> Column:
+            scalars = ~F.exists(some, lambda e: F.coalesce(e.rlike(r"^\s*[\[{]"), F.lit(False))) & (F.size(some) == F.size(x["ids"]))
+            return v.once(scalars, lambda plain: F.transform(some, lambda e, i: unit(F.when(plain, F.concat(F.lit("#"), (i + 1).cast("string"))), e)))
 
-            def told(x: Column) -> Column:
-                status = F.when(x["option"].isNotNull(), "parsed").otherwise(x["x"]["status"])
-                value = F.when(x["option"].isNotNull(), v.number(x["option"])).otherwise(x["x"]["value"])
-                opened = ~x["list"] & (status == "range_unresolved") & x["span"].isNull()
-                return F.struct(F.when(~x["list"] & (status == "parsed"), value).alias("read"), x["final"].alias("final"), x["span"].alias("span"), opened.alias("open"), x["list"].alias("list"), x["none"].alias("none"))
+        return F.coalesce(v.once(some, numbered), F.transform(F.map_entries(F.from_json(x["bare"], "map<string,string>")), lambda e: unit(e["key"], e["value"])))
 
-            return v.once(v.once(parts, read), told)
+    def read(x: Column) -> Column:
+        nothing = F.array(unit(F.lit(None), F.lit(None).cast("string")))
+        units = F.when(x["kind"] == "json", listed(x)).when(x["kind"] == "json_lines", F.transform(x["some"], lambda y: unit(F.lit(None), y)))
+        entries = v.once(units, lambda u: F.transform(F.when(F.size(u) > 0, u).otherwise(nothing), lambda e: sheet_claim(e["said"], e["key"], x)))
+        braced = F.when(x["kind"].isNull() & x["text"].rlike(r"^\s*\{"), F.get_json_object(F.trim(x["text"]), "$.answer"))
+        return F.struct(x["kind"].alias("kind"), F.when(x["kind"].isNotNull(), entries).alias("entries"), braced.alias("braced"))
 
-        def without_opening(line: Column) -> Column:
-            rest = F.regexp_replace(F.regexp_replace(line, FINAL, ""), r"(?i)^\s*(?:score|answer|rating|评分|答案)\s*[:=：]\s*", "")
-            circled = F.when(line.rlike(f"[{CIRCLED}]"), F.regexp_extract(line, rf"(?:^|[:：→—–]\s*)([{CIRCLED}])", 1)).otherwise("")
-            alone = (circled != "") & (F.size(F.array_distinct(F.regexp_extract_all(full, F.lit(f"([{CIRCLED}])"), F.lit(1)))) == 1)
-            return v.once(F.when(alone, F.instr(F.lit(CIRCLED), circled).cast("string")).otherwise(rest), lambda rest: says(line, rest))
+    return v.once(v.once(v.once(F.translate(reply, WIDE, PLAIN), of), kind), read).cast(_SHEET)
 
-        return v.once(F.trim(F.regexp_replace(full, r"\*{1,3}|_{2,3}|`", "")), without_opening)
 
-    rows = rows.withColumn("__told", F.transform(F.when(F.col("__numeric") & F.col("slot").isNotNull(), F.split("told", NEWLINE)).otherwise(F.array("told")), line_says))
-    every = lambda holds, c: F.array_distinct(F.transform(F.filter("__told", holds), lambda x: x[c]))
-    by_label = F.when(~F.col("__numeric") & (F.col("slot.response_type") == "choice") & F.col("slot.labels").isNotNull(), F.transform(F.split("told", NEWLINE), lambda t: F.lower(F.regexp_replace(F.regexp_replace(F.regexp_replace(t, BECAUSE, ""), CHOOSES, ""), r"^\s+|[\s.。!]+$", ""))))
-    got = rows.withColumns({
-        "__values": every(lambda x: x["read"].isNotNull(), "read"), "__finals": every(lambda x: x["final"] & x["read"].isNotNull(), "read"), "__spans": every(lambda x: x["span"].isNotNull(), "span"),
-        "__open": F.exists("__told", lambda x: F.coalesce(x["open"], F.lit(False))), "__list": F.exists("__told", lambda x: F.coalesce(x["list"], F.lit(False))),
-        "__said": F.size(F.filter("__told", lambda x: ~F.coalesce(x["none"], F.lit(True)))).cast("long"), "__labels": v.once(by_label, lambda said: F.array_distinct(F.map_values(F.map_filter("slot.labels", lambda k, y: F.array_contains(said, F.lower(k)))))),
-    })
-    for c in ("__values", "__finals"):
-        got = got.withColumn(c, F.coalesce(c, F.array().cast("array<double>")))
-    got = got.withColumns({"__spans": F.coalesce("__spans", F.array().cast("array<struct<lower:double,upper:double,unit:string>>")), "__open": F.coalesce("__open", F.lit(False)), "__list": F.coalesce("__list", F.lit(False)), "__said": F.greatest("__said", F.lit(0))})
-    told, low, high = F.trim("told"), F.col("slot.minimum"), F.col("slot.maximum")
-    value, span = F.get("__values", F.lit(0)), F.get("__spans", F.lit(0))
-    spans = (F.size("__spans") > 0) | F.col("__open")
-    settled = F.size("__finals").between(1, 1) & (F.size("__values") == 1)
-    circled = F.size(F.array_distinct(F.regexp_extract_all("told", F.lit(rf"([{CIRCLED}])[^\n]*?[:：=]"), F.lit(1)))) >= 3
-    beyond = lambda n: F.coalesce(n < low, F.lit(False)) | F.coalesce(n > high, F.lit(False))
-    number_status = (
-        F.when(circled, "option_codebook").when(F.size("__values") > 1, "conflicting_values")
-        .when(spans & ~settled, F.when((F.size("__values") > 0) | F.col("__open") | (F.size("__spans") > 1), "range_unresolved").when(span["lower"] > span["upper"], "range_unresolved").when(beyond(span["lower"]) | beyond(span["upper"]), "range_out_of_range").otherwise("range_response"))
-        .when(F.size("__values") == 0, F.when(F.col("__list") & (F.col("__said") == 1), "multiple_values").otherwise("unparsed"))
-        .when((F.col("slot.response_type") == "integer") & (value != F.floor(value)), "non_integer").when(beyond(value), "out_of_range").otherwise("parsed")
-    )
-    chosen = F.coalesce(F.when(F.size("__labels") == 1, F.get("__labels", F.lit(0))), F.when(~F.coalesce(F.size("__labels") > 1, F.lit(False)), selected_choice(told, F.col("slot.choices"))))
-    choice_status = F.when(F.size("__labels") > 1, "conflicting_values").when(chosen.isNotNull(), "parsed").otherwise("invalid_choice")
-    is_text, is_choice = F.col("slot.response_type") == "text", (F.col("slot.response_type") == "choice") & (F.size("slot.choices") > 0)
-    status = F.when(F.col("slot").isNull(), None).when(F.col("defect").isNotNull(), F.col("defect")).when(F.coalesce(told, F.lit("")) == "", "missing").when(is_text, "text_response").when(is_choice, choice_status).otherwise(number_status)
-    got = got.withColumns({"status": status, "__chosen": F.when(is_choice, chosen)})
-    ends = F.col("status").startswith("range_") & (F.size("__spans") == 1) & (F.size("__values") == 0) & ~F.col("__open")  # reversed ones stay too
-    got = got.withColumns({
-        "score": F.when(F.col("status").isin("parsed", "out_of_range"), F.when(F.col("__chosen").isNotNull(), v.number("__chosen")).otherwise(value)),
-        "lower": F.when(ends, span["lower"]), "upper": F.when(ends, span["upper"]),
-        "answer": F.when(F.col("status") == "parsed", F.coalesce("__chosen", told)).otherwise(F.nullif(told, F.lit(""))),
-    })
-    return got.select(*keys, "form", "n_slots", "rec", "slots", "slot", "scope", "segment", "method", "defect", "candidates", "answer", "score", "lower", "upper", "status")
+def _read(rows: DataFrame, keys: list[str], fields: list[str | None]) -> DataFrame:
+    """Answers of replies with their slots and sheets, in Arrow batches."""
+    schema = T.StructType([rows.schema[k] for k in keys] + T.StructType.fromDDL(_ANSWERS).fields)
+    n = len(keys)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = to_arrow_schema(schema)
+        kinds = [f.type for f in arrow][n:]
+        for batch in batches:
+            for columns in read_rows(batch, n, kinds, fields):
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) if c.type != f.type else c for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-def settle(read: DataFrame, keys: list[str]) -> DataFrame:
-    """One row for each reply: answers in display order, the reply's status, how it was recovered, and its defects. Of two
-    candidates the one that can be read counts, or both if they are linked; the order of a section counts if all of it can
-    be read; equal answers agree, different ones conflict, and a value in a summary settles a range before it."""
-    good = F.col("status").isin(*READABLE)
-    rec = Window.partitionBy(*keys, "rec")
-    rows = read.withColumns({"__good": F.coalesce(good, F.lit(False))})
-    rows = rows.withColumns({
-        "__fit": F.count_if("__good").over(rec), "__ids": F.collect_set("slot.slot_id").over(rec), "__links": F.collect_set("slot.linked_slot_id").over(rec),
-        "__bad_order": F.max(F.coalesce(F.col("slot").isNotNull() & (F.col("method") == "section_order") & ~F.col("__good"), F.lit(False))).over(Window.partitionBy(*keys, "scope", "segment")),
-    })
-    linked = F.arrays_overlap("__ids", "__links")
-    counts = F.col("slot").isNotNull() & ~((F.col("method") == "section_order") & F.col("__bad_order")) & (
-        (F.col("candidates") == 1) | ((F.col("__fit") == 1) & F.col("__good")) | ((F.col("__fit") == 2) & (F.col("candidates") == 2) & linked)
-    )
-    method = F.when((F.col("candidates") == 2) & (F.col("__fit") == 2), "linked").otherwise(F.col("method"))
-    rows = rows.withColumns({"__counts": F.coalesce(counts, F.lit(False)), "method": method, "pos": F.col("slot.pos")})
-    a = F.struct("rec", "answer", "score", "lower", "upper", "status", "method", "segment", F.col("slot.response_type").alias("kind"))
-    each = rows.groupBy(*keys, "form", "n_slots", F.when(F.col("__counts"), F.col("pos")).alias("pos")).agg(
-        F.array_sort(F.collect_list(F.when(F.col("__counts"), a))).alias("__a"), F.first("slots", True).alias("slots"),
-        F.array_sort(F.collect_set("defect")).alias("__d"), F.count("defect").alias("__bad"),
-    )
-    read_ones = F.filter("__a", lambda x: x["status"].isin(*READABLE))
-    summed = F.filter("__a", lambda x: (x["segment"] > 0) & (x["status"] == "parsed"))
-    each = each.withColumns({"__read": F.when(F.exists("__a", lambda x: x["status"].startswith("range_")) & (F.size(summed) > 0), summed).otherwise(read_ones)})
-    different = F.size(F.array_distinct(F.transform("__read", lambda x: F.struct(x["score"], F.when(x["score"].isNull() & x["lower"].isNull(), F.lower(F.trim(x["answer"]))).alias("t"), x["lower"], x["upper"])))) > 1
-    first = F.coalesce(F.get("__read", F.lit(0)), F.get("__a", F.lit(0)))
-    many = F.size(F.filter("__a", lambda x: x["method"] == "sheet")) > 1
-    none = F.lit(None)
-    answer = (
-        F.when(F.col("pos").isNull(), None)
-        .when(many, F.struct(none.cast("string").alias("answer"), none.cast("double").alias("score"), none.cast("double").alias("lower"), none.cast("double").alias("upper"), F.lit("duplicate_display_index").alias("status"), first["method"].alias("method")))
-        .when((first["kind"] == "text") & (F.size("__read") > 0), F.struct(F.array_join(F.col("__read.answer"), "\n").alias("answer"), first["score"].alias("score"), first["lower"].alias("lower"), first["upper"].alias("upper"), first["status"].alias("status"), first["method"].alias("method")))
-        .when(different, F.struct(none.cast("string").alias("answer"), none.cast("double").alias("score"), none.cast("double").alias("lower"), none.cast("double").alias("upper"), F.lit("conflicting_values").alias("status"), first["method"].alias("method")))
-        .otherwise(F.struct(*[first[c].alias(c) for c in ("answer", "score", "lower", "upper", "status", "method")]))
-    )
-    each = each.withColumns({"__answer": answer, "__d": F.when(many, F.array_union("__d", F.array(F.lit("duplicate_display_index")))).otherwise(F.col("__d"))})
-    whole = each.groupBy(*keys, "form", "n_slots").agg(
-        F.map_from_entries(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "__answer")))).alias("__by"), F.first("slots", True).alias("slots"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("__d")))).alias("defects"),
-    )
-    blank = F.when(F.col("form") == "runaway", "unparsed").otherwise("missing")
-    pick = lambda s, c, kind: F.element_at("__by", s["pos"])[c].cast(kind).alias(c)
-    answers = F.transform("slots", lambda s: F.struct(
-        s["slot_id"].alias("slot_id"), pick(s, "answer", "string"), pick(s, "score", "double"), pick(s, "lower", "double"), pick(s, "upper", "double"),
-        F.coalesce(F.element_at("__by", s["pos"])["status"], blank).alias("status"), F.coalesce(F.element_at("__by", s["pos"])["method"], F.lit("none")).alias("method")))
-    whole = whole.withColumn("answers", answers)
-    n = F.size(F.filter("answers", lambda x: x["status"].isin(*READABLE)))
-    state = F.when(F.col("form") == "empty", "empty_response").when((n == F.size("answers")) & (n > 0) & (F.size("defects") == 0), "ok").when(n > 0, "partial").otherwise("unparsed")
-    recovery = F.when(F.col("form") == "positional", "positional").when(F.col("form") == "runaway", "runaway").when(F.col("form").isin("json", "json_lines", "interview"), F.col("form"))
-    return whole.select(*keys, "answers", state.alias("parse_status"), recovery.alias("recovery"), "defects")
+    return rows.mapInArrow(run, schema)
 
 
-def decode_whole(replies: DataFrame, keys: list[str], reply: str = "reply", slots: str = "slots") -> DataFrame:
+def decode_whole(replies: DataFrame, keys: list[str], reply: str = "reply", slots: str = "slots", dealt: bool = False) -> DataFrame:
     """keys (unique and not null for each reply), answers in display order, parse_status (ok, partial, refusal, unparsed,
     empty_response), recovery and defects. slots: an array of structs with slot_id, question, response_type (integer, number,
-    choice, text), minimum, maximum, choices and, where there are such, labels, context, section, source_no, linked_slot_id."""
-    own = [*keys, "__refused"]
-    refused = F.coalesce(v.reply_class(reply, F.lit("unparsed")) == "refusal", F.lit(False))
-    units = take_apart(replies.withColumn("__refused", refused), own, reply, slots)
-    claims = claim_slots(gather_records(mark_lines(units, own).filter("form <> 'interview'"), own), own)
-    claims = claims.unionByName(interview_claims(units, own))
-    done = settle(read_claims(claims, own), own)
-    state = F.when((F.col("parse_status") == "unparsed") & F.col("__refused"), "refusal").otherwise(F.col("parse_status"))
-    return done.withColumn("parse_status", state).drop("__refused")
+    choice, text), minimum, maximum, choices and, where there are such, labels, context, section, source_no, linked_slot_id.
+    dealt: tasks hold bounded numbers of replies already, which are read where they are; else replies are shuffled once by their keys,
+    and those with a bracket, which JSON is looked for in, and all others read that one shuffle."""
+    given = {f.name for f in replies.schema[slots].dataType.elementType.fields}
+    has = [k for k in _SLOT if k in given]
+    fields = [k if k in given else None for k in _SLOT]
+    rows = replies.select(*keys, F.col(reply).alias("__reply"), F.transform(slots, lambda s: F.struct(*[s[k].cast(_SLOT[k]).alias(k) for k in has])).alias("__slots"))
+    bracket = F.coalesce(F.col("__reply").rlike(r"[\[{［｛]"), F.lit(False))
+    found = sheet(F.col("__reply"), F.col("__slots"))
+    if dealt:
+        return _read(rows.withColumn("__sheet", F.when(bracket, found)), keys, fields)
+    rows = rows.repartition(*keys)
+    here = F.when(F.spark_partition_id() >= 0, bracket)  # known only in a task, so not pushed below the shuffle
+    plain = _read(rows.filter(~here).withColumn("__sheet", F.lit(None).cast(_SHEET)), keys, fields)
+    return _read(rows.filter(here).withColumn("__sheet", found), keys, fields).unionByName(plain)
