@@ -6,8 +6,8 @@ headings and tables. Its entries or lines become records; a record claims a slot
 its slot id, the question's words, its number, the order of a complete unnumbered reply, or that there is one slot only.
 Headings narrow the slots that a record can claim, and numbers count within them; where numbers begin again under headings
 that name no slots, they claim nothing. Claims are read line by line, and answers that differ conflict. Nothing is guessed:
-more than one candidate gives none, and what a sheet does wrong is listed with the reply. JSON is read by column functions,
-all else in Arrow batches (``reply_rows``); what is shuffled does not grow with the lines, and nothing is sorted.
+more than one candidate gives none, and what a sheet does wrong is listed with the reply. Replies are read in Arrow batches
+(``reply_rows``), JSON with fractions or escapes by column functions before; no lines are shuffled, and nothing is sorted.
 """
 
 from __future__ import annotations
@@ -35,6 +35,11 @@ _ANSWERS = "answers array<struct<slot_id: string, answer: string, score: double,
 _SHEET = "struct<kind: string, entries: array<struct<pos: int, answer: string, defect: string>>, braced: string>"
 
 
+#: How JSON begins, also behind a fence and in full-width signs; what of it Python may write in another way than Spark does.
+OPENS = r"^[\s\x{85}\x{2028}\x{2029}]*(?:[`｀]{3}[a-zA-Zａ-ｚＡ-Ｚ]{0,4}\s*)?[\[{［｛]"
+HARD, LONG = r"[\\！-～]|[0-9][.eE]|-0|[0-9]{400}", 1_000_000
+
+
 def sheet_claim(body: Column, key: Column, x: Column) -> Column:
     """struct(pos, answer, defect) of an entry of a JSON sheet. x: the slots' ids and the sheet's kind."""
     n = F.size(x["ids"])
@@ -116,16 +121,16 @@ def decode_whole(replies: DataFrame, keys: list[str], reply: str = "reply", slot
     empty_response), recovery and defects. slots: an array of structs with slot_id, question, response_type (integer, number,
     choice, text), minimum, maximum, choices and, where there are such, labels, context, section, source_no, linked_slot_id.
     dealt: tasks hold bounded numbers of replies already, which are read where they are; else replies are shuffled once by their keys,
-    and those with a bracket, which JSON is looked for in, and all others read that one shuffle."""
+    and those whose JSON column functions read, and all others, read that one shuffle."""
     given = {f.name for f in replies.schema[slots].dataType.elementType.fields}
     has = [k for k in _SLOT if k in given]
     fields = [k if k in given else None for k in _SLOT]
     rows = replies.select(*keys, F.col(reply).alias("__reply"), F.transform(slots, lambda s: F.struct(*[s[k].cast(_SLOT[k]).alias(k) for k in has])).alias("__slots"))
-    bracket = F.coalesce(F.col("__reply").rlike(r"[\[{［｛]"), F.lit(False))
+    by_columns = F.coalesce(F.col("__reply").rlike(OPENS) & (F.col("__reply").rlike(HARD) | (F.length("__reply") > LONG)), F.lit(False))
     found = sheet(F.col("__reply"), F.col("__slots"))
     if dealt:
-        return _read(rows.withColumn("__sheet", F.when(bracket, found)), keys, fields)
+        return _read(rows.withColumn("__sheet", F.when(by_columns, found)), keys, fields)
     rows = rows.repartition(*keys)
-    here = F.when(F.spark_partition_id() >= 0, bracket)  # known only in a task, so not pushed below the shuffle
+    here = F.when(F.spark_partition_id() >= 0, by_columns)  # known only in a task, so not pushed below the shuffle
     plain = _read(rows.filter(~here).withColumn("__sheet", F.lit(None).cast(_SHEET)), keys, fields)
     return _read(rows.filter(here).withColumn("__sheet", found), keys, fields).unionByName(plain)
